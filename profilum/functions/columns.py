@@ -24,6 +24,14 @@ def currency(amount: Column | str) -> Column:
     return F.concat(F.lit("$"), F.format_number(col(amount).cast("double"), 2))
 
 
+def number_text(number: Column) -> Column:
+    """A double as text, with an exponent only below one ten-thousandth."""
+    plain = number.cast("string")
+    fixed = F.rtrim(number.cast("decimal(38,22)").cast("string"), F.lit("0"))
+    short = F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), r"E-(\d)$", "E-0$1")
+    return F.when((F.abs(number) < 0.001) & (F.abs(number) >= 0.0001), fixed).otherwise(F.lower(short))
+
+
 def mean_exact(value: Column, digits: int = 6) -> Column:
     """Mean through a decimal sum: the result does not depend on the order rows arrive in."""
     return F.sum(value.cast(f"decimal(38,{digits})")).cast("double") / F.count(value)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from profilum.functions.columns import number_text
+
 
 def ticket_text() -> Column:
     """Four labelled lines; a missing part is empty."""
@@ -32,7 +34,7 @@ def interaction_text() -> Column:
         ("Interaction ID: ", shown(F.col("interaction_id"))),
         ("Customer: ", shown(F.col("customer_id"))),
         ("Channel: ", shown(F.col("channel"))),
-        ("Sentiment: ", shown(F.col("sentiment_score"))),
+        ("Sentiment: ", shown(number_text(F.col("sentiment_score")))),
         ("Date: ", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")),
         ("Content: ", shown(F.col("content"))),
     ]

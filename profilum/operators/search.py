@@ -131,8 +131,8 @@ def _part_scan(queries: DataFrame, documents: DataFrame, key: str, k: int, scope
     return docs.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInPandas(meet, schema)
 
 
-def top_k(queries: DataFrame, documents: DataFrame, key: str, k: int = 5, scope: str | None = None, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
-    """The k most similar documents of each query, ranked; ties go to the smaller id.
+def partial_top_k(queries: DataFrame, documents: DataFrame, key: str, k: int = 5, scope: str | None = None, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
+    """The k best documents of each query within each task; they contain the k best overall.
 
     ``queries`` has ``query_id`` and ``query_vector`` and may name one document in ``exclude_id`` that
     is not returned. With ``scope`` a query only sees documents whose ``scope`` column equals its own.
@@ -140,68 +140,74 @@ def top_k(queries: DataFrame, documents: DataFrame, key: str, k: int = 5, scope:
     """
     documents = documents.filter(F.col("embedding").isNotNull())
     prepared = _prepared(queries, scope)
-    types = {field.name: field.dataType.simpleString() for field in documents.schema.fields}
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, {key} {types[key]}, similarity_score double"
-    hits = None
+    key_type, query_type = (frame.schema[name].dataType.simpleString() for frame, name in ((documents, key), (queries, "query_id")))
+    schema = f"query_id {query_type}, {key} {key_type}, similarity_score double"
     if scope is None:
         # One row over the bound tells that the set is too large to send around.
         local = prepared.limit(broadcast_queries + 1).toPandas()
+        if local.empty:
+            return documents.sparkSession.createDataFrame([], schema)
         if len(local) <= broadcast_queries:
-            if local.empty:
-                return documents.sparkSession.createDataFrame([], f"{schema}, rank int")
-            hits = _small_scan(local, documents, key, k, schema)
-    if hits is None:
-        hits = _part_scan(prepared, documents, key, k, scope, schema)
+            return _small_scan(local, documents, key, k, schema)
+    return _part_scan(prepared, documents, key, k, scope, schema)
+
+
+def top_k(queries: DataFrame, documents: DataFrame, key: str, k: int = 5, scope: str | None = None, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
+    """The k most similar documents of each query, ranked; ties go to the smaller id.
+
+    The arguments are those of :func:`partial_top_k`.
+    """
+    hits = partial_top_k(queries, documents, key, k, scope, broadcast_queries)
     return top_per_group(hits, ["query_id"], [F.col("similarity_score").desc(), F.col(key)], k)
 
 
-def ticket_hits(hits: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Search results with the columns of their tickets."""
-    found = tickets.select(
+def ticket_details(tickets: DataFrame) -> DataFrame:
+    """What a search result shows of a ticket."""
+    return tickets.select(
         "ticket_id",
-        F.substring(F.coalesce("full_text", F.lit("")), 1, 1000).alias("content"),
+        F.col("ticket_id").cast("string").alias("doc_id"),
+        F.lit("support_ticket").alias("source_type"),
         F.col("subject").alias("title"),
+        F.substring(F.coalesce("full_text", F.lit("")), 1, 1000).alias("content"),
         "created_at",
         F.create_map(F.lit("status"), "status", F.lit("priority"), "priority", F.lit("customer_email"), "customer_email").alias("metadata"),
     )
-    return hits.join(found, "ticket_id").select(
-        "query_id", F.col("ticket_id").cast("string").alias("doc_id"), F.lit("support_ticket").alias("source_type"),
-        "similarity_score", "rank", "title", "content", "created_at", "metadata",
-    )
 
 
-def product_hits(hits: DataFrame, products: DataFrame) -> DataFrame:
-    """Search results with the columns of their products."""
-    found = products.select(
+def product_details(products: DataFrame) -> DataFrame:
+    """What a search result shows of a product."""
+    return products.select(
         "product_id",
-        F.substring(F.coalesce("full_text", F.lit("")), 1, 500).alias("content"),
+        F.col("product_id").cast("string").alias("doc_id"),
+        F.lit("product").alias("source_type"),
         F.col("product_name").alias("title"),
+        F.substring(F.coalesce("full_text", F.lit("")), 1, 500).alias("content"),
         F.lit(None).cast("timestamp_ntz").alias("created_at"),
         F.create_map(
             F.lit("product_name"), "product_name", F.lit("category"), "category",
             F.lit("price"), F.coalesce("price", F.lit(0.0)).cast("string"), F.lit("description"), "description",
         ).alias("metadata"),
     )
-    return hits.join(found, "product_id").select(
-        "query_id", F.col("product_id").cast("string").alias("doc_id"), F.lit("product").alias("source_type"),
-        "similarity_score", "rank", "title", "content", "created_at", "metadata",
-    )
+
+
+def by_address(queries: DataFrame, tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries that name an address and the tickets, both with the address in lower case."""
+    asked = queries.filter(F.col("customer_email").isNotNull()).withColumn("email_norm", F.lower("customer_email"))
+    return asked, tickets.withColumn("email_norm", F.lower("customer_email"))
 
 
 def search_tickets(queries: DataFrame, tickets: DataFrame, k: int = 5) -> DataFrame:
-    return ticket_hits(top_k(queries, tickets, "ticket_id", k), tickets)
+    return top_k(queries, tickets, "ticket_id", k).join(ticket_details(tickets), "ticket_id").drop("ticket_id")
 
 
 def search_customer_tickets(queries: DataFrame, tickets: DataFrame, k: int = 5) -> DataFrame:
     """Search among the tickets of the address each query names, ignoring case."""
-    asked = queries.filter(F.col("customer_email").isNotNull()).withColumn("email_norm", F.lower("customer_email"))
-    owned = tickets.withColumn("email_norm", F.lower("customer_email"))
-    return ticket_hits(top_k(asked, owned, "ticket_id", k, scope="email_norm"), tickets)
+    asked, owned = by_address(queries, tickets)
+    return top_k(asked, owned, "ticket_id", k, scope="email_norm").join(ticket_details(tickets), "ticket_id").drop("ticket_id")
 
 
 def search_products(queries: DataFrame, products: DataFrame, k: int = 5) -> DataFrame:
-    return product_hits(top_k(queries, products, "product_id", k), products)
+    return top_k(queries, products, "product_id", k).join(product_details(products), "product_id").drop("product_id")
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilum.functions.columns import mean_exact
+from profilum.functions.columns import mean_exact, number_text
 from profilum.functions.documents import interaction_text
 from profilum.operators.metrics import top_per_group
 
@@ -68,29 +68,29 @@ def combined_context(interactions: DataFrame, as_of: str, newest: int = 5) -> Da
     """Per customer: a sentiment document first, then the newest interactions, numbered.
 
     Interactions are ranked within their customer, so a customer that is quiet among all others
-    still gets its own.
+    still gets its own. A customer's sources travel as one array of a handful.
     """
     trends = sentiment_trend(daily_sentiment(interactions, as_of), as_of)
-    id_text = F.col("customer_id").cast("string")
-    summary = trends.select(
-        "customer_id",
-        F.lit(1).alias("source_no"),
-        F.lit("SENTIMENT_SUMMARY").alias("doc_id"),
-        F.concat(
-            F.lit("Customer "), id_text, F.lit(" Sentiment Analysis:\nSummary: "), F.col("trend"),
-            F.lit("\nLatest Average Score: "), F.col("latest_avg_sentiment").cast("string"),
-        ).alias("content"),
-    )
     recent = top_per_group(
         interactions.filter(_since(as_of, 30)), ["customer_id"], [F.col("timestamp").desc(), F.col("interaction_id")], newest
     )
     texts = recent.select(
         "customer_id",
-        (F.col("rank") + 1).alias("source_no"),
-        F.col("interaction_id").cast("string").alias("doc_id"),
-        interaction_text().alias("content"),
+        F.struct(
+            (F.col("rank") + 1).alias("source_no"), F.col("interaction_id").cast("string").alias("doc_id"), interaction_text().alias("content")
+        ).alias("source"),
+    ).groupBy("customer_id").agg(F.collect_list("source").alias("recent"))
+    summary = F.struct(
+        F.lit(1).alias("source_no"),
+        F.lit("SENTIMENT_SUMMARY").alias("doc_id"),
+        F.concat(
+            F.lit("Customer "), F.col("customer_id").cast("string"), F.lit(" Sentiment Analysis:\nSummary: "), F.col("trend"),
+            F.lit("\nLatest Average Score: "), number_text(F.col("latest_avg_sentiment")),
+        ).alias("content"),
     )
-    return summary.unionByName(texts)
+    joined = trends.join(texts, "customer_id", "left")
+    sources = F.when(F.col("recent").isNull(), F.array(summary)).otherwise(F.concat(F.array(summary), F.col("recent")))
+    return joined.select("customer_id", F.explode(sources).alias("source")).select("customer_id", "source.*")
 
 
 def context_blocks(context: DataFrame) -> DataFrame:

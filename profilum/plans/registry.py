@@ -7,6 +7,7 @@ engines compare by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from profilum.operators import documents as corpus
 from profilum.operators import embedding, metrics, retrieval, rollups, search, sentiment
 from profilum.operators.profile import customer_profile
 from profilum.operators.sessions import sessionize
-from profilum.session import fresh_path
+from profilum.session import fresh_path, steady_unions
 from profilum.sources import files, landing, model, store
 from profilum.streaming import upkeep
 
@@ -31,8 +32,13 @@ DIMENSION = 64
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        steady_unions(spark)
+        return function(spark, folder)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def _joined(column: str) -> Column:

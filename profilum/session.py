@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -29,7 +30,18 @@ def build_session(app_name: str = "profilum", master: str | None = None, **conf:
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    steady_unions(spark)
+    return spark
+
+
+def steady_unions(spark: SparkSession) -> None:
+    """Let a union promise no partitioning.
+
+    With the promise on, a plan that is changed while it runs can meet a union of another partition
+    count than it was planned for, and the job fails.
+    """
+    spark.conf.set(UNION_PARTITIONING, "false")
 
 
 def shared_folder(spark: SparkSession) -> str:
