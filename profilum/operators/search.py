@@ -25,7 +25,6 @@ from profilum.session import fresh_path
 BROADCAST_QUERIES = 4096
 PART_DOCUMENTS = 20_000
 PART_QUERIES = 4096
-SCOPE_BUCKETS = 512
 
 
 def _prepared(queries: DataFrame, scope: str | None) -> DataFrame:
@@ -77,33 +76,38 @@ def _parts(rows: int, size: int) -> int:
 
 
 def _part_scan(queries: DataFrame, documents: DataFrame, key: str, k: int, scope: str | None, schema: str) -> DataFrame:
-    """Meet every part of the queries with every part of the documents of the same scope."""
+    """Meet every part of the queries with every part of the documents of the same scope.
+
+    The number of cells follows the counts of both sides, so a cell keeps its size as they grow.
+    """
     docs = documents.select(F.col(key), "embedding", *([F.col(scope).alias("_scope")] if scope else []))
+    if scope:
+        queries = queries.filter(F.col("_scope").isNotNull())
+    doc_count, query_count = docs.count(), queries.count()
     if scope:
         # Scopes nobody asks for are dropped first. Only large scopes are split; there can be no more
         # of them than rows over the part size.
-        queries = queries.filter(F.col("_scope").isNotNull())
         docs = docs.join(queries.select("_scope").distinct(), "_scope", "left_semi")
-
-        def large(rows: DataFrame, size: int, name: str) -> DataFrame:
-            counted = rows.groupBy("_scope").agg(F.count("*").alias("n")).filter(F.col("n") > size)
-            return counted.select("_scope", F.ceil(F.col("n") / size).cast("int").alias(name))
-
-        doc_sizes, query_sizes = large(docs, PART_DOCUMENTS, "_doc_parts"), large(queries, PART_QUERIES, "_query_parts")
+        # A bucket takes whole scopes and is filled to a quarter on average, which leaves room for
+        # uneven ones. There are at least as many buckets as cores.
+        cores = documents.sparkSession.sparkContext.defaultParallelism
+        buckets = max(cores, 4 * _parts(doc_count, PART_DOCUMENTS), 4 * _parts(query_count, PART_QUERIES))
 
         def sized(rows: DataFrame) -> DataFrame:
-            joined = rows.join(doc_sizes, "_scope", "left").join(query_sizes, "_scope", "left")
-            return joined.withColumns({
-                "_doc_parts": F.coalesce("_doc_parts", F.lit(1)),
-                "_query_parts": F.coalesce("_query_parts", F.lit(1)),
-                "_bucket": F.pmod(F.xxhash64("_scope"), F.lit(SCOPE_BUCKETS)),
-            })
+            for side, name, count, size in ((docs, "_doc_parts", doc_count, PART_DOCUMENTS), (queries, "_query_parts", query_count, PART_QUERIES)):
+                if count <= size:
+                    rows = rows.withColumn(name, F.lit(1))
+                    continue
+                large = side.groupBy("_scope").agg(F.count("*").alias("n")).filter(F.col("n") > size)
+                split = large.select("_scope", F.ceil(F.col("n") / size).cast("int").alias(name))
+                rows = rows.join(split, "_scope", "left").withColumn(name, F.coalesce(name, F.lit(1)))
+            return rows.withColumn("_bucket", F.pmod(F.xxhash64("_scope"), F.lit(buckets)))
 
         docs, queries = sized(docs), sized(queries)
     else:
         fixed = {
-            "_doc_parts": F.lit(_parts(docs.count(), PART_DOCUMENTS)),
-            "_query_parts": F.lit(_parts(queries.count(), PART_QUERIES)),
+            "_doc_parts": F.lit(_parts(doc_count, PART_DOCUMENTS)),
+            "_query_parts": F.lit(_parts(query_count, PART_QUERIES)),
             "_bucket": F.lit(0),
         }
         docs, queries = docs.withColumns(fixed), queries.withColumns(fixed)
@@ -144,7 +148,7 @@ def partial_top_k(queries: DataFrame, documents: DataFrame, key: str, k: int = 5
     schema = f"query_id {query_type}, {key} {key_type}, similarity_score double"
     if scope is None:
         # One row over the bound tells that the set is too large to send around.
-        local = prepared.limit(broadcast_queries + 1).toPandas()
+        local = prepared.limit(broadcast_queries + 1).toArrow().to_pandas()
         if local.empty:
             return documents.sparkSession.createDataFrame([], schema)
         if len(local) <= broadcast_queries:

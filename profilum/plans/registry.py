@@ -403,22 +403,22 @@ def interaction_documents(spark, folder):
 
 @query
 def chunk_documents(spark, folder):
-    return corpus.chunk_documents(_read(spark, folder, "documents"), max_tokens=256, overlap=32)
+    return corpus.chunk_documents(model.documents(spark, folder), max_tokens=256, overlap=32)
 
 
 @query
 def sanitize_corpus(spark, folder):
-    return corpus.sanitize_corpus(_read(spark, folder, "documents")).select("doc_id", "clean_text")
+    return corpus.sanitize_corpus(model.documents(spark, folder)).select("doc_id", "clean_text")
 
 
 @query
 def document_keywords(spark, folder):
-    return corpus.document_keywords(_read(spark, folder, "documents"))
+    return corpus.document_keywords(model.documents(spark, folder))
 
 
 @query
 def token_budget(spark, folder):
-    return corpus.token_budget(_read(spark, folder, "documents"))
+    return corpus.token_budget(model.documents(spark, folder))
 
 
 @query
@@ -538,8 +538,13 @@ def _asked(spark, folder) -> DataFrame:
     return retrieval.query_intents(model.user_queries(spark, folder), model.customers(spark, folder).select("email"))
 
 
-def _sources(spark, folder) -> DataFrame:
-    return retrieval.retrieve_context(_asked(spark, folder), model.tickets_embedded(spark, folder), model.products_embedded(spark, folder), model.THRESHOLD)
+def _stored_questions(spark, folder) -> DataFrame:
+    """Questions with their intents, written once: several searches and the prompts read them."""
+    return store.write_version(_asked(spark, folder), "questions")
+
+
+def _sources(spark, folder, asked: DataFrame) -> DataFrame:
+    return retrieval.retrieve_context(asked, model.tickets_embedded(spark, folder), model.products_embedded(spark, folder), model.THRESHOLD)
 
 
 @query
@@ -549,33 +554,38 @@ def query_intent(spark, folder):
 
 @query
 def retrieve_context(spark, folder):
-    return _sources(spark, folder).select("query_id", "source_no", "source_type", "doc_id", _score(), "title", "content")
+    found = _sources(spark, folder, _stored_questions(spark, folder))
+    return found.select("query_id", "source_no", "source_type", "doc_id", _score(), "title", "content")
 
 
 @query
 def build_prompts(spark, folder):
-    return retrieval.build_prompts(_asked(spark, folder), _profile(spark, folder), _sources(spark, folder))
+    asked = _stored_questions(spark, folder)
+    return retrieval.build_prompts(asked, _profile(spark, folder), _sources(spark, folder, asked))
 
 
 @query
 def build_prompts_budgeted(spark, folder):
-    return retrieval.build_prompts_budgeted(_asked(spark, folder), _profile(spark, folder), _sources(spark, folder))
+    asked = _stored_questions(spark, folder)
+    return retrieval.build_prompts_budgeted(asked, _profile(spark, folder), _sources(spark, folder, asked))
 
 
 @query
 def extract_citations(spark, folder):
-    found = retrieval.extract_citations(model.answers(spark, folder), _sources(spark, folder))
+    found = retrieval.extract_citations(model.answers(spark, folder), _sources(spark, folder, _stored_questions(spark, folder)))
     return found.select("answer_id", "source_id", "doc_id", "source_type", "title", "snippet", _score())
 
 
 @query
 def cited_literally(spark, folder):
-    return retrieval.cited_literally(model.answers(spark, folder), _sources(spark, folder))
+    return retrieval.cited_literally(model.answers(spark, folder), _sources(spark, folder, _stored_questions(spark, folder)))
 
 
 @query
 def response_records(spark, folder):
-    records = retrieval.response_records(model.answers(spark, folder), _asked(spark, folder), _profile(spark, folder), _sources(spark, folder))
+    asked = _stored_questions(spark, folder)
+    sources = store.write_version(_sources(spark, folder, asked), "sources")
+    records = retrieval.response_records(model.answers(spark, folder), asked, _profile(spark, folder), sources)
     cited = F.array_join(F.transform("citations", lambda c: F.concat(c["source_id"].cast("string"), F.lit("="), c["doc_id"])), ", ")
     return records.select(
         "answer_id", "query_id", "query", "answer", cited.alias("citations"), F.col("metadata.intent").alias("intent"), F.col("metadata.num_sources").alias("num_sources"),
@@ -596,7 +606,9 @@ def preset_prompts(spark, folder):
 def recommend_products(spark, folder):
     lines = _read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
     products = model.products_embedded(spark, folder)
-    found = retrieval.recommend_products(retrieval.purchase_vectors(model.orders(spark, folder), lines, products), products)
+    # Written once: the search counts the customers before it splits them.
+    vectors = store.write_version(retrieval.purchase_vectors(model.orders(spark, folder), lines, products), "purchase-vectors")
+    found = retrieval.recommend_products(vectors, products)
     return found.select("customer_id", "rank", "product_id", "product_name", "description", "price", "category", F.round("relevance_score", 6).alias("relevance_score"))
 
 

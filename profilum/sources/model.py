@@ -40,6 +40,14 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts, spread over all cores when the files hold fewer splits than there are cores. At scale a
+    scan has more splits than that and nothing moves."""
+    source = _read(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source
+
+
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     customer = _read(spark, folder, "customer")
     since = _read(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("customer_since"))
@@ -91,7 +99,7 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     resolved = F.expr(
         "case when (doc_id div 11) % 3 = 2 then timestampadd(HOUR, cast(doc_id % 5000 + 1 + doc_id % 72 as int), timestamp_ntz'2001-01-01 00:00:00') end"
     )
-    return _read(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         doc.alias("ticket_id"),
         customer.alias("customer_id"),
         email_of(customer).alias("customer_email"),
