@@ -9,6 +9,7 @@ from profilum.fixed_values import CHURN_RISK_NAMES, CHURN_RISKS, SEGMENTS
 from profilum.functions import scoring
 from profilum.functions.columns import display_name, relative_age
 from profilum.operators.metrics import top_per_group
+from profilum.sources.store import write_version
 
 
 def customer_lookup(requests: DataFrame, profile: DataFrame) -> DataFrame:
@@ -42,14 +43,15 @@ def similar_customers(requests: DataFrame, profile: DataFrame, limit: int = 5) -
         return F.when(F.length(address) >= size, found).otherwise(F.array().cast("array<string>"))
 
     cuts = F.array_distinct(F.flatten(F.array(*[substrings(size) for size in lengths]))) if lengths else F.array().cast("array<string>")
-    parts = profile.select("customer_id", "email", "first_name", "last_name", "customer_segment", F.explode(cuts).alias("part"))
+    parts = profile.select("customer_id", "email", F.explode(cuts).alias("part"))
     candidates = wanted.join(parts, "part").select(
-        "query_id", "email",
-        display_name(default=None).alias("name"),
-        F.col("customer_segment").alias("segment"),
-        F.levenshtein(F.lower("email"), F.col("search_email")).alias("distance"),
+        "query_id", "customer_id", "email", F.levenshtein(F.lower("email"), F.col("search_email")).alias("distance")
+    )
+    nearest = top_per_group(candidates, ["query_id"], [F.col("distance"), F.col("email")], limit).drop("email")
+    # The rest of the profile is only needed for the few that are left.
+    return nearest.join(profile.select("customer_id", "email", "first_name", "last_name", "customer_segment"), "customer_id").select(
+        "query_id", "rank", "email", display_name(default=None).alias("name"), F.col("customer_segment").alias("segment"), "distance"
     )
-    return top_per_group(candidates, ["query_id"], [F.col("distance"), F.col("email")], limit)
 
 
 def top_customers(profile: DataFrame, limit: int = 100) -> DataFrame:
@@ -93,7 +95,9 @@ def value_percentile(profile: DataFrame, column: str = "lifetime_value", key: st
     approximate quantiles; each range is summed on its own and shifted by the ranges below it, so no
     task sees all values. The cut points only balance the work; the ranks are exact.
     """
-    counts = profile.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    # Written once: the cut points, the ranks and the final join all read the values.
+    values = write_version(profile.select(key, column), "values")
+    counts = values.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     cuts = sorted(set(counts.approxQuantile(column, [i / slices for i in range(1, slices)], 0.25 / slices)))
     # Cut points arrive as literals; their number is bounded by the slices.
     place = F.size(F.filter(F.array(*[F.lit(cut) for cut in cuts]), lambda cut: cut < F.col(column))) if cuts else F.lit(0)
@@ -108,7 +112,7 @@ def value_percentile(profile: DataFrame, column: str = "lifetime_value", key: st
     ranks = placed.withColumn("within", within).join(below, "slice").select(
         column, ((F.col("below") + F.col("within")) / F.col("total") * F.lit(100.0)).alias("percentile")
     )
-    return profile.select(key, column).join(ranks, column, "left").select(key, column, "percentile")
+    return values.join(ranks, column, "left").select(key, column, "percentile")
 
 
 def compare_customers(pairs: DataFrame, profile: DataFrame) -> DataFrame:

@@ -599,7 +599,9 @@ def preset_prompts(spark, folder):
     position = F.coalesce(*[F.when(F.col("preset") == name, number) for number, name in enumerate(names)])
     stored = _read(spark, folder, "embeddings").select(F.col("vec_id").alias("_place"), F.col("embedding").alias("query_vector"))
     presets = retrieval.preset_questions(spark).withColumn("_place", position.cast("bigint")).join(stored, "_place").drop("_place")
-    return retrieval.preset_prompts(presets, _profile(spark, folder), model.tickets_embedded(spark, folder), model.products_embedded(spark, folder), 0.15)
+    # Written once: the questions, the search and the prompts all start from the profiles.
+    profile = store.write_version(_profile(spark, folder).select(*retrieval.PROFILE_COLUMNS), "profiles")
+    return retrieval.preset_prompts(presets, profile, model.tickets_embedded(spark, folder), model.products_embedded(spark, folder), 0.15)
 
 
 @query
