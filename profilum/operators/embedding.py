@@ -12,6 +12,15 @@ from profilum.functions.embedders import Embedder
 from profilum.sources.store import merge_update, write_version
 
 
+def embed_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
+    """Questions with the vector of their cleaned text. An empty question, or one the embedder
+    fails on, has a NULL vector and the reason; it scores zero against everything."""
+    cleaned = F.trim(F.coalesce("query_text", F.lit("")))
+    done = embed_texts(queries.select("query_id", cleaned.alias("query_text")).filter(F.col("query_text") != ""), "query_id", embedder, "query_text")
+    vectors = done.select("query_id", F.col("embedding").alias("query_vector"), F.col("error").alias("no_vector_reason"))
+    return queries.join(vectors, "query_id", "left").withColumn("no_vector_reason", F.when(cleaned == "", "empty text").otherwise(F.col("no_vector_reason")))
+
+
 @dataclass(frozen=True)
 class EmbeddingRun:
     """The next version of the table and the documents that could not be embedded."""

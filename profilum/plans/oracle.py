@@ -267,6 +267,14 @@ SHARED: dict[str, str] = {
     "m_preset_found": f"SELECT f.* FROM ({_ticket_columns('m_preset_owned')}) f JOIN m_preset_asked a USING (query_id) WHERE f.rank <= {_TICKET_COUNT} UNION ALL SELECT a.query_id, f.* EXCLUDE (query_id) FROM ({_product_columns('m_preset_goods')}) f JOIN m_preset_asked a ON a.preset = f.query_id WHERE f.rank <= {_PRODUCT_COUNT}",
     "m_preset_sources": _numbered("m_preset_found", 0.15),
     "m_preset_blocks": _blocks("m_preset_sources"),
+    "m_pairs": f"""SELECT l.customer_id AS query_id, l.customer_id AS left_id, r.customer_id AS right_id, l.email AS customer_email, 'churn_analysis' AS intent, embedding AS query_vector, -1 AS exclude_id,
+  {_text(COMPARE_QUESTION)} || chr(10) || 'Customer 1: Customer ' || l.last_name || ' (' || l.email || ')' || chr(10) || 'Customer 2: Customer ' || r.last_name || ' (' || r.email || ')' AS query_text
+  FROM m_customers l JOIN m_customers r ON r.customer_id = l.customer_id + 1 JOIN embeddings ON vec_id = l.customer_id % 500""",
+    "m_pair_owned": _hits_sql("m_pairs", "m_tix", "ticket_id", 3, "lower(d.customer_email) = lower(q.customer_email)"),
+    "m_pair_found": _ticket_columns("m_pair_owned"),
+    "m_pair_sources": _numbered("m_pair_found", 0.0),
+    "m_pair_blocks": _blocks("m_pair_sources"),
+    "m_profile_blocks": f"SELECT customer_id, {_profile_block()} AS block FROM m_profile",
     "m_vectors": "SELECT vec_id AS query_id, vec_id AS exclude_id, embedding AS query_vector FROM embeddings",
     "m_slots": "SELECT ticket_id, ('0x' || left(md5(word), 8))::BIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(md5(word), 9, 2))::BIGINT < 128 THEN 1 ELSE -1 END) AS weight FROM (SELECT ticket_id, unnest(regexp_split_to_array(lower(full_text), '[ \\t\\r\\n]+')) AS word FROM m_tix) w WHERE word <> '' GROUP BY 1, 2",
     "m_hashed": "SELECT ticket_id, count(*) FILTER (WHERE weight <> 0)::INTEGER AS slots, round(sum(abs(weight)) / sqrt(sum(weight * weight)), 6) AS absolute_sum, round(sum(weight) / sqrt(sum(weight * weight)), 6) AS signed_sum FROM m_slots GROUP BY 1",
@@ -343,8 +351,6 @@ LEFT JOIN (SELECT customer_id, created_at::DATE AS day, count(*) AS n FROM m_tic
   l.lifetime_value - r.lifetime_value AS value_difference, l.total_orders - r.total_orders AS order_difference, l.health - r.health AS health_difference,
   CASE WHEN l.lifetime_value >= r.lifetime_value THEN l.customer_id ELSE r.customer_id END AS more_valuable_id, CASE WHEN l.probability >= r.probability THEN l.customer_id ELSE r.customer_id END AS higher_churn_id
 FROM (SELECT *, {_NAME} AS name, {HEALTH_MEAN} AS health, {CHURN_PROBABILITY} AS probability FROM m_profile) l JOIN (SELECT *, {_NAME} AS name, {HEALTH_MEAN} AS health, {CHURN_PROBABILITY} AS probability FROM m_profile) r ON r.customer_id = l.customer_id + 1""",
-    "compare_questions": f"""SELECT l.customer_id AS left_id, r.customer_id AS right_id, l.email AS customer_email, {_text(COMPARE_QUESTION)} || chr(10) || 'Customer 1: Customer ' || l.last_name || ' (' || l.email || ')' || chr(10) || 'Customer 2: Customer ' || r.last_name || ' (' || r.email || ')' AS query_text
-FROM m_customers l JOIN m_customers r ON r.customer_id = l.customer_id + 1""",
     "normalize_segments": """SELECT customer_id,
   CASE customer_id % 4 WHEN 0 THEN customer_segment WHEN 1 THEN upper(replace(customer_segment, ' ', '_')) WHEN 2 THEN lower(split_part(customer_segment, ' ', 1)) ELSE 'unheard of' END AS raw_segment,
   CASE customer_id % 4 WHEN 0 THEN churn_risk WHEN 1 THEN upper(replace(churn_risk, ' ', '_')) WHEN 2 THEN lower(split_part(churn_risk, ' ', 1)) ELSE 'unheard of' END AS raw_risk,
@@ -407,6 +413,9 @@ FROM (SELECT last_purchase_date, date_sub('second', last_purchase_date, TIMESTAM
   q.intent, coalesce(b.num_sources, 0) AS num_sources, p.customer_id, CASE WHEN p.customer_id IS NOT NULL THEN {_NAME} END AS name, p.customer_segment AS segment, CASE WHEN p.customer_id IS NOT NULL THEN {HEALTH_DEDUCTION} END AS health_score
 FROM m_answers a JOIN m_asked q ON q.query_id = a.query_id LEFT JOIN m_profile p ON lower(p.email) = lower(q.customer_email) LEFT JOIN m_blocks b ON b.query_id = a.query_id""",
     "preset_prompts": f"SELECT a.customer_id, a.preset, a.intent, coalesce(num_sources, 0)::INTEGER AS num_sources, {_prompt('query_text')} AS prompt FROM m_preset_asked a LEFT JOIN m_preset_blocks b ON b.query_id = a.query_id",
+    "compare_prompts": f"""SELECT a.left_id, a.right_id, a.intent, coalesce(num_sources, 0)::INTEGER AS num_sources, concat_ws(chr(10), {_text(PROMPT_INSTRUCTIONS)}, l.block, r.block,
+  CASE WHEN blocks IS NOT NULL THEN chr(10) || 'RELEVANT HISTORICAL DATA:' || chr(10) || blocks END, chr(10) || 'USER QUERY: ' || query_text, {_text(PROMPT_CLOSING)}) AS prompt
+FROM m_pairs a JOIN m_profile_blocks l ON l.customer_id = a.left_id JOIN m_profile_blocks r ON r.customer_id = a.right_id LEFT JOIN m_pair_blocks b ON b.query_id = a.query_id""",
     "recommend_products": f"""SELECT query_id AS customer_id, rank::INTEGER AS rank, product_id, product_name, description, price, category, round(score, 6) AS relevance_score FROM ({_hits_sql('(SELECT customer_id AS query_id, -1 AS exclude_id, list(mean ORDER BY place) AS query_vector FROM (SELECT customer_id, place, avg(x) AS mean FROM (SELECT customer_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS place FROM (SELECT DISTINCT o_custkey AS customer_id, l_partkey AS product_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey) b JOIN m_prods USING (product_id) WHERE embedding IS NOT NULL) u GROUP BY 1, 2) m GROUP BY 1)', 'm_prods', 'product_id', 5)}) h JOIN m_products USING (product_id)""",
     "stream_incremental_load": "SELECT * FROM events",
     "stream_web_metrics": "SELECT user_id, event_timestamp::DATE AS day, count(DISTINCT session_id) AS total_sessions, count(*) AS total_page_views, max(event_timestamp) AS last_visit FROM m_events WHERE event_timestamp::DATE + INTERVAL 1 DAY <= (SELECT passed FROM m_watermark) GROUP BY 1, 2",

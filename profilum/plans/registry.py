@@ -276,12 +276,6 @@ def compare_customers(spark, folder):
     return people.compare_customers(pairs, _profile(spark, folder))
 
 
-@query
-def compare_questions(spark, folder):
-    pairs = model.customers(spark, folder).select(F.col("customer_id").alias("left_id"), (F.col("customer_id") + 1).alias("right_id"))
-    return retrieval.compare_questions(pairs, model.customers(spark, folder))
-
-
 @query
 def normalize_segments(spark, folder):
     profile = _profile(spark, folder)
@@ -604,6 +598,18 @@ def preset_prompts(spark, folder):
     return retrieval.preset_prompts(presets, profile, model.tickets_embedded(spark, folder), model.products_embedded(spark, folder), 0.15)
 
 
+@query
+def compare_prompts(spark, folder):
+    """Each customer next to the one with the following id."""
+    profile = store.write_version(_profile(spark, folder).select(*retrieval.PROFILE_COLUMNS), "profiles")
+    pairs = profile.select(F.col("customer_id").alias("left_id"), (F.col("customer_id") + 1).alias("right_id"))
+    stored = _read(spark, folder, "embeddings").select(F.col("vec_id").alias("_place"), F.col("embedding").alias("query_vector"))
+    asked = retrieval.compare_questions(pairs, profile).withColumns({"query_id": F.col("left_id"), "_place": F.col("left_id") % 500})
+    questions = store.write_version(asked.join(stored, "_place").drop("_place"), "pairs")
+    sources = retrieval.retrieve_context(questions, model.tickets_embedded(spark, folder), model.products_embedded(spark, folder), 0.0)
+    return retrieval.compare_prompts(questions, profile, sources)
+
+
 @query
 def recommend_products(spark, folder):
     lines = _read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
