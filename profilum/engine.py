@@ -52,6 +52,10 @@ class Engine:
     def similar_customers(self, emails: DataFrame | str, limit: int = 5) -> DataFrame:
         return customers.similar_customers(self._asked(emails), self.profiles(), limit)
 
+    def suggestions(self, emails: DataFrame | str) -> DataFrame:
+        """Similar customers for the addresses that are unknown."""
+        return customers.lookup_suggestions(self._asked(emails), self.profiles())
+
     def customer_context(self, emails: DataFrame | str) -> DataFrame:
         return customers.customer_lookup(self._asked(emails), self.profiles(emails))
 
@@ -103,10 +107,18 @@ class Engine:
         )
         return customers.compare_customers(pairs, profile)
 
-    def sentiment(self) -> DataFrame:
+    def _interactions(self, customer_id=None) -> DataFrame:
+        return self.interactions if customer_id is None else self.interactions.filter(F.col("customer_id") == customer_id)
+
+    def sentiment(self, customer_id=None) -> DataFrame:
         """Latest sentiment and trend per customer."""
-        return sentiment.sentiment_trend(sentiment.daily_sentiment(self.interactions, self.as_of), self.as_of)
+        return sentiment.sentiment_trend(sentiment.daily_sentiment(self._interactions(customer_id), self.as_of), self.as_of)
+
+    def analyst_prompts(self, questions: DataFrame) -> DataFrame:
+        """Prompts about the interactions of customers; ``questions`` has ``query_id``, ``query_text`` and
+        ``customer_id``."""
+        return sentiment.analyst_prompts(questions, self.interaction_context())
 
-    def interaction_context(self) -> DataFrame:
+    def interaction_context(self, customer_id=None) -> DataFrame:
         """The sentiment summary and newest interactions of each customer as one text."""
-        return sentiment.context_blocks(sentiment.combined_context(self.interactions, self.as_of))
+        return sentiment.context_blocks(sentiment.combined_context(self._interactions(customer_id), self.as_of))

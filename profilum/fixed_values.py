@@ -139,3 +139,23 @@ COMPARE_QUESTION = """Compare these two customers and identify:
 3. Which customer has higher churn risk
 4. Different engagement strategies needed for each
 """
+
+# Texts of the interaction analyst, with their layout.
+ANALYST_OPENING = """
+        You are an expert customer intelligence analyst. Use ONLY the 'RELEVANT CONTEXT' provided below to answer the user's 'QUERY'. 
+        Cite the source number (e.g., [Source 1], [Source 2]) for every piece of factual information you state.
+
+        RELEVANT CONTEXT:
+        """
+ANALYST_QUERY = """
+
+        QUERY: """
+ANALYST_CLOSING = """
+        
+        RESPONSE (Grounded in context, cite sources):
+        """
+SENTIMENT_OPENING = "Analyze the following recent sentiment data for customer "
+SENTIMENT_CLOSING = (
+    "Provide a concise summary of the sentiment trend (improving, declining, volatile) "
+    "and highlight the average sentiment score over the period. The scores range from -1.0 (negative) to 1.0 (positive)."
+)

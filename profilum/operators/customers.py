@@ -34,7 +34,9 @@ def similar_customers(requests: DataFrame, profile: DataFrame, limit: int = 5) -
     wanted = requests.select(
         "query_id", F.lower("email").alias("search_email"), F.lower(F.element_at(F.split("email", "@"), 1)).alias("part")
     ).filter(F.col("part").isNotNull())
-    lengths = sorted(row[0] for row in wanted.select(F.length("part")).distinct().limit(10_000).collect())
+    # There are no more of these lengths than characters in the longest address.
+    longest = profile.agg(F.max(F.length("email"))).first()[0] or 0
+    lengths = sorted(row[0] for row in wanted.select(F.length("part").alias("n")).filter(F.col("n") <= longest).distinct().collect())
     address = F.lower("email")
 
     def substrings(size: int) -> Column:
@@ -54,6 +56,13 @@ def similar_customers(requests: DataFrame, profile: DataFrame, limit: int = 5) -
     )
 
 
+def lookup_suggestions(requests: DataFrame, profile: DataFrame, limit: int = 3) -> DataFrame:
+    """Similar customers for the requested addresses that are unknown."""
+    known = profile.select(F.lower("email").alias("email_norm")).distinct()
+    missed = requests.withColumn("email_norm", F.lower("email")).join(known, "email_norm", "left_anti").drop("email_norm")
+    return similar_customers(missed, profile, limit)
+
+
 def top_customers(profile: DataFrame, limit: int = 100) -> DataFrame:
     """The customers of highest value."""
     return (

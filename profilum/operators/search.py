@@ -21,8 +21,9 @@ from profilum.functions.vectors import norm, unit_rows
 from profilum.operators.metrics import top_per_group
 from profilum.session import fresh_path
 
-# At 768 dimensions these many queries take 25 MB.
+# A query set is sent around when it is within both bounds; at 768 dimensions 4096 queries take 25 MB.
 BROADCAST_QUERIES = 4096
+BROADCAST_BYTES = 64 * 1024 * 1024
 PART_DOCUMENTS = 20_000
 PART_QUERIES = 4096
 
@@ -148,11 +149,11 @@ def partial_top_k(queries: DataFrame, documents: DataFrame, key: str, k: int = 5
     schema = f"query_id {query_type}, {key} {key_type}, similarity_score double"
     if scope is None:
         # One row over the bound tells that the set is too large to send around.
-        local = prepared.limit(broadcast_queries + 1).toArrow().to_pandas()
-        if local.empty:
+        local = prepared.limit(broadcast_queries + 1).toArrow()
+        if not local.num_rows:
             return documents.sparkSession.createDataFrame([], schema)
-        if len(local) <= broadcast_queries:
-            return _small_scan(local, documents, key, k, schema)
+        if local.num_rows <= broadcast_queries and local.nbytes <= BROADCAST_BYTES:
+            return _small_scan(local.to_pandas(), documents, key, k, schema)
     return _part_scan(prepared, documents, key, k, scope, schema)
 
 

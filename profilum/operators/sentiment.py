@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from profilum.fixed_values import ANALYST_CLOSING, ANALYST_OPENING, ANALYST_QUERY, SENTIMENT_CLOSING, SENTIMENT_OPENING
 from profilum.functions.columns import mean_exact, number_text
 from profilum.functions.documents import interaction_text
 from profilum.operators.metrics import top_per_group
@@ -55,6 +56,25 @@ def sentiment_trend(daily: DataFrame, as_of: str) -> DataFrame:
     return shaped.withColumn("trend", label)
 
 
+def sentiment_prompts(daily: DataFrame) -> DataFrame:
+    """Per customer: the question that asks for a summary of its daily rows, newest first.
+
+    A customer has at most thirty daily rows, so they fit one text.
+    """
+    record = F.concat(
+        F.lit('{"date": "'), F.col("date").cast("string"), F.lit('", "avg_sentiment": '), number_text(F.col("avg_sentiment")),
+        F.lit(', "interactions": '), F.col("interactions").cast("string"), F.lit("}"),
+    )
+    newest_first = F.reverse(F.sort_array(F.collect_list(F.struct("date", record.alias("record")))))
+    listed = daily.groupBy("customer_id").agg(F.array_join(F.transform(newest_first, lambda row: row["record"]), ", ").alias("records"))
+    return listed.select(
+        "customer_id",
+        F.concat(
+            F.lit(SENTIMENT_OPENING), F.col("customer_id").cast("string"), F.lit(":\n\n["), F.col("records"), F.lit("]\n\n"), F.lit(SENTIMENT_CLOSING)
+        ).alias("prompt"),
+    )
+
+
 def interaction_documents(interactions: DataFrame) -> DataFrame:
     return interactions.select("interaction_id", "customer_id", "timestamp", interaction_text().alias("content"), "metadata")
 
@@ -64,6 +84,16 @@ def customer_docs(documents: DataFrame, customers: DataFrame) -> DataFrame:
     return documents.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
 
 
+def _summary(trend: Column, latest: Column) -> Column:
+    return F.concat(
+        F.lit("Customer "), F.col("customer_id").cast("string"), F.lit(" Sentiment Analysis:\nSummary: "), trend, F.lit("\nLatest Average Score: "), latest
+    )
+
+
+def _block(number: Column, content: Column) -> Column:
+    return F.concat(F.lit("--- SOURCE "), number, F.lit(" ---\n"), content, F.lit("\n--- END SOURCE "), number, F.lit(" ---\n"))
+
+
 def combined_context(interactions: DataFrame, as_of: str, newest: int = 5) -> DataFrame:
     """Per customer: a sentiment document first, then the newest interactions, numbered.
 
@@ -83,10 +113,7 @@ def combined_context(interactions: DataFrame, as_of: str, newest: int = 5) -> Da
     summary = F.struct(
         F.lit(1).alias("source_no"),
         F.lit("SENTIMENT_SUMMARY").alias("doc_id"),
-        F.concat(
-            F.lit("Customer "), F.col("customer_id").cast("string"), F.lit(" Sentiment Analysis:\nSummary: "), F.col("trend"),
-            F.lit("\nLatest Average Score: "), number_text(F.col("latest_avg_sentiment")),
-        ).alias("content"),
+        _summary(F.col("trend"), number_text(F.col("latest_avg_sentiment"))).alias("content"),
     )
     joined = trends.join(texts, "customer_id", "left")
     sources = F.when(F.col("recent").isNull(), F.array(summary)).otherwise(F.concat(F.array(summary), F.col("recent")))
@@ -95,9 +122,25 @@ def combined_context(interactions: DataFrame, as_of: str, newest: int = 5) -> Da
 
 def context_blocks(context: DataFrame) -> DataFrame:
     """One text per customer with its numbered sources in order; a customer has a handful."""
-    number = F.col("source_no").cast("string")
-    block = F.concat(F.lit("--- SOURCE "), number, F.lit(" ---\n"), F.col("content"), F.lit("\n--- END SOURCE "), number, F.lit(" ---\n"))
+    block = _block(F.col("source_no").cast("string"), F.col("content"))
     listed = F.sort_array(F.collect_list(F.struct(F.col("source_no"), block.alias("block"))))
     return context.groupBy("customer_id").agg(
         F.array_join(F.transform(listed, lambda row: row["block"]), "\n").alias("context_block"), F.count("*").alias("sources")
     )
+
+
+def analyst_prompts(questions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One prompt per question about a customer, from that customer's context.
+
+    ``questions`` has ``query_id``, ``query_text`` and ``customer_id``. A customer without recent
+    interactions gets the bare summary line.
+    """
+    nothing = _block(F.lit("1"), _summary(F.lit("None"), F.lit("None")))
+    joined = questions.join(blocks.select("customer_id", "context_block"), "customer_id", "left")
+    return joined.select(
+        "query_id",
+        "customer_id",
+        F.concat(
+            F.lit(ANALYST_OPENING), F.coalesce("context_block", nothing), F.lit(ANALYST_QUERY), F.col("query_text"), F.lit(ANALYST_CLOSING)
+        ).alias("prompt"),
+    )

@@ -8,6 +8,9 @@ from __future__ import annotations
 import re
 
 from profilum.fixed_values import (
+    ANALYST_CLOSING,
+    ANALYST_OPENING,
+    ANALYST_QUERY,
     BUDGETED_CLOSING,
     BUDGETED_INSTRUCTIONS,
     COMPARE_QUESTION,
@@ -15,6 +18,8 @@ from profilum.fixed_values import (
     PRESET_QUESTIONS,
     PROMPT_CLOSING,
     PROMPT_INSTRUCTIONS,
+    SENTIMENT_CLOSING,
+    SENTIMENT_OPENING,
     STOP_WORDS,
     WORD_PUNCTUATION,
 )
@@ -249,6 +254,7 @@ SHARED: dict[str, str] = {
   SELECT customer_id, arg_max(avg_sentiment, date) AS latest_avg_sentiment, round(CASE WHEN count(*) > 1 THEN regr_slope(avg_sentiment, (date - DATE '2024-01-31')::DOUBLE) END, 6) AS slope, round(stddev_pop(avg_sentiment), 6) AS spread, count(*) AS days, sum(interactions)::BIGINT AS interactions FROM m_daily GROUP BY 1) s""",
     "m_context": f"""SELECT customer_id, 1 AS source_no, 'SENTIMENT_SUMMARY' AS doc_id, 'Customer ' || customer_id || ' Sentiment Analysis:' || chr(10) || 'Summary: ' || trend || chr(10) || 'Latest Average Score: ' || latest_avg_sentiment::VARCHAR AS content FROM m_trend
   UNION ALL SELECT customer_id, (n + 1)::INTEGER, interaction_id::VARCHAR, content FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY timestamp DESC, interaction_id) AS n FROM m_interaction_docs WHERE timestamp >= {EVENTS_AS_OF} - INTERVAL 30 DAY) r WHERE n <= 5""",
+    "m_context_blocks": "SELECT customer_id, string_agg('--- SOURCE ' || source_no || ' ---' || chr(10) || content || chr(10) || '--- END SOURCE ' || source_no || ' ---' || chr(10), chr(10) ORDER BY source_no) AS context_block, count(*) AS sources FROM m_context GROUP BY 1",
     "m_asked": f"SELECT *, {_intent('query_text', 'customer_known')} AS intent FROM (SELECT q.*, c.customer_id IS NOT NULL AS customer_known FROM m_queries q LEFT JOIN m_customers c ON lower(c.email) = lower(q.customer_email)) k",
     "m_owned": _hits_sql("m_asked", "m_tix", "ticket_id", 5, "lower(d.customer_email) = lower(q.customer_email)"),
     "m_open_queries": "SELECT * FROM m_asked WHERE customer_email IS NULL",
@@ -391,7 +397,15 @@ FROM (SELECT last_purchase_date, date_sub('second', last_purchase_date, TIMESTAM
     "sentiment_trend": "SELECT * FROM m_trend",
     "customer_docs": "SELECT interaction_id, customer_id, content FROM m_interaction_docs SEMI JOIN (SELECT asker_id AS customer_id FROM m_queries WHERE customer_email IS NOT NULL) a USING (customer_id)",
     "combined_context": "SELECT * FROM m_context",
-    "context_blocks": "SELECT customer_id, string_agg('--- SOURCE ' || source_no || ' ---' || chr(10) || content || chr(10) || '--- END SOURCE ' || source_no || ' ---' || chr(10), chr(10) ORDER BY source_no) AS context_block, count(*) AS sources FROM m_context GROUP BY 1",
+    "context_blocks": "SELECT * FROM m_context_blocks",
+    "sentiment_prompts": f"""SELECT customer_id, {_text(SENTIMENT_OPENING)} || customer_id || ':' || chr(10) || chr(10) || '[' || string_agg('{{"date": "' || date::VARCHAR || '", "avg_sentiment": ' || avg_sentiment::VARCHAR || ', "interactions": ' || interactions || '}}', ', ' ORDER BY date DESC)
+  || ']' || chr(10) || chr(10) || {_text(SENTIMENT_CLOSING)} AS prompt FROM m_daily GROUP BY 1""",
+    "analyst_prompts": f"""SELECT q.query_id, q.asker_id AS customer_id, {_text(ANALYST_OPENING)} || coalesce(b.context_block, '--- SOURCE 1 ---' || chr(10) || 'Customer ' || q.asker_id || ' Sentiment Analysis:' || chr(10) || 'Summary: None' || chr(10) || 'Latest Average Score: None' || chr(10) || '--- END SOURCE 1 ---' || chr(10))
+  || {_text(ANALYST_QUERY)} || q.query_text || {_text(ANALYST_CLOSING)} AS prompt FROM m_queries q LEFT JOIN m_context_blocks b ON b.customer_id = q.asker_id WHERE q.asker_id IS NOT NULL""",
+    "lookup_suggestions": """SELECT query_id, email, name, segment, distance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, email) AS rank FROM (
+  SELECT q.query_id, p.email, trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')) AS name, customer_segment AS segment, levenshtein(lower(p.email), lower(q.search))::INTEGER AS distance
+  FROM (SELECT query_id, CASE WHEN split_part(query_id, '-', 2) = '0' THEN left(customer_email, 16) || '@example.com' ELSE customer_email END AS search FROM m_queries WHERE customer_email IS NOT NULL) q
+  JOIN m_profile p ON contains(lower(p.email), lower(split_part(q.search, '@', 1))) WHERE NOT EXISTS (SELECT 1 FROM m_customers c WHERE lower(c.email) = lower(q.search))) c) r WHERE rank <= 3""",
     "sessionize": """SELECT user_id, session_no, min(event_timestamp) AS session_start, max(event_timestamp) AS session_end, count(*) AS events FROM (
   SELECT user_id, event_timestamp, sum(starts) OVER (PARTITION BY user_id ORDER BY event_timestamp, event_id)::BIGINT AS session_no FROM (
     SELECT *, CASE WHEN event_timestamp - lag(event_timestamp) OVER (PARTITION BY user_id ORDER BY event_timestamp, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM m_events) a) b GROUP BY 1, 2""",

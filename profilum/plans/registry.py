@@ -53,10 +53,6 @@ def _profile(spark: SparkSession, folder: str, policy: str = "simple") -> DataFr
     return customer_profile(model.tables(spark, folder), model.AS_OF, policy)
 
 
-def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 # Profile and its metrics
 
 
@@ -132,8 +128,8 @@ def orders_left_grouped(spark, folder):
 
 @query
 def recent_orders(spark, folder):
-    rows = metrics.recent_rows(model.orders(spark, folder, items=True), "customer_id", "order_date", "order_id", 3)
-    return rows.select("customer_id", "rank", "order_id", "order_date", F.col("total_amount").cast("double").alias("total_amount"), "status", "num_items")
+    rows = metrics.recent_rows(model.orders(spark, folder), "customer_id", "order_date", "order_id", 3)
+    return model.with_items(spark, folder, rows).select("customer_id", "rank", "order_id", "order_date", F.col("total_amount").cast("double").alias("total_amount"), "status", "num_items")
 
 
 @query
@@ -250,6 +246,14 @@ def similar_customers(spark, folder):
     return people.similar_customers(asked, _profile(spark, folder))
 
 
+@query
+def lookup_suggestions(spark, folder):
+    typo = F.concat(F.substring("customer_email", 1, 16), F.lit("@example.com"))
+    asked = model.user_queries(spark, folder, vectors=False).filter(F.col("customer_email").isNotNull())
+    half = asked.select("query_id", F.when(F.col("turn") == 0, typo).otherwise(F.col("customer_email")).alias("email"))
+    return people.lookup_suggestions(half, _profile(spark, folder))
+
+
 @query
 def top_customers(spark, folder):
     return people.top_customers(_profile(spark, folder))
@@ -300,7 +304,7 @@ def recency_buckets(spark, folder):
 @query
 def ingest_orders_typed(spark, folder):
     out = fresh_path(spark, "orders-csv")
-    written = model.orders(spark, folder, items=True).select(
+    written = model.with_items(spark, folder, model.orders(spark, folder)).select(
         "order_id", "customer_id", "customer_email", "order_date", "status", F.col("total_amount").cast("double").alias("total_amount"),
         "num_items", F.lit(None).cast("string").alias("shipping_address"), "payment_method",
     )
@@ -320,7 +324,7 @@ def partition_pruned_tickets(spark, folder):
 @query
 def merge_insert_new_tickets(spark, folder):
     source = model.tickets_embedded(spark, folder).drop("embedding").withColumn("origin", F.lit("arrived"))
-    labelled = _read(spark, folder, "labels").select(F.col("doc_id").alias("ticket_id"))
+    labelled = model.read_table(spark, folder, "labels").select(F.col("doc_id").alias("ticket_id"))
     known = source.join(labelled, "ticket_id", "left_semi").withColumns({"status": F.lit("archived"), "origin": F.lit("known")})
     merged = store.merge_insert(known, source, "ticket_id")
     return merged.select("ticket_id", "customer_email", "status", "origin", F.length("full_text").alias("chars"))
@@ -328,7 +332,7 @@ def merge_insert_new_tickets(spark, folder):
 
 @query
 def merge_update_embeddings(spark, folder):
-    vectors = _read(spark, folder, "embeddings").select((F.col("vec_id") * 2).alias("ticket_id"), "embedding")
+    vectors = model.read_table(spark, folder, "embeddings").select((F.col("vec_id") * 2).alias("ticket_id"), "embedding")
     stamp = F.lit("2001-08-02 00:00:00").cast("timestamp_ntz")
     current = vectors.withColumns({"embedding_model": F.lit("second"), "embedded_at": stamp})
     older = vectors.select("ticket_id", F.reverse("embedding").alias("embedding")).withColumns({"embedding_model": F.lit("first"), "embedded_at": stamp - F.expr("INTERVAL 1 DAY")})
@@ -342,7 +346,7 @@ def merge_update_embeddings(spark, folder):
 @query
 def incremental_load(spark, folder):
     tickets = model.tickets(spark, folder).select("ticket_id", "customer_email", "status", "created_at")
-    labels = _read(spark, folder, "labels").select(F.col("doc_id").alias("ticket_id"), "toxic")
+    labels = model.read_table(spark, folder, "labels").select(F.col("doc_id").alias("ticket_id"), "toxic")
     earlier = tickets.join(labels.filter(F.col("toxic") == 0), "ticket_id", "left_semi").withColumn("landing", F.lit("first"))
     later = tickets.join(labels, "ticket_id", "left_semi").withColumn("landing", F.lit("second"))
     everything = tickets.withColumn("landing", F.lit("third"))
@@ -467,6 +471,19 @@ def context_blocks(spark, folder):
     return sentiment.context_blocks(sentiment.combined_context(model.interactions(spark, folder), model.EVENTS_AS_OF))
 
 
+@query
+def sentiment_prompts(spark, folder):
+    return sentiment.sentiment_prompts(sentiment.daily_sentiment(model.interactions(spark, folder), model.EVENTS_AS_OF))
+
+
+@query
+def analyst_prompts(spark, folder):
+    customer = F.regexp_extract("customer_email", "customer([0-9]+)", 1).cast("bigint")
+    questions = model.user_queries(spark, folder, vectors=False).filter(F.col("customer_email").isNotNull()).select("query_id", "query_text", customer.alias("customer_id"))
+    blocks = sentiment.context_blocks(sentiment.combined_context(model.interactions(spark, folder), model.EVENTS_AS_OF))
+    return sentiment.analyst_prompts(questions, blocks)
+
+
 @query
 def sessions(spark, folder):
     return sessionize(model.events(spark, folder))
@@ -500,7 +517,7 @@ def product_search(spark, folder):
 @query
 def batch_search(spark, folder):
     """Every stored vector as a query against every ticket, in split parts on both sides."""
-    queries = _read(spark, folder, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("vec_id").alias("exclude_id"))
+    queries = model.read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("vec_id").alias("exclude_id"))
     hits = search.top_k(queries, model.tickets_embedded(spark, folder), "ticket_id", k=10, broadcast_queries=0)
     return hits.select("query_id", "rank", "ticket_id", _score())
 
@@ -519,7 +536,7 @@ def ann_search_exhaustive(spark, folder):
 
 @query
 def retrieval_quality(spark, folder):
-    vectors = _read(spark, folder, "embeddings")
+    vectors = model.read_table(spark, folder, "embeddings")
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("vec_id").alias("exclude_id"))
     hits = search.top_k(queries, vectors, "vec_id")
     return search.label_agreement(hits, vectors, "vec_id")
@@ -591,7 +608,7 @@ def response_records(spark, folder):
 def preset_prompts(spark, folder):
     names = sorted(PRESET_QUESTIONS)
     position = F.coalesce(*[F.when(F.col("preset") == name, number) for number, name in enumerate(names)])
-    stored = _read(spark, folder, "embeddings").select(F.col("vec_id").alias("_place"), F.col("embedding").alias("query_vector"))
+    stored = model.read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("_place"), F.col("embedding").alias("query_vector"))
     presets = retrieval.preset_questions(spark).withColumn("_place", position.cast("bigint")).join(stored, "_place").drop("_place")
     # Written once: the questions, the search and the prompts all start from the profiles.
     profile = store.write_version(_profile(spark, folder).select(*retrieval.PROFILE_COLUMNS), "profiles")
@@ -603,7 +620,7 @@ def compare_prompts(spark, folder):
     """Each customer next to the one with the following id."""
     profile = store.write_version(_profile(spark, folder).select(*retrieval.PROFILE_COLUMNS), "profiles")
     pairs = profile.select(F.col("customer_id").alias("left_id"), (F.col("customer_id") + 1).alias("right_id"))
-    stored = _read(spark, folder, "embeddings").select(F.col("vec_id").alias("_place"), F.col("embedding").alias("query_vector"))
+    stored = model.read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("_place"), F.col("embedding").alias("query_vector"))
     asked = retrieval.compare_questions(pairs, profile).withColumns({"query_id": F.col("left_id"), "_place": F.col("left_id") % 500})
     questions = store.write_version(asked.join(stored, "_place").drop("_place"), "pairs")
     sources = retrieval.retrieve_context(questions, model.tickets_embedded(spark, folder), model.products_embedded(spark, folder), 0.0)
@@ -612,7 +629,7 @@ def compare_prompts(spark, folder):
 
 @query
 def recommend_products(spark, folder):
-    lines = _read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
+    lines = model.read_table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
     products = model.products_embedded(spark, folder)
     # Written once: the search counts the customers before it splits them.
     vectors = store.write_version(retrieval.purchase_vectors(model.orders(spark, folder), lines, products), "purchase-vectors")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from profilum.functions.documents import product_text, ticket_text
 
@@ -36,23 +37,32 @@ def email_of(customer: Column) -> Column:
     return F.concat(F.lit("customer"), F.lpad(customer.cast("string"), 9, "0"), F.lit("@example.com"))
 
 
-def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder. Its schema is taken from the file once per application; later reads
+    start no job of their own."""
+    path = f"{folder}/{name}.parquet"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _SCHEMAS:
+        _SCHEMAS[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[known]).parquet(path)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Texts, spread over all cores when the files hold fewer splits than there are cores. At scale a
     scan has more splits than that and nothing moves."""
-    source = _read(spark, folder, "documents")
+    source = read_table(spark, folder, "documents")
     cores = spark.sparkContext.defaultParallelism
     return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
-    customer = _read(spark, folder, "customer")
-    since = _read(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("customer_since"))
-    region = _read(spark, folder, "region").select("r_regionkey", "r_name")
-    nation = _read(spark, folder, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    customer = read_table(spark, folder, "customer")
+    since = read_table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("customer_since"))
+    region = read_table(spark, folder, "region").select("r_regionkey", "r_name")
+    nation = read_table(spark, folder, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     # Grouped, so that the key is known to be unique and an unused join can be dropped.
     channel = nation.groupBy(F.col("n_nationkey").alias("c_nationkey")).agg(F.max("r_name").alias("r_name"))
     return (
@@ -73,9 +83,8 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, folder: str, items: bool = False) -> DataFrame:
-    """Orders; ``items`` adds the number of lines per order, which costs an aggregate over lineitem."""
-    source = _read(spark, folder, "orders").select(
+def orders(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         email_of(F.col("o_custkey")).alias("customer_email"),
@@ -84,10 +93,12 @@ def orders(spark: SparkSession, folder: str, items: bool = False) -> DataFrame:
         (F.col("o_totalprice").cast("decimal(18,2)") * F.expr("0.002BD")).cast("decimal(22,5)").alias("total_amount"),
         F.col("o_orderpriority").alias("payment_method"),
     )
-    if not items:
-        return source
-    lines = _read(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.count("*").alias("num_items"))
-    return source.join(lines, "order_id", "left").withColumn("num_items", F.coalesce("num_items", F.lit(0)))
+
+
+def with_items(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """Orders with their number of lines. Take the orders that are needed first."""
+    lines = read_table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.count("*").alias("num_items"))
+    return rows.join(lines, "order_id", "left").withColumn("num_items", F.coalesce("num_items", F.lit(0)))
 
 
 def tickets(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +130,7 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "events").select(
+    return read_table(spark, folder, "events").select(
         "event_id",
         "user_id",
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.to_date("ts").cast("string")).alias("session_id"),
@@ -132,7 +143,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 def interactions(spark: SparkSession, folder: str) -> DataFrame:
     score = (F.col("value") - F.lit(50.0)) / F.lit(50.0)
-    return _read(spark, folder, "events").select(
+    return read_table(spark, folder, "events").select(
         F.col("event_id").alias("interaction_id"),
         F.col("user_id").alias("customer_id"),
         F.col("ts").alias("timestamp"),
@@ -144,7 +155,7 @@ def interactions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "part").select(
+    return read_table(spark, folder, "part").select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.concat("p_brand", F.lit(" "), "p_type").alias("description"),
@@ -154,7 +165,7 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    return _read(spark, folder, "embeddings").select(F.col("vec_id").alias(key), "embedding")
+    return read_table(spark, folder, "embeddings").select(F.col("vec_id").alias(key), "embedding")
 
 
 def tickets_embedded(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +193,7 @@ def user_queries(spark: SparkSession, folder: str, vectors: bool = True) -> Data
         .when(conv % 5 == 2, "Churn and retention. ").when(conv % 5 == 3, "Profile, please. ").otherwise("")
     )
     customer = F.expr("(conv_id * 7919) % (100 + 100 * (conv_id % 11))")
-    turns = _read(spark, folder, "conversations").filter(F.col("role") == "user").select(
+    turns = read_table(spark, folder, "conversations").filter(F.col("role") == "user").select(
         F.concat(conv.cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("query_id"),
         "conv_id",
         "turn",
@@ -192,7 +203,7 @@ def user_queries(spark: SparkSession, folder: str, vectors: bool = True) -> Data
     )
     if not vectors:
         return turns
-    stored = _read(spark, folder, "embeddings").select(F.col("vec_id").alias("exclude_id"), F.col("embedding").alias("query_vector"))
+    stored = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("exclude_id"), F.col("embedding").alias("query_vector"))
     return turns.join(stored, "exclude_id", "left")
 
 
@@ -203,7 +214,7 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
         F.col("text"), F.lit(" [Source "), (F.lit(1) + turn % 7).cast("string"), F.lit("]"),
         F.when(turn % 2 == 0, " [Source 1]").otherwise(""),
     )
-    return _read(spark, folder, "conversations").filter(F.col("role") == "assistant").select(
+    return read_table(spark, folder, "conversations").filter(F.col("role") == "assistant").select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), (turn - 1).cast("string")).alias("query_id"),
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string")).alias("answer_id"),
         cited.alias("answer_text"),

@@ -19,9 +19,9 @@ def latest_per_key(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def missing_rows(target: DataFrame, source: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
-    """Source rows whose key the target lacks, once per key."""
-    fresh = source.join(target.select(key), key, "left_anti")
-    return latest_per_key(fresh, key, order or [F.col(key)])
+    """Source rows whose key the target lacks, once per key. Copies are dropped before the join, so
+    that a key repeated in much of the source does not meet the target in one task."""
+    return latest_per_key(source, key, order or [F.col(key)]).join(target.select(key), key, "left_anti")
 
 
 def merge_insert(target: DataFrame, source: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def write_version(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = fresh_path(spark, name)
     frame.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def write_partitioned(frame: DataFrame, path: str, day_of: str = "created_at", cluster: tuple[str, ...] = ("customer_email", "status")) -> None:

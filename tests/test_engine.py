@@ -28,6 +28,7 @@ def test_lookups(engine):
     assert engine.customer_context(KNOWN).first().customer_id == 3
     assert engine.customer_context("nobody@example.com").first().customer_id is None
     assert engine.similar_customers("customer00000000@x").count() == 5
+    assert engine.suggestions(KNOWN).count() == 0 and engine.suggestions("customer00000000@x").count() == 3
     assert engine.compare(KNOWN, "customer000000004@example.com").first().right_id == 4
 
 
@@ -55,3 +56,4 @@ def test_empty_question_has_a_reason(engine, spark):
 def test_whole_table_calls(engine):
     assert engine.preset_prompts().count() == 4 * engine.profiles().count()
     assert engine.sentiment().count() == engine.interaction_context().count()
+    assert engine.sentiment(0).count() == 1
