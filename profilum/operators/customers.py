@@ -97,13 +97,15 @@ def leaderboard(profile: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
-def value_percentile(profile: DataFrame, column: str = "lifetime_value", key: str = "customer_id", slices: int = 64) -> DataFrame:
+def value_percentile(profile: DataFrame, column: str = "lifetime_value", key: str = "customer_id", slices: int | None = None) -> DataFrame:
     """Percentile rank of every row: the share of values not above its own, times one hundred.
 
-    Equal values are counted first. The distinct values are cut into ``slices`` ranges at
-    approximate quantiles; each range is summed on its own and shifted by the ranges below it, so no
+    Equal values are counted first. The distinct values are cut into ``slices`` ranges (by
+    default as many as shuffle partitions, within 64 and 1024) at approximate quantiles; each range is summed on its own and shifted by the ranges below it, so no
     task sees all values. The cut points only balance the work; the ranks are exact.
     """
+    if slices is None:
+        slices = min(1024, max(64, int(profile.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # Written once: the cut points, the ranks and the final join all read the values.
     values = write_version(profile.select(key, column), "values")
     counts = values.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))

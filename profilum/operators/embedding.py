@@ -34,9 +34,10 @@ def embedding_backlog(documents: DataFrame) -> DataFrame:
     return documents.filter(F.col("embedding").isNull() & F.col("full_text").isNotNull() & (F.length("full_text") > 10))
 
 
-def embed_texts(documents: DataFrame, key: str, embedder: Embedder, text: str = "full_text") -> DataFrame:
-    """Vectors of whole texts, one Arrow batch per call. A failing batch is retried text by text;
-    a text that still fails has a NULL vector and the reason, never a made-up vector."""
+def embed_texts(documents: DataFrame, key: str, embedder: Embedder, text: str = "full_text", batch_size: int | None = None) -> DataFrame:
+    """Vectors of whole texts, by default one Arrow batch per call; ``batch_size`` is for embedders that
+    take fewer texts at once. A failing call is retried text by text; a text that still fails has a
+    NULL vector and the reason, never a made-up vector."""
     source = documents.select(F.col(key), F.col(text).alias("text"))
     key_type = source.schema[key].dataType.simpleString()
 
@@ -46,13 +47,17 @@ def embed_texts(documents: DataFrame, key: str, embedder: Embedder, text: str =
         except Exception as failure:
             return None, f"{type(failure).__name__}: {failure}"
 
+    def several(whole: list[str]):
+        try:
+            return [(list(vector), None) for vector in embedder(whole)]
+        except Exception:
+            return [single(one) for one in whole]
+
     def run(frames):
         for frame in frames:
             whole = frame["text"].tolist()
-            try:
-                results = [(list(vector), None) for vector in embedder(whole)]
-            except Exception:
-                results = [single(one) for one in whole]
+            size = batch_size or max(1, len(whole))
+            results = [result for first in range(0, len(whole), size) for result in several(whole[first : first + size])]
             yield pd.DataFrame(
                 {key: frame[key], "embedding": [vector for vector, _ in results], "error": [reason for _, reason in results]}
             )
@@ -60,7 +65,7 @@ def embed_texts(documents: DataFrame, key: str, embedder: Embedder, text: str =
     return source.mapInPandas(run, f"{key} {key_type}, embedding array<double>, error string")
 
 
-def embed_table(documents: DataFrame, key: str, embedder: Embedder, model: str, embedded_at: str, mode: str = "backlog") -> EmbeddingRun:
+def embed_table(documents: DataFrame, key: str, embedder: Embedder, model: str, embedded_at: str, mode: str = "backlog", batch_size: int | None = None) -> EmbeddingRun:
     """Embed the backlog, or every text when ``mode='full'``, and merge the vectors by key.
 
     The vectors are written once to the shared folder, since both the merge and the quarantine read
@@ -69,7 +74,7 @@ def embed_table(documents: DataFrame, key: str, embedder: Embedder, model: str,
     if mode not in ("backlog", "full"):
         raise ValueError("mode is 'backlog' or 'full'")
     wanted = embedding_backlog(documents) if mode == "backlog" else documents.filter(F.col("full_text").isNotNull())
-    done = write_version(embed_texts(wanted, key, embedder), "vectors")
+    done = write_version(embed_texts(wanted, key, embedder, batch_size=batch_size), "vectors")
     updates = done.filter(F.col("error").isNull()).select(
         key, "embedding", F.lit(model).alias("embedding_model"), F.lit(embedded_at).cast("timestamp_ntz").alias("embedded_at")
     )

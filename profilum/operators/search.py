@@ -69,7 +69,7 @@ def _small_scan(queries: pd.DataFrame, documents: DataFrame, key: str, k: int, s
         if len(best):
             yield hit_frame(local["query_id"], key, best)
 
-    return documents.select(key, "embedding").mapInPandas(run, schema)
+    return documents.filter(F.col("embedding").isNotNull()).select(key, "embedding").mapInPandas(run, schema)
 
 
 def _parts(rows: int, size: int) -> int:
@@ -79,12 +79,14 @@ def _parts(rows: int, size: int) -> int:
 def _part_scan(queries: DataFrame, documents: DataFrame, key: str, k: int, scope: str | None, schema: str) -> DataFrame:
     """Meet every part of the queries with every part of the documents of the same scope.
 
-    The number of cells follows the counts of both sides, so a cell keeps its size as they grow.
+    The number of cells follows the counts of both sides, so a cell keeps its size as they grow. All
+    documents are counted, also those without a vector: that bounds the parts and reads no vectors.
     """
-    docs = documents.select(F.col(key), "embedding", *([F.col(scope).alias("_scope")] if scope else []))
+    scopes = [F.col(scope).alias("_scope")] if scope else []
+    docs = documents.filter(F.col("embedding").isNotNull()).select(F.col(key), "embedding", *scopes)
     if scope:
         queries = queries.filter(F.col("_scope").isNotNull())
-    doc_count, query_count = docs.count(), queries.count()
+    doc_count, query_count = documents.select(key).count(), queries.count()
     if scope:
         # Scopes nobody asks for are dropped first. Only large scopes are split; there can be no more
         # of them than rows over the part size.
@@ -94,8 +96,13 @@ def _part_scan(queries: DataFrame, documents: DataFrame, key: str, k: int, scope
         cores = documents.sparkSession.sparkContext.defaultParallelism
         buckets = max(cores, 4 * _parts(doc_count, PART_DOCUMENTS), 4 * _parts(query_count, PART_QUERIES))
 
+        sides = (
+            (documents.select(*scopes), "_doc_parts", doc_count, PART_DOCUMENTS),
+            (queries.select("_scope"), "_query_parts", query_count, PART_QUERIES),
+        )
+
         def sized(rows: DataFrame) -> DataFrame:
-            for side, name, count, size in ((docs, "_doc_parts", doc_count, PART_DOCUMENTS), (queries, "_query_parts", query_count, PART_QUERIES)):
+            for side, name, count, size in sides:
                 if count <= size:
                     rows = rows.withColumn(name, F.lit(1))
                     continue
@@ -143,7 +150,6 @@ def partial_top_k(queries: DataFrame, documents: DataFrame, key: str, k: int = 5
     is not returned. With ``scope`` a query only sees documents whose ``scope`` column equals its own.
     Documents without a vector are skipped.
     """
-    documents = documents.filter(F.col("embedding").isNotNull())
     prepared = _prepared(queries, scope)
     key_type, query_type = (frame.schema[name].dataType.simpleString() for frame, name in ((documents, key), (queries, "query_id")))
     schema = f"query_id {query_type}, {key} {key_type}, similarity_score double"

@@ -370,6 +370,7 @@ FROM (SELECT last_purchase_date, date_sub('second', last_purchase_date, TIMESTAM
     "ingest_orders_typed": "SELECT order_id::VARCHAR AS order_id, customer_id::VARCHAR AS customer_id, customer_email, order_date, status, total_amount::DOUBLE AS total_amount, coalesce(num_items, 0) AS num_items, NULL::VARCHAR AS shipping_address, payment_method FROM m_orders LEFT JOIN m_items USING (order_id)",
     "partition_pruned_tickets": "SELECT created_at::DATE AS created_date, status, count(*) AS tickets, count(embedding) AS embedded, sum(length(full_text))::BIGINT AS chars FROM m_tix WHERE created_at >= DATE '2001-02-01' AND created_at < DATE '2001-04-01' GROUP BY 1, 2",
     "merge_insert_new_tickets": f"SELECT ticket_id, customer_email, CASE WHEN l.doc_id IS NULL THEN status ELSE 'archived' END AS status, CASE WHEN l.doc_id IS NULL THEN 'arrived' ELSE 'known' END AS origin, length(full_text)::INTEGER AS chars FROM m_tix LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = ticket_id",
+    "merge_insert_new_products": "SELECT product_id, product_name, CASE WHEN embedding IS NULL THEN category ELSE 'kept' END AS category, price, full_text FROM m_prods",
     "merge_update_embeddings": "SELECT t.ticket_id, round(coalesce(u.embedding[1], t.embedding[1])::DOUBLE, 6) AS first_component, CASE WHEN u.vec_id IS NOT NULL THEN 'second' END AS embedding_model, CASE WHEN u.vec_id IS NOT NULL THEN TIMESTAMP '2001-08-02 00:00:00' END AS embedded_at FROM m_tix t LEFT JOIN embeddings u ON u.vec_id * 2 = t.ticket_id",
     "incremental_load": "SELECT ticket_id, customer_email, status, created_at, CASE WHEN toxic = 0 THEN 'first' WHEN toxic IS NOT NULL THEN 'second' ELSE 'third' END AS landing FROM m_tickets LEFT JOIN labels ON doc_id = ticket_id",
     "embedding_backlog": "SELECT ticket_id AS doc_id, full_text AS content FROM m_tix WHERE embedding IS NULL AND full_text IS NOT NULL AND length(full_text) > 10",

@@ -330,6 +330,13 @@ def merge_insert_new_tickets(spark, folder):
     return merged.select("ticket_id", "customer_email", "status", "origin", F.length("full_text").alias("chars"))
 
 
+@query
+def merge_insert_new_products(spark, folder):
+    source = model.products_embedded(spark, folder)
+    known = source.filter(F.col("embedding").isNotNull()).drop("embedding").withColumn("category", F.lit("kept"))
+    return store.merge_insert(known, source.drop("embedding"), "product_id").select("product_id", "product_name", "category", "price", "full_text")
+
+
 @query
 def merge_update_embeddings(spark, folder):
     vectors = model.read_table(spark, folder, "embeddings").select((F.col("vec_id") * 2).alias("ticket_id"), "embedding")

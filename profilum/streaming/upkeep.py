@@ -26,16 +26,20 @@ def _finish(writer, target: str | None, checkpoint: str) -> None:
     (writer.start(target) if target else writer.start()).awaitTermination()
 
 
-def insert_new_rows(stream: DataFrame, target: str, checkpoint: str, key: str) -> None:
+def insert_new_rows(stream: DataFrame, target: str, checkpoint: str, key: str, loaded: str | None = None) -> None:
     """Insert-only merge of every micro-batch. A batch owns one folder of the target and replaces it
-    when it is replayed, so a retry neither loses nor repeats rows."""
-    spark, schema = stream.sparkSession, stream.schema
+    when it is replayed, so a retry neither loses nor repeats rows. ``loaded`` names a parquet table
+    that was filled before the stream began; its keys count as known."""
+    schema = stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        known = session.createDataFrame([], schema)
+        known = session.createDataFrame([], schema).select(key)
         if number > 0:
-            known = session.read.schema(f"{schema_ddl}, batch_id bigint").parquet(target).filter(F.col("batch_id") != number)
+            written = session.read.schema(f"{schema_ddl}, batch_id bigint").parquet(target)
+            known = known.unionByName(written.filter(F.col("batch_id") != number).select(key))
+        if loaded:
+            known = known.unionByName(session.read.parquet(loaded).select(key))
         missing_rows(known, batch, key).write.mode("overwrite").parquet(f"{target}/batch_id={number}")
 
     schema_ddl = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema.fields)

@@ -118,6 +118,16 @@ def test_failed_texts_are_quarantined(documents):
     assert full.table.filter("embedding_model = 'sizes'").count() == 4
 
 
+def test_calls_are_no_larger_than_asked(documents):
+    def embedder(texts):
+        if len(texts) > 2:
+            raise ValueError("too many")
+        return [np.array([1.0]) for _ in texts]
+
+    done = embedding.embed_texts(documents.filter("full_text is not null").coalesce(1), "id", embedder, batch_size=2)
+    assert done.filter("error is null").count() == 5
+
+
 def test_hashing_embedder():
     embed = hashing_embedder(16)
     first, second, empty = embed(["Some words here", "here words  some", ""])

@@ -31,6 +31,15 @@ def test_inserts_survive_restarts_and_copies(spark):
     assert spark.read.parquet(target).select("id").distinct().count() == 3
 
 
+def test_inserts_skip_what_was_loaded_before(spark):
+    folder, target, loaded = (fresh_path(spark, name) for name in ("in", "out", "loaded"))
+    schema = "id bigint, v string"
+    land(spark, loaded, [(1, "old")], schema)
+    land(spark, folder, [(1, "new"), (2, "new")], schema)
+    upkeep.insert_new_rows(upkeep.landed_files(spark, folder, schema), target, fresh_path(spark, "progress"), "id", loaded)
+    assert [(row.id, row.v) for row in spark.read.parquet(target).collect()] == [(2, "new")]
+
+
 def test_web_activity_counts_an_event_once(spark):
     folder, target, progress = (fresh_path(spark, name) for name in ("in", "out", "progress"))
     rows = [(i, i % 3, f"s{i % 5}", START + dt.timedelta(hours=i)) for i in range(200)]
