@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from profilum.functions import scoring
 from profilum.functions.columns import mean_exact
-from profilum.operators.profile import days_since
 
 
 def churn_risk_summary(profile: DataFrame) -> DataFrame:
@@ -159,8 +158,3 @@ def embedding_dim_audit(tables: dict[str, DataFrame], expected: int) -> DataFram
         for name, frame in tables.items()
     ]
     return reduce(lambda left, right: left.unionByName(right), parts).orderBy("table_name", "dimension")
-
-
-def recency_days(profile: DataFrame, as_of: str) -> DataFrame:
-    """Customers by whole days since the last order."""
-    return profile.groupBy(days_since(as_of, "last_purchase_date").alias("days")).agg(F.count("*").alias("customers"))

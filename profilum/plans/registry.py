@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 
 from profilum import schemas
 from profilum.fixed_values import PRESET_QUESTIONS, PRODUCT_LISTS, TICKET_LISTS
-from profilum.functions import policies, scoring, text
-from profilum.functions.columns import display_name
+from profilum.functions import policies, scoring
 from profilum.functions.embedders import HASHING_MODEL, hashing_embedder
 from profilum.operators import customers as people
 from profilum.operators import documents as corpus
-from profilum.operators import embedding, metrics, retrieval, rollups, search, sentiment
+from profilum.operators import embedding, metrics, retrieval, rollups, search, sentiment, sessions
 from profilum.operators.profile import customer_profile
-from profilum.operators.sessions import sessionize
 from profilum.session import fresh_path, steady_unions
 from profilum.sources import files, landing, model, store
 from profilum.streaming import upkeep
@@ -492,11 +490,8 @@ def analyst_prompts(spark, folder):
 
 
 @query
-def sessions(spark, folder):
-    return sessionize(model.events(spark, folder))
-
-
-QUERIES["sessionize"] = QUERIES.pop("sessions")
+def sessionize(spark, folder):
+    return sessions.sessionize(model.events(spark, folder))
 
 
 # Search
