@@ -33,17 +33,18 @@ def best_rows(found: pd.DataFrame, k: int) -> pd.DataFrame:
 def scan(queries: np.ndarray, excluded, blocks: Iterable[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
     """Top k of every query over a stream of (ids, unit vectors) blocks, keeping only the running best.
 
-    ``excluded`` holds one document id per query that must not be returned, or is None.
+    ``excluded`` holds one document id or None per query that must not be returned, or is None.
     """
     best = pd.DataFrame(columns=COLUMNS)
     floor = np.full(len(queries), -np.inf)
+    excluding = [] if excluded is None else [number for number, doc in enumerate(excluded) if doc is not None]
     for all_ids, all_rows in blocks:
         for first in range(0, len(all_ids), SLICE):
             ids, rows = all_ids[first : first + SLICE], all_rows[first : first + SLICE]
             scores = queries @ rows.T
-            if excluded is not None:
+            if excluding:
                 same = pd.merge(
-                    pd.DataFrame({"doc": excluded, "query": np.arange(len(queries))}),
+                    pd.DataFrame({"doc": np.array([excluded[number] for number in excluding], dtype=ids.dtype), "query": excluding}),
                     pd.DataFrame({"doc": ids, "column": np.arange(len(ids))}),
                     on="doc",
                 )
@@ -77,7 +78,7 @@ def scan_scopes(query_scopes, queries: np.ndarray, excluded, doc_scopes, ids: np
         at_query = np.concatenate([a for a, _ in pairs])
         at_row = np.concatenate([b for _, b in pairs])
         if excluded is not None:
-            other = np.asarray(excluded)[at_query] != ids[at_row]
+            other = np.asarray(excluded, dtype=object)[at_query] != ids[at_row]
             at_query, at_row = at_query[other], at_row[other]
         scores = np.einsum("ij,ij->i", queries[at_query], rows[at_row])
         found.append(best_rows(pd.DataFrame({"query": at_query, "doc": ids[at_row], "score": np.round(scores, DIGITS)}), k))
@@ -87,7 +88,7 @@ def scan_scopes(query_scopes, queries: np.ndarray, excluded, doc_scopes, ids: np
         if at_row is None:
             continue
         if len(at_query) * len(at_row) > SLICE:
-            own = None if excluded is None else np.asarray(excluded)[at_query]
+            own = None if excluded is None else np.asarray(excluded, dtype=object)[at_query]
             block = scan(queries[at_query], own, [(ids[at_row], rows[at_row])], k)
             found.append(block.assign(query=at_query[block["query"].to_numpy(dtype=int)]))
             continue

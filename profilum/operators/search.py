@@ -28,18 +28,30 @@ PART_DOCUMENTS = 20_000
 PART_QUERIES = 4096
 
 
-def _prepared(queries: DataFrame, scope: str | None) -> DataFrame:
-    columns = ["query_id", F.col("query_vector").cast("array<double>").alias("query_vector")]
-    columns.append(F.col("exclude_id") if "exclude_id" in queries.columns else F.lit(None).cast("bigint").alias("exclude_id"))
-    return queries.select(*columns, *([F.col(scope).alias("_scope")] if scope else []))
+def _prepared(queries: DataFrame, documents: DataFrame, key: str, scope: str | None) -> DataFrame:
+    """The columns a search needs. The excluded id is never NULL, so that large ids stay whole numbers
+    on their way to Python; a flag tells whether it counts."""
+    kind = documents.schema[key].dataType
+    excluded = F.col("exclude_id").cast(kind) if "exclude_id" in queries.columns else F.lit(None).cast(kind)
+    return queries.select(
+        "query_id",
+        F.col("query_vector").cast("array<double>").alias("query_vector"),
+        F.coalesce(excluded, F.lit(0).cast(kind)).alias("exclude_id"),
+        excluded.isNotNull().alias("excludes"),
+        *([F.col(scope).alias("_scope")] if scope else []),
+    )
 
 
 def _query_rows(frame: pd.DataFrame, dimension: int) -> tuple[np.ndarray, np.ndarray | None]:
     """Unit vectors and excluded ids of a block of queries; a missing vector scores zero everywhere."""
     empty = np.zeros(dimension)
     rows = unit_rows([empty if vector is None else vector for vector in frame["query_vector"]])
-    excluded = frame["exclude_id"]
-    return rows, None if excluded.isna().all() else excluded.to_numpy()
+    counts = frame["excludes"].to_numpy(dtype=bool)
+    if not counts.any():
+        return rows, None
+    excluded = frame["exclude_id"].to_numpy(dtype=object)
+    excluded[~counts] = None
+    return rows, excluded
 
 
 def _small_scan(queries: pd.DataFrame, documents: DataFrame, key: str, k: int, schema: str) -> DataFrame:
@@ -150,7 +162,7 @@ def partial_top_k(queries: DataFrame, documents: DataFrame, key: str, k: int = 5
     is not returned. With ``scope`` a query only sees documents whose ``scope`` column equals its own.
     Documents without a vector are skipped.
     """
-    prepared = _prepared(queries, scope)
+    prepared = _prepared(queries, documents, key, scope)
     key_type, query_type = (frame.schema[name].dataType.simpleString() for frame, name in ((documents, key), (queries, "query_id")))
     schema = f"query_id {query_type}, {key} {key_type}, similarity_score double"
     if scope is None:
@@ -254,7 +266,7 @@ def nearest_lists(queries: DataFrame, index: ListIndex, probes: int) -> DataFram
         for frame in frames:
             if not len(frame):
                 continue
-            rows, _ = _query_rows(frame.assign(exclude_id=None), centres.shape[1])
+            rows, _ = _query_rows(frame.assign(excludes=False), centres.shape[1])
             distance = (centres * centres).sum(axis=1)[None, :] - 2.0 * rows @ centres.T
             nearest = np.argsort(distance, axis=1, kind="stable")[:, :count]
             yield pd.DataFrame({"query_id": pd.Series(np.repeat(frame["query_id"].to_numpy(dtype=object), count), dtype=object), "list_id": nearest.ravel().astype("int32")})

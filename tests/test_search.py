@@ -95,6 +95,14 @@ def test_text_ids(spark):
         assert [(row.doc, row.similarity_score) for row in hits] == [("a", 1.0), ("b", 1.0), ("c", -1.0)]
 
 
+def test_large_ids_are_excluded_exactly(spark):
+    big = 2**60
+    docs = spark.createDataFrame([(big, [1.0, 0.0], "x"), (big + 1, [1.0, 0.1], "x")], "doc bigint, embedding array<double>, place string")
+    queries = spark.createDataFrame([("a", [1.0, 0.0], big, "x"), ("b", [1.0, 0.0], None, "x")], "query_id string, query_vector array<double>, exclude_id bigint, place string")
+    for options in ({}, {"broadcast_queries": 0}, {"scope": "place"}):
+        assert listed(search.top_k(queries, docs, "doc", 2, **options)) == {"a": [big + 1], "b": [big, big + 1]}
+
+
 def test_no_queries(spark, corpus):
     none = spark.createDataFrame([], "query_id string, query_vector array<double>")
     assert search.top_k(none, corpus[2], "doc").count() == 0
