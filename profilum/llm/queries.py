@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.llm import chat_format, simhash
+from profilum.llm import bpe, chat_format, packing, simhash
 from profilum.session import steady_unions
 from profilum.sources.model import read_table
 
@@ -57,3 +58,16 @@ def op3_simhash(spark, folder):
     found = simhash.near_duplicates(read_table(spark, folder, "documents"))
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op8_packing(spark, folder):
+    pieces = packing.cut(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(pieces).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_bpe(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(read_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, path)).withColumnRenamed("id", "doc_id")
