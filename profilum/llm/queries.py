@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.llm import bpe, chat_format, packing, simhash
+from profilum.llm import bpe, chat_format, packing, repeats, simhash
 from profilum.session import steady_unions
 from profilum.sources.model import read_table
 
@@ -71,3 +71,8 @@ def op10_bpe(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(read_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(encoded, path)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op4_suffix_dedup(spark, folder):
+    return repeats.digests(repeats.remove(read_table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
