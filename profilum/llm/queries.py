@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.llm import bpe, chat_format, packing, repeats, simhash
+from profilum.llm import bpe, chat_format, language, packing, repeats, simhash
 from profilum.session import steady_unions
 from profilum.sources.model import read_table
 
@@ -76,3 +76,8 @@ def op10_bpe(spark, folder):
 @query
 def op4_suffix_dedup(spark, folder):
     return repeats.digests(repeats.remove(read_table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_language(spark, folder):
+    return language.identify(read_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
