@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.llm import bpe, chat_format, language, packing, repeats, simhash
+from profilum.llm import bpe, chat_format, exact_topk, language, nearest, packing, repeats, simhash
 from profilum.session import steady_unions
 from profilum.sources.model import read_table
 
@@ -81,3 +81,29 @@ def op4_suffix_dedup(spark, folder):
 @query
 def op5_language(spark, folder):
     return language.identify(read_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_exact_topk(spark, folder):
+    found = exact_topk.of_table(read_table(spark, folder, "embeddings"), every=20, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+ORACLES["op7_exact_topk"] = """
+WITH usable AS (
+    SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+), common AS (SELECT len(v) AS n FROM usable GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
+), scaled AS (SELECT vec_id, list_transform(v, lambda x: floor(64 * x)) AS v FROM usable, common WHERE len(v) = n
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM scaled q JOIN scaled c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op9_nearest(spark, folder):
+    found = nearest.of_table(read_table(spark, folder, "embeddings"), every=50, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
