@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.llm import bpe, chat_format, exact_topk, language, nearest, packing, repeats, simhash
+from profilum.llm import bpe, chat_format, exact_topk, language, nearest, packing, repeats, simhash, token_counts
 from profilum.session import steady_unions
 from profilum.sources.model import read_table
 
@@ -107,3 +107,9 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 def op9_nearest(spark, folder):
     found = nearest.of_table(read_table(spark, folder, "embeddings"), every=50, k=5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op1_token_counts(spark, folder):
+    counted = token_counts.count_tokens(read_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumnRenamed("id", "doc_id")
