@@ -84,8 +84,9 @@ class Automaton:
         known = self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
-        for word in set(words) - known.keys():
-            known[word] = self.pieces(word)
+        for word in set(words):
+            if word not in known:
+                known[word] = self.pieces(word)
         found = list(map(known.__getitem__, words))
         for word in [word for word in known if len(word) > LONGEST_KNOWN] if any(len(word) > LONGEST_KNOWN for word in words) else []:
             del known[word]
