@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_CHARACTERS = 1 << 22
+BATCH_IDS = 1 << 20
 LONG_TEXT = 1 << 20
 KNOWN_PIECES = 400_000
 
@@ -269,24 +270,53 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
+class Decoder:
+    """Ids to bytes by a table of all tokens' bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        size = max(ranks.values()) + 1
+        self.sizes, self.begins = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        place = 0
+        for token, rank in ranks.items():
+            self.sizes[rank], self.begins[rank] = len(token), place
+            place += len(token)
+        self.bytes = np.frombuffer(b"".join(ranks), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids together and how many each has."""
+        if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.sizes) and (self.sizes[ids] > 0).all()):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.arange(total) + np.repeat(self.begins[ids] - ends + sizes, sizes)], sizes
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``id, ids`` with the bytes that the ids stand for as ``decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(path)
+        table = decoder(path)
         for batch in batches:
-            lists = batch.column("ids").to_pylist()
-            decoded = pa.array([b"".join(map(tokens.__getitem__, ids or ())) for ids in lists], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
+            begins = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy())])
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(begins, begins[start] + BATCH_IDS, side="right")) - 1)
+                part = batch.slice(start, end - start)
+                data, sizes = table.decode(part.column("ids").flatten().to_numpy())
+                places = np.concatenate([[0], np.cumsum(sizes)])[begins[start : end + 1] - begins[start]]
+                decoded = pa.Array.from_buffers(pa.large_binary(), end - start, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
+                start = end
 
     return encoded.mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
-@lru_cache(maxsize=2)
-def _tokens(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
-
-
 def digests(decoded: DataFrame) -> DataFrame:
     """What ids and bytes amount to: ``id, n_tokens, ids_sha256, decoded_sha256``."""
     return decoded.select("id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
