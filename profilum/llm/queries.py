@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.llm import bpe, chat_format, exact_topk, language, nearest, packing, repeats, simhash, token_counts
+from profilum.llm import bpe, chat_format, exact_topk, html_extract, language, nearest, packing, repeats, simhash, token_counts
 from profilum.session import steady_unions
 from profilum.sources.model import read_table
 
@@ -113,3 +113,8 @@ def op9_nearest(spark, folder):
 def op1_token_counts(spark, folder):
     counted = token_counts.count_tokens(read_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_html_extract(spark, folder):
+    return html_extract.extract(read_table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
