@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree: block elements are inner nodes, and the runs of text directly inside them,
-whatever inline markup they hold, are leaves. Every node is content or not. What frames a whole page takes no part, so the trees below it are independent. A node's potential comes
+whatever inline markup they hold, are leaves. Every node is content or not. What frames a whole page
+takes no part, so the trees below it are independent. A node's potential comes
 from its own features (kind of element, words in class and id, length, punctuation, share of link
 text); an edge's potential says how often parent and child agree beyond chance. Messages go from the
 leaves up and from the root down (sum-product), which gives every node's exact marginal. Leaves more
@@ -42,6 +43,7 @@ UNREAD = frozenset("script style title textarea iframe svg math noframes xmp obj
 # What holds a whole page says nothing about its parts; messages start below.
 FRAME = frozenset(("#root", "html", "body"))
 PLAIN = frozenset("#text p li dd dt td th tr blockquote pre h1 h2 h3 h4 h5 h6".split())
+APART = frozenset("aside form nav header footer".split())
 # An opening tag of the first kind ends an open element of the second within the same parent.
 ENDS = {name: frozenset(ended.split()) for name, ended in {"li": "li p", "dt": "dt dd p", "dd": "dt dd p", "tr": "tr td th p", "td": "td th p", "th": "td th p", "option": "option"}.items()}
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "button", "template", "noscript"}
@@ -191,11 +193,11 @@ def features(node: Node, weight: float, titled: bool) -> list[tuple[str, float]]
 
 @dataclass
 class Page:
-    """What inference needs of a page: per node its parent (-1 at the top of an independent tree), whether it is a
-    leaf, and its features."""
+    """What inference needs of a page: per node its parent (-1 at the top of an independent tree), the kind of the
+    edge from there (0: to a part, 1: to a text, 2: to something set apart), and its features."""
 
     parents: list[int]
-    leaves: list[int]
+    kinds: list[int]
     rows: list[list[tuple[str, float]]]
 
 
@@ -212,7 +214,8 @@ def prepared(nodes: list[Node]) -> Page:
             titled[above] = True
             above = nodes[above].parent
     parents = [-1 if node.parent < 0 or nodes[node.parent].name in FRAME else node.parent for node in nodes]
-    return Page(parents, [int(node.name == "#text") for node in nodes], [features(node, weight, has) for node, weight, has in zip(nodes, weights, titled)])
+    kinds = [1 if node.name == "#text" else 2 if node.name in APART or set(node.hints) - {"article"} else 0 for node in nodes]
+    return Page(parents, kinds, [features(node, weight, has) for node, weight, has in zip(nodes, weights, titled)])
 
 
 def _share(odds: float) -> float:
@@ -221,7 +224,7 @@ def _share(odds: float) -> float:
 
 @dataclass
 class Model:
-    """Weights of node features, and edge potentials ``[to a leaf][parent][child]``, both as logarithms."""
+    """Weights of node features, and edge potentials ``[kind][parent][child]``, both as logarithms."""
 
     weights: dict[str, float]
     edges: np.ndarray
@@ -234,13 +237,13 @@ class Model:
         for place in range(len(below) - 1, -1, -1):
             parent = page.parents[place]
             if parent >= 0:
-                edge, yes = tables[page.leaves[place]], _share(below[place])
+                edge, yes = tables[page.kinds[place]], _share(below[place])
                 upward[place] = math.log((edge[1][0] * (1 - yes) + edge[1][1] * yes) / (edge[0][0] * (1 - yes) + edge[0][1] * yes))
                 below[parent] += upward[place]
         whole = list(below)
         for place, parent in enumerate(page.parents):
             if parent >= 0:
-                edge, yes = tables[page.leaves[place]], _share(whole[parent] - upward[place])
+                edge, yes = tables[page.kinds[place]], _share(whole[parent] - upward[place])
                 whole[place] += math.log((edge[0][1] * (1 - yes) + edge[1][1] * yes) / (edge[0][0] * (1 - yes) + edge[1][0] * yes))
         return below, whole
 
@@ -248,7 +251,7 @@ class Model:
         """What each node sends to its parent."""
         tables = np.exp(self.edges)
         yes = np.array([_share(odds) for odds in below])[:, None]
-        edge = tables[page.leaves]
+        edge = tables[page.kinds]
         sent = np.log((edge[:, 1] * np.concatenate([1 - yes, yes], axis=1)).sum(axis=1) / (edge[:, 0] * np.concatenate([1 - yes, yes], axis=1)).sum(axis=1))
         return np.where(np.array(page.parents) >= 0, sent, 0.0).tolist()
 
@@ -273,8 +276,8 @@ def train(pages: list[str], rounds: int = 150, rate: float = 0.5, decay: float =
     what the marginals of nodes and edges expect."""
     trees = [tree(page) for page in pages]
     examples = [(prepared(nodes), labels(nodes)) for nodes in trees]
-    model = Model({name: 0.0 for page, _ in examples for row in page.rows for name, _ in row}, np.zeros((2, 2, 2)))
-    steps, edge_steps = dict.fromkeys(model.weights, 1e-6), np.full((2, 2, 2), 1e-6)
+    model = Model({name: 0.0 for page, _ in examples for row in page.rows for name, _ in row}, np.zeros((3, 2, 2)))
+    steps, edge_steps = dict.fromkeys(model.weights, 1e-6), np.full((3, 2, 2), 1e-6)
     for _ in range(rounds):
         slopes = {name: -decay * weight for name, weight in model.weights.items()}
         edge_slopes = -decay * model.edges
@@ -286,12 +289,12 @@ def train(pages: list[str], rounds: int = 150, rate: float = 0.5, decay: float =
                 gap = mark - _share(odds)
                 for name, value in row:
                     slopes[name] += gap * value
-                parent, leaf = page.parents[place], page.leaves[place]
+                parent, kind = page.parents[place], page.kinds[place]
                 if parent >= 0:
                     above, own = _share(whole[parent] - upward[place]), _share(below[place])
-                    together = tables[leaf] * np.outer([1 - above, above], [1 - own, own])
-                    edge_slopes[leaf] -= together / together.sum()
-                    edge_slopes[leaf, marks[parent], mark] += 1
+                    together = tables[kind] * np.outer([1 - above, above], [1 - own, own])
+                    edge_slopes[kind] -= together / together.sum()
+                    edge_slopes[kind, marks[parent], mark] += 1
         for name, slope in slopes.items():
             steps[name] += slope * slope
             model.weights[name] += rate * slope / math.sqrt(steps[name])
