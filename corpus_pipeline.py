@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.llm import language, packing, repeats, simhash
+from profilum.llm.names import unused
 from profilum.session import steady_unions
 from profilum.sources.store import write_version
 
@@ -27,8 +28,9 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(language.learnable()))
-    found = docs.withColumn("_found", language.predict(docs, model)["lang"]).where(F.col("_found") != language.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "_found")).select(*docs.columns)
+    name = unused(docs, "_found")
+    found = docs.withColumn(name, language.predict(docs, model)["lang"]).where(F.col(name) != language.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", name)).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

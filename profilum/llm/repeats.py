@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
+from profilum.llm.names import unused
 from profilum.llm.suffixes import repeated_windows
 from profilum.sources.store import write_version
 
@@ -300,10 +301,12 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The documents with all their columns and the repeated strings taken out of ``text``. A character of
     which only some bytes are covered stays."""
-    spans = repeated_spans(docs, doc_id, text, length, gram).select(*[F.col(name).alias(f"_{name}") for name in KEY], F.col("spans").alias("_spans"))
-    keyed = docs.select("*", *[column.alias(f"_{name}") for column, name in zip(_keyed(docs, doc_id, text), KEY)])
-    joined = keyed.join(spans, [f"_{name}" for name in KEY], "left")
-    return joined.select(*[_kept_text(F.col(f"`{name}`"), F.col("_spans")).alias(name) if name == text else F.col(f"`{name}`") for name in docs.columns])
+    names = [unused(docs, f"_{name}") for name in KEY]
+    found = unused(docs, "_spans")
+    spans = repeated_spans(docs, doc_id, text, length, gram).select(*[F.col(name).alias(own) for name, own in zip(KEY, names)], F.col("spans").alias(found))
+    keyed = docs.select("*", *[column.alias(own) for column, own in zip(_keyed(docs, doc_id, text), names)])
+    joined = keyed.join(spans, names, "left")
+    return joined.select(*[_kept_text(F.col(f"`{name}`"), F.col(found)).alias(name) if name == text else F.col(f"`{name}`") for name in docs.columns])
 
 
 def digests(removed: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql.types import LongType
 
 from profilum.llm.components import components
 from profilum.llm.golay import home_anchors, near_anchors
+from profilum.llm.names import unused
 from profilum.operators.metrics import top_per_group
 from profilum.sources.store import write_version
 
@@ -116,10 +117,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with all their columns, one of each component: the smallest id (null last), then the least row."""
-    columns = docs.columns
-    row = F.concat(*[F.hex(F.xxhash64(F.lit(seed), *[F.col(f"`{name}`") for name in columns])) for seed in (1, 2)])
-    prints = write_version(with_fingerprint(docs.select(F.col(doc_id).alias("id"), row.alias("row"), F.col(text).alias("text"))).select("id", "row", "fingerprint"), "prints")
-    rooted = prints.join(classes(prints).select("fingerprint", "root"), "fingerprint")
-    stays = top_per_group(rooted, ["root"], [F.col("id").asc_nulls_last(), F.col("row")], 1, "_rank").select("row").distinct()
-    kept = docs.withColumn("_row", row).join(stays.withColumnRenamed("row", "_row"), "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*[F.col(f"`{name}`") for name in columns])
+    columns, name = docs.columns, unused(docs, "_row")
+    row = F.concat(*[F.hex(F.xxhash64(F.lit(seed), *[F.col(f"`{column}`") for column in columns])) for seed in (1, 2)])
+    prints = write_version(with_fingerprint(docs.select(F.col(f"`{doc_id}`").alias("id"), row.alias("row"), F.col(f"`{text}`").alias("text"))).select("id", "row", "fingerprint"), "prints")
+    rooted = prints.join(classes(prints.select("id", "fingerprint")).select("fingerprint", "root"), "fingerprint")
+    stays = top_per_group(rooted, ["root"], [F.col("id").asc_nulls_last(), F.col("row")], 1, "_rank").select(F.col("row").alias(name)).distinct()
+    kept = docs.withColumn(name, row).join(stays, name, "left_semi")
+    return kept.dropDuplicates([name]).select(*[F.col(f"`{column}`") for column in columns])
