@@ -1,6 +1,8 @@
 """One object over a set of tables, for callers that ask about single customers or questions.
 
-Every method takes one value or a table of them and returns a lazy DataFrame.
+Every method takes one value or a table of them and returns a DataFrame. Methods that need a table more
+than once (questions, prompts, presets, comparisons) write it to the shared folder when called; the others
+are lazy.
 """
 
 from __future__ import annotations
@@ -87,15 +89,35 @@ class Engine:
         """Sources cited by answers; ``answers`` has ``answer_id``, ``query_id`` and ``answer_text``."""
         return retrieval.extract_citations(answers, sources)
 
-    def preset_prompts(self) -> DataFrame:
-        """The preset questions for every customer."""
-        presets = retrieval.preset_questions(self.spark).withColumn("query_id", F.col("preset"))
-        ready = embedding.embed_queries(presets, self.embedder).select("preset", "query_text", "intent", "query_vector")
-        profile = write_version(self.profiles().select(*retrieval.PROFILE_COLUMNS), "profiles")
-        return retrieval.preset_prompts(write_version(ready, "presets"), profile, self.tickets, self.products, self.threshold)
+    def preset_prompts(self, emails: DataFrame | str | None = None, presets: list[str] | None = None, context: str = "", count: int = 5) -> DataFrame:
+        """Preset questions, all of them by default, for every customer or for the given addresses."""
+        asked = retrieval.preset_questions(self.spark, context, count).withColumn("query_id", F.col("preset"))
+        vectors = write_version(embedding.embed_queries(asked, self.embedder).select("preset", "query_vector"), "presets")
+        profile = write_version(self.profiles(emails).select(*retrieval.PROFILE_COLUMNS), "profiles")
+        return retrieval.preset_prompts(vectors, profile, self.tickets, self.products, self.threshold, presets, context, count)
 
-    def compare(self, first: str, second: str) -> DataFrame:
-        """Two customers side by side."""
+    def analyze_churn_risk(self, emails: DataFrame | str) -> DataFrame:
+        return self.preset_prompts(emails, ["churn_risk"])
+
+    def recommend_products(self, emails: DataFrame | str, context: str = "", count: int = 5) -> DataFrame:
+        return self.preset_prompts(emails, ["recommend_products"], context, count)
+
+    def summarize_support_history(self, emails: DataFrame | str) -> DataFrame:
+        return self.preset_prompts(emails, ["support_history"])
+
+    def customer_summary(self, emails: DataFrame | str) -> DataFrame:
+        return self.preset_prompts(emails, ["executive_summary"])
+
+    def compare_prompts(self, first: str, second: str) -> DataFrame:
+        """The prompt that compares two customers; no row if one of them is unknown."""
+        pair, profile = self._pair(first, second)
+        asked = retrieval.compare_questions(pair, profile).withColumn("query_id", F.lit("1"))
+        questions = write_version(embedding.embed_queries(asked, self.embedder), "questions")
+        sources = retrieval.retrieve_context(questions, self.tickets, self.products, self.threshold)
+        return retrieval.compare_prompts(questions, profile, sources)
+
+    def _pair(self, first: str, second: str) -> tuple[DataFrame, DataFrame]:
+        """The ids of two addresses as one row, and both profiles."""
         pair = self.spark.createDataFrame([(first, second)], "a string, b string")
         emails = pair.select(F.explode(F.array("a", "b")).alias("email"))
         profile = write_version(self.profiles(emails), "pair")
@@ -105,7 +127,11 @@ class Engine:
             .join(ids.select(F.col("address").alias("right_address"), F.col("customer_id").alias("right_id")), F.lower("b") == F.col("right_address"))
             .select("left_id", "right_id")
         )
-        return customers.compare_customers(pairs, profile)
+        return pairs, profile
+
+    def compare(self, first: str, second: str) -> DataFrame:
+        """Two customers side by side."""
+        return customers.compare_customers(*self._pair(first, second))
 
     def _interactions(self, customer_id=None) -> DataFrame:
         return self.interactions if customer_id is None else self.interactions.filter(F.col("customer_id") == customer_id)

@@ -39,6 +39,9 @@ STOP_WORDS = [
 WORD_PUNCTUATION = ".,!?;:()\"'"
 
 # Patterns. An address matches from its start; nothing anchors its end.
+# Chunks end at one of these signs if one lies within so many characters of their full size.
+SENTENCE_SIGNS = ".?!"
+SENTENCE_REACH = 200
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 CITATION_PATTERN = r"\[Source (\d+)\]"
 
@@ -133,6 +136,7 @@ Be specific and reference actual ticket data.""",
 
 Keep it concise but actionable.""",
 }
+RECOMMENDING = "recommend_products"
 COMPARE_QUESTION = """Compare these two customers and identify:
 1. Key similarities and differences
 2. Which customer is more valuable and why

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def any_of(characters: str) -> str:
+    """A pattern for any one of the characters, whatever they mean in patterns."""
+    return "|".join(f"\\x{{{ord(character):x}}}" for character in characters)
+
+
 def col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 

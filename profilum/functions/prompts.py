@@ -39,13 +39,22 @@ def profile_block() -> Column:
     return F.when(F.col("customer_id").isNotNull(), F.concat(F.lit("\nCUSTOMER PROFILE:\n"), body, F.lit("\n")))
 
 
+def numbered(number: Column, body: Column) -> Column:
+    return F.concat(F.lit("\n[Source "), number.cast("string"), body)
+
+
 def source_block() -> Column:
     """Heading, title, date and the first 800 characters of one source."""
+    return numbered(F.col("source_no"), source_body())
+
+
+def source_body() -> Column:
+    """A source block without what comes before and with its number."""
     title = F.nullif(F.col("title"), F.lit(""))
     return F.concat_ws(
         "\n",
         F.concat(
-            F.lit("\n[Source "), F.col("source_no").cast("string"), F.lit("] ("),
+            F.lit("] ("),
             F.initcap(F.replace(F.col("source_type"), F.lit("_"), F.lit(" "))),
             F.format_string(", Relevance: %.1f%%)", F.col("similarity_score") * 100),
         ),

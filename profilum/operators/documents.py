@@ -13,6 +13,10 @@ from profilum.operators.metrics import top_per_group
 from profilum.schemas import REQUIRED_COLUMNS
 
 
+# Chunks leave a task in frames of about so many characters.
+OUTPUT_CHARACTERS = 4_000_000
+
+
 def chunk_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = 8000, overlap: int = 200) -> DataFrame:
     """Chunks of every whole text with their number and start; one short text is one chunk."""
     size, shared = chunk_sizes(max_tokens, overlap)
@@ -20,13 +24,19 @@ def chunk_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
     key_type = source.schema[key].dataType.simpleString()
 
     def cut(frames):
+        rows, characters = [], 0
         for frame in frames:
-            rows = [
-                (doc, number, start, whole[start:end])
-                for doc, whole in zip(frame[key], frame["text"])
-                for number, (start, end) in enumerate(chunk_bounds(whole, size, shared))
-            ]
-            yield pd.DataFrame(rows, columns=[key, "chunk_no", "start", "chunk"])
+            for doc, whole in zip(frame[key], frame["text"]):
+                for number, (start, end) in enumerate(chunk_bounds(whole, size, shared)):
+                    rows.append((doc, number, start, whole[start:end]))
+                    characters += end - start
+                    if characters >= OUTPUT_CHARACTERS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, characters = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    columns = [key, "chunk_no", "start", "chunk"]
 
     return source.mapInPandas(cut, f"{key} {key_type}, chunk_no int, start bigint, chunk string")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilum.fixed_values import OPEN_STATUSES
-from profilum.functions.columns import col
+from profilum.functions.columns import any_of, col
 
 
 def _count_ids(column: Column, unique: bool) -> Column:
@@ -89,7 +89,7 @@ def resolution_hours(tickets: DataFrame, key: str = "customer_email") -> DataFra
 
 def ticket_tag_counts(tickets: DataFrame, separator: str = "|") -> DataFrame:
     """Tickets per tag. Tickets without tags drop out, as an inner unnest does."""
-    split = F.split("tags", f"[{separator}]")
+    split = F.split("tags", any_of(separator))
     return (
         tickets.select("ticket_id", F.explode(split).alias("tag"))
         .filter(F.col("tag") != "")
@@ -100,7 +100,7 @@ def ticket_tag_counts(tickets: DataFrame, separator: str = "|") -> DataFrame:
 
 def common_tags(tickets: DataFrame, key: str = "customer_email", separator: str = "|") -> DataFrame:
     """Distinct tags per ``key`` as one text. Tags are made distinct before they meet in one row."""
-    tagged = tickets.filter(F.col(key).isNotNull()).select(key, F.explode(F.split("tags", f"[{separator}]")).alias("tag"))
+    tagged = tickets.filter(F.col(key).isNotNull()).select(key, F.explode(F.split("tags", any_of(separator))).alias("tag"))
     return tagged.filter(F.col("tag") != "").distinct().groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("tag")), ", ").alias("common_ticket_tags"))
 
 

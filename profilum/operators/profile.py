@@ -17,32 +17,24 @@ def days_since(as_of: str, moment: Column | str) -> Column:
     return F.datediff(F.lit(as_of).cast("date"), F.to_date(moment))
 
 
-# So many addresses still fit a literal filter.
-FILTERED_ADDRESSES = 500
-
-
-def restrict(tables: Tables, emails: DataFrame) -> Tables:
+def restrict(tables: Tables, emails: DataFrame, by_id: bool = False) -> Tables:
     """The tables cut down to customers whose address is listed, ignoring case.
 
-    A short list also filters the facts before they are aggregated, by literals that reach the scan
-    and skip files clustered by address; a filter on the finished profile is not passed into the
-    left-joined aggregates. With a long list the facts are aggregated whole: a semi-join on the
-    grouping key would bring all rows of a busy customer to one task before they are combined.
+    The facts are cut by semi-joins on the keys of those customers before they are aggregated, since a
+    filter on the finished profile is not passed into the left-joined aggregates. Spark sends a short
+    list of keys to the scans; a long one meets the facts in a shuffle, where a busy customer is split
+    like any skewed join.
     """
     wanted = emails.select(F.lower("email").alias("_wanted")).distinct()
     customers = tables.customers.join(wanted, F.lower("email") == F.col("_wanted"), "left_semi")
-    # One row over the bound tells that the list is long.
-    listed = customers.select("email", "customer_id").limit(FILTERED_ADDRESSES + 1).collect()
-    if len(listed) > FILTERED_ADDRESSES:
-        return replace(tables, customers=customers)
-    by_email = F.col("customer_email").isin(sorted({row.email for row in listed}))
-    by_id = [row.customer_id for row in listed]
+    addresses = customers.select(F.col("email").alias("customer_email"))
+    ids = customers.select("customer_id")
     return replace(
         tables,
         customers=customers,
-        orders=tables.orders.filter(by_email | F.col("customer_id").isin(by_id)),
-        tickets=tables.tickets.filter(by_email),
-        events=tables.events.filter(F.col("user_id").isin(by_id)),
+        orders=tables.orders.join(ids, "customer_id", "left_semi") if by_id else tables.orders.join(addresses, "customer_email", "left_semi"),
+        tickets=tables.tickets.join(addresses, "customer_email", "left_semi"),
+        events=tables.events.join(ids.withColumnRenamed("customer_id", "user_id"), "user_id", "left_semi"),
     )
 
 
@@ -52,11 +44,11 @@ def customer_profile(tables: Tables, as_of: str, policy: str = "simple", only: D
     ``simple`` matches orders by address; the other two match them by customer id, measure elapsed
     resolution hours, order pages by recency and add payment methods, tags and traffic sources.
     """
+    rich = policy != "simple"
     if only is not None:
-        tables = restrict(tables, only)
+        tables = restrict(tables, only, rich)
     base = tables.customers.filter(F.col("email").isNotNull())
     unique = tables.unique_ids
-    rich = policy != "simple"
 
     if rich:
         bought = metrics.purchase_metrics(tables.orders, "customer_id", unique)

@@ -228,7 +228,7 @@ SHARED: dict[str, str] = {
     "m_events": "SELECT event_id, user_id, user_id::VARCHAR || '-' || ts::DATE::VARCHAR AS session_id, '/' || event_type AS page_path, ts AS event_timestamp, event_type AS traffic_source FROM events",
     "m_interactions": "SELECT event_id AS interaction_id, user_id AS customer_id, ts AS timestamp, event_type AS channel, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (value - 50.0::DOUBLE) / 50.0::DOUBLE)) AS sentiment_score, props AS content FROM events",
     "m_interaction_docs": "SELECT interaction_id, customer_id, timestamp, trim('Interaction ID: ' || interaction_id || chr(10) || 'Customer: ' || customer_id || chr(10) || 'Channel: ' || channel || chr(10) || 'Sentiment: ' || sentiment_score::VARCHAR || chr(10) || 'Date: ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Content: ' || content) AS content FROM m_interactions",
-    "m_queries": f"SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS query_id, CASE conv_id % 5 WHEN 0 THEN 'Recommend a product. ' WHEN 1 THEN 'Open support ticket. ' WHEN 2 THEN 'Churn and retention. ' WHEN 3 THEN 'Profile, please. ' ELSE '' END || text AS query_text, CASE WHEN conv_id % 7 <> 6 THEN {_email(_ASKER)} END AS customer_email, CASE WHEN conv_id % 7 <> 6 THEN {_ASKER} END AS asker_id, conv_id % 500 AS exclude_id, embedding AS query_vector FROM conversations LEFT JOIN embeddings ON vec_id = conv_id % 500 WHERE role = 'user'",
+    "m_queries": f"SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS query_id, CASE conv_id % 5 WHEN 0 THEN 'Recommend a product. ' WHEN 1 THEN 'Open support ticket. ' WHEN 2 THEN 'Churn and retention. ' WHEN 3 THEN 'Profile, please. ' ELSE '' END || text AS query_text, CASE WHEN conv_id % 7 <> 6 THEN {_email(_ASKER)} END AS customer_email, CASE WHEN conv_id % 7 <> 6 THEN {_ASKER} END AS asker_id, conv_id % vectors AS exclude_id, embedding AS query_vector FROM conversations CROSS JOIN (SELECT count(*) AS vectors FROM embeddings) v LEFT JOIN embeddings ON vec_id = conv_id % vectors WHERE role = 'user'",
     "m_answers": "SELECT conv_id::VARCHAR || '-' || (turn - 1)::VARCHAR AS query_id, conv_id::VARCHAR || '-' || turn::VARCHAR AS answer_id, text || ' [Source ' || (1 + turn % 7)::VARCHAR || ']' || CASE WHEN turn % 2 = 0 THEN ' [Source 1]' ELSE '' END AS answer_text FROM conversations WHERE role = 'assistant'",
     "m_purchase": _purchase_sql("customer_email"),
     "m_purchase_by_id": _purchase_sql("customer_id"),
@@ -264,7 +264,8 @@ SHARED: dict[str, str] = {
     "m_found": f"SELECT f.* FROM ({_ticket_columns('m_ticket_hits')}) f JOIN m_asked a USING (query_id) WHERE f.rank <= {_TICKET_COUNT} UNION ALL SELECT f.* FROM ({_product_columns('m_goods')}) f JOIN m_asked a USING (query_id) WHERE f.rank <= {_PRODUCT_COUNT}",
     "m_sources": _numbered("m_found", 0.3),
     "m_blocks": _blocks("m_sources"),
-    "m_presets": f"SELECT p.*, {_intent('query_text', 'TRUE')} AS intent, embedding AS query_vector, -1 AS exclude_id FROM ({_PRESETS}) p JOIN embeddings ON vec_id = place",
+    "m_label_means": "SELECT label, list(mean ORDER BY i) AS query_vector FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) m GROUP BY 1",
+    "m_presets": f"SELECT p.*, {_intent('query_text', 'TRUE')} AS intent, query_vector, -1 AS exclude_id FROM ({_PRESETS}) p LEFT JOIN m_label_means ON label = place",
     "m_preset_asked": "SELECT preset || ':' || customer_id AS query_id, p.preset, p.query_text, p.intent, p.query_vector, -1 AS exclude_id, f.* FROM m_profile f CROSS JOIN m_presets p",
     "m_preset_tickets": "SELECT * FROM m_preset_asked WHERE intent <> 'product_recommendation'",
     "m_preset_owned": _hits_sql("m_preset_tickets", "m_tix", "ticket_id", 5, "lower(d.customer_email) = lower(q.email)"),
@@ -275,7 +276,7 @@ SHARED: dict[str, str] = {
     "m_preset_blocks": _blocks("m_preset_sources"),
     "m_pairs": f"""SELECT l.customer_id AS query_id, l.customer_id AS left_id, r.customer_id AS right_id, l.email AS customer_email, 'churn_analysis' AS intent, embedding AS query_vector, -1 AS exclude_id,
   {_text(COMPARE_QUESTION)} || chr(10) || 'Customer 1: Customer ' || l.last_name || ' (' || l.email || ')' || chr(10) || 'Customer 2: Customer ' || r.last_name || ' (' || r.email || ')' AS query_text
-  FROM m_customers l JOIN m_customers r ON r.customer_id = l.customer_id + 1 JOIN embeddings ON vec_id = l.customer_id % 500""",
+  FROM m_customers l JOIN m_customers r ON r.customer_id = l.customer_id + 1 CROSS JOIN (SELECT count(*) AS vectors FROM embeddings) v LEFT JOIN embeddings ON vec_id = l.customer_id % vectors""",
     "m_pair_owned": _hits_sql("m_pairs", "m_tix", "ticket_id", 3, "lower(d.customer_email) = lower(q.customer_email)"),
     "m_pair_found": _ticket_columns("m_pair_owned"),
     "m_pair_sources": _numbered("m_pair_found", 0.0),
@@ -285,6 +286,7 @@ SHARED: dict[str, str] = {
     "m_slots": "SELECT ticket_id, ('0x' || left(md5(word), 8))::BIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(md5(word), 9, 2))::BIGINT < 128 THEN 1 ELSE -1 END) AS weight FROM (SELECT ticket_id, unnest(regexp_split_to_array(lower(full_text), '[ \\t\\r\\n]+')) AS word FROM m_tix) w WHERE word <> '' GROUP BY 1, 2",
     "m_hashed": "SELECT ticket_id, count(*) FILTER (WHERE weight <> 0)::INTEGER AS slots, round(sum(abs(weight)) / sqrt(sum(weight * weight)), 6) AS absolute_sum, round(sum(weight) / sqrt(sum(weight * weight)), 6) AS signed_sum FROM m_slots GROUP BY 1",
     "m_watermark": "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS passed FROM events",
+    "m_closed": "SELECT * FROM m_events WHERE event_timestamp::DATE + INTERVAL 1 DAY <= (SELECT passed FROM m_watermark)",
 }
 
 _CHUNK_END = """CASE WHEN {s} + 1024 >= n THEN {s} + 1024 ELSE {s} + 1024 - (CASE
@@ -427,12 +429,13 @@ FROM (SELECT last_purchase_date, date_sub('second', last_purchase_date, TIMESTAM
     "response_records": f"""SELECT a.answer_id, a.query_id, q.query_text AS query, a.answer_text AS answer, coalesce((SELECT string_agg(s.source_no || '=' || s.doc_id, ', ' ORDER BY s.source_no) FROM m_sources s WHERE s.query_id = a.query_id AND contains(a.answer_text, '[Source ' || s.source_no || ']')), '') AS citations,
   q.intent, coalesce(b.num_sources, 0) AS num_sources, p.customer_id, CASE WHEN p.customer_id IS NOT NULL THEN {_NAME} END AS name, p.customer_segment AS segment, CASE WHEN p.customer_id IS NOT NULL THEN {HEALTH_DEDUCTION} END AS health_score
 FROM m_answers a JOIN m_asked q ON q.query_id = a.query_id LEFT JOIN m_profile p ON lower(p.email) = lower(q.customer_email) LEFT JOIN m_blocks b ON b.query_id = a.query_id""",
-    "preset_prompts": f"SELECT a.customer_id, a.preset, a.intent, coalesce(num_sources, 0)::INTEGER AS num_sources, {_prompt('query_text')} AS prompt FROM m_preset_asked a LEFT JOIN m_preset_blocks b ON b.query_id = a.query_id",
+    "preset_prompts": f"SELECT a.customer_id, a.preset, a.intent, coalesce(num_sources, 0)::INTEGER AS num_sources, length({_prompt('query_text')})::INTEGER AS prompt_chars, sha256({_prompt('query_text')}) AS prompt_sha256 FROM m_preset_asked a LEFT JOIN m_preset_blocks b ON b.query_id = a.query_id",
     "compare_prompts": f"""SELECT a.left_id, a.right_id, a.intent, coalesce(num_sources, 0)::INTEGER AS num_sources, concat_ws(chr(10), {_text(PROMPT_INSTRUCTIONS)}, l.block, r.block,
   CASE WHEN blocks IS NOT NULL THEN chr(10) || 'RELEVANT HISTORICAL DATA:' || chr(10) || blocks END, chr(10) || 'USER QUERY: ' || query_text, {_text(PROMPT_CLOSING)}) AS prompt
 FROM m_pairs a JOIN m_profile_blocks l ON l.customer_id = a.left_id JOIN m_profile_blocks r ON r.customer_id = a.right_id LEFT JOIN m_pair_blocks b ON b.query_id = a.query_id""",
     "recommend_products": f"""SELECT query_id AS customer_id, rank::INTEGER AS rank, product_id, product_name, description, price, category, round(score, 6) AS relevance_score FROM ({_hits_sql('(SELECT customer_id AS query_id, -1 AS exclude_id, list(mean ORDER BY place) AS query_vector FROM (SELECT customer_id, place, avg(x) AS mean FROM (SELECT customer_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS place FROM (SELECT DISTINCT o_custkey AS customer_id, l_partkey AS product_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey) b JOIN m_prods USING (product_id) WHERE embedding IS NOT NULL) u GROUP BY 1, 2) m GROUP BY 1)', 'm_prods', 'product_id', 5)}) h JOIN m_products USING (product_id)""",
     "stream_incremental_load": "SELECT * FROM events",
+    "stream_user_metrics": "SELECT c.*, visited_pages FROM (SELECT user_id, count(DISTINCT session_id) AS total_sessions, count(*) AS total_page_views, max(event_timestamp) AS last_visit FROM m_closed WHERE user_id IS NOT NULL GROUP BY 1) c LEFT JOIN (SELECT user_id, string_agg(page_path, ', ' ORDER BY page_path) AS visited_pages FROM (SELECT user_id, page_path, row_number() OVER (PARTITION BY user_id ORDER BY page_path) AS n FROM (SELECT DISTINCT user_id, page_path FROM m_closed) d) r WHERE n <= 10 GROUP BY 1) p USING (user_id)",
     "stream_web_metrics": "SELECT user_id, event_timestamp::DATE AS day, count(DISTINCT session_id) AS total_sessions, count(*) AS total_page_views, max(event_timestamp) AS last_visit FROM m_events WHERE event_timestamp::DATE + INTERVAL 1 DAY <= (SELECT passed FROM m_watermark) GROUP BY 1, 2",
     "stream_daily_sentiment": f"SELECT customer_id, timestamp::DATE AS date, {_DAILY_ROUND} AS avg_sentiment, count(*) AS interactions FROM m_interactions WHERE timestamp::DATE + INTERVAL 1 DAY <= (SELECT passed FROM m_watermark) GROUP BY 1, 2",
     "stream_sessions": """SELECT * EXCLUDE (session_no) FROM (SELECT user_id, session_no, min(event_timestamp) AS session_start, max(event_timestamp) AS session_end, count(*) AS events FROM (

@@ -76,17 +76,17 @@ def customer_360_rfm_or(spark, folder):
 
 @query
 def purchase_metrics(spark, folder):
-    return metrics.purchase_metrics(model.orders(spark, folder), unique_ids=True)
+    return metrics.purchase_metrics(model.orders(spark, folder))
 
 
 @query
 def support_metrics(spark, folder):
-    return metrics.support_metrics(model.tickets(spark, folder), unique_ids=True)
+    return metrics.support_metrics(model.tickets(spark, folder))
 
 
 @query
 def web_metrics(spark, folder):
-    return metrics.web_metrics(model.events(spark, folder), unique_ids=True).withColumn("visited_pages", F.array_join("visited_pages", ", "))
+    return metrics.web_metrics(model.events(spark, folder)).withColumn("visited_pages", F.array_join("visited_pages", ", "))
 
 
 @query
@@ -121,7 +121,7 @@ def acquisition_sources(spark, folder):
 
 @query
 def orders_left_grouped(spark, folder):
-    return metrics.orders_left_grouped(model.customers(spark, folder), model.orders(spark, folder), unique_ids=True)
+    return metrics.orders_left_grouped(model.customers(spark, folder), model.orders(spark, folder))
 
 
 @query
@@ -608,13 +608,11 @@ def response_records(spark, folder):
 
 @query
 def preset_prompts(spark, folder):
-    names = sorted(PRESET_QUESTIONS)
-    position = F.coalesce(*[F.when(F.col("preset") == name, number) for number, name in enumerate(names)])
-    stored = model.read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("_place"), F.col("embedding").alias("query_vector"))
-    presets = retrieval.preset_questions(spark).withColumn("_place", position.cast("bigint")).join(stored, "_place").drop("_place")
-    # Written once: the questions, the search and the prompts all start from the profiles.
+    """Prompts by length and digest. The n-th preset is asked with the mean of all stored vectors of label n."""
     profile = store.write_version(_profile(spark, folder).select(*retrieval.PROFILE_COLUMNS), "profiles")
-    return retrieval.preset_prompts(presets, profile, model.tickets_embedded(spark, folder), model.products_embedded(spark, folder), 0.15)
+    vectors = model.label_vectors(spark, folder, sorted(PRESET_QUESTIONS)).withColumnRenamed("name", "preset")
+    found = retrieval.preset_prompts(vectors, profile, model.tickets_embedded(spark, folder), model.products_embedded(spark, folder), 0.15)
+    return found.select("customer_id", "preset", "intent", "num_sources", F.length("prompt").alias("prompt_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 @query
@@ -622,9 +620,8 @@ def compare_prompts(spark, folder):
     """Each customer next to the one with the following id."""
     profile = store.write_version(_profile(spark, folder).select(*retrieval.PROFILE_COLUMNS), "profiles")
     pairs = profile.select(F.col("customer_id").alias("left_id"), (F.col("customer_id") + 1).alias("right_id"))
-    stored = model.read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("_place"), F.col("embedding").alias("query_vector"))
-    asked = retrieval.compare_questions(pairs, profile).withColumns({"query_id": F.col("left_id"), "_place": F.col("left_id") % 500})
-    questions = store.write_version(asked.join(stored, "_place").drop("_place"), "pairs")
+    asked = retrieval.compare_questions(pairs, profile).withColumn("query_id", F.col("left_id"))
+    questions = store.write_version(model.with_stored_vector(spark, folder, asked, F.col("left_id")).drop("exclude_id"), "pairs")
     sources = retrieval.retrieve_context(questions, model.tickets_embedded(spark, folder), model.products_embedded(spark, folder), 0.0)
     return retrieval.compare_prompts(questions, profile, sources)
 
@@ -646,7 +643,7 @@ EVENT_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 
 
 def _landed_events(spark, folder) -> DataFrame:
-    return upkeep.landed_files(spark, folder, EVENT_COLUMNS, "events.parquet")
+    return upkeep.landed_files(spark, f"{folder}/events.parquet", EVENT_COLUMNS)
 
 
 def _streamed(spark, name: str) -> tuple[str, str]:
@@ -657,30 +654,45 @@ def _streamed(spark, name: str) -> tuple[str, str]:
 def stream_incremental_load(spark, folder):
     target, progress = _streamed(spark, "loaded")
     upkeep.insert_new_rows(_landed_events(spark, folder), target, progress, "event_id")
-    return spark.read.parquet(target).drop("batch_id")
+    return upkeep.inserted_rows(spark, target, EVENT_COLUMNS)
 
 
-@query
-def stream_web_metrics(spark, folder):
+def _web_activity(spark, folder) -> str:
     target, progress = _streamed(spark, "web")
     timed = _landed_events(spark, folder).select(
-        "event_id", "user_id", F.concat(F.col("user_id").cast("string"), F.lit("-"), F.to_date("ts").cast("string")).alias("session_id"), F.col("ts").alias("event_timestamp")
+        "event_id", "user_id", F.concat(F.col("user_id").cast("string"), F.lit("-"), F.to_date("ts").cast("string")).alias("session_id"),
+        F.concat(F.lit("/"), F.col("event_type")).alias("page_path"), F.col("ts").alias("event_timestamp"),
     )
     upkeep.web_activity(timed, target, progress)
-    return upkeep.daily_web_metrics(spark, target).withColumn("last_visit", F.col("last_visit").cast("timestamp_ntz"))
+    return target
+
+
+@query
+def stream_web_metrics(spark, folder):
+    """Days closed by the watermark."""
+    return upkeep.daily_web_metrics(spark, _web_activity(spark, folder)).withColumn("last_visit", F.col("last_visit").cast("timestamp_ntz"))
+
+
+@query
+def stream_user_metrics(spark, folder):
+    """Days closed by the watermark."""
+    found = upkeep.user_web_metrics(spark, _web_activity(spark, folder))
+    return found.withColumns({"last_visit": F.col("last_visit").cast("timestamp_ntz"), "visited_pages": F.array_join("visited_pages", ", ")})
 
 
 @query
 def stream_daily_sentiment(spark, folder):
+    """Days closed by the watermark."""
     target, progress = _streamed(spark, "sentiment")
     score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 50.0) / 50.0))
     upkeep.daily_sentiment(_landed_events(spark, folder).select(F.col("user_id").alias("customer_id"), F.col("ts").alias("timestamp"), score.alias("sentiment_score")), target, progress)
-    return spark.read.parquet(target)
+    return upkeep.written(spark, target, upkeep.DAILY_SENTIMENT)
 
 
 @query
 def stream_sessions(spark, folder):
+    """Sessions closed by the watermark."""
     target, progress = _streamed(spark, "sessions")
     upkeep.sessions(_landed_events(spark, folder).select("user_id", F.col("ts").alias("event_timestamp")), target, progress)
-    found = spark.read.parquet(target)
+    found = upkeep.written(spark, target, upkeep.SESSIONS)
     return found.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("session_start", "session_end")})

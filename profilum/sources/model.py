@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,9 +39,6 @@ def email_of(customer: Column) -> Column:
     return F.concat(F.lit("customer"), F.lpad(customer.cast("string"), 9, "0"), F.lit("@example.com"))
 
 
-# A file set too small for its cluster is spread over so many tasks at most.
-MAX_SPREAD = 32
-_SPLITS: dict[tuple[str, str], int] = {}
 _SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
@@ -54,14 +53,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts, spread over the cores when the files hold fewer splits than there are cores. At scale a
-    scan has more splits than that and nothing moves."""
-    source = read_table(spark, folder, "documents")
-    wanted = min(spark.sparkContext.defaultParallelism, MAX_SPREAD)
-    known = (spark.sparkContext.applicationId, folder)
-    if known not in _SPLITS:
-        _SPLITS[known] = source.rdd.getNumPartitions()
-    return source.repartition(wanted) if _SPLITS[known] < wanted else source
+    return read_table(spark, folder, "documents")
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,12 +197,26 @@ def user_queries(spark: SparkSession, folder: str, vectors: bool = True) -> Data
         "turn",
         F.concat(prefix, F.col("text")).alias("query_text"),
         F.when(conv % 7 != 6, email_of(customer)).alias("customer_email"),
-        (conv % 500).alias("exclude_id"),
     )
     if not vectors:
         return turns
-    stored = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("exclude_id"), F.col("embedding").alias("query_vector"))
-    return turns.join(stored, "exclude_id", "left")
+    return with_stored_vector(spark, folder, turns, conv)
+
+
+def with_stored_vector(spark: SparkSession, folder: str, rows: DataFrame, number: Column) -> DataFrame:
+    """Rows with the stored vector that lies at ``number`` modulo the count of vectors, and its id as ``exclude_id``."""
+    stored = read_table(spark, folder, "embeddings")
+    count = stored.select(F.count("*")).scalar()
+    vectors = stored.select(F.col("vec_id").alias("exclude_id"), F.col("embedding").alias("query_vector"))
+    return rows.withColumn("exclude_id", F.try_mod(number, count)).join(vectors, "exclude_id", "left")
+
+
+def label_vectors(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """A vector for each name: the mean of all stored vectors with its number as label."""
+    stored = read_table(spark, folder, "embeddings").filter(F.col("embedding").isNotNull() & F.col("label").between(0, len(names) - 1))
+    means = stored.select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector")).groupBy("label")
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("label") + 1)
+    return means.agg(vector_to_array(Summarizer.mean(F.col("vector"))).alias("query_vector")).select(name.alias("name"), "query_vector")
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,5 +239,4 @@ def tables(spark: SparkSession, folder: str) -> Tables:
         orders=orders(spark, folder),
         tickets=tickets(spark, folder),
         events=events(spark, folder),
-        unique_ids=True,
     )

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from profilum.operators import metrics, rollups, search
 from profilum.operators.profile import customer_profile
@@ -52,9 +53,17 @@ def test_search_moves_no_texts(wide_session):
 def test_filters_reach_the_scan(wide_session):
     text = plan(model.user_queries(wide_session, FOLDER, vectors=False))
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in text
-    listed = wide_session.createDataFrame([("customer000000003@example.com",)], "email string")
-    profile = customer_profile(model.tables(wide_session, FOLDER), model.AS_OF, only=listed)
-    assert re.search(r"PushedFilters: \[[^]]*EqualTo\(user_id,3\)", plan(profile.select("customer_id", "total_sessions")))
+
+
+def test_a_list_of_addresses_has_one_plan(wide_session):
+    """Facts are cut by semi-joins before they are combined, and the plan is the same whatever the length of the list."""
+    shapes = set()
+    for count in (499, 500, 501):
+        listed = wide_session.range(count).select(model.email_of(F.col("id")).alias("email"))
+        text = plan(customer_profile(model.tables(wide_session, FOLDER), model.AS_OF, only=listed).select("customer_id", "total_sessions"))
+        assert "LeftSemi" in text
+        shapes.add(tuple(re.findall(r"^[ :+*()\d-]*([A-Z]\w+)", text, re.MULTILINE)))
+    assert len(shapes) == 1
 
 
 def test_timeline_shuffles_customers_not_days(wide_session):

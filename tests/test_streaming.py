@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from profilum.operators.sentiment import daily_sentiment
+from profilum.plans.registry import QUERIES
 from profilum.session import fresh_path
 from profilum.streaming import upkeep
 
@@ -68,3 +69,30 @@ def test_daily_sentiment_equals_batch_on_closed_days(spark):
     closed = START + dt.timedelta(hours=5 * 99 - 24)
     batch = daily_sentiment(spark.createDataFrame(rows, schema), "2024-01-31", newest=1000).filter(F.date_add("date", 1) <= F.lit(closed.date()))
     assert sorted(map(str, spark.read.parquet(target).select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_table_of_several_files_and_empty_landing(spark):
+    """All stream queries over a folder of three files, and over one without rows, equal those over one file."""
+    names = ["stream_incremental_load", "stream_web_metrics", "stream_user_metrics", "stream_daily_sentiment", "stream_sessions"]
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    whole, split, empty = (fresh_path(spark, name) for name in ("whole", "split", "empty"))
+    events.coalesce(1).write.parquet(f"{whole}/events.parquet")
+    events.repartition(3).write.parquet(f"{split}/events.parquet")
+    events.limit(0).write.parquet(f"{empty}/events.parquet")
+    for name in names:
+        one, several = (sorted(map(str, QUERIES[name](spark, folder).collect())) for folder in (whole, split))
+        assert one == several and one
+        nothing = QUERIES[name](spark, empty)
+        assert nothing.count() == 0 and nothing.columns == QUERIES[name](spark, whole).columns
+
+
+def test_a_batch_reads_its_own_buckets(spark):
+    folder, target, progress = (fresh_path(spark, name) for name in ("in", "out", "progress"))
+    schema = "id bigint, v string"
+    land(spark, folder, [(key, "a") for key in range(500)], schema)
+    upkeep.insert_new_rows(upkeep.landed_files(spark, folder, schema), target, progress, "id")
+    land(spark, folder, [(7, "b"), (1000, "b")], schema)
+    upkeep.insert_new_rows(upkeep.landed_files(spark, folder, schema), target, progress, "id")
+    stored = spark.read.parquet(target)
+    assert stored.filter("batch_id = 1").select("id", "v").collect() == [(1000, "b")]
+    assert stored.count() == 501 and stored.select("bucket").distinct().count() == upkeep.BUCKETS
