@@ -215,12 +215,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     starts and ends, not yet merged."""
     source = docs.select(*_keyed(docs, doc_id, text), F.col(f"`{text}`").alias("text"))
     found = write_version(source.mapInArrow(_segments(length, gram), "key long, key2 long, anchor long, hash long, hash2 long, start int, windows int"), "segments")
-    often = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written apart, so that the join meets the anchors as they are stored and splits those with many rows.
+    often = write_version(found.groupBy("anchor").count().where("count > 1").select("anchor"), "frequent-anchors")
     places = write_version(found.join(often, "anchor"), "repeated-anchors")
 
     distinct = places.groupBy(*SEGMENT).agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "start", "windows")).alias("place"))
     distinct = write_version(distinct.select(*SEGMENT, "times", "place.*"), "distinct-segments")
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1")
+    kinds = write_version(distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1"), "mixed-anchors")
     compared = distinct.join(kinds, "anchor")
     wanted = compared.groupBy(*KEY).agg(F.collect_list(F.struct(*SEGMENT, "start", "windows")).alias("wanted"))
     texts = source.join(wanted, KEY).select("text", "wanted")
