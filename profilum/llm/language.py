@@ -10,7 +10,7 @@ shortest code names the language, ties the smaller name; the score is its weight
 when each bit counts half.
 
 Learning takes at most ``ROWS`` labelled texts and ``BYTES`` bytes of each of the ``LANGUAGES`` most
-frequent languages, chosen by a hash of the id; scoring takes every byte of every text. Null texts and
+frequent languages, chosen by a hash of id and text; scoring takes every byte of every text. Null texts and
 texts without a letter are ``und`` with score 0, and so is everything if nothing was learned. Rows
 with null id, text or label teach nothing. Repeated rows are scored each. An empty table gives no rows.
 """
@@ -203,12 +203,14 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     """Learn from a bounded sample of labelled texts. The counts are made by Spark; their number is bounded by
     ``LANGUAGES * BYTES``, so the trees can be built here and sent to the executors."""
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
-    order = [F.xxhash64("id"), F.col("id")]
-    languages = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    chosen = top_per_group(rows.select("id", "lang").join(F.broadcast(languages), "lang", "left_semi"), ["lang"], order, ROWS, "_rank").select("id", "lang").distinct()
-    texts = top_per_group(rows.join(chosen, ["id", "lang"], "left_semi"), ["lang"], [*order, F.xxhash64("text")], ROWS, "_rank")
-    before = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("lang").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1))
-    sample = texts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < BYTES).select("lang", "text")
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    # A few times as many rows as wanted pass the hash, however many there are; copies of a row count once.
+    share = known.select("lang", F.least(F.lit(1.0), 4.0 * ROWS / F.col("count")).alias("share"))
+    hashed = rows.withColumn("hash", F.xxhash64("id", "text")).join(F.broadcast(share), "lang")
+    passed = hashed.where(F.pmod("hash", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    texts = top_per_group(passed.groupBy("lang", "hash").agg(F.min("text").alias("text")), ["lang"], [F.col("hash")], ROWS, "place")
+    before = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    sample = texts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < BYTES).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     table = counted.toArrow()
     counts = {}
