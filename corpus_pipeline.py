@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from profilum.llm import language, packing, repeats, simhash
 from profilum.llm.names import unused
-from profilum.session import steady_unions
+from profilum.llm.settings import prepare
 from profilum.sources.store import write_version
 
 # SQL expresses neither context trees nor packing; tests hold each stage against a brute-force version.
@@ -27,6 +27,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     model = language.fit(docs.where(language.learnable()))
     name = unused(docs, "_found")
     found = docs.withColumn(name, language.predict(docs, model)["lang"]).where(F.col(name) != language.UNDETERMINED)
@@ -34,16 +35,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return simhash.one_per_component(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    steady_unions(spark)
+    prepare(spark)
     return repeats.clean(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    steady_unions(spark)
+    prepare(spark)
     pieces = packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
 

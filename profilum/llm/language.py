@@ -34,7 +34,7 @@ ORDER = 4
 ROWS, BYTES, LANGUAGES = 1000, 1 << 20, 64
 UNIT = 65536
 UNDETERMINED = "und"
-_BLOCK = 1 << 19
+_BLOCK = 1 << 18
 _FLAT = 8 * UNIT
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.llm import bpe, chat_format, exact_topk, html_extract, language, nearest, packing, repeats, simhash, token_counts
-from profilum.session import steady_unions
+from profilum.llm.settings import prepare
 from profilum.sources.model import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 def query(function):
     @wraps(function)
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        steady_unions(spark)
+        prepare(spark)
         return function(spark, folder)
 
     QUERIES[function.__name__] = run

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -38,7 +37,7 @@ from profilum.sources.store import write_version
 LENGTH = 400
 GRAM = 128
 DENSE = 512
-_BLOCK = 1 << 19
+_BLOCK = 1 << 18
 _BATCH_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 31) - 1)
@@ -85,10 +84,12 @@ class Winnow:
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts together and where each begins (with the end); null: empty."""
-    column = column.fill_null("").cast(pa.large_binary())
+    """The bytes of all texts together, where they lie, and where each begins (with the end); null: empty."""
+    if column.null_count:
+        column = column.fill_null("")
     _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    bounds = np.frombuffer(offsets, dtype=width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     everything = np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, dtype=np.uint8)
     return everything[bounds[0] : bounds[-1]], bounds - bounds[0]
 
@@ -240,12 +241,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return spans.groupBy(*KEY).agg(F.flatten(F.collect_set("span")).alias("spans"))
 
 
-def merged(spans: np.ndarray | None) -> list[tuple[int, int]]:
+def merged(spans: list[int] | None) -> list[tuple[int, int]]:
     """Ranges of a flat array as maximal runs in order; ranges that touch are one run."""
     runs: list[tuple[int, int]] = []
     if spans is None:
         return runs
-    for low, high in sorted(zip(spans[::2].tolist(), spans[1::2].tolist())):
+    for low, high in sorted(zip(spans[::2], spans[1::2])):
         if runs and low <= runs[-1][1]:
             runs[-1] = (runs[-1][0], max(high, runs[-1][1]))
         else:
@@ -270,24 +271,24 @@ def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
     return inner
 
 
-@F.pandas_udf(StructType([StructField("runs", ArrayType(LongType())), StructField("kept", BinaryType())]))
-def _removed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, spans in batches:
-        data = [(text or "").encode("utf-8", "replace") for text in texts]
-        runs = [merged(span) for span in spans]
-        yield pd.DataFrame({"runs": [np.array(run, dtype=np.int64).ravel() for run in runs], "kept": [without(text, run) for text, run in zip(data, runs)]})
-
-
-@F.pandas_udf(StringType())
-def _kept_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, spans in batches:
-        kept = []
-        for text, span in zip(texts, spans):
-            if text is not None and span is not None:
-                data = text.encode("utf-8", "replace")
-                text = without(data, whole_characters(data, merged(span))).decode("utf-8")
-            kept.append(text)
-        yield pd.Series(kept, dtype=object)
+@F.arrow_udf(StructType([StructField("runs", ArrayType(LongType())), StructField("kept", BinaryType())]))
+def _removed(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    runs = [merged(span.as_py()) for span in spans]
+    kept = [without((text.as_py() or "").encode("utf-8", "replace"), run) for text, run in zip(texts, runs)]
+    flat = [[place for run in row for place in run] for row in runs]
+    return pa.StructArray.from_arrays([pa.array(flat, type=pa.list_(pa.int64())), pa.array(kept, type=pa.binary())], names=["runs", "kept"])
+
+
+@F.arrow_udf(StringType())
+def _kept_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    kept = []
+    for text, span in zip(texts, spans):
+        text = text.as_py()
+        if text is not None and span.is_valid:
+            data = text.encode("utf-8", "replace")
+            text = without(data, whole_characters(data, merged(span.as_py()))).decode("utf-8")
+        kept.append(text)
+    return pa.array(kept, type=pa.string())
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from itertools import accumulate, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -60,10 +59,9 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(lasts), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(LongType())
-def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([fingerprint(text) for text in texts], dtype="int64")
+@F.arrow_udf(LongType())
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array([fingerprint(text.as_py()) for text in texts], type=pa.int64())
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
