@@ -11,6 +11,51 @@ CHURN_RISK_NAMES = {"HIGH": "High Risk", "MEDIUM": "Medium Risk", "LOW": "Low Ri
 OPEN_STATUSES = ["open", "pending"]
 INTENTS = ["customer_info", "support_history", "product_recommendation", "churn_analysis", "general"]
 
+# Cut-offs of segments on lifetime value, from the top. The strict ones are to be exceeded, the others reached.
+SEGMENT_OVER = {"VIP": 10000, "High Value": 5000, "Medium Value": 1000}
+SEGMENT_FROM = {"VIP": 10000, "High Value": 5000, "Medium Value": 1000, "Low Value": 100}
+VIP_ORDERS = 10
+
+# Cut-offs of the churn risk, in days since the last order and open tickets by policy.
+HIGH_RISK_DAYS, MEDIUM_RISK_DAYS = 180, 90
+HIGH_RISK_TICKETS = {"simple": 0, "rfm_and": 1, "rfm_or": 2}
+
+# Parts of the health scores. Pairs are an upper bound (days below it, tickets up to it) and its score.
+RECENCY_SCORES, RECENCY_REST, RECENCY_MISSING = [(30, 100), (90, 75), (180, 50)], 25, 50
+SUPPORT_SCORES, SUPPORT_REST = [(0, 100), (2, 70)], 30
+SATISFACTION_MISSING = 50
+HEALTH_WEIGHTS = {"recency": 0.25, "frequency": 0.20, "monetary": 0.25, "satisfaction": 0.15, "support": 0.15}
+IMPROVING_FROM, DECLINING_BELOW = 80, 60
+RISK_CUTS = {"days": 90, "tickets": 2, "satisfaction": 3.5}
+POSITIVE_CUTS = {"value": 10000, "orders": 20, "satisfaction": 4.5}
+# Deductions from one hundred, largest first, for a risk that names the word or for more than so many days or tickets.
+RISK_DEDUCTIONS = [("HIGH", 30), ("MEDIUM", 15)]
+DAYS_DEDUCTIONS = [(90, 20), (60, 10)]
+TICKET_DEDUCTIONS = [(3, 15), (0, 5)]
+VALUE_BONUS = (5000, 10)
+# Additions to the churn probability: more than so many days or tickets, a satisfaction below.
+CHURN_DAYS = [(180, 0.4), (90, 0.2)]
+CHURN_TICKETS = [(3, 0.3), (1, 0.15)]
+CHURN_SATISFACTION = [(3.0, 0.3), (3.5, 0.15)]
+
+# Labels of the lines that documents are embedded and quoted by.
+TICKET_LABELS = ["Subject: ", "Description: ", "Status: ", "Priority: "]
+PRODUCT_LABELS = ["Product: ", "\nCategory: ", "\nDescription: ", "\nPrice: $"]
+PRODUCT_CATEGORY = "General"
+INTERACTION_LABELS = ["Interaction ID: ", "Customer: ", "Channel: ", "Sentiment: ", "Date: ", "Content: "]
+SENTIMENT_SUMMARY = ["Customer ", " Sentiment Analysis:\nSummary: ", "\nLatest Average Score: "]
+SOURCE_MARKS = ["--- SOURCE ", " ---\n", "\n--- END SOURCE ", " ---\n"]
+
+# Labels of the customer profile in prompts, in the long and in the short form.
+PROFILE_HEADING, BUDGETED_HEADING = "\nCUSTOMER PROFILE:\n", "\nCustomer Context:\n"
+PROFILE_LABELS = [
+    "Name", "Email", "Customer ID", "Segment", "Lifetime Value", "Total Orders", "Average Order Value", "Days Since Last Purchase",
+    "Total Support Tickets", "Open Support Tickets", "Satisfaction Score", "Churn Risk", "Health Score", "Customer Since",
+]
+BUDGETED_LABELS = [
+    "Name", "Email", "Segment", "Lifetime Value", "Total Orders", "Days Since Last Purchase", "Open Support Tickets", "Satisfaction Score", "Churn Risk",
+]
+
 # Intent words, tried in this order; the last row needs a known customer.
 INTENT_WORDS = [
     ("product_recommendation", ["product", "recommend", "suggest", "buy", "purchase"]),
@@ -136,6 +181,7 @@ Be specific and reference actual ticket data.""",
 
 Keep it concise but actionable.""",
 }
+APOLOGY = "I apologize, but I encountered an error: "
 RECOMMENDING = "recommend_products"
 COMPARE_QUESTION = """Compare these two customers and identify:
 1. Key similarities and differences

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from profilum.fixed_values import BUDGETED_CLOSING, BUDGETED_INSTRUCTIONS, PROMPT_CLOSING, PROMPT_INSTRUCTIONS
+from profilum.fixed_values import (
+    BUDGETED_CLOSING,
+    BUDGETED_HEADING,
+    BUDGETED_INSTRUCTIONS,
+    BUDGETED_LABELS,
+    PROFILE_HEADING,
+    PROFILE_LABELS,
+    PROMPT_CLOSING,
+    PROMPT_INSTRUCTIONS,
+)
 from profilum.functions import scoring
 from profilum.functions.columns import currency, display_name
 
@@ -19,24 +28,24 @@ def _or(value: Column, missing: str) -> Column:
 def profile_block() -> Column:
     """Fourteen labelled lines about the customer; NULL when the profile is missing."""
     rated = _or(F.nullif(F.col("avg_satisfaction_score"), F.lit(0.0)), "N/A")
-    lines = [
-        ("Name", display_name()),
-        ("Email", F.col("email")),
-        ("Customer ID", F.col("customer_id").cast("string")),
-        ("Segment", F.col("customer_segment")),
-        ("Lifetime Value", currency("lifetime_value")),
-        ("Total Orders", F.col("total_orders").cast("string")),
-        ("Average Order Value", currency("avg_order_value")),
-        ("Days Since Last Purchase", _or(F.col("days_since_last_purchase"), "None")),
-        ("Total Support Tickets", F.col("total_tickets").cast("string")),
-        ("Open Support Tickets", F.col("open_tickets").cast("string")),
-        ("Satisfaction Score", F.concat(rated, F.lit("/5.0"))),
-        ("Churn Risk", F.col("churn_risk")),
-        ("Health Score", F.concat(scoring.health_deduction().cast("string"), F.lit("/100"))),
-        ("Customer Since", _or(F.date_format("customer_since", MOMENT), "None")),
+    values = [
+        display_name(),
+        F.col("email"),
+        F.col("customer_id").cast("string"),
+        F.col("customer_segment"),
+        currency("lifetime_value"),
+        F.col("total_orders").cast("string"),
+        currency("avg_order_value"),
+        _or(F.col("days_since_last_purchase"), "None"),
+        F.col("total_tickets").cast("string"),
+        F.col("open_tickets").cast("string"),
+        F.concat(rated, F.lit("/5.0")),
+        F.col("churn_risk"),
+        F.concat(scoring.health_deduction().cast("string"), F.lit("/100")),
+        _or(F.date_format("customer_since", MOMENT), "None"),
     ]
-    body = F.concat_ws("\n", *[F.concat(F.lit(f"- {label}: "), value) for label, value in lines])
-    return F.when(F.col("customer_id").isNotNull(), F.concat(F.lit("\nCUSTOMER PROFILE:\n"), body, F.lit("\n")))
+    body = F.concat_ws("\n", *[F.concat(F.lit(f"- {label}: "), value) for label, value in zip(PROFILE_LABELS, values)])
+    return F.when(F.col("customer_id").isNotNull(), F.concat(F.lit(PROFILE_HEADING), body, F.lit("\n")))
 
 
 def numbered(number: Column, body: Column) -> Column:
@@ -72,19 +81,19 @@ def prompt(question: Column, profile: Column, sources: Column) -> Column:
 
 def budgeted_profile_block() -> Column:
     """Nine labelled lines; zero days or satisfaction read as not available."""
-    lines = [
-        ("Name", display_name()),
-        ("Email", F.col("email")),
-        ("Segment", F.col("customer_segment")),
-        ("Lifetime Value", currency("lifetime_value")),
-        ("Total Orders", F.col("total_orders").cast("string")),
-        ("Days Since Last Purchase", _or(F.nullif(F.col("days_since_last_purchase"), F.lit(0)), "N/A")),
-        ("Open Support Tickets", F.col("open_tickets").cast("string")),
-        ("Satisfaction Score", _or(F.nullif(F.col("avg_satisfaction_score"), F.lit(0.0)), "N/A")),
-        ("Churn Risk", F.col("churn_risk")),
+    values = [
+        display_name(),
+        F.col("email"),
+        F.col("customer_segment"),
+        currency("lifetime_value"),
+        F.col("total_orders").cast("string"),
+        _or(F.nullif(F.col("days_since_last_purchase"), F.lit(0)), "N/A"),
+        F.col("open_tickets").cast("string"),
+        _or(F.nullif(F.col("avg_satisfaction_score"), F.lit(0.0)), "N/A"),
+        F.col("churn_risk"),
     ]
-    body = F.concat_ws("\n", *[F.concat(F.lit(f"- {label}: "), value) for label, value in lines])
-    return F.when(F.col("customer_id").isNotNull(), F.concat(F.lit("\nCustomer Context:\n"), body, F.lit("\n")))
+    body = F.concat_ws("\n", *[F.concat(F.lit(f"- {label}: "), value) for label, value in zip(BUDGETED_LABELS, values)])
+    return F.when(F.col("customer_id").isNotNull(), F.concat(F.lit(BUDGETED_HEADING), body, F.lit("\n")))
 
 
 def budgeted_source_block() -> Column:

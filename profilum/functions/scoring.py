@@ -9,20 +9,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from profilum.fixed_values import POSITIVE_FACTORS, RISK_FACTORS
+from profilum.fixed_values import (
+    CHURN_DAYS,
+    CHURN_SATISFACTION,
+    CHURN_TICKETS,
+    DAYS_DEDUCTIONS,
+    DECLINING_BELOW,
+    HEALTH_WEIGHTS,
+    IMPROVING_FROM,
+    POSITIVE_CUTS,
+    POSITIVE_FACTORS,
+    RECENCY_MISSING,
+    RECENCY_REST,
+    RECENCY_SCORES,
+    RISK_CUTS,
+    RISK_DEDUCTIONS,
+    RISK_FACTORS,
+    SATISFACTION_MISSING,
+    SUPPORT_REST,
+    SUPPORT_SCORES,
+    TICKET_DEDUCTIONS,
+    VALUE_BONUS,
+)
 
 _ZERO = 0.0
 
 
 def _recency(missing: int | None) -> Column:
     days = F.col("days_since_last_purchase")
-    score = F.when(days < 30, 100).when(days < 90, 75).when(days < 180, 50).when(days >= 180, 25)
-    return score if missing is None else score.otherwise(missing)
+    score = F.coalesce(*[F.when(days < bound, points) for bound, points in RECENCY_SCORES], F.when(days.isNotNull(), RECENCY_REST))
+    return score if missing is None else F.coalesce(score, F.lit(missing))
 
 
 def _support() -> Column:
     tickets = F.col("open_tickets")
-    return F.when(tickets == 0, 100).when(tickets <= 2, 70).otherwise(30)
+    return F.coalesce(*[F.when(tickets <= bound, points) for bound, points in SUPPORT_SCORES], F.lit(SUPPORT_REST))
 
 
 def _satisfied() -> Column:
@@ -56,25 +77,27 @@ def health_mean() -> Column:
 
 def health_detailed() -> dict[str, Column]:
     """Component scores, the weighted overall score and its factors, by output name."""
-    recency = _recency(50)
+    recency = _recency(RECENCY_MISSING)
     frequency = F.least(F.lit(100), _whole((F.col("total_orders") / F.lit(10.0)) * F.lit(100.0)))
     monetary = F.least(F.lit(100), _whole(F.col("lifetime_value") / F.lit(100.0)))
-    satisfaction = F.coalesce(_whole((_satisfied() / F.lit(5.0)) * F.lit(100.0)), F.lit(50))
+    satisfaction = F.coalesce(_whole((_satisfied() / F.lit(5.0)) * F.lit(100.0)), F.lit(SATISFACTION_MISSING))
     support = _support()
+    weights = HEALTH_WEIGHTS
     overall = _whole(
-        recency * F.lit(0.25) + frequency * F.lit(0.20) + monetary * F.lit(0.25) + satisfaction * F.lit(0.15) + support * F.lit(0.15)
+        recency * F.lit(weights["recency"]) + frequency * F.lit(weights["frequency"]) + monetary * F.lit(weights["monetary"])
+        + satisfaction * F.lit(weights["satisfaction"]) + support * F.lit(weights["support"])
     )
     rated = _satisfied()
     risks = [
-        F.col("days_since_last_purchase") > 90,
-        F.col("open_tickets") > 2,
-        rated < 3.5,
+        F.col("days_since_last_purchase") > RISK_CUTS["days"],
+        F.col("open_tickets") > RISK_CUTS["tickets"],
+        rated < RISK_CUTS["satisfaction"],
         F.col("churn_risk") == "High Risk",
     ]
     positives = [
-        F.col("lifetime_value") > 10000,
-        F.col("total_orders") > 20,
-        rated >= 4.5,
+        F.col("lifetime_value") > POSITIVE_CUTS["value"],
+        F.col("total_orders") > POSITIVE_CUTS["orders"],
+        rated >= POSITIVE_CUTS["satisfaction"],
         F.col("customer_segment") == "VIP",
     ]
 
@@ -88,7 +111,7 @@ def health_detailed() -> dict[str, Column]:
         "satisfaction_score": satisfaction,
         "support_health_score": support,
         "overall_score": overall,
-        "trend": F.when(overall >= 80, "improving").when(overall < 60, "declining").otherwise("stable"),
+        "trend": F.when(overall >= IMPROVING_FROM, "improving").when(overall < DECLINING_BELOW, "declining").otherwise("stable"),
         "risk_factors": named(risks, RISK_FACTORS),
         "positive_factors": named(positives, POSITIVE_FACTORS),
     }
@@ -99,10 +122,10 @@ def health_deduction() -> Column:
     risk, days, tickets = F.upper("churn_risk"), F.col("days_since_last_purchase"), F.col("open_tickets")
     score = (
         F.lit(100)
-        - F.when(risk.contains("HIGH"), 30).when(risk.contains("MEDIUM"), 15).otherwise(0)
-        - F.when(days > 90, 20).when(days > 60, 10).otherwise(0)
-        - F.when(tickets > 3, 15).when(tickets > 0, 5).otherwise(0)
-        + F.when(F.col("lifetime_value") > 5000, 10).otherwise(0)
+        - F.coalesce(*[F.when(risk.contains(word), points) for word, points in RISK_DEDUCTIONS], F.lit(0))
+        - F.coalesce(*[F.when(days > bound, points) for bound, points in DAYS_DEDUCTIONS], F.lit(0))
+        - F.coalesce(*[F.when(tickets > bound, points) for bound, points in TICKET_DEDUCTIONS], F.lit(0))
+        + F.when(F.col("lifetime_value") > VALUE_BONUS[0], VALUE_BONUS[1]).otherwise(0)
     )
     return F.greatest(F.lit(0), F.least(F.lit(100), score))
 
@@ -111,8 +134,8 @@ def churn_probability() -> Column:
     """Sum of inactivity, ticket and satisfaction factors, at most one."""
     days, tickets, rated = F.col("days_since_last_purchase"), F.col("open_tickets"), _satisfied()
     score = (
-        F.when(days > 180, 0.4).when(days > 90, 0.2).otherwise(_ZERO)
-        + F.when(tickets > 3, 0.3).when(tickets > 1, 0.15).otherwise(_ZERO)
-        + F.when(rated < 3.0, 0.3).when(rated < 3.5, 0.15).otherwise(_ZERO)
+        F.coalesce(*[F.when(days > bound, share) for bound, share in CHURN_DAYS], F.lit(_ZERO))
+        + F.coalesce(*[F.when(tickets > bound, share) for bound, share in CHURN_TICKETS], F.lit(_ZERO))
+        + F.coalesce(*[F.when(rated < bound, share) for bound, share in CHURN_SATISFACTION], F.lit(_ZERO))
     )
     return F.least(F.lit(1.0), score)

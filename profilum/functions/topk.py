@@ -41,7 +41,8 @@ def scan(queries: np.ndarray, excluded, blocks: Iterable[tuple[np.ndarray, np.nd
     for all_ids, all_rows in blocks:
         for first in range(0, len(all_ids), SLICE):
             ids, rows = all_ids[first : first + SLICE], all_rows[first : first + SLICE]
-            scores = queries @ rows.T
+            # Vectors with components that are no numbers score zero, like those without length.
+            scores = np.nan_to_num(queries @ rows.T, nan=0.0)
             if excluding:
                 same = pd.merge(
                     pd.DataFrame({"doc": np.array([excluded[number] for number in excluding], dtype=ids.dtype), "query": excluding}),
@@ -80,7 +81,7 @@ def scan_scopes(query_scopes, queries: np.ndarray, excluded, doc_scopes, ids: np
         if excluded is not None:
             other = np.asarray(excluded, dtype=object)[at_query] != ids[at_row]
             at_query, at_row = at_query[other], at_row[other]
-        scores = np.einsum("ij,ij->i", queries[at_query], rows[at_row])
+        scores = np.nan_to_num(np.einsum("ij,ij->i", queries[at_query], rows[at_row]), nan=0.0)
         found.append(best_rows(pd.DataFrame({"query": at_query, "doc": ids[at_row], "score": np.round(scores, DIGITS)}), k))
 
     for scope, at_query in left.items():

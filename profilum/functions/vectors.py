@@ -22,7 +22,8 @@ def cosine(left: Column, right: Column) -> Column:
 
 
 def unit_rows(vectors) -> np.ndarray:
-    """Vectors as the rows of a matrix, scaled to length one; zero vectors stay zero."""
-    matrix = np.stack([np.asarray(vector, dtype=np.float64) for vector in vectors])
+    """Vectors of one dimension as the rows of a matrix, scaled to length one; zero vectors stay zero."""
+    vectors = list(vectors)
+    matrix = np.concatenate(vectors).astype(np.float64, copy=False).reshape(len(vectors), -1)
     lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)

@@ -24,30 +24,41 @@ def customer_lookup(requests: DataFrame, profile: DataFrame) -> DataFrame:
     return wanted.join(named, "email_norm", "left").drop("email_norm")
 
 
+GRAM = 3
+
+
+def _grams(value: Column, size: Column) -> Column:
+    """The distinct substrings of a size; the empty one for size 0, none if the value is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(value) - size + 1, F.lit(1)))
+    found = F.array_distinct(F.transform(starts, lambda start: F.substring(value, start, size)))
+    return F.when(size == 0, F.array(F.lit(""))).when(F.length(value) >= size, found).otherwise(F.array().cast("array<string>"))
+
+
 def similar_customers(requests: DataFrame, profile: DataFrame, limit: int = 5) -> DataFrame:
     """Customers whose address contains the part before ``@``, nearest spelling first.
 
-    ``requests`` has ``query_id`` and ``email``. Containment is an equi-join: each address is cut
-    into its substrings of the lengths that were asked for, and those are matched by equality.
+    ``requests`` has ``query_id`` and ``email``. A part is looked up by the rarest of its substrings of three
+    characters (of its own length if it is shorter, the empty one if it is empty), an equi-join with the
+    substrings of the addresses; what meets is compared whole. Addresses are cut into substrings of the
+    sizes that occur and keep those that some part is looked up by.
     """
     # A split at the first @ is the whole text when there is none.
     wanted = requests.select(
         "query_id", F.lower("email").alias("search_email"), F.lower(F.element_at(F.split("email", "@"), 1)).alias("part")
     ).filter(F.col("part").isNotNull())
-    # There are no more of these lengths than characters in the longest address.
-    longest = profile.agg(F.max(F.length("email"))).first()[0] or 0
-    lengths = sorted(row[0] for row in wanted.select(F.length("part").alias("n")).filter(F.col("n") <= longest).distinct().collect())
+    size = F.least(F.length("part"), F.lit(GRAM))
+    parts = wanted.select("part", size.alias("size")).distinct()
+    of_parts = parts.select("part", F.explode(_grams(F.col("part"), F.col("size"))).alias("gram"))
+    sizes = parts.agg(F.collect_set("size")).scalar()
     address = F.lower("email")
-
-    def substrings(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(address) - size + 1)
-        found = F.transform(starts, lambda start: F.substring(address, start, F.lit(size)))
-        return F.when(F.length(address) >= size, found).otherwise(F.array().cast("array<string>"))
-
-    cuts = F.array_distinct(F.flatten(F.array(*[substrings(size) for size in lengths]))) if lengths else F.array().cast("array<string>")
-    parts = profile.select("customer_id", "email", F.explode(cuts).alias("part"))
-    candidates = wanted.join(parts, "part").select(
-        "query_id", "customer_id", "email", F.levenshtein(F.lower("email"), F.col("search_email")).alias("distance")
+    cuts = F.flatten(F.array(*[F.when(F.array_contains(sizes, F.lit(n)), _grams(address, F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(GRAM + 1)]))
+    of_addresses = profile.filter(F.col("email").isNotNull()).select("customer_id", "email", F.explode(cuts).alias("gram"))
+    asked = of_addresses.join(of_parts.select("gram").distinct(), "gram", "left_semi")
+    common = asked.groupBy("gram").agg(F.count("*").alias("addresses"))
+    rarity = F.struct(F.coalesce("addresses", F.lit(0)), "gram")
+    rarest = of_parts.join(common, "gram", "left").groupBy("part").agg(F.min_by("gram", rarity).alias("gram"))
+    candidates = wanted.join(rarest, "part").join(of_addresses, "gram").filter(address.contains(F.col("part"))).select(
+        "query_id", "customer_id", "email", F.levenshtein(address, F.col("search_email")).alias("distance")
     )
     nearest = top_per_group(candidates, ["query_id"], [F.col("distance"), F.col("email")], limit).drop("email")
     # The rest of the profile is only needed for the few that are left.
@@ -100,20 +111,16 @@ def leaderboard(profile: DataFrame, limit: int = 10) -> DataFrame:
 def value_percentile(profile: DataFrame, column: str = "lifetime_value", key: str = "customer_id", slices: int | None = None) -> DataFrame:
     """Percentile rank of every row: the share of values not above its own, times one hundred.
 
-    Equal values are counted first. The distinct values are cut into ``slices`` ranges (by
-    default as many as shuffle partitions, within 64 and 1024) at approximate quantiles; each range is summed on its own and shifted by the ranges below it, so no
-    task sees all values. The cut points only balance the work; the ranks are exact.
+    Equal values are counted first. The distinct values are sorted into ranges, by default as many as
+    shuffle partitions, and written with their range; each range is summed on its own and shifted by
+    the ranges below it, so no task sees all values.
     """
-    if slices is None:
-        slices = min(1024, max(64, int(profile.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    # Written once: the cut points, the ranks and the final join all read the values.
+    # Written once: the ranks and the final join both read the values.
     values = write_version(profile.select(key, column), "values")
     counts = values.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    cuts = sorted(set(counts.approxQuantile(column, [i / slices for i in range(1, slices)], 0.25 / slices)))
-    # Cut points arrive as literals; their number is bounded by the slices.
-    place = F.size(F.filter(F.array(*[F.lit(cut) for cut in cuts]), lambda cut: cut < F.col(column))) if cuts else F.lit(0)
-    placed = counts.withColumn("slice", place)
-    # One row per slice: the running total over them is small.
+    ranged = counts.repartitionByRange(slices, column) if slices else counts.repartitionByRange(column)
+    placed = write_version(ranged.withColumn("slice", F.spark_partition_id()), "distinct-values")
+    # One row per range: the running total over them is small.
     below = placed.groupBy("slice").agg(F.sum("n").alias("size")).select(
         "slice",
         F.coalesce(F.sum("size").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"),

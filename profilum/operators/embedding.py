@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.functions.embedders import Embedder
-from profilum.sources.store import merge_update, write_version
+from profilum.operators.rollups import embedding_stats
+from profilum.sources.store import commit, current, merge_update, write_version
 
 
 def embed_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
@@ -83,3 +84,22 @@ def embed_table(documents: DataFrame, key: str, embedder: Embedder, model: str,
         merge_update(table, updates, key, ["embedding", "embedding_model", "embedded_at"]),
         done.filter(F.col("error").isNotNull()).select(key, "error"),
     )
+
+
+def embedding_job(spark: SparkSession, root: str, key: str, embedder: Embedder, model: str, embedded_at: str, mode: str = "backlog", limit: int | None = None, batch_size: int | None = None) -> DataFrame:
+    """Embed the current version of a stored table, commit the result and report its coverage.
+
+    ``limit`` bounds how many documents one run embeds, smallest keys first; the next run goes on from there.
+    """
+    documents = current(spark, root)
+    wanted = embedding_backlog(documents) if mode == "backlog" else documents.filter(F.col("full_text").isNotNull())
+    if limit is not None:
+        chosen = wanted.select(key).orderBy(key).limit(limit)
+        due = documents.join(chosen, key, "left_semi")
+        run = embed_table(due, key, embedder, model, embedded_at, mode, batch_size)
+        rest = documents.join(chosen, key, "left_anti").withColumn("embedding", F.col("embedding").cast("array<double>"))
+        table = rest.unionByName(run.table, allowMissingColumns=True)
+    else:
+        table = embed_table(documents, key, embedder, model, embedded_at, mode, batch_size).table
+    number = commit(table, root)
+    return embedding_stats({root.rstrip("/").rpartition("/")[2]: current(spark, root)}).withColumn("version", F.lit(number))

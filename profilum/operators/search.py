@@ -1,8 +1,9 @@
 """Exact and approximate top-k search by cosine similarity.
 
 Queries always arrive as a table. A query set that is small by count is sent to every executor and
-the documents are scanned in place, without a shuffle. A larger one is split, and so are the
-documents; each pair of parts meets in one task of bounded size. Both ways return the same rows.
+the documents are scanned in place, without a shuffle. For a larger one the documents move once, into
+cells of bounded size; the queries are sent to the cells and stream past what a task holds of one.
+Both ways return the same rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilum.functions.topk import COLUMNS, hit_frame, scan, scan_scopes
+from profilum.functions.topk import DIGITS, hit_frame, scan, scan_scopes
 from profilum.functions.vectors import norm, unit_rows
 from profilum.operators.metrics import top_per_group
 from profilum.session import fresh_path
@@ -25,7 +26,7 @@ from profilum.session import fresh_path
 BROADCAST_QUERIES = 4096
 BROADCAST_BYTES = 64 * 1024 * 1024
 PART_DOCUMENTS = 20_000
-PART_QUERIES = 4096
+PART_QUERIES = 1024
 
 
 def _prepared(queries: DataFrame, documents: DataFrame, key: str, scope: str | None) -> DataFrame:
@@ -43,9 +44,10 @@ def _prepared(queries: DataFrame, documents: DataFrame, key: str, scope: str | N
 
 
 def _query_rows(frame: pd.DataFrame, dimension: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """Unit vectors and excluded ids of a block of queries; a missing vector scores zero everywhere."""
+    """Unit vectors and excluded ids of a block of queries; a missing vector, or one of another dimension
+    than the documents, scores zero everywhere."""
     empty = np.zeros(dimension)
-    rows = unit_rows([empty if vector is None else vector for vector in frame["query_vector"]])
+    rows = unit_rows([empty if vector is None or len(vector) != dimension else vector for vector in frame["query_vector"]])
     counts = frame["excludes"].to_numpy(dtype=bool)
     if not counts.any():
         return rows, None
@@ -81,7 +83,10 @@ def _small_scan(queries: pd.DataFrame, documents: DataFrame, key: str, k: int, s
         if len(best):
             yield hit_frame(local["query_id"], key, best)
 
-    return documents.filter(F.col("embedding").isNotNull()).select(key, "embedding").mapInPandas(run, schema)
+    sizes = queries["query_vector"].dropna().map(len)
+    found = documents.filter(F.col("embedding").isNotNull()).select(key, "embedding")
+    # Documents of another dimension than most queries are not compared.
+    return (found.filter(F.size("embedding") == int(sizes.mode().min())) if len(sizes) else found).mapInPandas(run, schema)
 
 
 def _parts(rows: int, size: int) -> int:
@@ -89,70 +94,78 @@ def _parts(rows: int, size: int) -> int:
 
 
 def _part_scan(queries: DataFrame, documents: DataFrame, key: str, k: int, scope: str | None, schema: str) -> DataFrame:
-    """Meet every part of the queries with every part of the documents of the same scope.
+    """Send the queries to cells of documents of their scope.
 
-    The number of cells follows the counts of both sides, so a cell keeps its size as they grow. All
-    documents are counted, also those without a vector: that bounds the parts and reads no vectors.
+    The number of cells follows the number of documents, so a cell keeps its size as they grow, and a
+    document lies in one cell. All documents are counted, also those without a vector: that bounds the
+    cells and reads no vectors. The queries of a cell come after its documents and are never held together.
     """
-    scopes = [F.col(scope).alias("_scope")] if scope else []
-    docs = documents.filter(F.col("embedding").isNotNull()).select(F.col(key), "embedding", *scopes)
+    scopes = [F.col(scope).alias("_scope")] if scope else [F.lit(0).alias("_scope")]
+    # Documents of another dimension than most queries are not compared.
+    dimension = queries.select(F.mode(F.size("query_vector"))).scalar()
+    docs = documents.filter(F.col("embedding").isNotNull() & (F.size("embedding") == F.coalesce(dimension, F.size("embedding"))))
+    docs = docs.select(F.col(key), F.col("embedding").cast("array<double>").alias("vector"), *scopes)
+    doc_count = documents.select(key).count()
     if scope:
         queries = queries.filter(F.col("_scope").isNotNull())
-    doc_count, query_count = documents.select(key).count(), queries.count()
-    if scope:
         # Scopes nobody asks for are dropped first. Only large scopes are split; there can be no more
-        # of them than rows over the part size.
+        # of them than documents over the part size.
         docs = docs.join(queries.select("_scope").distinct(), "_scope", "left_semi")
         # A bucket takes whole scopes and is filled to a quarter on average, which leaves room for
         # uneven ones. There are at least as many buckets as cores.
-        cores = documents.sparkSession.sparkContext.defaultParallelism
-        buckets = max(cores, 4 * _parts(doc_count, PART_DOCUMENTS), 4 * _parts(query_count, PART_QUERIES))
-
-        sides = (
-            (documents.select(*scopes), "_doc_parts", doc_count, PART_DOCUMENTS),
-            (queries.select("_scope"), "_query_parts", query_count, PART_QUERIES),
-        )
-
-        def sized(rows: DataFrame) -> DataFrame:
-            for side, name, count, size in sides:
-                if count <= size:
-                    rows = rows.withColumn(name, F.lit(1))
-                    continue
-                large = side.groupBy("_scope").agg(F.count("*").alias("n")).filter(F.col("n") > size)
-                split = large.select("_scope", F.ceil(F.col("n") / size).cast("int").alias(name))
-                rows = rows.join(split, "_scope", "left").withColumn(name, F.coalesce(name, F.lit(1)))
-            return rows.withColumn("_bucket", F.pmod(F.xxhash64("_scope"), F.lit(buckets)))
+        buckets = max(documents.sparkSession.sparkContext.defaultParallelism, 4 * _parts(doc_count, PART_DOCUMENTS))
+        large = documents.select(*scopes).groupBy("_scope").agg(F.count("*").alias("n")).filter(F.col("n") > PART_DOCUMENTS)
+        split = large.select("_scope", F.ceil(F.col("n") / PART_DOCUMENTS).cast("int").alias("_parts"))
 
-        docs, queries = sized(docs), sized(queries)
+        def placed(rows: DataFrame) -> DataFrame:
+            known = rows.join(split, "_scope", "left") if doc_count > PART_DOCUMENTS else rows.withColumn("_parts", F.lit(1))
+            return known.withColumns({"_parts": F.coalesce("_parts", F.lit(1)), "_bucket": F.pmod(F.xxhash64("_scope"), F.lit(buckets))})
     else:
-        fixed = {
-            "_doc_parts": F.lit(_parts(doc_count, PART_DOCUMENTS)),
-            "_query_parts": F.lit(_parts(query_count, PART_QUERIES)),
-            "_bucket": F.lit(0),
-        }
-        docs, queries = docs.withColumns(fixed), queries.withColumns(fixed)
-
-    def every(parts: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-
-    docs = docs.withColumn("_doc_part", F.pmod(F.xxhash64(key), F.col("_doc_parts")).cast("int")).withColumn("_query_part", every("_query_parts"))
-    queries = queries.withColumn("_query_part", F.pmod(F.xxhash64("query_id"), F.col("_query_parts")).cast("int")).withColumn("_doc_part", every("_doc_parts"))
-    docs, queries = docs.drop("_doc_parts", "_query_parts"), queries.drop("_doc_parts", "_query_parts")
-    cell = ["_bucket", "_doc_part", "_query_part"]
-
-    def meet(doc_frame: pd.DataFrame, query_frame: pd.DataFrame) -> pd.DataFrame:
-        if doc_frame.empty or query_frame.empty:
-            return hit_frame([], key, pd.DataFrame(columns=COLUMNS))
-        rows = unit_rows(doc_frame["embedding"])
-        vectors, excluded = _query_rows(query_frame, rows.shape[1])
-        ids = doc_frame[key].to_numpy()
-        if scope:
-            best = scan_scopes(query_frame["_scope"].to_numpy(), vectors, excluded, doc_frame["_scope"].to_numpy(), ids, rows, k)
-        else:
-            best = scan(vectors, excluded, [(ids, rows)], k)
-        return hit_frame(query_frame["query_id"], key, best)
-
-    return docs.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInPandas(meet, schema)
+        queries = queries.withColumn("_scope", F.lit(0))
+        fixed = {"_parts": F.lit(_parts(doc_count, PART_DOCUMENTS)), "_bucket": F.lit(0).cast("long")}
+
+        def placed(rows: DataFrame) -> DataFrame:
+            return rows.withColumns(fixed)
+
+    cell = ["_bucket", "_part"]
+    doc_type, query_type = docs.schema[key].dataType, queries.schema["query_id"].dataType
+    # Neither side leaves an id empty, so that large ids stay whole numbers on their way to Python.
+    held = placed(docs).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).select(
+        *cell, F.lit(False).alias("_asks"), "_scope", F.col(key).alias("_doc"), F.lit("0").cast(query_type).alias("query_id"), "vector",
+        F.lit("0").cast(doc_type).alias("exclude_id"), F.lit(False).alias("excludes"),
+    )
+    sent = placed(queries).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
+        *cell, F.lit(True).alias("_asks"), "_scope", F.lit("0").cast(doc_type).alias("_doc"), "query_id", F.col("query_vector").alias("vector"), "exclude_id", "excludes",
+    )
+    together = held.unionByName(sent).repartition(*cell).sortWithinPartitions(*cell, "_asks")
+
+    def meet(frames):
+        current, waiting, documents_here = None, [], None
+        for frame in frames:
+            edges = (frame[[*cell, "_asks"]] != frame[[*cell, "_asks"]].shift()).any(axis=1).cumsum()
+            for _, run in frame.groupby(edges, sort=False):
+                place = (run["_bucket"].iloc[0], run["_part"].iloc[0])
+                if place != current:
+                    current, waiting, documents_here = place, [], None
+                if not run["_asks"].iloc[0]:
+                    waiting.append((run["_doc"].to_numpy(), run["_scope"].to_numpy(), unit_rows(run["vector"])))
+                    continue
+                if documents_here is None:
+                    if not waiting:
+                        continue
+                    documents_here, waiting = tuple(np.concatenate(column) for column in zip(*waiting)), []
+                ids, doc_scopes, rows = documents_here
+                for first in range(0, len(run), PART_QUERIES):
+                    part = run.iloc[first : first + PART_QUERIES].rename(columns={"vector": "query_vector"})
+                    vectors, excluded = _query_rows(part, rows.shape[1])
+                    if scope:
+                        best = scan_scopes(part["_scope"].to_numpy(), vectors, excluded, doc_scopes, ids, rows, k)
+                    else:
+                        best = scan(vectors, excluded, [(ids, rows)], k)
+                    if len(best):
+                        yield hit_frame(part["query_id"], key, best)
+
+    return together.mapInPandas(meet, schema)
 
 
 def partial_top_k(queries: DataFrame, documents: DataFrame, key: str, k: int = 5, scope: str | None = None, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
@@ -242,18 +255,41 @@ class ListIndex:
     centres: np.ndarray
 
 
-def build_index(documents: DataFrame, key: str, lists: int, seed: int = 7) -> ListIndex:
-    """Cluster unit vectors and write the documents partitioned by list."""
+def build_index(documents: DataFrame, key: str, lists: int | None = None, centres: np.ndarray | None = None, seed: int = 7) -> ListIndex:
+    """Write the documents partitioned by the list of their nearest centre.
+
+    The centres are given, or found by clustering unit vectors into ``lists``, by default the square root of
+    the number of documents. Equally near centres: the first.
+    """
     spark = documents.sparkSession
-    vector = F.col("embedding").cast("array<double>")
-    length = norm(vector)
-    unit = F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
-    source = documents.filter(F.col("embedding").isNotNull()).select(key, "embedding", array_to_vector(unit).alias("features"))
-    model = KMeans(k=lists, seed=seed, featuresCol="features", predictionCol="list_id", maxIter=10).fit(source)
+    source = documents.filter(F.col("embedding").isNotNull()).select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+    if centres is None:
+        length = norm(F.col("embedding"))
+        unit = F.when(length > 0, F.transform("embedding", lambda x: x / length)).otherwise(F.col("embedding"))
+        lists = lists or max(1, round(source.count() ** 0.5))
+        model = KMeans(k=lists, seed=seed, featuresCol="features", predictionCol="list_id", maxIter=10).fit(source.select(array_to_vector(unit).alias("features")))
+        centres = np.array(model.clusterCenters())
+
+    def assign(frames):
+        for frame in frames:
+            if len(frame):
+                yield frame.assign(list_id=_nearest(unit_rows(frame["embedding"]), centres, 1)[:, 0].astype("int32"))
+
+    key_type = source.schema[key].dataType.simpleString()
     path = fresh_path(spark, "lists")
-    assigned = model.transform(source).drop("features")
+    assigned = source.mapInPandas(assign, f"{key} {key_type}, embedding array<double>, list_id int")
     assigned.hint("rebalance", F.col("list_id")).write.partitionBy("list_id").parquet(path)
-    return ListIndex(path, key, np.array(model.clusterCenters()))
+    return ListIndex(path, key, centres)
+
+
+def open_index(path: str, key: str, centres: np.ndarray) -> ListIndex:
+    """An index that was built before."""
+    return ListIndex(path, key, centres)
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray, count: int) -> np.ndarray:
+    distance = np.round((centres * centres).sum(axis=1)[None, :] - 2.0 * rows @ centres.T, DIGITS)
+    return np.argsort(distance, axis=1, kind="stable")[:, :count]
 
 
 def nearest_lists(queries: DataFrame, index: ListIndex, probes: int) -> DataFrame:
@@ -267,8 +303,7 @@ def nearest_lists(queries: DataFrame, index: ListIndex, probes: int) -> DataFram
             if not len(frame):
                 continue
             rows, _ = _query_rows(frame.assign(excludes=False), centres.shape[1])
-            distance = (centres * centres).sum(axis=1)[None, :] - 2.0 * rows @ centres.T
-            nearest = np.argsort(distance, axis=1, kind="stable")[:, :count]
+            nearest = _nearest(rows, centres, count)
             yield pd.DataFrame({"query_id": pd.Series(np.repeat(frame["query_id"].to_numpy(dtype=object), count), dtype=object), "list_id": nearest.ravel().astype("int32")})
 
     return queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector")).mapInPandas(choose, f"query_id {query_type}, list_id int")
@@ -281,6 +316,14 @@ def search_index(queries: DataFrame, index: ListIndex, k: int = 5, probes: int =
     return top_k(spread, stored, index.key, k, scope="list_id")
 
 
+def probed_rows(queries: DataFrame, index: ListIndex, probes: int) -> DataFrame:
+    """How many stored documents the probed lists hold, summed over the queries, and how many all lists would."""
+    sizes = queries.sparkSession.read.parquet(index.path).groupBy("list_id").agg(F.count("*").alias("rows"))
+    probed = nearest_lists(queries, index, probes).join(sizes, "list_id", "left")
+    everything = sizes.agg(F.sum("rows")).scalar()
+    return probed.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_probed"), (F.countDistinct("query_id") * everything).alias("rows_in_all_lists"))
+
+
 def recall(exact: DataFrame, approximate: DataFrame, key: str) -> DataFrame:
     """Share of the exact hits that the approximate search also found."""
     found = exact.select("query_id", key).join(approximate.select("query_id", key, F.lit(1).alias("found")), ["query_id", key], "left")

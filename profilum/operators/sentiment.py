@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilum.fixed_values import ANALYST_CLOSING, ANALYST_OPENING, ANALYST_QUERY, SENTIMENT_CLOSING, SENTIMENT_OPENING
+from profilum.fixed_values import ANALYST_CLOSING, ANALYST_OPENING, ANALYST_QUERY, SENTIMENT_CLOSING, SENTIMENT_OPENING, SENTIMENT_SUMMARY, SOURCE_MARKS
 from profilum.functions.columns import mean_exact, number_text
 from profilum.functions.documents import interaction_text
 from profilum.operators.metrics import top_per_group
@@ -85,13 +85,13 @@ def customer_docs(documents: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def _summary(trend: Column, latest: Column) -> Column:
-    return F.concat(
-        F.lit("Customer "), F.col("customer_id").cast("string"), F.lit(" Sentiment Analysis:\nSummary: "), trend, F.lit("\nLatest Average Score: "), latest
-    )
+    parts = [F.col("customer_id").cast("string"), trend, latest]
+    return F.concat(*[column for label, part in zip(SENTIMENT_SUMMARY, parts) for column in (F.lit(label), part)])
 
 
 def _block(number: Column, content: Column) -> Column:
-    return F.concat(F.lit("--- SOURCE "), number, F.lit(" ---\n"), content, F.lit("\n--- END SOURCE "), number, F.lit(" ---\n"))
+    before, after, end, last = map(F.lit, SOURCE_MARKS)
+    return F.concat(before, number, after, content, end, number, last)
 
 
 def combined_context(interactions: DataFrame, as_of: str, newest: int = 5) -> DataFrame:

@@ -8,19 +8,24 @@ from __future__ import annotations
 import re
 
 from profilum.fixed_values import (
+    APOLOGY,
     ANALYST_CLOSING,
     ANALYST_OPENING,
     ANALYST_QUERY,
     BUDGETED_CLOSING,
     BUDGETED_INSTRUCTIONS,
     COMPARE_QUESTION,
+    CUSTOMER_INFO_WORDS,
     EMAIL_PATTERN,
+    INTENT_WORDS,
     PRESET_QUESTIONS,
+    PRODUCTS_PER_INTENT,
     PROMPT_CLOSING,
     PROMPT_INSTRUCTIONS,
     SENTIMENT_CLOSING,
     SENTIMENT_OPENING,
     STOP_WORDS,
+    TICKETS_PER_INTENT,
     WORD_PUNCTUATION,
 )
 
@@ -146,14 +151,15 @@ def _contains(column: str, words: list[str]) -> str:
 
 def _intent(question: str, known: str) -> str:
     low = f"lower({question})"
-    return f"""CASE WHEN {_contains(low, ['product', 'recommend', 'suggest', 'buy', 'purchase'])} THEN 'product_recommendation'
-  WHEN {_contains(low, ['ticket', 'support', 'issue', 'problem', 'complaint'])} THEN 'support_history'
-  WHEN {_contains(low, ['churn', 'risk', 'leave', 'retention', 'cancel'])} THEN 'churn_analysis'
-  WHEN {known} AND {_contains(low, ['who', 'what', 'profile', 'information', 'detail'])} THEN 'customer_info' ELSE 'general' END"""
+    first = " ".join(f"WHEN {_contains(low, words)} THEN '{name}'" for name, words in INTENT_WORDS)
+    return f"CASE {first} WHEN {known} AND {_contains(low, CUSTOMER_INFO_WORDS)} THEN 'customer_info' ELSE 'general' END"
 
 
-_TICKET_COUNT = "CASE intent WHEN 'support_history' THEN 5 WHEN 'product_recommendation' THEN 0 ELSE 3 END"
-_PRODUCT_COUNT = "CASE intent WHEN 'support_history' THEN 0 WHEN 'product_recommendation' THEN 5 WHEN 'churn_analysis' THEN 0 ELSE 2 END"
+def _per_intent(counts: dict[str, int]) -> str:
+    return "CASE intent " + " ".join(f"WHEN '{name}' THEN {count}" for name, count in counts.items()) + " END"
+
+
+_TICKET_COUNT, _PRODUCT_COUNT = _per_intent(TICKETS_PER_INTENT), _per_intent(PRODUCTS_PER_INTENT)
 
 
 def _numbered(hits: str, threshold: float) -> str:
@@ -229,7 +235,7 @@ SHARED: dict[str, str] = {
     "m_interactions": "SELECT event_id AS interaction_id, user_id AS customer_id, ts AS timestamp, event_type AS channel, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (value - 50.0::DOUBLE) / 50.0::DOUBLE)) AS sentiment_score, props AS content FROM events",
     "m_interaction_docs": "SELECT interaction_id, customer_id, timestamp, trim('Interaction ID: ' || interaction_id || chr(10) || 'Customer: ' || customer_id || chr(10) || 'Channel: ' || channel || chr(10) || 'Sentiment: ' || sentiment_score::VARCHAR || chr(10) || 'Date: ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Content: ' || content) AS content FROM m_interactions",
     "m_queries": f"SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS query_id, CASE conv_id % 5 WHEN 0 THEN 'Recommend a product. ' WHEN 1 THEN 'Open support ticket. ' WHEN 2 THEN 'Churn and retention. ' WHEN 3 THEN 'Profile, please. ' ELSE '' END || text AS query_text, CASE WHEN conv_id % 7 <> 6 THEN {_email(_ASKER)} END AS customer_email, CASE WHEN conv_id % 7 <> 6 THEN {_ASKER} END AS asker_id, conv_id % vectors AS exclude_id, embedding AS query_vector FROM conversations CROSS JOIN (SELECT count(*) AS vectors FROM embeddings) v LEFT JOIN embeddings ON vec_id = conv_id % vectors WHERE role = 'user'",
-    "m_answers": "SELECT conv_id::VARCHAR || '-' || (turn - 1)::VARCHAR AS query_id, conv_id::VARCHAR || '-' || turn::VARCHAR AS answer_id, text || ' [Source ' || (1 + turn % 7)::VARCHAR || ']' || CASE WHEN turn % 2 = 0 THEN ' [Source 1]' ELSE '' END AS answer_text FROM conversations WHERE role = 'assistant'",
+    "m_answers": "SELECT conv_id::VARCHAR || '-' || (turn - 1)::VARCHAR AS query_id, conv_id::VARCHAR || '-' || turn::VARCHAR AS answer_id, text || ' [Source ' || (1 + turn % 7)::VARCHAR || ']' || CASE WHEN turn % 2 = 0 THEN ' [Source 1]' ELSE '' END AS answer_text, conv_id % 9 = 4 AS structured, CASE WHEN conv_id % 23 = 7 THEN 'the model took too long' END AS error, 'answer-model' AS model_used, TIMESTAMP '2001-08-02 00:00:00' + to_hours(turn::INTEGER) AS answered_at, 100 + 10 * turn AS response_time_ms FROM conversations WHERE role = 'assistant'",
     "m_purchase": _purchase_sql("customer_email"),
     "m_purchase_by_id": _purchase_sql("customer_id"),
     "m_support": _support_sql("resolution_time_hours"),
@@ -286,6 +292,11 @@ SHARED: dict[str, str] = {
     "m_slots": "SELECT ticket_id, ('0x' || left(md5(word), 8))::BIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(md5(word), 9, 2))::BIGINT < 128 THEN 1 ELSE -1 END) AS weight FROM (SELECT ticket_id, unnest(regexp_split_to_array(lower(full_text), '[ \\t\\r\\n]+')) AS word FROM m_tix) w WHERE word <> '' GROUP BY 1, 2",
     "m_hashed": "SELECT ticket_id, count(*) FILTER (WHERE weight <> 0)::INTEGER AS slots, round(sum(abs(weight)) / sqrt(sum(weight * weight)), 6) AS absolute_sum, round(sum(weight) / sqrt(sum(weight * weight)), 6) AS signed_sum FROM m_slots GROUP BY 1",
     "m_watermark": "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS passed FROM events",
+    "m_centres": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS list_id, embedding::DOUBLE[] AS centre FROM (SELECT * FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) // 100 FROM embeddings)) = 0 ORDER BY vec_id LIMIT 100) c",
+    "m_assigned": "SELECT ticket_id, list_id FROM (SELECT ticket_id, list_id, row_number() OVER (PARTITION BY ticket_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], centre), 12) DESC, list_id) AS n FROM m_tix JOIN m_centres ON TRUE WHERE embedding IS NOT NULL) r WHERE n = 1",
+    "m_probed": "SELECT query_id, list_id FROM (SELECT query_id, list_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(query_vector::DOUBLE[], centre), 12) DESC, list_id) AS n FROM m_queries JOIN m_centres ON TRUE) r WHERE n <= 85",
+    "m_near": _hits_sql("(SELECT * FROM m_queries JOIN m_probed USING (query_id))", "(SELECT * FROM m_tix JOIN m_assigned USING (ticket_id))", "ticket_id", 5, "d.list_id = q.list_id"),
+    "m_any": _hits_sql("m_queries", "m_tix", "ticket_id", 5),
     "m_closed": "SELECT * FROM m_events WHERE event_timestamp::DATE + INTERVAL 1 DAY <= (SELECT passed FROM m_watermark)",
 }
 
@@ -376,6 +387,8 @@ FROM (SELECT last_purchase_date, date_sub('second', last_purchase_date, TIMESTAM
     "merge_update_embeddings": "SELECT t.ticket_id, round(coalesce(u.embedding[1], t.embedding[1])::DOUBLE, 6) AS first_component, CASE WHEN u.vec_id IS NOT NULL THEN 'second' END AS embedding_model, CASE WHEN u.vec_id IS NOT NULL THEN TIMESTAMP '2001-08-02 00:00:00' END AS embedded_at FROM m_tix t LEFT JOIN embeddings u ON u.vec_id * 2 = t.ticket_id",
     "incremental_load": "SELECT ticket_id, customer_email, status, created_at, CASE WHEN toxic = 0 THEN 'first' WHEN toxic IS NOT NULL THEN 'second' ELSE 'third' END AS landing FROM m_tickets LEFT JOIN labels ON doc_id = ticket_id",
     "embedding_backlog": "SELECT ticket_id AS doc_id, full_text AS content FROM m_tix WHERE embedding IS NULL AND full_text IS NOT NULL AND length(full_text) > 10",
+    "embedding_job": "SELECT number, count(*) AS total_rows, count(*) FILTER (CASE number WHEN 1 THEN embedding IS NOT NULL ELSE embedding IS NOT NULL OR length(full_text) > 10 END) AS rows_with_embeddings FROM m_tix, (SELECT unnest([1, 2, 3]) AS number) v GROUP BY 1",
+    "product_table": "SELECT product_id, product_name, category, price, full_text, len(embedding)::INTEGER AS dimension FROM m_prods",
     "embedding_backfill": """SELECT ticket_id, slots, absolute_sum, signed_sum, 'hashing-words' AS embedding_model FROM m_hashed SEMI JOIN (SELECT ticket_id FROM m_tix WHERE embedding IS NULL) b USING (ticket_id)
   UNION ALL SELECT ticket_id, len(list_filter(embedding, lambda x: x <> 0))::INTEGER, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: abs(x))), 6), round(list_sum(embedding::DOUBLE[]), 6), NULL FROM m_tix WHERE embedding IS NOT NULL""",
     "reembed_full": "SELECT *, 'hashing-words' AS embedding_model FROM m_hashed",
@@ -416,6 +429,12 @@ FROM (SELECT last_purchase_date, date_sub('second', last_purchase_date, TIMESTAM
     "ticket_search_customer": f"SELECT query_id, rank, doc_id, source_type, round(score, 6) AS similarity_score, title, content FROM ({_ticket_columns('m_owned')}) f",
     "product_search": f"SELECT query_id, rank, doc_id, source_type, round(score, 6) AS similarity_score, title, content FROM ({_product_columns('m_goods')}) f",
     "batch_search": f"SELECT query_id, rank::INTEGER AS rank, ticket_id, round(score, 6) AS similarity_score FROM ({_hits_sql('m_vectors', 'm_tix', 'ticket_id', 10)}) h",
+    "ann_search": "SELECT query_id, rank::INTEGER AS rank, ticket_id, round(score, 6) AS similarity_score FROM m_near",
+    "ann_recall": """SELECT round((SELECT count(*) FROM m_any a JOIN m_near n USING (query_id, ticket_id)) / (SELECT count(*) FROM m_any), 6) AS recall, (SELECT count(*) FROM m_any) AS exact_hits, 100 AS lists, 85 AS probes,
+  round((SELECT count(*) FROM m_probed JOIN m_assigned USING (list_id)) / ((SELECT count(*) FROM m_queries) * (SELECT count(*) FROM m_assigned)), 6) AS share_read""",
+    "parsed_recommendations": """SELECT answer_id, NOT json_valid(answer) AS parse_failed, CASE WHEN json_valid(answer) THEN json_array_length(answer)::INTEGER END AS recommendations, CASE WHEN json_valid(answer) THEN answer::JSON->0->>'product_name' END AS product_name,
+  CASE WHEN json_valid(answer) THEN (answer::JSON->0->>'price')::DOUBLE END AS price, CASE WHEN json_valid(answer) THEN answer::JSON->0->>'reason' END AS reason, CASE WHEN json_valid(answer) THEN answer::JSON->0->>'image_url' END AS image_url
+FROM (SELECT p_partkey AS answer_id, CASE p_partkey % 3 WHEN 0 THEN to_json([r, r])::VARCHAR WHEN 1 THEN '[{"p_' ELSE 'None today.' END AS answer FROM (SELECT p_partkey, struct_pack(product_id := p_partkey::VARCHAR, product_name := p_name, price := p_retailprice, reason := 'it fits', image_url := 'part.png') AS r FROM part) i) j""",
     "ann_search_exhaustive": "SELECT query_id, rank::INTEGER AS rank, product_id, round(score, 6) AS similarity_score FROM m_goods",
     "retrieval_quality": f"SELECT q.label AS query_label, count(*) AS hits, count(*) FILTER (WHERE d.label = q.label) / count(*) AS precision_at_k FROM ({_hits_sql('m_vectors', 'embeddings', 'vec_id', 5)}) h JOIN embeddings q ON q.vec_id = h.query_id JOIN embeddings d ON d.vec_id = h.vec_id GROUP BY 1",
     "query_intent": "SELECT query_id, customer_known, intent FROM m_asked",
@@ -426,7 +445,7 @@ FROM (SELECT last_purchase_date, date_sub('second', last_purchase_date, TIMESTAM
   SELECT query_id, string_agg(chr(10) || '[Source ' || source_no || '] (' || source_type || printf(', relevance: %.2f%%)', score * 100) || chr(10) || left(content, 500), chr(10) ORDER BY source_no) AS blocks FROM m_sources GROUP BY 1) b ON b.query_id = a.query_id""",
     "extract_citations": r"SELECT a.answer_id, s.source_no AS source_id, s.doc_id, s.source_type, coalesce(s.title, '') AS title, left(s.content, 200) AS snippet, round(s.score, 6) AS similarity_score FROM (SELECT DISTINCT answer_id, query_id, unnest(regexp_extract_all(answer_text, '\[Source (\d+)\]', 1))::INTEGER AS n FROM m_answers) a JOIN m_sources s ON s.query_id = a.query_id AND s.source_no = a.n",
     "cited_literally": "SELECT a.answer_id, s.source_no AS source_id, s.doc_id, left(s.content, 200) || '...' AS snippet FROM m_answers a JOIN m_sources s ON s.query_id = a.query_id WHERE contains(a.answer_text, '[Source ' || s.source_no || ']')",
-    "response_records": f"""SELECT a.answer_id, a.query_id, q.query_text AS query, a.answer_text AS answer, coalesce((SELECT string_agg(s.source_no || '=' || s.doc_id, ', ' ORDER BY s.source_no) FROM m_sources s WHERE s.query_id = a.query_id AND contains(a.answer_text, '[Source ' || s.source_no || ']')), '') AS citations,
+    "response_records": f"""SELECT a.answer_id, a.query_id, q.query_text AS query, coalesce({_text(APOLOGY)} || error, a.answer_text) AS answer, model_used, response_time_ms, answered_at, error, coalesce((SELECT string_agg(s.source_no || '=' || s.doc_id, ', ' ORDER BY s.source_no) FROM m_sources s WHERE s.query_id = a.query_id AND NOT a.structured AND a.error IS NULL AND contains(a.answer_text, '[Source ' || s.source_no || ']')), '') AS citations,
   q.intent, coalesce(b.num_sources, 0) AS num_sources, p.customer_id, CASE WHEN p.customer_id IS NOT NULL THEN {_NAME} END AS name, p.customer_segment AS segment, CASE WHEN p.customer_id IS NOT NULL THEN {HEALTH_DEDUCTION} END AS health_score
 FROM m_answers a JOIN m_asked q ON q.query_id = a.query_id LEFT JOIN m_profile p ON lower(p.email) = lower(q.customer_email) LEFT JOIN m_blocks b ON b.query_id = a.query_id""",
     "preset_prompts": f"SELECT a.customer_id, a.preset, a.intent, coalesce(num_sources, 0)::INTEGER AS num_sources, length({_prompt('query_text')})::INTEGER AS prompt_chars, sha256({_prompt('query_text')}) AS prompt_sha256 FROM m_preset_asked a LEFT JOIN m_preset_blocks b ON b.query_id = a.query_id",

@@ -380,6 +380,29 @@ def embedding_backfill(spark, folder):
     return _vector_figures(run.table, "ticket_id")
 
 
+@query
+def embedding_job(spark, folder):
+    """Coverage of a stored table as loaded, after a run over its backlog, and after a second run that finds nothing new."""
+    root = fresh_path(spark, "ticket-table")
+    store.commit(model.tickets_embedded(spark, folder), root)
+    for _ in range(2):
+        embedding.embedding_job(spark, root, "ticket_id", hashing_embedder(DIMENSION), HASHING_MODEL, f"{model.AS_OF} 00:00:00")
+    versions = [store.version(spark, root, number).select(F.lit(number).alias("number"), "embedding") for number in (1, 2, 3)]
+    together = versions[0].select("number", F.col("embedding").isNotNull().alias("done"))
+    for stored in versions[1:]:
+        together = together.unionByName(stored.select("number", F.col("embedding").isNotNull().alias("done")))
+    return together.groupBy("number").agg(F.count("*").alias("total_rows"), F.count_if("done").alias("rows_with_embeddings"))
+
+
+@query
+def product_table(spark, folder):
+    """The product documents, written as a table and read again."""
+    root = fresh_path(spark, "product-table")
+    store.commit(model.products_embedded(spark, folder), root)
+    stored = store.current(spark, root)
+    return stored.select("product_id", "product_name", "category", "price", "full_text", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimension"))
+
+
 @query
 def reembed_full(spark, folder):
     run = embedding.embed_table(model.tickets_embedded(spark, folder), "ticket_id", hashing_embedder(DIMENSION), HASHING_MODEL, f"{model.AS_OF} 00:00:00", mode="full")
@@ -524,10 +547,30 @@ def batch_search(spark, folder):
     return hits.select("query_id", "rank", "ticket_id", _score())
 
 
+ANN_PROBES = 85
+
+
+def _ticket_index(spark, folder) -> search.ListIndex:
+    return search.build_index(model.tickets_embedded(spark, folder), "ticket_id", centres=model.centre_vectors(spark, folder, TICKET_LISTS))
+
+
 @query
 def ann_search(spark, folder):
-    index = search.build_index(model.tickets_embedded(spark, folder), "ticket_id", TICKET_LISTS)
-    return search.search_index(model.user_queries(spark, folder), index, probes=10).select("query_id", "rank", "ticket_id", _score())
+    """Search in the nearest lists around given centres."""
+    index = _ticket_index(spark, folder)
+    return search.search_index(model.user_queries(spark, folder), index, probes=ANN_PROBES).select("query_id", "rank", "ticket_id", _score())
+
+
+@query
+def ann_recall(spark, folder):
+    """Share of the exact hits that :func:`ann_search` finds, and share of the documents it looks at."""
+    index, asked = _ticket_index(spark, folder), store.write_version(model.user_queries(spark, folder), "questions")
+    # Opened anew, as a later run of a service would.
+    index = search.open_index(index.path, index.key, index.centres)
+    exact = search.top_k(asked, model.tickets_embedded(spark, folder), "ticket_id")
+    shares = search.recall(exact, search.search_index(asked, index, probes=ANN_PROBES), "ticket_id")
+    read = search.probed_rows(asked, index, ANN_PROBES).select(F.round(F.col("rows_probed") / F.col("rows_in_all_lists"), 6)).scalar()
+    return shares.select(F.round("recall", 6).alias("recall"), "exact_hits", F.lit(TICKET_LISTS).alias("lists"), F.lit(ANN_PROBES).alias("probes"), read.alias("share_read"))
 
 
 @query
@@ -571,16 +614,22 @@ def retrieve_context(spark, folder):
     return found.select("query_id", "source_no", "source_type", "doc_id", _score(), "title", "content")
 
 
+def _asking_profiles(spark, folder, asked: DataFrame) -> DataFrame:
+    """The profiles of the customers that questions name."""
+    only = asked.filter(F.col("customer_email").isNotNull()).select(F.col("customer_email").alias("email"))
+    return customer_profile(model.tables(spark, folder), model.AS_OF, only=only)
+
+
 @query
 def build_prompts(spark, folder):
     asked = _stored_questions(spark, folder)
-    return retrieval.build_prompts(asked, _profile(spark, folder), _sources(spark, folder, asked))
+    return retrieval.build_prompts(asked, _asking_profiles(spark, folder, asked), _sources(spark, folder, asked))
 
 
 @query
 def build_prompts_budgeted(spark, folder):
     asked = _stored_questions(spark, folder)
-    return retrieval.build_prompts_budgeted(asked, _profile(spark, folder), _sources(spark, folder, asked))
+    return retrieval.build_prompts_budgeted(asked, _asking_profiles(spark, folder, asked), _sources(spark, folder, asked))
 
 
 @query
@@ -598,14 +647,26 @@ def cited_literally(spark, folder):
 def response_records(spark, folder):
     asked = _stored_questions(spark, folder)
     sources = store.write_version(_sources(spark, folder, asked), "sources")
-    records = retrieval.response_records(model.answers(spark, folder), asked, _profile(spark, folder), sources)
+    records = retrieval.response_records(model.answers(spark, folder), asked, _asking_profiles(spark, folder, asked), sources)
     cited = F.array_join(F.transform("citations", lambda c: F.concat(c["source_id"].cast("string"), F.lit("="), c["doc_id"])), ", ")
     return records.select(
         "answer_id", "query_id", "query", "answer", cited.alias("citations"), F.col("metadata.intent").alias("intent"), F.col("metadata.num_sources").alias("num_sources"),
+        "metadata.model_used", "metadata.response_time_ms", F.col("metadata.timestamp").alias("answered_at"), "metadata.error",
         "customer_context.customer_id", "customer_context.name", "customer_context.segment", "customer_context.health_score",
     )
 
 
+@query
+def parsed_recommendations(spark, folder):
+    """Answers that hold JSON, broken JSON or none, one per part."""
+    item = F.struct(F.col("p_partkey").cast("string").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_retailprice").alias("price"), F.lit("it fits").alias("reason"), F.lit("part.png").alias("image_url"))
+    json = F.to_json(F.array(item, item))
+    text = F.when(F.col("p_partkey") % 3 == 0, json).when(F.col("p_partkey") % 3 == 1, F.expr("left(to_json(array(struct(p_partkey))), 5)")).otherwise("None today.")
+    parsed = retrieval.parse_recommendations(model.read_table(spark, folder, "part").select(F.col("p_partkey").alias("answer_id"), text.alias("answer_text")))
+    first = F.get("recommendations", F.lit(0))
+    return parsed.select("answer_id", "parse_failed", F.when(~F.col("parse_failed"), F.size("recommendations")).alias("recommendations"), first["product_name"].alias("product_name"), first["price"].alias("price"), first["reason"].alias("reason"), first["image_url"].alias("image_url"))
+
+
 @query
 def preset_prompts(spark, folder):
     """Prompts by length and digest. The n-th preset is asked with the mean of all stored vectors of label n."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from profilum.functions.documents import product_text, ticket_text
+from profilum.functions.vectors import unit_rows
 
 AS_OF = "2001-08-02"
 EVENTS_AS_OF = "2024-01-31"
@@ -219,9 +221,18 @@ def label_vectors(spark: SparkSession, folder: str, names: list[str]) -> DataFra
     return means.agg(vector_to_array(Summarizer.mean(F.col("vector"))).alias("query_vector")).select(name.alias("name"), "query_vector")
 
 
+def centre_vectors(spark: SparkSession, folder: str, lists: int) -> np.ndarray:
+    """Given centres for a list index: ``lists`` stored vectors at even distances, scaled to length one."""
+    stored = read_table(spark, folder, "embeddings").filter(F.col("embedding").isNotNull())
+    step = F.greatest(F.lit(1), F.floor(stored.select(F.count("*")).scalar() / lists))
+    chosen = stored.filter(F.col("vec_id") % step == 0).orderBy("vec_id").limit(lists).select("embedding")
+    return unit_rows([row.embedding for row in chosen.collect()])
+
+
 def answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Assistant turns with citations appended; each answers the user turn just before it."""
-    turn = F.col("turn")
+    """Assistant turns with citations appended; each answers the user turn just before it. Some stand for
+    structured answers and some for failed ones."""
+    conv, turn = F.col("conv_id"), F.col("turn")
     cited = F.concat(
         F.col("text"), F.lit(" [Source "), (F.lit(1) + turn % 7).cast("string"), F.lit("]"),
         F.when(turn % 2 == 0, " [Source 1]").otherwise(""),
@@ -230,6 +241,11 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), (turn - 1).cast("string")).alias("query_id"),
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string")).alias("answer_id"),
         cited.alias("answer_text"),
+        (conv % 9 == 4).alias("structured"),
+        F.when(conv % 23 == 7, "the model took too long").alias("error"),
+        F.lit("answer-model").alias("model_used"),
+        F.expr("timestampadd(HOUR, cast(turn as int), timestamp_ntz'2001-08-02 00:00:00')").alias("answered_at"),
+        (F.lit(100) + 10 * turn).alias("response_time_ms"),
     )
 
 

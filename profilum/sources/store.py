@@ -6,6 +6,9 @@ the table. A version is written whole to a new folder and never over the one bei
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,42 @@ def write_version(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def commit(frame: DataFrame, root: str) -> int:
+    """Write a table as the next current version under ``root``; its number. The version is whole before the log
+    names it, and earlier versions stay as they are."""
+    spark = frame.sparkSession
+    number = (_newest(spark, root) or (0, ""))[0] + 1
+    path = f"{root}/version-{number}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    spark.createDataFrame([(number, path)], LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    return number
+
+
+def current(spark: SparkSession, root: str) -> DataFrame | None:
+    """The version committed last, or None."""
+    newest = _newest(spark, root)
+    return spark.read.parquet(newest[1]) if newest else None
+
+
+def version(spark: SparkSession, root: str, number: int) -> DataFrame:
+    """An earlier version by its number."""
+    path = spark.read.schema(LOG).parquet(f"{root}/log").filter(F.col("number") == number).first().path
+    return spark.read.parquet(path)
+
+
+LOG = "number bigint, path string"
+
+
+def _newest(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    try:
+        row = spark.read.schema(LOG).parquet(f"{root}/log").orderBy(F.desc("number"), F.desc("path")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return (row.number, row.path) if row else None
+
+
 def write_partitioned(frame: DataFrame, path: str, day_of: str = "created_at", cluster: tuple[str, ...] = ("customer_email", "status")) -> None:
     """Write by creation date, clustered inside the files.
 

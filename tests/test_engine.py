@@ -57,3 +57,21 @@ def test_whole_table_calls(engine):
     assert engine.preset_prompts().count() == 4 * engine.profiles().count()
     assert engine.sentiment().count() == engine.interaction_context().count()
     assert engine.sentiment(0).count() == 1
+
+
+def test_presets_of_one_customer(engine):
+    """One customer's prompts are the same as its rows in the batch."""
+    batch = {row.preset: row.prompt for row in engine.preset_prompts().filter(F.col("prompt").contains(KNOWN.lower())).collect()}
+    single = [engine.analyze_churn_risk(KNOWN), engine.recommend_products(KNOWN), engine.summarize_support_history(KNOWN), engine.customer_summary(KNOWN)]
+    rows = [row for frame in single for row in frame.collect()]
+    assert len(rows) == 4 and {row.preset: row.prompt for row in rows} == batch
+    gift = engine.recommend_products(KNOWN, "for a birthday gift", 3).first().prompt
+    assert "Recommend 3 products" in gift and "\n- Additional context: for a birthday gift\n\nFor each" in gift
+    assert engine.analyze_churn_risk("nobody@example.com").count() == 0
+
+
+def test_compare_prompt_names_both(engine):
+    other = engine.profiles().filter(F.col("email") != KNOWN.lower()).orderBy("customer_id").first().email
+    prompt = engine.compare_prompts(KNOWN, other).first().prompt
+    assert prompt.count("CUSTOMER PROFILE") == 2 and KNOWN.lower() in prompt and other in prompt
+    assert engine.compare_prompts(KNOWN, "nobody@example.com").count() == 0

@@ -182,3 +182,14 @@ def test_sessions_against_a_plain_scan(spark):
         expected += [(user, number, group[0], group[-1], len(group)) for number, group in enumerate(groups, 1)]
     found = [tuple(row) for row in sessionize(frame).select("user_id", "session_no", "session_start", "session_end", "events").collect()]
     assert sorted(found) == sorted(expected)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab.?!", max_size=400), st.integers(1, 60), st.integers(0, 59))
+def test_small_chunks_move_forward(whole, tokens, overlap):
+    if overlap >= tokens:
+        return
+    size, shared = chunk_sizes(tokens, overlap)
+    bounds = list(chunk_bounds(whole, size, shared))
+    assert bounds[0][0] == 0 and max(end for _, end in bounds) == len(whole)
+    assert all(start < following <= end for (start, end), (following, _) in zip(bounds, bounds[1:]))
