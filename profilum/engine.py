@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from profilum.fixed_values import SIMILARITY_THRESHOLD
 from profilum.functions.embedders import Embedder, hashing_embedder
-from profilum.operators import customers, embedding, retrieval, search, sentiment
+from profilum.operators import customers, embedding, retrieval, rollups, search, sentiment
 from profilum.operators.profile import customer_profile
 from profilum.sources.model import Tables
 from profilum.sources.store import write_version
@@ -89,6 +89,26 @@ class Engine:
         """Sources cited by answers; ``answers`` has ``answer_id``, ``query_id`` and ``answer_text``."""
         return retrieval.extract_citations(answers, sources)
 
+    def responses(self, answers: DataFrame, texts: DataFrame | str, email: str | None = None, include_context: bool = True) -> DataFrame:
+        """The whole record of each answer to the questions: citations, metadata and a summary of the customer.
+
+        ``answers`` is what :func:`retrieval.response_records` takes; a single question has the id ``1``.
+        """
+        asked = self.questions(texts, email)
+        sources = write_version(retrieval.retrieve_context(asked, self.tickets, self.products, self.threshold), "sources")
+        profile = self.profiles(asked.filter(F.col("customer_email").isNotNull()).select(F.col("customer_email").alias("email")))
+        return retrieval.response_records(answers, asked, profile, sources, include_context)
+
+    def embedding_job(self, root: str, key: str, model: str, limit: int | None = None, mode: str = "backlog") -> DataFrame:
+        """Embed the current version of the table stored under ``root``, commit it and report its coverage."""
+        return embedding.embedding_job(self.spark, root, key, self.embedder, model, f"{self.as_of} 00:00:00", mode, limit)
+
+    def embedding_stats(self) -> DataFrame:
+        return rollups.embedding_stats({"support_tickets": self.tickets, "product_catalog": self.products})
+
+    def ticket_index(self, lists: int | None = None) -> search.ListIndex:
+        return search.build_index(self.tickets, "ticket_id", lists)
+
     def preset_prompts(self, emails: DataFrame | str | None = None, presets: list[str] | None = None, context: str = "", count: int = 5) -> DataFrame:
         """Preset questions, all of them by default, for every customer or for the given addresses."""
         asked = retrieval.preset_questions(self.spark, context, count).withColumn("query_id", F.col("preset"))

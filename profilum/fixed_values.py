@@ -204,6 +204,7 @@ ANALYST_CLOSING = """
         
         RESPONSE (Grounded in context, cite sources):
         """
+INTERACTION_ERROR = "Error during RAG generation: "
 SENTIMENT_OPENING = "Analyze the following recent sentiment data for customer "
 SENTIMENT_CLOSING = (
     "Provide a concise summary of the sentiment trend (improving, declining, volatile) "

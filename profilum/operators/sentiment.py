@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilum.fixed_values import ANALYST_CLOSING, ANALYST_OPENING, ANALYST_QUERY, SENTIMENT_CLOSING, SENTIMENT_OPENING, SENTIMENT_SUMMARY, SOURCE_MARKS
+from profilum.fixed_values import ANALYST_CLOSING, ANALYST_OPENING, ANALYST_QUERY, INTERACTION_ERROR, SENTIMENT_CLOSING, SENTIMENT_OPENING, SENTIMENT_SUMMARY, SOURCE_MARKS
 from profilum.functions.columns import mean_exact, number_text
 from profilum.functions.documents import interaction_text
 from profilum.operators.metrics import top_per_group
@@ -144,3 +144,33 @@ def analyst_prompts(questions: DataFrame, blocks: DataFrame) -> DataFrame:
             F.lit(ANALYST_OPENING), F.coalesce("context_block", nothing), F.lit(ANALYST_QUERY), F.col("query_text"), F.lit(ANALYST_CLOSING)
         ).alias("prompt"),
     )
+
+
+def interaction_records(answers: DataFrame, trends: DataFrame, context: DataFrame) -> DataFrame:
+    """One record per answer about a customer's interactions: answer, cited sources, sentiment and status.
+
+    ``answers`` has ``answer_id``, ``customer_id``, ``query_text`` and ``answer_text``, and may have ``error`` and
+    ``response_time_ms``; ``trends`` and ``context`` are what :func:`sentiment_trend` and :func:`combined_context` give.
+    A customer without recent interactions has the bare summary as its one source.
+    """
+    for name, kind in (("error", "string"), ("response_time_ms", "bigint")):
+        if name not in answers.columns:
+            answers = answers.withColumn(name, F.lit(None).cast(kind))
+    offered = answers.join(context.select("customer_id", "source_no", "doc_id", "content"), "customer_id", "left").select(
+        "answer_id",
+        F.coalesce("source_no", F.lit(1)).alias("source_id"),
+        F.coalesce("doc_id", F.lit("SENTIMENT_SUMMARY")).alias("doc_id"),
+        F.concat(F.substring(F.coalesce("content", _summary(F.lit("None"), F.lit("None"))), 1, 200), F.lit("...")).alias("content_snippet"),
+        F.col("answer_text").contains(F.concat(F.lit("[Source "), F.coalesce("source_no", F.lit(1)).cast("string"), F.lit("]"))).alias("cited"),
+        "error",
+    )
+    source = F.when(F.col("cited") & F.col("error").isNull(), F.struct("source_id", "doc_id", "content_snippet"))
+    gathered = offered.groupBy("answer_id").agg(F.sort_array(F.collect_list(source)).alias("citations"), F.count("*").alias("sources_used"))
+    report = trends.select("customer_id", F.struct("trend", "latest_avg_sentiment").alias("sentiment_report"))
+    failed = F.col("error").isNotNull()
+    return answers.join(gathered, "answer_id").join(report, "customer_id", "left").select(
+        "answer_id", "customer_id", F.col("query_text").alias("query"),
+        F.when(failed, F.concat(F.lit(INTERACTION_ERROR), F.col("error"))).otherwise(F.col("answer_text")).alias("final_answer"),
+        "citations", "sentiment_report", F.struct("sources_used", "response_time_ms").alias("metadata"),
+        F.when(failed, "error").otherwise("success").alias("status"),
+    )

@@ -18,6 +18,7 @@ from profilum.fixed_values import (
     CUSTOMER_INFO_WORDS,
     EMAIL_PATTERN,
     INTENT_WORDS,
+    INTERACTION_ERROR,
     PRESET_QUESTIONS,
     PRODUCTS_PER_INTENT,
     PROMPT_CLOSING,
@@ -270,6 +271,7 @@ SHARED: dict[str, str] = {
     "m_found": f"SELECT f.* FROM ({_ticket_columns('m_ticket_hits')}) f JOIN m_asked a USING (query_id) WHERE f.rank <= {_TICKET_COUNT} UNION ALL SELECT f.* FROM ({_product_columns('m_goods')}) f JOIN m_asked a USING (query_id) WHERE f.rank <= {_PRODUCT_COUNT}",
     "m_sources": _numbered("m_found", 0.3),
     "m_blocks": _blocks("m_sources"),
+    "m_offered": "SELECT customer_id, source_no, doc_id FROM m_context UNION ALL SELECT DISTINCT asker_id, 1, 'SENTIMENT_SUMMARY' FROM m_queries WHERE asker_id IS NOT NULL AND asker_id NOT IN (SELECT customer_id FROM m_context)",
     "m_label_means": "SELECT label, list(mean ORDER BY i) AS query_vector FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) m GROUP BY 1",
     "m_presets": f"SELECT p.*, {_intent('query_text', 'TRUE')} AS intent, query_vector, -1 AS exclude_id FROM ({_PRESETS}) p LEFT JOIN m_label_means ON label = place",
     "m_preset_asked": "SELECT preset || ':' || customer_id AS query_id, p.preset, p.query_text, p.intent, p.query_vector, -1 AS exclude_id, f.* FROM m_profile f CROSS JOIN m_presets p",
@@ -294,7 +296,7 @@ SHARED: dict[str, str] = {
     "m_watermark": "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS passed FROM events",
     "m_centres": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS list_id, embedding::DOUBLE[] AS centre FROM (SELECT * FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) // 100 FROM embeddings)) = 0 ORDER BY vec_id LIMIT 100) c",
     "m_assigned": "SELECT ticket_id, list_id FROM (SELECT ticket_id, list_id, row_number() OVER (PARTITION BY ticket_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], centre), 12) DESC, list_id) AS n FROM m_tix JOIN m_centres ON TRUE WHERE embedding IS NOT NULL) r WHERE n = 1",
-    "m_probed": "SELECT query_id, list_id FROM (SELECT query_id, list_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(query_vector::DOUBLE[], centre), 12) DESC, list_id) AS n FROM m_queries JOIN m_centres ON TRUE) r WHERE n <= 85",
+    "m_probed": "SELECT query_id, list_id FROM (SELECT query_id, list_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(query_vector::DOUBLE[], centre), 12) DESC, list_id) AS n FROM m_queries JOIN m_centres ON TRUE) r WHERE n <= 75",
     "m_near": _hits_sql("(SELECT * FROM m_queries JOIN m_probed USING (query_id))", "(SELECT * FROM m_tix JOIN m_assigned USING (ticket_id))", "ticket_id", 5, "d.list_id = q.list_id"),
     "m_any": _hits_sql("m_queries", "m_tix", "ticket_id", 5),
     "m_closed": "SELECT * FROM m_events WHERE event_timestamp::DATE + INTERVAL 1 DAY <= (SELECT passed FROM m_watermark)",
@@ -387,6 +389,10 @@ FROM (SELECT last_purchase_date, date_sub('second', last_purchase_date, TIMESTAM
     "merge_update_embeddings": "SELECT t.ticket_id, round(coalesce(u.embedding[1], t.embedding[1])::DOUBLE, 6) AS first_component, CASE WHEN u.vec_id IS NOT NULL THEN 'second' END AS embedding_model, CASE WHEN u.vec_id IS NOT NULL THEN TIMESTAMP '2001-08-02 00:00:00' END AS embedded_at FROM m_tix t LEFT JOIN embeddings u ON u.vec_id * 2 = t.ticket_id",
     "incremental_load": "SELECT ticket_id, customer_email, status, created_at, CASE WHEN toxic = 0 THEN 'first' WHEN toxic IS NOT NULL THEN 'second' ELSE 'third' END AS landing FROM m_tickets LEFT JOIN labels ON doc_id = ticket_id",
     "embedding_backlog": "SELECT ticket_id AS doc_id, full_text AS content FROM m_tix WHERE embedding IS NULL AND full_text IS NOT NULL AND length(full_text) > 10",
+    "interaction_records": f"""SELECT a.answer_id, q.asker_id AS customer_id, q.query_text AS query, coalesce({_text(INTERACTION_ERROR)} || a.error, a.answer_text) AS final_answer,
+  coalesce((SELECT string_agg(c.source_no || '=' || c.doc_id, ', ' ORDER BY c.source_no) FROM m_offered c WHERE c.customer_id = q.asker_id AND a.error IS NULL AND contains(a.answer_text, '[Source ' || c.source_no || ']')), '') AS citations,
+  t.trend, t.latest_avg_sentiment, (SELECT count(*) FROM m_offered c WHERE c.customer_id = q.asker_id) AS sources_used, a.response_time_ms, CASE WHEN a.error IS NULL THEN 'success' ELSE 'error' END AS status
+FROM m_answers a JOIN m_queries q USING (query_id) LEFT JOIN m_trend t ON t.customer_id = q.asker_id WHERE q.asker_id IS NOT NULL""",
     "embedding_job": "SELECT number, count(*) AS total_rows, count(*) FILTER (CASE number WHEN 1 THEN embedding IS NOT NULL ELSE embedding IS NOT NULL OR length(full_text) > 10 END) AS rows_with_embeddings FROM m_tix, (SELECT unnest([1, 2, 3]) AS number) v GROUP BY 1",
     "product_table": "SELECT product_id, product_name, category, price, full_text, len(embedding)::INTEGER AS dimension FROM m_prods",
     "embedding_backfill": """SELECT ticket_id, slots, absolute_sum, signed_sum, 'hashing-words' AS embedding_model FROM m_hashed SEMI JOIN (SELECT ticket_id FROM m_tix WHERE embedding IS NULL) b USING (ticket_id)
@@ -430,7 +436,7 @@ FROM (SELECT last_purchase_date, date_sub('second', last_purchase_date, TIMESTAM
     "product_search": f"SELECT query_id, rank, doc_id, source_type, round(score, 6) AS similarity_score, title, content FROM ({_product_columns('m_goods')}) f",
     "batch_search": f"SELECT query_id, rank::INTEGER AS rank, ticket_id, round(score, 6) AS similarity_score FROM ({_hits_sql('m_vectors', 'm_tix', 'ticket_id', 10)}) h",
     "ann_search": "SELECT query_id, rank::INTEGER AS rank, ticket_id, round(score, 6) AS similarity_score FROM m_near",
-    "ann_recall": """SELECT round((SELECT count(*) FROM m_any a JOIN m_near n USING (query_id, ticket_id)) / (SELECT count(*) FROM m_any), 6) AS recall, (SELECT count(*) FROM m_any) AS exact_hits, 100 AS lists, 85 AS probes,
+    "ann_recall": """SELECT round((SELECT count(*) FROM m_any a JOIN m_near n USING (query_id, ticket_id)) / (SELECT count(*) FROM m_any), 6) AS recall, (SELECT count(*) FROM m_any) AS exact_hits, 100 AS lists, 75 AS probes,
   round((SELECT count(*) FROM m_probed JOIN m_assigned USING (list_id)) / ((SELECT count(*) FROM m_queries) * (SELECT count(*) FROM m_assigned)), 6) AS share_read""",
     "parsed_recommendations": """SELECT answer_id, NOT json_valid(answer) AS parse_failed, CASE WHEN json_valid(answer) THEN json_array_length(answer)::INTEGER END AS recommendations, CASE WHEN json_valid(answer) THEN answer::JSON->0->>'product_name' END AS product_name,
   CASE WHEN json_valid(answer) THEN (answer::JSON->0->>'price')::DOUBLE END AS price, CASE WHEN json_valid(answer) THEN answer::JSON->0->>'reason' END AS reason, CASE WHEN json_valid(answer) THEN answer::JSON->0->>'image_url' END AS image_url

@@ -512,6 +512,20 @@ def analyst_prompts(spark, folder):
     return sentiment.analyst_prompts(questions, blocks)
 
 
+@query
+def interaction_records(spark, folder):
+    customer = F.regexp_extract("customer_email", "customer([0-9]+)", 1).cast("bigint")
+    asked = model.user_queries(spark, folder, vectors=False).filter(F.col("customer_email").isNotNull()).select("query_id", "query_text", customer.alias("customer_id"))
+    interactions = model.interactions(spark, folder)
+    trends = sentiment.sentiment_trend(sentiment.daily_sentiment(interactions, model.EVENTS_AS_OF), model.EVENTS_AS_OF)
+    records = sentiment.interaction_records(model.answers(spark, folder).join(asked, "query_id"), trends, sentiment.combined_context(interactions, model.EVENTS_AS_OF))
+    cited = F.array_join(F.transform("citations", lambda c: F.concat(c["source_id"].cast("string"), F.lit("="), c["doc_id"])), ", ")
+    return records.select(
+        "answer_id", "customer_id", "query", "final_answer", cited.alias("citations"), "sentiment_report.trend", "sentiment_report.latest_avg_sentiment",
+        "metadata.sources_used", "metadata.response_time_ms", "status",
+    )
+
+
 @query
 def sessionize(spark, folder):
     return sessions.sessionize(model.events(spark, folder))
@@ -547,7 +561,7 @@ def batch_search(spark, folder):
     return hits.select("query_id", "rank", "ticket_id", _score())
 
 
-ANN_PROBES = 85
+ANN_PROBES = 75
 
 
 def _ticket_index(spark, folder) -> search.ListIndex:

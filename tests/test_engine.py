@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from profilum.engine import Engine
 from profilum.functions.embedders import hashing_embedder
 from profilum.operators import embedding
-from profilum.sources import model
+from profilum.session import fresh_path
+from profilum.sources import model, store
 from profilum.sources.store import write_version
 
 FOLDER = "/root/testdata/sf0.001"
@@ -75,3 +76,30 @@ def test_compare_prompt_names_both(engine):
     prompt = engine.compare_prompts(KNOWN, other).first().prompt
     assert prompt.count("CUSTOMER PROFILE") == 2 and KNOWN.lower() in prompt and other in prompt
     assert engine.compare_prompts(KNOWN, "nobody@example.com").count() == 0
+
+
+def test_response_records(engine, spark):
+    rows = [("a", "see [Source 1] and [Source 99]", False, None), ("b", "[{}] [Source 1]", True, None), ("c", "", False, "out of time")]
+    answers = spark.createDataFrame([(key, "1", text, structured, error, "m") for key, text, structured, error in rows], "answer_id string, query_id string, answer_text string, structured boolean, error string, model_used string")
+    found = {row.answer_id: row for row in engine.responses(answers, "Suggest a product: red widget, small ring", KNOWN).collect()}
+    assert [citation.source_id for citation in found["a"].citations] == [1] and not found["b"].citations and not found["c"].citations
+    assert found["c"].answer.endswith("error: out of time") and found["c"].metadata.error == "out of time" and found["a"].metadata.model_used == "m"
+    assert found["a"].customer_context.email == KNOWN.lower() and found["a"].metadata.num_sources > 0
+    bare = engine.responses(answers, "Suggest a product", KNOWN, include_context=False).collect()
+    assert all(row.customer_context is None for row in bare)
+
+
+def test_embedding_job_goes_on_where_it_stopped(engine, spark):
+    root = fresh_path(spark, "job")
+    texts = [(key, "some words that are long enough" if key else "short", None) for key in range(6)]
+    store.commit(spark.createDataFrame(texts, "ticket_id bigint, full_text string, embedding array<double>"), root)
+    done = [engine.embedding_job(root, "ticket_id", "m", limit=2).first() for _ in range(4)]
+    assert [row.rows_with_embeddings for row in done] == [2, 4, 5, 5] and [row.version for row in done] == [2, 3, 4, 5]
+    assert store.version(spark, root, 1).filter("embedding IS NOT NULL").count() == 0
+    assert engine.embedding_stats().count() == 2
+
+
+def test_index_of_the_square_root(engine):
+    index = engine.ticket_index()
+    count = engine.tickets.filter(F.col("embedding").isNotNull()).count()
+    assert len(index.centres) <= round(count**0.5) + 1
