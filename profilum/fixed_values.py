@@ -84,7 +84,7 @@ STOP_WORDS = [
 WORD_PUNCTUATION = ".,!?;:()\"'"
 
 # Patterns. An address matches from its start; nothing anchors its end.
-# Chunks end at one of these signs if one lies within so many characters of their full size.
+# Chunks end at one of these signs if one lies within so many characters of their full size.
 SENTENCE_SIGNS = ".?!"
 SENTENCE_REACH = 200
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -181,6 +181,7 @@ Be specific and reference actual ticket data.""",
 
 Keep it concise but actionable.""",
 }
+# What an answer says when the model fails, the preset whose answer is structured, and the comparison.
 APOLOGY = "I apologize, but I encountered an error: "
 RECOMMENDING = "recommend_products"
 COMPARE_QUESTION = """Compare these two customers and identify:
@@ -204,6 +205,7 @@ ANALYST_CLOSING = """
         
         RESPONSE (Grounded in context, cite sources):
         """
+# The interaction analyst's answer when the model fails, and the sentiment prompt.
 INTERACTION_ERROR = "Error during RAG generation: "
 SENTIMENT_OPENING = "Analyze the following recent sentiment data for customer "
 SENTIMENT_CLOSING = (
