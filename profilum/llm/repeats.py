@@ -37,6 +37,7 @@ from profilum.sources.store import write_version
 LENGTH = 400
 GRAM = 128
 DENSE = 512
+TASK_SEGMENTS = 4096
 _BLOCK = 1 << 18
 _BATCH_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -230,7 +231,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     contents = write_version(contents.join(kinds.select("anchor", "kinds"), "anchor").select(*SEGMENT, "content", "kinds"), "contents")
     ranges = "anchor long, hash long, hash2 long, low int, high int"
     sparse = contents.where(F.col("kinds") <= DENSE).select(*SEGMENT, "content")
-    by_suffixes = sparse.repartition("anchor").sortWithinPartitions(*SEGMENT).mapInArrow(_compare(length), ranges)
+    # Sorting costs far more than reading, so the tasks follow the number of segments and not their bytes.
+    tasks = max(1, -(-contents.count() // TASK_SEGMENTS))
+    by_suffixes = sparse.repartition(tasks, "anchor").sortWithinPartitions(*SEGMENT).mapInArrow(_compare(length), ranges)
     dense = contents.where(F.col("kinds") > DENSE).select(*SEGMENT, "content").dropDuplicates(SEGMENT)
     windows = dense.mapInArrow(_windows(length), "anchor long, hash long, hash2 long, low int, window long, window2 long")
     counted = windows.groupBy("window", "window2").agg(F.count("*").alias("times")).where("times > 1").select("window", "window2")
