@@ -6,6 +6,9 @@ lowest estimated cost that still has room. The cost of a piece is linear plus qu
 length, as attention stays within a piece. A group starts with as many sequences as its tokens
 need; a piece that fits nowhere opens one more.
 
+Ids are those that ``tokenizers`` gives for the vocabulary file as loaded: an added token of the file, found
+literally in a text, is one id, and what lies between added tokens is encoded apart.
+
 Every id lies in exactly one piece and a sequence has no gaps. Null and empty texts have only the end
 id. Repeated rows are packed each. Null ids stay null. Other columns are not read. An empty table
 gives no rows.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -73,6 +77,17 @@ def _ranks(path: str) -> dict[bytes, int]:
     return {bytes(map(letters.__getitem__, token)): rank for token, rank in content["model"]["vocab"].items() if token not in special}
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """The added tokens of a ``tokenizers`` file and a pattern that finds the longest at each place."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(token[option] for token in tokens for option in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what stands beside them are not supported")
+    names = sorted((token["content"] for token in tokens), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None, {token["content"]: token["id"] for token in tokens}
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
     """The vocabulary in a library that gives the same ids in less time."""
@@ -84,14 +99,24 @@ def _patient(path: str, pattern: str) -> Encoder:
     return Encoder(_ranks(path), pattern)
 
 
-def token_ids(text: str | None, path: str, pattern: str) -> np.ndarray:
-    """The ids of a text. Runs of millions of white space are too long for the library's patterns."""
+def _plain_ids(text: str, path: str, pattern: str) -> np.ndarray:
+    """The ids of a text without added tokens. Runs of millions of white space are too long for the library's patterns."""
     try:
-        return np.asarray(tokenizer(path, pattern).encode_to_numpy(text or ""), dtype="<u4")
+        return np.asarray(tokenizer(path, pattern).encode_to_numpy(text), dtype="<u4")
     except ValueError:
         return _patient(path, pattern).encode([text])[0].astype("<u4")
 
 
+def token_ids(text: str | None, path: str, pattern: str) -> np.ndarray:
+    """The ids of a text, added tokens included."""
+    places, added = _added(path)
+    parts = places.split(text or "") if places else [text or ""]
+    if len(parts) == 1:
+        return _plain_ids(parts[0], path, pattern)
+    # Every second part is an added token.
+    return np.concatenate([np.array([added[part]], dtype="<u4") if place % 2 else _plain_ids(part, path, pattern) for place, part in enumerate(parts)])
+
+
 def cut(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """``id, start, length, ids_crc32, doc_tokens`` (and ``ids``) of each piece: whole sequences and the rest."""
 

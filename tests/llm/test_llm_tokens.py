@@ -189,6 +189,19 @@ def test_very_long_white_space():
     assert bytes(table.decode(ids.astype(np.int64))[0]) == b" " * 1_500_000
 
 
+def test_added_tokens_are_one_id(spark, make):
+    """The ids of a tokenizer left as it is loaded from its file."""
+    loaded = Tokenizer.from_file(VOCABULARY)
+    end = "<|endoftext|>"
+    texts = [*wild(), end, end * 3, f"a{end}b", f"a  {end}  b\n {end}", f"<|endoftext{end}|>", "<|endoftext |>", f"one {end} two " * 2000, end.upper()]
+    for text in texts:
+        assert packing.token_ids(text, VOCABULARY, public_tokenizers.PATTERN).tolist() == loaded.encode(text or "", add_special_tokens=False).ids
+    assert packing.token_ids(f"a{end}b", VOCABULARY, public_tokenizers.PATTERN).tolist()[1] == 50256
+    rows = list(enumerate(texts))
+    pieces = packing.pack(packing.cut(make(rows, "doc_id long, text string"), VOCABULARY, public_tokenizers.PATTERN)).collect()
+    check_packing(rows, pieces, loaded)
+
+
 def greedy(word, starts, others):
     count = place = 0
     while place < len(word):
