@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by cosine with adaptive dimension scans.
 
-Vectors of length one are turned by one random rotation and held in blocks of columns per list. A query
+Vectors are scaled to length one before centres are found and lists are filled, so lengths decide nothing. They
+are turned by one random rotation and held in blocks of columns per list. A query
 probes the ``PROBES`` share of the lists with the nearest centres. In each it compares all rows on the
 first block of columns, then only those that a hypothesis test leaves: a row is abandoned after d of
 D columns if its partial squared distance, scaled by D/d, exceeds the squared distance of the k-th
@@ -101,7 +102,7 @@ class Scan:
 
 def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, rank, id, score`` over ``id, vector`` for queries that are some of those rows."""
-    index = build(rows, k + 1, ROWS_PER_LIST)
+    index = build(rows, k + 1, ROWS_PER_LIST, unit)
     if index is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score"))
     layout = index.layout

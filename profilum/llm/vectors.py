@@ -1,8 +1,8 @@
 """What both vector searches share: usable rows, lists around centres, and queries meeting cells of rows.
 
 Rows of equal vectors need only their ``k + 1`` smallest ids as candidates, and equal query vectors are
-searched once; both are cut by rank before the shuffle. Rows belong to the list of their nearest
-centre; the centres (``LISTS`` at most) come from a bounded sample. Whole lists, or parts of a large
+searched once; both are cut by rank before the shuffle. Rows belong to the list of the centre nearest
+to their form, which is the vector itself or what a search makes of it (of length one, for cosine); the centres (``LISTS`` at most) come from a bounded sample. Whole lists, or parts of a large
 one, make cells of a bounded number of rows. A task holds one cell at a time while the queries sent
 to it stream past.
 
@@ -65,9 +65,9 @@ def _nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.n
     return lists, np.sqrt(squares)
 
 
-def _centres(rows: DataFrame, lists: int) -> np.ndarray:
+def _centres(rows: DataFrame, lists: int, form: Callable) -> np.ndarray:
     """Centres of a sample of ``SAMPLE`` rows, chosen by a hash of the id."""
-    sample = np.array([row.vector for row in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()])
+    sample = form(np.array([row.vector for row in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()]))
     centres = sample[:lists].copy()
     for _ in range(ROUNDS):
         near, _ = _nearest(sample, centres)
@@ -94,17 +94,18 @@ class Index:
     layout: Layout
 
 
-def build(rows: DataFrame, keep: int, rows_per_list: int) -> Index | None:
-    """Index ``id, vector``; of equal vectors the ``keep`` smallest ids. None without rows."""
+def build(rows: DataFrame, keep: int, rows_per_list: int, form: Callable[[np.ndarray], np.ndarray] = np.asarray) -> Index | None:
+    """Index ``id, vector``; of equal vectors the ``keep`` smallest ids. None without rows. Centres, lists and radii are
+    those of ``form(vectors)``; the cells hold the vectors themselves."""
     distinct = write_version(top_per_group(keyed(rows), KEY, [F.col("id")], keep, "_rank").drop("_rank"), "distinct-vectors")
     size = distinct.count()
     if not size:
         return None
-    centres = _centres(distinct, min(LISTS, max(16, size // rows_per_list), size))
+    centres = _centres(distinct, min(LISTS, max(16, size // rows_per_list), size), form)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, distance = _nearest(matrix(batch.column("vector")), centres)
+            lists, distance = _nearest(form(matrix(batch.column("vector"))), centres)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists), pa.array(distance)], names=[*batch.schema.names, "list", "distance"])
 
     kind = distinct.schema["id"].dataType.simpleString()

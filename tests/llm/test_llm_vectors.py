@@ -94,6 +94,18 @@ def test_recall(spark, folder):
     assert len(found) == 5 * len(expected) and hits >= 0.9 * len(found)
 
 
+def test_recall_on_vectors_of_many_lengths(make):
+    """The lists that production probes, on twelve groups of directions and lengths from 1 to 100."""
+    rng = np.random.default_rng(7)
+    data = 0.3 * rng.standard_normal((2000, 64)) + rng.standard_normal((12, 64))[rng.integers(0, 12, 2000)]
+    data *= (rng.uniform(1, 100, 2000) / np.linalg.norm(data, axis=1))[:, None]
+    table = [(key, np.float32(vector).tolist()) for key, vector in enumerate(data)]
+    expected = cosines(table, 10)
+    found = nearest.of_table(make([(key, vector, 0) for key, vector in table], SCHEMA), 10, 5).collect()
+    hits = sum(row.score >= sorted(expected[row.query_id].values())[-5] - 1e-12 for row in found)
+    assert len(found) == 5 * len(expected) and hits >= 0.97 * len(found), hits / len(found)
+
+
 def test_nearest_on_awkward_rows(make, small_cells, monkeypatch):
     """All lists probed and no test passed over: exact, with ties to the smaller id among equal vectors."""
     monkeypatch.setattr(nearest, "PROBES", 1.0)
