@@ -28,9 +28,9 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    model = language.fit(docs.where(language.learnable()))
+    models = language.fit(docs.where(language.learnable()))
     name = unused(docs, "_found")
-    found = docs.withColumn(name, language.predict(docs, model)["lang"]).where(F.col(name) != language.UNDETERMINED)
+    found = docs.withColumn(name, language.predict(docs, models)["lang"]).where(F.col(name) != language.UNDETERMINED)
     return found.withColumn("lang", F.coalesce("lang", name)).drop(name)
 
 

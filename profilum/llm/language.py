@@ -9,8 +9,9 @@ in whole units of 1/65536 bit, so that it does not depend on how Spark batches t
 shortest code names the language, ties the smaller name; the score is its weight among all languages
 when each bit counts half.
 
-Learning takes at most ``ROWS`` labelled texts and ``BYTES`` bytes of each of the ``LANGUAGES`` most
-frequent languages, chosen by a hash of id and text; scoring takes every byte of every text. Null texts and
+Learning takes at most ``ROWS`` labelled texts of every language, chosen by a hash of id and text, and ``BYTES`` of
+their bytes: longer texts give as many of their first bytes as fit if all of them give the same. Trees are
+held for groups of languages, one group at a time; scoring takes every byte of every text under every language. Null texts and
 texts without a letter are ``und`` with score 0, and so is everything if nothing was learned. Rows
 with null id, text or label teach nothing. Repeated rows are scored each. An empty table gives no rows.
 """
@@ -23,15 +24,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from profilum.operators.metrics import top_per_group
+from profilum.sources.store import write_version
 
 ORDER = 4
-ROWS, BYTES, LANGUAGES = 1000, 1 << 20, 64
+ROWS, BYTES = 1000, 1 << 20
+# Grams times languages of a group, and labels that may be broadcast.
+GROUP_CELLS, BROADCAST_LABELS = 1 << 24, 100_000
 UNIT = 65536
 UNDETERMINED = "und"
 _BLOCK = 1 << 18
@@ -192,54 +197,94 @@ def _stretches(texts: list[bytes], lead: bytes) -> Iterator[tuple[list[int], byt
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            data = text.encode("utf-8", "replace")
+        for lang, text, level in zip(*[batch.column(name).to_pylist() for name in ("lang", "text", "level")]):
+            data = text.encode("utf-8", "replace")[:level]
             if data:
                 keys, times = np.unique(grams(np.frombuffer(b"\n" * ORDER + data, dtype=np.uint8)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(times)], names=["lang", "gram", "times"])
 
 
-def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learn from a bounded sample of labelled texts. The counts are made by Spark; their number is bounded by
-    ``LANGUAGES * BYTES``, so the trees can be built here and sent to the executors."""
+def _groups(sizes: list[tuple[str, int]]) -> Iterator[list[str]]:
+    """Languages, given with their counts of grams, in groups of at most ``GROUP_CELLS`` cells or of one language."""
+    group, total = [], 0
+    for language, size in sizes:
+        if group and (len(group) + 1) * (total + size) > GROUP_CELLS:
+            yield group
+            group, total = [], 0
+        group.append(language)
+        total += size
+    if group:
+        yield group
+
+
+def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Broadcast[Model]]:
+    """Learn from a bounded sample of labelled texts: the trees of all languages, in groups by name. The counts are
+    made and kept by Spark; those of one group are bounded, so its trees can be built here and sent to the executors."""
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    known = write_version(rows.groupBy("lang").count(), "labels")
     # A few times as many rows as wanted pass the hash, however many there are; copies of a row count once.
     share = known.select("lang", F.least(F.lit(1.0), 4.0 * ROWS / F.col("count")).alias("share"))
-    hashed = rows.withColumn("hash", F.xxhash64("id", "text")).join(F.broadcast(share), "lang")
-    passed = hashed.where(F.pmod("hash", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    hashed = rows.withColumn("hash", F.xxhash64("id", "text")).join(F.broadcast(share) if known.count() <= BROADCAST_LABELS else share, "lang")
+    passed = hashed.where(F.pmod("hash", F.lit(1 << 30)) < F.col("share") * (1 << 30)).withColumn("text", F.substring("text", 1, BYTES))
     texts = top_per_group(passed.groupBy("lang", "hash").agg(F.min("text").alias("text")), ["lang"], [F.col("hash")], ROWS, "place")
-    before = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    sample = texts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < BYTES).select("lang", "text")
+    # From the shortest text on, each may take an equal part of the bytes that are left; where that is the most, it is the level.
+    own = Window.partitionBy("lang")
+    ordered = own.orderBy("size", "place")
+    before = F.coalesce(F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.floor((F.lit(BYTES) - before) / (F.count("*").over(own) - F.row_number().over(ordered) + 1))
+    parts = texts.withColumn("size", F.octet_length("text").cast("long")).withColumn("part", part)
+    sample = parts.withColumn("level", F.max("part").over(own)).select("lang", "text", "level")
     counted = sample.mapInArrow(_count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
-    table = counted.toArrow()
-    counts = {}
-    for language in pc.unique(table.column("lang")).to_pylist():
-        own = table.filter(pc.equal(table.column("lang"), language))
-        counts[language] = (own.column("gram").to_numpy(), own.column("times").to_numpy())
-    return Model(counts)
+    stored = write_version(counted.sortWithinPartitions("lang"), "grams")
+    sizes = sorted((row["lang"], row["size"]) for row in stored.groupBy("lang").agg(F.count("*").alias("size")).collect())
+    models = []
+    for group in _groups(sizes):
+        table = stored.where(F.col("lang").isin(group)).toArrow()
+        counts = {}
+        for language in group:
+            found = table.filter(pc.equal(table.column("lang"), language))
+            counts[language] = (found.column("gram").to_numpy(), found.column("times").to_numpy())
+        models.append(labelled.sparkSession.sparkContext.broadcast(Model(counts)))
+    return models
+
+
+def _each(models: list[Broadcast[Model]]) -> Iterator[Model]:
+    """The trees of each group; of several groups a worker holds one at a time and reads it again from its local copy."""
+    for shared in models:
+        yield shared.value
+        if len(models) > 1 and hasattr(shared, "_path"):
+            del shared._value
 
 
 _RESULT = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
+def predict(docs: DataFrame, models: list[Broadcast[Model]], text: str = "text") -> Column:
     """A column ``struct<lang, score>`` for the texts of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(_RESULT)
     def predicted(texts: pa.Array) -> pa.Array:
-        trees = shared.value
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
-        wanted = [row for row, has in enumerate(letters) if has and trees.languages]
+        wanted = [row for row, has in enumerate(letters) if has and models]
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if wanted:
-            found = trees.code_lengths([texts[row].as_py().encode("utf-8", "replace") for row in wanted])
-            best = found.argmin(axis=1)
-            bits = (found - found.min(axis=1)[:, None]) / UNIT
-            weight = 1 / np.exp2(-bits).sum(axis=1)
-            for row, place, share in zip(wanted, best.tolist(), weight.tolist()):
-                names[row], scores[row] = trees.languages[place], share
+            coded = [texts[row].as_py().encode("utf-8", "replace") for row in wanted]
+            least, total, chosen = None, None, None
+            for trees in _each(models):
+                found = trees.code_lengths(coded)
+                shortest = found.min(axis=1)
+                weight = np.exp2(-(found - shortest[:, None]) / UNIT).sum(axis=1)
+                best = np.array(trees.languages, dtype=object)[found.argmin(axis=1)]
+                if least is None:
+                    least, total, chosen = shortest, weight, best
+                    continue
+                # Groups come by name, so ties stay with the earlier one.
+                lowest = np.minimum(least, shortest)
+                total = total * np.exp2(-(least - lowest) / UNIT) + weight * np.exp2(-(shortest - lowest) / UNIT)
+                chosen = np.where(shortest < least, best, chosen)
+                least = lowest
+            for row, name, share in zip(wanted, chosen.tolist(), (1 / total).tolist()):
+                names[row], scores[row] = name, share
         return pa.StructArray.from_arrays([pa.array(names), pa.array(scores, type=pa.float64())], names=["lang", "score"])
 
     return predicted(F.col(f"`{text}`"))
@@ -253,6 +298,6 @@ def learnable(doc_id: str = "doc_id") -> Column:
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``id, held_out, lang_pred, score``, learned from the rows of the same table that are not held out. A row
     without an id is neither learned from nor held out."""
-    model = fit(docs.where(learnable(doc_id)), doc_id, text, lang)
-    found = docs.select(F.col(doc_id).alias("id"), F.coalesce(~learnable(doc_id), F.lit(False)).alias("held_out"), predict(docs, model, text).alias("found"))
+    models = fit(docs.where(learnable(doc_id)), doc_id, text, lang)
+    found = docs.select(F.col(doc_id).alias("id"), F.coalesce(~learnable(doc_id), F.lit(False)).alias("held_out"), predict(docs, models, text).alias("found"))
     return found.select("id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")

@@ -81,3 +81,38 @@ def test_awkward_rows(awkward, empty):
 def test_nothing_learned(make):
     found = language.identify(make([(1, "some text", None), (2, None, "en"), (None, "text", "en")], "doc_id long, text string, lang string")).collect()
     assert {(row.lang_pred, row.score) for row in found} == {("und", 0.0)}
+
+
+def made_languages(names, texts):
+    """Rows of languages that each have words of their own."""
+    draw = random.Random(4)
+    words = {name: ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for name in names}
+    return words, [(key, " ".join(draw.choices(words[name], k=12)), name) for key, name in enumerate(name for name in names for _ in range(texts))]
+
+
+def test_every_label_is_learned(make, monkeypatch):
+    """More languages than were once learned, in one group and in many."""
+    _, table = made_languages([f"l{place:02}" for place in range(70)], 8)
+    truth = {key: name for key, _, name in table}
+    runs = []
+    for cells in (language.GROUP_CELLS, 20_000):
+        monkeypatch.setattr(language, "GROUP_CELLS", cells)
+        found = language.identify(make(table, "doc_id long, text string, lang string")).collect()
+        assert {row.id: row.lang_pred for row in found} == truth
+        runs.append({row.id: row.score for row in found})
+    assert all(math.isclose(score, runs[1][key], rel_tol=1e-9) for key, score in runs[0].items())
+
+
+def test_one_long_text_is_no_sample(spark, make, monkeypatch):
+    """Each language has one long text in the next one's words, whose hash comes before those of the others."""
+    monkeypatch.setattr(language, "BYTES", 2000)
+    names = [f"l{place}" for place in range(4)]
+    words, table = made_languages(names, 40)
+    ids = spark.range(5000, 15_000).withColumnRenamed("id", "doc_id").where(language.learnable())
+    long = []
+    for place, name in enumerate(names):
+        text = " ".join(words[names[(place + 1) % 4]] * 100)
+        long.append((ids.orderBy(F.xxhash64("doc_id", F.lit(text))).first()["doc_id"], text, name))
+    found = language.identify(make(table + long, "doc_id long, text string, lang string")).collect()
+    truth = {key: name for key, _, name in table}
+    assert {row.id: row.lang_pred for row in found if row.id in truth} == truth
