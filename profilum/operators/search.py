@@ -101,8 +101,8 @@ def _part_scan(queries: DataFrame, documents: DataFrame, key: str, k: int, scope
     cells and reads no vectors. The queries of a cell come after its documents and are never held together.
     """
     scopes = [F.col(scope).alias("_scope")] if scope else [F.lit(0).alias("_scope")]
-    # Documents of another dimension than most queries are not compared.
-    dimension = queries.select(F.mode(F.size("query_vector"))).scalar()
+    # Documents of another dimension than most queries are not compared; the smallest of equally common ones, as in the other way.
+    dimension = queries.select(F.mode(F.size("query_vector"), deterministic=True)).scalar()
     docs = documents.filter(F.col("embedding").isNotNull() & (F.size("embedding") == F.coalesce(dimension, F.size("embedding"))))
     docs = docs.select(F.col(key), F.col("embedding").cast("array<double>").alias("vector"), *scopes)
     doc_count = documents.select(key).count()

@@ -113,3 +113,13 @@ def test_cosine_column(spark):
     frame = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0])], "a array<double>, b array<double>")
     found = [row[0] for row in frame.select(cosine(F.col("a"), F.col("b"))).collect()]
     assert found == [pytest.approx(2 ** -0.5), 0.0, -1.0]
+
+
+@pytest.mark.parametrize("sizes", [(2, 3), (2, 17), (5, 8), (7, 64)])
+def test_equally_common_sizes_are_settled_alike(spark, sizes):
+    """The smaller of two equally common dimensions is compared, whatever the size of the query set."""
+    docs = spark.createDataFrame([(size, [1.0] * size) for size in sizes], "doc bigint, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{size}", [1.0] * size) for size in sizes], "query_id string, query_vector array<double>")
+    for limit in (search.BROADCAST_QUERIES, 0):
+        found = search.top_k(asked, docs, "doc", K, broadcast_queries=limit).collect()
+        assert {row.doc for row in found} == {min(sizes)}
