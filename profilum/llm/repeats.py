@@ -274,12 +274,14 @@ def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
     return inner
 
 
-@F.arrow_udf(StructType([StructField("runs", ArrayType(LongType())), StructField("kept", BinaryType())]))
+@F.arrow_udf(StructType([StructField("runs", ArrayType(LongType())), StructField("kept", BinaryType()), StructField("text", StringType())]))
 def _removed(texts: pa.Array, spans: pa.Array) -> pa.Array:
     runs = [merged(span.as_py()) for span in spans]
-    kept = [without((text.as_py() or "").encode("utf-8", "replace"), run) for text, run in zip(texts, runs)]
+    whole = [(text.as_py() or "").encode("utf-8", "replace") for text in texts]
+    kept = [without(data, run) for data, run in zip(whole, runs)]
+    readable = [without(data, whole_characters(data, run)).decode("utf-8") for data, run in zip(whole, runs)]
     flat = [[place for run in row for place in run] for row in runs]
-    return pa.StructArray.from_arrays([pa.array(flat, type=pa.list_(pa.int64())), pa.array(kept, type=pa.binary())], names=["runs", "kept"])
+    return pa.StructArray.from_arrays([pa.array(flat, type=pa.list_(pa.int64())), pa.array(kept, type=pa.binary()), pa.array(readable, type=pa.string())], names=["runs", "kept", "text"])
 
 
 @F.arrow_udf(StringType())
@@ -295,12 +297,12 @@ def _kept_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``id, n_bytes, runs, kept`` per text: its size, the maximal removed runs as a flat array of starts and
-    ends, and the bytes that are left."""
+    """``id, n_bytes, runs, kept, text`` per text: its size, the maximal removed runs as a flat array of starts and
+    ends, the bytes that are left, and these as text in which a character removed only in part is whole."""
     spans = repeated_spans(docs, doc_id, text, length, gram)
     source = docs.select(*_keyed(docs, doc_id, text), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     cut = source.join(spans, KEY, "left").select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), _removed("text", "spans").alias("cut"))
-    return cut.select("id", "n_bytes", "cut.runs", "cut.kept")
+    return cut.select("id", "n_bytes", "cut.runs", "cut.kept", "cut.text")
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -321,4 +323,5 @@ def digests(removed: DataFrame) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         (F.size("runs") / 2).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "text",
     )

@@ -10,7 +10,6 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from profilum.llm import repeats
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,13 +34,12 @@ def check_stages(spark, docs):
 
     cut = strings(spark, single, FOLDER).cache()
     assert cut.columns == columns and cut.count() == single.count()
-    sizes = sorted((key, size - gone) for key, size, gone, _, _ in without_repeats([row for row in rows_of(single) if row[0] is not None], repeats.LENGTH))
+    sizes = sorted((key, size - gone) for key, size, gone, _, _ in without_repeats([row for row in rows_of(single) if row[0] is not None], corpus_pipeline.REPEATED_BYTES))
     left = sorted((key, len((text or "").encode())) for key, text in rows_of(cut) if key is not None)
     assert all(own == other and 0 <= size - least <= 3 * 40 for (own, least), (other, size) in zip(sizes, left))
     assert cut.where(F.col("n_chars") != F.length("text")).count() == 0
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = pack(spark, cut, FOLDER).withColumnRenamed("doc_id", "id").collect()
     check_packing(rows_of(cut), pieces, tokenizer)
     return len(pieces)

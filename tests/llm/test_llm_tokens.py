@@ -28,9 +28,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    loaded = Tokenizer.from_file(VOCABULARY)
-    loaded.encode_special_tokens = True
-    return loaded
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def wild():
