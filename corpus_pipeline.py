@@ -3,8 +3,10 @@
 1. ``language_id``: documents without a language (null text, no letter, nothing learned) go; a missing label is filled
    in with the language found.
 2. ``near_duplicates``: one document of each group of near duplicates stays, the smallest id (null ids last).
-3. ``repeated_strings``: strings of 400 bytes that start in more than one place are taken out of the texts; a character
-   covered only in part stays. ``n_chars`` follows. A document may be left with an empty text.
+3. ``repeated_strings``: strings of ``REPEATED_BYTES`` bytes that start in more than one place are taken out of the
+   texts; a character covered only in part stays. ``n_chars`` follows. A document may be left with an empty text. The
+   length is that of a passage of 51 words in its shortest form (five bytes a word with its space), so that passages
+   of over 50 words go wherever they repeat.
 4. ``packing``: what is left becomes pieces of token sequences, one row each.
 
 Every stage takes whole texts of all documents that the one before kept. Repeated rows are near duplicates of each
@@ -25,6 +27,9 @@ from profilum.sources.store import write_version
 # SQL expresses neither context trees nor packing; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
+# A passage of 51 words has 250 bytes and more; the gram that anchors it is a part of it.
+REPEATED_BYTES, REPEATED_GRAM = 250, 96
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
@@ -41,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return repeats.clean(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return repeats.clean(docs, length=REPEATED_BYTES, gram=REPEATED_GRAM).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
