@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.llm import bpe, chat_format, exact_topk, html_extract, language, nearest, packing, repeats, simhash, token_counts
+from profilum.llm import bpe, chat_format, code_compression, exact_topk, html_extract, language, nearest, packing, repeats, simhash, token_counts
 from profilum.llm.settings import prepare
 from profilum.sources.model import read_table
 
@@ -118,3 +118,42 @@ def op1_token_counts(spark, folder):
 @query
 def op6_html_extract(spark, folder):
     return html_extract.extract(read_table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query
+def op11_code_compression(spark, folder):
+    found = code_compression.with_label_error(code_compression.compress(read_table(spark, folder, "embeddings")))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+# Every round measures all parts against all entries: (distance * 16 + entry) is smallest at the nearest, ties to the lower index.
+_PARTS_SQL = """
+WITH usable AS (
+    SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(4096 * x)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), numbered AS (SELECT row_number() OVER (ORDER BY vec_id, v) AS r, * FROM usable
+), parts AS (SELECT r, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS x FROM numbered CROSS JOIN range(8) t(p)
+), book0 AS (SELECT p, r - 1 AS e, x FROM parts WHERE r <= 16
+"""
+_ROUND_SQL = """
+), near{after} AS (
+    SELECT r, p, min(16 * (list_inner_product(parts.x, parts.x) - 2 * list_inner_product(parts.x, b.x) + list_inner_product(b.x, b.x))::BIGINT + e) AS least
+    FROM parts JOIN book{before} b USING (p) GROUP BY r, p
+"""
+_UPDATE_SQL = """
+), mean{after} AS (
+    SELECT p, e, list(m ORDER BY i) AS x FROM (
+        SELECT n.p, n.least % 16 AS e, i, floor(sum(x[i]) / count(*)) AS m
+        FROM near{after} n JOIN parts USING (r, p) CROSS JOIN range(1, 4097) t(i) WHERE i <= len(x) GROUP BY ALL
+    ) GROUP BY p, e
+), book{after} AS (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{before} b LEFT JOIN mean{after} m USING (p, e)
+"""
+_CODES_SQL = """
+), coded AS (SELECT r, string_agg(format('{:02x}', least % 16), '' ORDER BY p) AS code, sum(least // 16)::BIGINT AS error FROM near7 GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY p, e)) FROM book6) AS codebooks_sha256
+FROM coded JOIN numbered USING (r)
+"""
+_ROUNDS_SQL = "".join((_ROUND_SQL + _UPDATE_SQL).format(before=number, after=number + 1) for number in range(6))
+ORACLES["op11_code_compression"] = _PARTS_SQL + _ROUNDS_SQL + _ROUND_SQL.format(before=6, after=7) + _CODES_SQL
