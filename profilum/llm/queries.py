@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.llm import bpe, chat_format, code_compression, exact_topk, html_extract, language, nearest, packing, repeats, simhash, token_counts
+from profilum.llm import bpe, chat_format, code_compression, exact_topk, html_extract, language, nearest, packing, periodic_runs, repeats, simhash, token_counts
 from profilum.llm.settings import prepare
 from profilum.sources.model import read_table
 
@@ -157,3 +157,9 @@ FROM coded JOIN numbered USING (r)
 """
 _ROUNDS_SQL = "".join((_ROUND_SQL + _UPDATE_SQL).format(before=number, after=number + 1) for number in range(6))
 ORACLES["op11_code_compression"] = _PARTS_SQL + _ROUNDS_SQL + _ROUND_SQL.format(before=6, after=7) + _CODES_SQL
+
+
+@query
+def op12_periodic_runs(spark, folder):
+    documents = periodic_runs.repeated_on_purpose(read_table(spark, folder, "documents"))
+    return periodic_runs.digests(periodic_runs.find(documents)).withColumnRenamed("id", "doc_id")
