@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.llm import bpe, chat_format, code_compression, exact_topk, html_extract, language, nearest, packing, periodic_runs, repeats, simhash, token_counts
+from profilum.llm import bpe, chat_format, code_compression, exact_topk, html_extract, language, nearest, ngram_join, packing, periodic_runs, repeats, simhash, token_counts
 from profilum.llm.settings import prepare
 from profilum.sources.model import read_table
 
@@ -163,3 +163,8 @@ ORACLES["op11_code_compression"] = _PARTS_SQL + _ROUNDS_SQL + _ROUND_SQL.format(
 def op12_periodic_runs(spark, folder):
     documents = periodic_runs.repeated_on_purpose(read_table(spark, folder, "documents"))
     return periodic_runs.digests(periodic_runs.find(documents)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_ngram_join(spark, folder):
+    return ngram_join.join(read_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
