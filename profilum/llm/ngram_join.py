@@ -8,9 +8,10 @@ shingle; a text without words has an empty set and is linked with nothing. Shing
    The ranks are a table of fixed size, whatever the corpus.
 2. A second pass takes the prefix of each set under that order: two sets that are similar enough share a shingle
    of their prefixes. Documents with the same prefix and size are one group, and only groups are joined on shingles.
-3. Leaders first: of all groups that share a prefix shingle the one that has it earliest is the leader. Every other
-   group goes with the leader (if sizes and the places of the shingle allow a link), and its members are verified against one member of
-   the leader; members of a group are verified against one of their own. Verified links make components.
+3. Leaders first: of all groups that share a prefix shingle the one that has it earliest is the leader. Every
+   group goes with the group that leads most of its shingles (where sizes and places allow a link), and its members are
+   verified against one member of it; members of a group are verified against one of their own. Verified links make
+   components.
 4. What is left are pairs in different components. A shingle or a group whose members all are in one component is
    done, however many they are: a large group of near copies costs its size, not its square. Elsewhere the members
    outside the largest component of the shingle go with all members of other components, as far as sizes and the
@@ -36,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from profilum.functions.membership import key_filter
 from profilum.llm.components import components
 from profilum.llm.words import numbered, parts_of
 from profilum.operators.metrics import top_per_group
@@ -43,7 +45,7 @@ from profilum.sources.store import write_version
 
 SHINGLE, PERCENT = 3, 90
 CELLS, SEGMENT = 1 << 22, 1 << 12
-KEY = ["key", "key2"]
+KEY, PLACE = ["key", "key2"], ["place", "place2"]
 _SHIFT = np.uint64(64 - 22)
 
 
@@ -113,7 +115,8 @@ def _count_cells(rule: Rule):
         met = np.flatnonzero(segments.any(axis=1))
         for low in range(0, len(met), 64):
             some = met[low : low + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([segments[place].tobytes() for place in some.tolist()], type=pa.binary())], names=["segment", "counts"])
+            packed = [segments[place].astype(np.uint8 if segments[place].max() < 256 else np.int32).tobytes() for place in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, type=pa.binary())], names=["segment", "counts"])
 
     return run
 
@@ -131,15 +134,14 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if current is not None:
                     yield row()
                 current, total = segment, np.zeros(SEGMENT, dtype=np.int64)
-            values = np.frombuffer(counts, dtype=np.int32)
-            total += values
+            total += np.frombuffer(counts, dtype=np.uint8 if len(counts) == SEGMENT else np.int32)
     if current is not None:
         yield row()
 
 
 def cell_ranks(source: DataFrame, rule: Rule) -> np.ndarray:
     """A byte per cell: the place of its count among those of all cells. The driver holds one count per cell."""
-    counted = write_version(source.mapInArrow(_count_cells(rule), "segment int, counts binary"), "cell-counts")
+    counted = source.mapInArrow(_count_cells(rule), "segment int, counts binary")
     summed = counted.repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_cells, "segment int, counts binary")
     counts = np.zeros((CELLS // SEGMENT, SEGMENT), dtype=np.int64)
     for row in summed.collect():
@@ -152,7 +154,7 @@ def cell_ranks(source: DataFrame, rule: Rule) -> np.ndarray:
 
 
 def _prefixes(rule: Rule, ranks):
-    """``id, text`` to the class, group, size and prefix of each text."""
+    """``id, place, place2, text`` to the class, group, size and prefix of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(ranks.value, dtype=np.uint8)
@@ -169,8 +171,9 @@ def _prefixes(rule: Rule, ranks):
                 bounds = np.append(0, np.cumsum(list(map(len, prefixes)))).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(prefixes)))
                 first, second = _halves(names)
-                group, group2 = _halves(groups)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("place"), first, second, group, group2, pa.array(sizes, type=pa.int32()), flat], names=["id", "place", *KEY, "half", "half2", "size", "prefix"])
+                group, _ = _halves(groups)
+                columns = [*[part.column(name) for name in ("id", *PLACE)], first, second, group, pa.array(sizes, type=pa.int32()), flat]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", *PLACE, *KEY, "group", "size", "prefix"])
 
     return run
 
@@ -198,87 +201,84 @@ def _linked(rule: Rule):
     return linked
 
 
-def _named(frame: DataFrame, first: str, second: str, name: str) -> DataFrame:
-    """Two 64-bit halves as one name."""
-    return frame.withColumn(name, F.concat(F.lpad(F.hex(first), 16, "0"), F.lpad(F.hex(second), 16, "0"))).drop(first, second)
-
-
 class Join:
-    """The tables of one join over ``docs``."""
+    """The tables of one join over ``docs``. Groups are told apart by a 64-bit hash and their size."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, rule: Rule) -> None:
-        self.rule = rule
-        place = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`"))), 16, "0") for seed in (1, 2)])
-        self.source = docs.select(F.col(f"`{doc_id}`").alias("id"), place.alias("place"), F.col(f"`{text}`").cast("binary").alias("text"))
-        spark, kind = docs.sparkSession, self.source.schema["id"].dataType.simpleString()
-        ranks = spark.sparkContext.broadcast(cell_ranks(self.source.select("text"), rule).tobytes())
-        schema = f"id {kind}, place string, key bigint, key2 bigint, half bigint, half2 bigint, size int, prefix array<bigint>"
+        self.rule, self.spark = rule, docs.sparkSession
+        places = [F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias(name) for seed, name in enumerate(PLACE)]
+        self.source = docs.select(F.col(f"`{doc_id}`").alias("id"), *places, F.col(f"`{text}`").cast("binary").alias("text"))
+        kind = self.source.schema["id"].dataType.simpleString()
+        ranks = self.spark.sparkContext.broadcast(cell_ranks(self.source.select("text"), rule).tobytes())
+        schema = f"id {kind}, place bigint, place2 bigint, key bigint, key2 bigint, group bigint, size int, prefix array<bigint>"
         found = self.source.mapInArrow(_prefixes(rule, ranks), schema)
-        #: ``id, place, size, prefix, class, group`` per document.
-        self.documents = write_version(_named(_named(found, "key", "key2", "class"), "half", "half2", "group"), "shingled")
-        single = self.documents.where("size > 0").groupBy("class").agg(F.min("place").alias("place"), F.min("group").alias("group"), F.min("size").alias("size"))
-        #: ``class, place, group, size`` per distinct set.
-        self.classes = write_version(single, "classes")
+        name = F.concat(*[F.lpad(F.hex(half), 16, "0") for half in KEY])
+        #: ``id, place, place2, group, size, prefix, class`` per document.
+        self.documents = write_version(found.withColumn("class", name).drop(*KEY), "shingled")
+        least = F.min(F.struct(*PLACE, "group", "size")).alias("least")
+        #: ``class, place, place2, group, size`` per distinct set.
+        self.classes = write_version(self.documents.where("size > 0").groupBy("class").agg(least).select("class", "least.*"), "classes")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``u, v`` of classes that are linked."""
+        """Those of the pairs ``u, v`` of classes that are linked. Only texts of classes in pairs move."""
         pairs = write_version(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
-        asked = pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
-        places = self.classes.join(asked, "class", "left_semi").select(F.col("class").alias("name"), "place")
-        texts = self.source.select("place", "text").join(places, "place").dropDuplicates(["name"]).select("name", "text")
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+        places = write_version(self.classes.join(asked, "class", "left_semi").select("class", *PLACE), "asked")
+        near = key_filter(places, *map(F.col, PLACE)).holds(self.spark, *map(F.col, PLACE))
+        texts = self.source.where(near).select(*PLACE, "text").join(places, PLACE).dropDuplicates(["class"]).select(F.col("class").alias("name"), "text")
         sets = write_version(texts.mapInArrow(_sets(self.rule), "name string, values binary"), "sets")
         one, other = (sets.select(F.col("name").alias(side), F.col("values").alias(f"{side}_values")) for side in ("u", "v"))
         together = pairs.join(one, "u").join(other, "v")
         return write_version(together.where(_linked(self.rule)("u_values", "v_values")).select("u", "v"), "verified")
 
     def leader_pairs(self) -> DataFrame:
-        """Members with one member of a group that leads one of their prefix shingles, and with one of their own group."""
-        groups = self.documents.where("size > 0").select("group", "size", "prefix").dropDuplicates(["group"])
-        postings = groups.select("group", "size", F.posexplode("prefix").alias("at", "token"))
-        #: ``group, size, at, token`` per group and prefix shingle.
-        self.postings = write_version(postings, "postings")
-        entry = F.struct("at", "size", "group")
-        leaders = self.postings.groupBy("token").agg(F.min(entry).alias("leader"), F.count("*").alias("groups")).where("groups > 1")
-        #: Shingles that several groups have, and who leads them.
-        self.shared = write_version(leaders.select("token", "leader"), "shared-shingles")
-        followed = self.postings.join(self.shared, "token").where(F.col("group") != F.col("leader.group"))
+        """Members with one member of the group that leads most of their prefix shingles, and with one of their own group."""
+        postings = self.documents.where("size > 0").select("group", "size", F.posexplode("prefix").alias("at", "token"))
+        several = postings.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
+        shared = write_version(several, "shared-shingles")
+        kept = postings.where(key_filter(shared, F.col("token")).holds(self.spark, F.col("token"))).join(shared, "token")
+        #: ``token, group, size, at`` of the prefix shingles that several groups have.
+        self.entries = write_version(kept.distinct(), "entries")
+        leaders = self.entries.groupBy("token").agg(F.min(F.struct("at", "size", "group")).alias("leader"))
+        followed = self.entries.join(leaders, "token").where(F.col("group") != F.col("leader.group"))
         left = F.least(F.col("size") - F.col("at"), F.col("leader.size") - F.col("leader.at"))
-        pairs = followed.where(self.rule.possible(F.col("size"), F.col("leader.size"), left)).select("group", F.col("leader.group").alias("other")).distinct()
+        able = followed.where(self.rule.possible(F.col("size"), F.col("leader.size"), left)).groupBy("group", F.col("leader.group").alias("other")).count()
+        pairs = top_per_group(able, ["group"], [F.desc("count"), F.col("other")], 1)
         first = self.classes.groupBy("group").agg(F.min("class").alias("v"))
-        across = pairs.join(first.withColumnRenamed("group", "other"), "other").join(self.classes.select("group", F.col("class").alias("u")), "group")
-        within = self.classes.select("group", F.col("class").alias("u")).join(first, "group")
-        return across.select("u", "v").unionByName(within.select("u", "v"))
+        members = self.classes.select("group", F.col("class").alias("u"))
+        across = members.join(pairs, "group").join(first.withColumnRenamed("group", "other"), "other")
+        return across.select("u", "v").unionByName(members.join(first, "group").select("u", "v"))
 
     def pairs_left(self, found: DataFrame) -> DataFrame:
         """Pairs of classes in different components that may still be linked. ``found`` has ``class, root``."""
         rooted = self.classes.join(found, "class", "left").select("class", "group", "size", F.coalesce("root", "class").alias("root"))
         rooted = write_version(rooted, "rooted")
         # Shared shingles and groups both bring members together; a group does so at place 0.
-        by_token = self.postings.join(self.shared.select("token"), "token").select("token", "at", "group").join(rooted, "group")
-        by_token = by_token.select(F.concat(F.lit("t"), F.hex("token")).alias("meeting"), "at", "class", "size", "root")
-        by_group = rooted.select(F.concat(F.lit("g"), F.col("group")).alias("meeting"), F.lit(0).alias("at"), "class", "size", "root")
+        by_token = self.entries.join(rooted.drop("size"), "group").select(F.lit(True).alias("by_token"), F.col("token").alias("meeting"), "at", "class", "size", "root")
+        by_group = rooted.select(F.lit(False).alias("by_token"), F.col("group").alias("meeting"), F.lit(0).alias("at"), "class", "size", "root")
+        meeting = ["by_token", "meeting"]
         members = write_version(by_token.unionByName(by_group), "members")
-        mixed = members.groupBy("meeting").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("meeting")
-        members = write_version(members.join(mixed, "meeting"), "mixed-members")
-        # The largest component of a meeting: most members, then least root.
-        sizes = members.groupBy("meeting", "root").agg(F.count("*").alias("members"))
-        largest = sizes.groupBy("meeting").agg(F.max_by("root", F.struct("members", "root")).alias("largest"))
-        minor = members.join(largest, "meeting").where(F.col("root") != F.col("largest")).drop("largest")
-        mine, theirs = (side.select([F.col(name).alias(f"{prefix}_{name}") for name in ("meeting", "at", "class", "size", "root")]) for side, prefix in ((minor, "u"), (members, "v")))
+        mixed = members.groupBy(*meeting).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*meeting)
+        members = write_version(members.join(mixed, meeting), "mixed-members")
+        # The largest component of a meeting: most members, then greatest root.
+        sizes = members.groupBy(*meeting, "root").agg(F.count("*").alias("members"))
+        largest = sizes.groupBy(*meeting).agg(F.max_by("root", F.struct("members", "root")).alias("largest"))
+        minor = members.join(largest, meeting).where(F.col("root") != F.col("largest")).drop("largest")
+        mine, theirs = (side.select(*meeting, *[F.col(name).alias(f"{prefix}_{name}") for name in ("at", "class", "size", "root")]) for side, prefix in ((minor, "u"), (members, "v")))
         # At the first shingle that two sets share, all others they share come later; there a linked pair passes.
         left = F.least(F.col("u_size") - F.col("u_at"), F.col("v_size") - F.col("v_at"))
-        met = mine.join(theirs, (mine["u_meeting"] == theirs["v_meeting"]) & (F.col("u_root") != F.col("v_root")) & self.rule.possible(F.col("u_size"), F.col("v_size"), left))
+        met = mine.join(theirs, meeting).where((F.col("u_root") != F.col("v_root")) & self.rule.possible(F.col("u_size"), F.col("v_size"), left))
         return met.select(F.col("u_class").alias("u"), F.col("v_class").alias("v"))
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
-    """Documents ``id, place, size, class`` and verified links ``u, v`` between classes; every two documents whose
-    sets are linked are connected by them. ``place`` names a document by hashes of its id and text."""
+    """Documents ``id, place, place2, size, class`` and verified links ``u, v`` between classes; every two documents
+    whose sets are linked are connected by them. Places name a document by hashes of its id and text."""
     join = Join(docs, doc_id, text, rule)
     by_leaders = join.verified(join.leader_pairs())
     found = components(by_leaders).select(F.col("vertex").alias("class"), "root")
     others = join.verified(join.pairs_left(found))
-    return join.documents.select("id", "place", "size", "class"), by_leaders.unionByName(others)
+    return join.documents.select("id", *PLACE, "size", "class"), by_leaders.unionByName(others)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
