@@ -17,7 +17,9 @@ shingle; a text without words has an empty set and is linked with nothing. Shing
    outside the largest component of the shingle go with all members of other components, as far as sizes and the
    places of the shingle allow a link, and are verified.
 
-Verification compares whole sets in whole numbers. Components are exact, and links between documents of one
+Verification first compares sketches: a class carries the parity of its shingles in each of ``SKETCH`` bins, and two
+sets differ in at least as many shingles as their sketches in bins. What passes is compared as whole sets in whole
+numbers. Components are exact, and links between documents of one
 component that earlier ones imply are not looked for.
 
 Null text: no words. Repeated rows and equal ids each count as documents. A component is named by its smallest id; a
@@ -44,7 +46,7 @@ from profilum.operators.metrics import top_per_group
 from profilum.sources.store import write_version
 
 SHINGLE, PERCENT = 3, 90
-CELLS, SEGMENT = 1 << 22, 1 << 12
+CELLS, SEGMENT, SKETCH = 1 << 22, 1 << 12, 512
 KEY, PLACE = ["key", "key2"], ["place", "place2"]
 _SHIFT = np.uint64(64 - 22)
 
@@ -60,6 +62,10 @@ class Rule:
         """How many of the first shingles of a set hold one of every set linked with it."""
         return size - (-(-size * self.percent // 100)) + 1 if size else 0
 
+    def apart(self, sizes: Column) -> Column:
+        """In how many shingles two linked sets of these sizes together may differ."""
+        return sizes - 2 * F.ceil(self.percent * sizes / (100 + self.percent))
+
     def possible(self, size: Column, other: Column, shared: Column) -> Column:
         """Whether sets of these sizes can be linked if they share ``shared`` shingles at most."""
         return 100 * shared >= self.percent * (size + other - shared)
@@ -101,6 +107,12 @@ def _halves(names: list[bytes]) -> list[pa.Array]:
     return [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())]
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """The parity of the hashes per bin, as signed 64-bit words."""
+    odd = np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _count_cells(rule: Rule):
     """Texts to counts per cell, a row per segment of cells that a task has met."""
 
@@ -160,7 +172,7 @@ def _prefixes(rule: Rule, ranks):
         rank = np.frombuffer(ranks.value, dtype=np.uint8)
         for batch in batches:
             for part in parts_of(batch, "text"):
-                names, groups, sizes, prefixes = [], [], [], []
+                names, groups, sizes, prefixes, sketches = [], [], [], [], []
                 for values in shingles(part.column("text").to_pylist(), rule.shingle):
                     order = np.lexsort((values, rank[(values >> _SHIFT).astype(np.int64)]))
                     prefix = values[order[: rule.prefix(len(values))]].view(np.int64)
@@ -168,12 +180,14 @@ def _prefixes(rule: Rule, ranks):
                     groups.append(_name(np.append(prefix, len(values))))
                     sizes.append(len(values))
                     prefixes.append(prefix)
+                    sketches.append(sketch(values))
                 bounds = np.append(0, np.cumsum(list(map(len, prefixes)))).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(prefixes)))
                 first, second = _halves(names)
                 group, _ = _halves(groups)
                 columns = [*[part.column(name) for name in ("id", *PLACE)], first, second, group, pa.array(sizes, type=pa.int32()), flat]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", *PLACE, *KEY, "group", "size", "prefix"])
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate(sketches)))
+                yield pa.RecordBatch.from_arrays([*columns, words], names=["id", *PLACE, *KEY, "group", "size", "prefix", "sketch"])
 
     return run
 
@@ -201,31 +215,39 @@ def _linked(rule: Rule):
     return linked
 
 
+def places(doc_id: str, text: str) -> list[Column]:
+    """What names a document: hashes of its id and text."""
+    return [F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias(name) for seed, name in enumerate(PLACE)]
+
+
 class Join:
     """The tables of one join over ``docs``. Groups are told apart by a 64-bit hash and their size."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, rule: Rule) -> None:
         self.rule, self.spark = rule, docs.sparkSession
-        places = [F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias(name) for seed, name in enumerate(PLACE)]
-        self.source = docs.select(F.col(f"`{doc_id}`").alias("id"), *places, F.col(f"`{text}`").cast("binary").alias("text"))
+        self.source = docs.select(F.col(f"`{doc_id}`").alias("id"), *places(doc_id, text), F.col(f"`{text}`").cast("binary").alias("text"))
         kind = self.source.schema["id"].dataType.simpleString()
         ranks = self.spark.sparkContext.broadcast(cell_ranks(self.source.select("text"), rule).tobytes())
-        schema = f"id {kind}, place bigint, place2 bigint, key bigint, key2 bigint, group bigint, size int, prefix array<bigint>"
+        schema = f"id {kind}, place bigint, place2 bigint, key bigint, key2 bigint, group bigint, size int, prefix array<bigint>, sketch array<bigint>"
         found = self.source.mapInArrow(_prefixes(rule, ranks), schema)
         name = F.concat(*[F.lpad(F.hex(half), 16, "0") for half in KEY])
-        #: ``id, place, place2, group, size, prefix, class`` per document.
+        #: ``id, place, place2, group, size, prefix, sketch, class`` per document.
         self.documents = write_version(found.withColumn("class", name).drop(*KEY), "shingled")
-        least = F.min(F.struct(*PLACE, "group", "size")).alias("least")
-        #: ``class, place, place2, group, size`` per distinct set.
+        least = F.min(F.struct(*PLACE, "group", "size", "sketch")).alias("least")
+        #: ``class, place, place2, group, size, sketch`` per distinct set.
         self.classes = write_version(self.documents.where("size > 0").groupBy("class").agg(least).select("class", "least.*"), "classes")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``u, v`` of classes that are linked. Only texts of classes in pairs move."""
-        pairs = write_version(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+        for side in ("u", "v"):
+            pairs = pairs.join(self.classes.select(F.col("class").alias(side), F.col("size").alias(f"{side}_size"), F.col("sketch").alias(f"{side}_sketch")), side)
+        bins = F.aggregate(F.zip_with("u_sketch", "v_sketch", lambda one, other: F.bit_count(one.bitwiseXOR(other))), F.lit(0), lambda total, odd: total + odd)
+        pairs = write_version(pairs.where(bins <= self.rule.apart(F.col("u_size") + F.col("v_size"))).select("u", "v"), "pairs")
         asked = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-        places = write_version(self.classes.join(asked, "class", "left_semi").select("class", *PLACE), "asked")
-        near = key_filter(places, *map(F.col, PLACE)).holds(self.spark, *map(F.col, PLACE))
-        texts = self.source.where(near).select(*PLACE, "text").join(places, PLACE).dropDuplicates(["class"]).select(F.col("class").alias("name"), "text")
+        wanted = write_version(self.classes.join(asked, "class", "left_semi").select("class", *PLACE), "asked")
+        near = key_filter(wanted, *map(F.col, PLACE)).holds(self.spark, *map(F.col, PLACE))
+        texts = self.source.where(near).select(*PLACE, "text").join(wanted, PLACE).dropDuplicates(["class"]).select(F.col("class").alias("name"), "text")
         sets = write_version(texts.mapInArrow(_sets(self.rule), "name string, values binary"), "sets")
         one, other = (sets.select(F.col("name").alias(side), F.col("values").alias(f"{side}_values")) for side in ("u", "v"))
         together = pairs.join(one, "u").join(other, "v")

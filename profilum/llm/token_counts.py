@@ -84,13 +84,13 @@ class Automaton:
         known = self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
+        long = {}
         for word in set(words):
-            if word not in known:
+            if len(word) > LONGEST_KNOWN:
+                long[word] = self.pieces(word)
+            elif word not in known:
                 known[word] = self.pieces(word)
-        found = list(map(known.__getitem__, words))
-        for word in [word for word in known if len(word) > LONGEST_KNOWN] if any(len(word) > LONGEST_KNOWN for word in words) else []:
-            del known[word]
-        return found
+        return [long[word] if len(word) > LONGEST_KNOWN else known[word] for word in words] if long else list(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

@@ -1,10 +1,14 @@
 """The corpus pipeline, stage by stage on each stage's own input."""
 
+import random
+
 import public_tokenizers
 from conftest_llm import documents
 from pyspark.sql import functions as F
 from test_llm_repeats import expected as without_repeats
-from test_llm_simhash import expected as near
+from test_llm_join import expected as similar
+from test_llm_join import near_copies
+from test_llm_simhash import expected as close
 from test_llm_tokens import check_packing
 from tokenizers import Tokenizer
 
@@ -18,6 +22,25 @@ def rows_of(frame):
     return [(row.doc_id, row.text) for row in frame.collect()]
 
 
+def least_ids(rows):
+    """The smallest ids of groups that fingerprints two bits apart or similar sets of five words connect."""
+    rows = [(place, text) for place, (_, text) in enumerate(rows)], [key for key, _ in rows]
+    above = list(range(len(rows[1])))
+
+    def root(place):
+        while above[place] != place:
+            place = above[place]
+        return place
+
+    for links in (close(rows[0]), similar(rows[0], 5, 80)):
+        for place, _, other in links:
+            above[root(place)] = root(other)
+    groups = {}
+    for place, key in enumerate(rows[1]):
+        groups.setdefault(root(place), []).append(key)
+    return [min(key for key in keys if key is not None) for keys in groups.values() if any(key is not None for key in keys)]
+
+
 def check_stages(spark, docs):
     columns = docs.columns
     (_, language), (_, duplicates), (_, strings), (_, pack) = corpus_pipeline.STAGES
@@ -27,10 +50,8 @@ def check_stages(spark, docs):
     assert sorted(rows_of(kept), key=repr) == sorted([(key, text) for key, text in rows_of(docs) if any(map(str.isalpha, text or ""))], key=repr)
 
     single = duplicates(spark, kept, FOLDER).cache()
-    groups = near(rows_of(kept))
-    names = {name for _, _, name in groups if name is not None}
     assert single.columns == columns
-    assert sorted(key for key, _ in rows_of(single) if key is not None) == sorted(names)
+    assert sorted(key for key, _ in rows_of(single) if key is not None) == sorted(least_ids(rows_of(kept)))
 
     cut = strings(spark, single, FOLDER).cache()
     assert cut.columns == columns and cut.count() == single.count()
@@ -52,6 +73,22 @@ def test_stages(spark):
     assert contract.queries()["pipeline"](spark, FOLDER).count() == pieces
 
 
+def test_near_copies_and_passages(spark, make):
+    """Copies of a similarity of 0.8 and more go, distinct texts stay; passages of 51 words and more go wherever they repeat."""
+    rows = near_copies()
+    frame = make(rows, "doc_id long, text string")
+    kept = rows_of(corpus_pipeline.near_duplicates(spark, frame, FOLDER))
+    assert sorted(key for key, _ in kept) == sorted(least_ids(rows))
+    random.seed(2)
+    words = [documents("sf0.001")[place][1].split() for place in range(40)]
+    texts = [" ".join(random.sample(sorted({word for text in words for word in text}), 300)) for _ in range(6)]
+    passages = [" ".join(random.sample(sorted({word for text in words for word in text}), size)) for size in (51, 60)]
+    planted = [(place, f"{text[:300]} {passages[place % 2]} {text[300:]}", 0) for place, text in enumerate(texts)]
+    cut = corpus_pipeline.repeated_strings(spark, make(planted, "doc_id long, text string, n_chars long"), FOLDER).collect()
+    assert all(len(passage) >= corpus_pipeline.REPEATED_BYTES for passage in passages)
+    assert all(passages[row.doc_id % 2][20:-20] not in row.text and row.text.startswith(texts[row.doc_id][:300]) for row in cut)
+
+
 def test_awkward_rows(spark, awkward):
     check_stages(spark, awkward)
 
