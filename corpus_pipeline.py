@@ -2,7 +2,9 @@
 
 1. ``language_id``: documents without a language (null text, no letter, nothing learned) go; a missing label is filled
    in with the language found.
-2. ``near_duplicates``: one document of each group of near duplicates stays, the smallest id (null ids last).
+2. ``near_duplicates``: one document of each group of near duplicates stays, the smallest id (null ids last). Linked are
+   fingerprints of three-word shingles at most two bits apart, and sets of five-word shingles that are 0.8 similar or
+   more (``near_copies``).
 3. ``repeated_strings``: strings of ``REPEATED_BYTES`` bytes that start in more than one place are taken out of the
    texts; a character covered only in part stays. ``n_chars`` follows. A document may be left with an empty text. The
    length is that of a passage of 51 words in its shortest form (five bytes a word with its space), so that passages
@@ -19,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.llm import language, packing, repeats, simhash
+from profilum.llm import language, near_copies, packing, repeats
 from profilum.llm.names import unused
 from profilum.llm.settings import prepare
 from profilum.sources.store import write_version
@@ -41,7 +43,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return simhash.one_per_component(docs)
+    return near_copies.one_per_group(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
