@@ -230,7 +230,7 @@ class Join:
         ranks = self.spark.sparkContext.broadcast(cell_ranks(self.source.select("text"), rule).tobytes())
         schema = f"id {kind}, place bigint, place2 bigint, key bigint, key2 bigint, group bigint, size int, prefix array<bigint>, sketch array<bigint>"
         found = self.source.mapInArrow(_prefixes(rule, ranks), schema)
-        name = F.concat(*[F.lpad(F.hex(half), 16, "0") for half in KEY])
+        name = F.unhex(F.concat(*[F.lpad(F.hex(half), 16, "0") for half in KEY]))
         #: ``id, place, place2, group, size, prefix, sketch, class`` per document.
         self.documents = write_version(found.withColumn("class", name).drop(*KEY), "shingled")
         least = F.min(F.struct(*PLACE, "group", "size", "sketch")).alias("least")
@@ -248,7 +248,7 @@ class Join:
         wanted = write_version(self.classes.join(asked, "class", "left_semi").select("class", *PLACE), "asked")
         near = key_filter(wanted, *map(F.col, PLACE)).holds(self.spark, *map(F.col, PLACE))
         texts = self.source.where(near).select(*PLACE, "text").join(wanted, PLACE).dropDuplicates(["class"]).select(F.col("class").alias("name"), "text")
-        sets = write_version(texts.mapInArrow(_sets(self.rule), "name string, values binary"), "sets")
+        sets = write_version(texts.mapInArrow(_sets(self.rule), "name binary, values binary"), "sets")
         one, other = (sets.select(F.col("name").alias(side), F.col("values").alias(f"{side}_values")) for side in ("u", "v"))
         together = pairs.join(one, "u").join(other, "v")
         return write_version(together.where(_linked(self.rule)("u_values", "v_values")).select("u", "v"), "verified")
