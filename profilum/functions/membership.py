@@ -37,8 +37,9 @@ class KeyFilter:
     def bits(self) -> int:
         return 8 * len(self.words)
 
-    def holds(self, spark: SparkSession, *keys: Column) -> Column:
-        """Whether the keys may be among those of the filter. Null keys are looked up like any other."""
+    def holds(self, spark: SparkSession, *keys: Column, part: Column | None = None, bits: int | None = None) -> Column:
+        """Whether the keys may be among those of the filter, or of its ``part`` of ``bits``. Null keys are looked up
+        like any other."""
         sent = spark.sparkContext.broadcast(self.words)
 
         @F.arrow_udf(BooleanType())
@@ -47,7 +48,8 @@ class KeyFilter:
             found = [(words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) for at in (place.to_numpy() for place in places)]
             return pa.array(reduce(np.bitwise_and, found).astype(bool))
 
-        return held(*bit_places(list(keys), self.bits))
+        places = bit_places(list(keys), bits or self.bits)
+        return held(*[place if part is None else part.cast("long") * bits + place for place in places])
 
 
 def word_rows(frame: DataFrame, keys: list[Column], bits: int, group: list[str] = ()) -> DataFrame:

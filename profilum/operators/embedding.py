@@ -90,6 +90,7 @@ def embedding_job(spark: SparkSession, root: str, key: str, embedder: Embedder,
     """Embed the current version of a stored table, commit the result and report its coverage.
 
     ``limit`` bounds how many documents one run embeds, smallest keys first; the next run goes on from there.
+    Texts that failed are committed with their reasons before the table, see :func:`quarantined`.
     """
     documents = current(spark, root)
     wanted = embedding_backlog(documents) if mode == "backlog" else documents.filter(F.col("full_text").isNotNull())
@@ -97,9 +98,17 @@ def embedding_job(spark: SparkSession, root: str, key: str, embedder: Embedder,
         chosen = wanted.select(key).orderBy(key).limit(limit)
         due = documents.join(chosen, key, "left_semi")
         run = embed_table(due, key, embedder, model, embedded_at, mode, batch_size)
+        quarantine = run.quarantine
         rest = documents.join(chosen, key, "left_anti").withColumn("embedding", F.col("embedding").cast("array<double>"))
         table = rest.unionByName(run.table, allowMissingColumns=True)
     else:
-        table = embed_table(documents, key, embedder, model, embedded_at, mode, batch_size).table
+        run = embed_table(documents, key, embedder, model, embedded_at, mode, batch_size)
+        table, quarantine = run.table, run.quarantine
+    commit(quarantine, f"{root}/quarantine")
     number = commit(table, root)
     return embedding_stats({root.rstrip("/").rpartition("/")[2]: current(spark, root)}).withColumn("version", F.lit(number))
+
+
+def quarantined(spark: SparkSession, root: str) -> DataFrame | None:
+    """The key and reason of the texts that the last :func:`embedding_job` over ``root`` could not embed."""
+    return current(spark, f"{root}/quarantine")

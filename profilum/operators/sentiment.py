@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from profilum.fixed_values import ANALYST_CLOSING, ANALYST_OPENING, ANALYST_QUER
 from profilum.functions.columns import mean_exact, number_text
 from profilum.functions.documents import interaction_text
 from profilum.operators.metrics import top_per_group
+from profilum.sources.store import write_version
 
+# Ids that one automaton holds.
+AUTOMATON_IDS = 1 << 17
 VOLATILE_SPREAD = 0.5
 TREND_SLOPE = 0.005
 
@@ -84,6 +89,39 @@ def customer_docs(documents: DataFrame, customers: DataFrame) -> DataFrame:
     return documents.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
 
 
+def docs_containing(documents: DataFrame, customers: DataFrame, key: str = "customer_id") -> DataFrame:
+    """Documents whose text contains a listed id anywhere, also inside a longer one: a row per document and id found,
+    as ``wanted_id``. Texts pass once per ``AUTOMATON_IDS`` ids, through an automaton of these ids. Null and empty ids are none."""
+    ids = customers.select(F.col(key).cast("string").alias("wanted_id")).where("wanted_id <> ''").distinct()
+    passes = max(1, -(-ids.count() // AUTOMATON_IDS))
+    fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in documents.schema)
+    ids = write_version(ids.withColumn("_pass", F.pmod(F.xxhash64("wanted_id"), F.lit(passes))), "wanted-ids")
+    found = []
+    for number in range(passes):
+        # About AUTOMATON_IDS ids.
+        some = [row.wanted_id for row in ids.where(F.col("_pass") == number).select("wanted_id").collect()]
+        sent = documents.sparkSession.sparkContext.broadcast(some)
+
+        def run(batches, sent=sent):
+            automaton = ahocorasick.Automaton()
+            for one in sent.value:
+                automaton.add_word(one, one)
+            if not len(automaton):
+                return
+            automaton.make_automaton()
+            for batch in batches:
+                texts = batch.column("content").to_pylist()
+                hits = [(row, one) for row, text in enumerate(texts) if text for one in sorted({one for _, one in automaton.iter(text)})]
+                rows = batch.take(pa.array([row for row, _ in hits], type=pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([one for _, one in hits], type=pa.string())], names=[*rows.schema.names, "wanted_id"])
+
+        found.append(documents.mapInArrow(run, f"{fields}, wanted_id string"))
+    result = found[0]
+    for more in found[1:]:
+        result = result.unionByName(more)
+    return result
+
+
 def _summary(trend: Column, latest: Column) -> Column:
     parts = [F.col("customer_id").cast("string"), trend, latest]
     return F.concat(*[column for label, part in zip(SENTIMENT_SUMMARY, parts) for column in (F.lit(label), part)])

@@ -418,6 +418,8 @@ FROM m_answers a JOIN m_queries q USING (query_id) LEFT JOIN m_trend t ON t.cust
     "daily_sentiment": "SELECT * FROM m_daily",
     "sentiment_trend": "SELECT * FROM m_trend",
     "customer_docs": "SELECT interaction_id, customer_id, content FROM m_interaction_docs SEMI JOIN (SELECT asker_id AS customer_id FROM m_queries WHERE customer_email IS NOT NULL) a USING (customer_id)",
+    "customer_docs_containing": """SELECT d.interaction_id, a.wanted_id FROM m_interaction_docs d
+  JOIN (SELECT DISTINCT asker_id::VARCHAR AS wanted_id FROM m_queries WHERE customer_email IS NOT NULL) a ON contains(d.content, a.wanted_id)""",
     "combined_context": "SELECT * FROM m_context",
     "context_blocks": "SELECT * FROM m_context_blocks",
     "sentiment_prompts": f"""SELECT customer_id, {_text(SENTIMENT_OPENING)} || customer_id || ':' || chr(10) || chr(10) || '[' || string_agg('{{"date": "' || date::VARCHAR || '", "avg_sentiment": ' || avg_sentiment::VARCHAR || ', "interactions": ' || interactions || '}}', ', ' ORDER BY date DESC)

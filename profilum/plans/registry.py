@@ -22,6 +22,7 @@ from profilum.operators import embedding, metrics, retrieval, rollups, search, s
 from profilum.operators.profile import customer_profile
 from profilum.session import fresh_path, steady_unions
 from profilum.sources import files, landing, model, store
+from profilum.sources.buckets import BucketTable
 from profilum.streaming import upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,8 +325,8 @@ def merge_insert_new_tickets(spark, folder):
     source = model.tickets_embedded(spark, folder).drop("embedding").withColumn("origin", F.lit("arrived"))
     labelled = model.read_table(spark, folder, "labels").select(F.col("doc_id").alias("ticket_id"))
     known = source.join(labelled, "ticket_id", "left_semi").withColumns({"status": F.lit("archived"), "origin": F.lit("known")})
-    merged = store.merge_insert(known, source, "ticket_id")
-    return merged.select("ticket_id", "customer_email", "status", "origin", F.length("full_text").alias("chars"))
+    table = BucketTable.create(known, fresh_path(spark, "tickets"), "ticket_id").insert_missing(source)
+    return table.rows().select("ticket_id", "customer_email", "status", "origin", F.length("full_text").alias("chars"))
 
 
 @query
@@ -341,11 +342,11 @@ def merge_update_embeddings(spark, folder):
     stamp = F.lit("2001-08-02 00:00:00").cast("timestamp_ntz")
     current = vectors.withColumns({"embedding_model": F.lit("second"), "embedded_at": stamp})
     older = vectors.select("ticket_id", F.reverse("embedding").alias("embedding")).withColumns({"embedding_model": F.lit("first"), "embedded_at": stamp - F.expr("INTERVAL 1 DAY")})
-    merged = store.merge_update(
-        model.tickets_embedded(spark, folder), current.unionByName(older), "ticket_id", ["embedding", "embedding_model", "embedded_at"], [F.col("embedded_at").desc()]
-    )
+    empty = {"embedding_model": F.lit(None).cast("string"), "embedded_at": F.lit(None).cast("timestamp_ntz")}
+    table = BucketTable.create(model.tickets_embedded(spark, folder).withColumns(empty), fresh_path(spark, "tickets"), "ticket_id")
+    merged = table.update(current.unionByName(older), ["embedding", "embedding_model", "embedded_at"], [F.col("embedded_at").desc()])
     first = F.try_element_at("embedding", F.lit(1)).cast("double")
-    return merged.select("ticket_id", F.round(first, 6).alias("first_component"), "embedding_model", "embedded_at")
+    return merged.rows().select("ticket_id", F.round(first, 6).alias("first_component"), "embedding_model", "embedded_at")
 
 
 @query
@@ -489,6 +490,12 @@ def customer_docs(spark, folder):
     return sentiment.customer_docs(sentiment.interaction_documents(model.interactions(spark, folder)), asking).select("interaction_id", "customer_id", "content")
 
 
+@query
+def customer_docs_containing(spark, folder):
+    asking = model.user_queries(spark, folder, vectors=False).filter(F.col("customer_email").isNotNull()).select(F.regexp_extract("customer_email", "customer([0-9]+)", 1).cast("bigint").alias("customer_id"))
+    return sentiment.docs_containing(sentiment.interaction_documents(model.interactions(spark, folder)), asking).select("interaction_id", "wanted_id")
+
+
 @query
 def combined_context(spark, folder):
     return sentiment.combined_context(model.interactions(spark, folder), model.EVENTS_AS_OF)

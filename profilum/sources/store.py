@@ -67,7 +67,8 @@ def commit(frame: DataFrame, root: str) -> int:
     number = (_newest(spark, root) or (0, ""))[0] + 1
     path = f"{root}/version-{number}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    spark.createDataFrame([(number, path)], LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    # Of two writers of the same number the second fails.
+    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("errorifexists").parquet(f"{root}/log/number={number}")
     return number
 
 
