@@ -13,7 +13,8 @@ from the labelled pages of ``labelled_pages``, a fixed and small number, when a
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined
 in page order by a line feed. Null or empty html, and pages without content, give an empty text.
-Unclosed elements end where their parent does, and a cut-off tag ends the page. Repeated rows are
+Formulas are read as part of their block. Unclosed elements end where their parent does (scripts, styles and
+other raw text with the page), and a cut-off tag ends the page. Repeated rows are
 extracted each, null ids and urls stay null, other columns are not read, an empty table gives no rows.
 """
 
@@ -39,7 +40,10 @@ BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption "
     "nav header footer aside form fieldset address details summary template noscript dialog select button menu center".split()
 )
-UNREAD = frozenset("script style title textarea iframe svg math noframes xmp object video audio canvas".split())
+# What is never text; without a closing tag it takes the rest of the page, as browsers have it.
+UNREAD = frozenset("script style title textarea iframe noframes xmp".split())
+# Drawings and players, left out up to their closing tag; without one only the tag itself is.
+MEDIA = frozenset("svg object video audio canvas".split())
 # What holds a whole page says nothing about its parts; messages start below.
 FRAME = frozenset(("#root", "html", "body"))
 PLAIN = frozenset("#text p li dd dt td th tr blockquote pre h1 h2 h3 h4 h5 h6".split())
@@ -96,6 +100,7 @@ def tree(page: str) -> list[Node]:
     nodes = [Node("#root", -1)]
     stack, names = [0], Counter()
     leaf, links, place, length = -1, 0, 0, len(page)
+    unclosed: set[str] = set()
 
     def text(low: int, high: int) -> None:
         nonlocal leaf
@@ -128,10 +133,16 @@ def tree(page: str) -> list[Node]:
         if not name or not (match["end"] or match["end2"]):
             continue
         closing = bool(match["close"] or match["close2"])
-        if name in UNREAD:
+        if name in UNREAD or name in MEDIA:
             if not closing and not (match["rest"] or match["rest2"] or "").endswith("/"):
-                found = _closing(name).search(page, place)
-                place = found.end() if found else length
+                # A tag that is not closed is looked for once only.
+                found = _closing(name).search(page, place) if name not in unclosed else None
+                if found:
+                    place = found.end()
+                elif name in UNREAD:
+                    place = length
+                else:
+                    unclosed.add(name)
         elif name == "a":
             links = max(0, links - 1) if closing else links + 1
         elif name == "br":

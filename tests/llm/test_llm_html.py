@@ -92,3 +92,14 @@ def test_awkward_rows(make, model):
     assert sorted([(row.id, row.url, row.text, row.n_chars) for row in found], key=repr) == sorted([(key, url, html_extract.main_text(page, model), len(html_extract.main_text(page, model))) for key, url, page in pages], key=repr)
     assert {row.id: row.text.count("\n") for row in found}[4] == 19_999
     assert html_extract.extract(make(pages, schema).where("page_id = 9")).count() == 0
+
+
+def test_nothing_else_is_dropped(model):
+    """Formulas stay, and an unclosed drawing or player does not take the rest of its page."""
+    rest = "".join(f"<p>Paragraph {place} of the article goes on with a few more words, and ends.</p>" for place in range(6))
+    start = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article class='post'><h1>A title</h1><p>Energy is <math><mi>E</mi>=<mi>m</mi></math> as known, for a long time.</p>"
+    whole = html_extract.main_text(start + rest + "</article></body></html>", model)
+    assert whole.startswith("A title\nEnergy is E=m as known") and whole.count("\n") == 7
+    for element in ("<svg width=3>", "<video src=x>", "<object>", "<canvas>" * 1000):
+        assert html_extract.main_text(start + element + rest + "</article></body></html>", model) == whole
+    assert html_extract.main_text(start + "<svg><text>drawn</text></svg>" + rest + "</article></body></html>", model) == whole
