@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def parts_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
