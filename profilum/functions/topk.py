@@ -7,6 +7,8 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 
+from profilum.functions.vectors import unit_rows
+
 SLICE = 2048
 DIGITS = 12
 # Scores are compared after rounding, so a cut must not lose what rounds up to it.
@@ -14,6 +16,19 @@ SLACK = 10.0 ** -(DIGITS - 1)
 COLUMNS = ["query", "doc", "score"]
 
 
+def query_rows(frame: pd.DataFrame, dimension: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Unit vectors and excluded ids of a block of queries; a missing vector, or one of another dimension
+    than the documents, scores zero everywhere."""
+    empty = np.zeros(dimension)
+    rows = unit_rows([empty if vector is None or len(vector) != dimension else vector for vector in frame["query_vector"]])
+    counts = frame["excludes"].to_numpy(dtype=bool)
+    if not counts.any():
+        return rows, None
+    excluded = frame["exclude_id"].to_numpy(dtype=object)
+    excluded[~counts] = None
+    return rows, excluded
+
+
 def hit_frame(query_ids, key: str, best: pd.DataFrame) -> pd.DataFrame:
     """The best rows under the ids of their queries, as plain object columns for Arrow."""
     at = best["query"].to_numpy(dtype=int)

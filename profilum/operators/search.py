@@ -1,9 +1,9 @@
 """Exact and approximate top-k search by cosine similarity.
 
 Queries always arrive as a table. A query set that is small by count is sent to every executor and
-the documents are scanned in place, without a shuffle. For a larger one the documents move once, into
-cells of bounded size; the queries are sent to the cells and stream past what a task holds of one.
-Both ways return the same rows.
+the documents are scanned in place, without a shuffle. For a larger one the documents move into
+cells of bounded size: by nearness (:mod:`profilum.operators.cells`), where a query goes only to cells that
+can hold a better document than it has, or by scope. All ways return the same rows.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilum.functions.topk import DIGITS, hit_frame, scan, scan_scopes
+from profilum.functions.topk import DIGITS, hit_frame, query_rows, scan
 from profilum.functions.vectors import norm, unit_rows
+from profilum.operators import cells
 from profilum.operators.metrics import top_per_group
 from profilum.session import fresh_path
 
@@ -26,7 +27,7 @@ from profilum.session import fresh_path
 BROADCAST_QUERIES = 4096
 BROADCAST_BYTES = 64 * 1024 * 1024
 PART_DOCUMENTS = 20_000
-PART_QUERIES = 1024
+SLICE_QUERIES = 65_536
 
 
 def _prepared(queries: DataFrame, documents: DataFrame, key: str, scope: str | None) -> DataFrame:
@@ -43,19 +44,6 @@ def _prepared(queries: DataFrame, documents: DataFrame, key: str, scope: str | N
     )
 
 
-def _query_rows(frame: pd.DataFrame, dimension: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """Unit vectors and excluded ids of a block of queries; a missing vector, or one of another dimension
-    than the documents, scores zero everywhere."""
-    empty = np.zeros(dimension)
-    rows = unit_rows([empty if vector is None or len(vector) != dimension else vector for vector in frame["query_vector"]])
-    counts = frame["excludes"].to_numpy(dtype=bool)
-    if not counts.any():
-        return rows, None
-    excluded = frame["exclude_id"].to_numpy(dtype=object)
-    excluded[~counts] = None
-    return rows, excluded
-
-
 def _small_scan(queries: pd.DataFrame, documents: DataFrame, key: str, k: int, schema: str) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(queries)
 
@@ -67,7 +55,7 @@ def _small_scan(queries: pd.DataFrame, documents: DataFrame, key: str, k: int, s
                 if len(frame):
                     rows = unit_rows(frame["embedding"])
                     if not state:
-                        state["queries"], state["excluded"] = _query_rows(local, rows.shape[1])
+                        state["queries"], state["excluded"] = query_rows(local, rows.shape[1])
                     yield frame[key].to_numpy(), rows
 
         stream = blocks()
@@ -93,79 +81,51 @@ def _parts(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-def _part_scan(queries: DataFrame, documents: DataFrame, key: str, k: int, scope: str | None, schema: str) -> DataFrame:
+def _scope_scan(queries: DataFrame, documents: DataFrame, docs: DataFrame, key: str, k: int, schema: str) -> DataFrame:
     """Send the queries to cells of documents of their scope.
 
-    The number of cells follows the number of documents, so a cell keeps its size as they grow, and a
-    document lies in one cell. All documents are counted, also those without a vector: that bounds the
-    cells and reads no vectors. The queries of a cell come after its documents and are never held together.
+    The number of cells follows the number of documents, so a cell keeps its size as they grow. All ``documents`` are
+    counted, also those without a vector: that bounds the cells and reads no vectors. The queries of a cell come after
+    its documents and are never held together; those of a scope that many ask for are split, and its documents go to
+    each slice.
     """
-    scopes = [F.col(scope).alias("_scope")] if scope else [F.lit(0).alias("_scope")]
+    queries = queries.filter(F.col("_scope").isNotNull())
+    # Scopes nobody asks for are dropped first.
+    docs = docs.join(queries.select("_scope").distinct(), "_scope", "left_semi")
+    doc_count = documents.count()
+    # A bucket takes whole scopes and is filled to a quarter on average, which leaves room for
+    # uneven ones. There are at least as many buckets as cores.
+    buckets = max(documents.sparkSession.sparkContext.defaultParallelism, 4 * _parts(doc_count, PART_DOCUMENTS))
+    # Only large scopes are split; there can be no more of them than rows over the size.
+    splits = []
+    for rows, count, size, name in ((documents, doc_count, PART_DOCUMENTS, "_parts"), (queries, queries.count(), SLICE_QUERIES, "_slices")):
+        large = rows.groupBy("_scope").agg(F.count("*").alias("n")).filter(F.col("n") > size)
+        splits.append((large.select("_scope", F.ceil(F.col("n") / size).cast("int").alias(name)) if count > size else None, name))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        for split, name in splits:
+            rows = rows.withColumn(name, F.lit(1)) if split is None else rows.join(split, "_scope", "left").withColumn(name, F.coalesce(name, F.lit(1)))
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64("_scope"), F.lit(buckets)))
+
+    def numbered(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    place = ["_bucket", "_part", "_slice"]
+    held = placed(docs).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).withColumn("_slice", numbered("_slices"))
+    sent = placed(queries).withColumn("_slice", F.pmod(F.xxhash64("query_id", "query_vector"), F.col("_slices")).cast("int")).withColumn("_part", numbered("_parts"))
+    together = cells.documents_held(held, place, key, queries).unionByName(cells.queries_sent(sent, place, docs, key))
+    return cells.meet(together, place, key, k, schema, scoped=True)
+
+
+def _part_scan(queries: DataFrame, documents: DataFrame, key: str, k: int, scope: str | None, schema: str) -> DataFrame:
     # Documents of another dimension than most queries are not compared; the smallest of equally common ones, as in the other way.
-    dimension = queries.select(F.mode(F.size("query_vector"), deterministic=True)).scalar()
-    docs = documents.filter(F.col("embedding").isNotNull() & (F.size("embedding") == F.coalesce(dimension, F.size("embedding"))))
-    docs = docs.select(F.col(key), F.col("embedding").cast("array<double>").alias("vector"), *scopes)
-    doc_count = documents.select(key).count()
+    sizes = F.when(F.col("query_vector").isNotNull(), F.size("query_vector"))
+    dimension = queries.agg(F.mode(sizes, deterministic=True)).first()[0]
+    docs = documents.filter(F.col("embedding").isNotNull() & (F.size("embedding") == F.coalesce(F.lit(dimension).cast("int"), F.size("embedding"))))
+    docs = docs.select(F.col(key), F.col("embedding").cast("array<double>").alias("vector"), *([F.col(scope).alias("_scope")] if scope else []))
     if scope:
-        queries = queries.filter(F.col("_scope").isNotNull())
-        # Scopes nobody asks for are dropped first. Only large scopes are split; there can be no more
-        # of them than documents over the part size.
-        docs = docs.join(queries.select("_scope").distinct(), "_scope", "left_semi")
-        # A bucket takes whole scopes and is filled to a quarter on average, which leaves room for
-        # uneven ones. There are at least as many buckets as cores.
-        buckets = max(documents.sparkSession.sparkContext.defaultParallelism, 4 * _parts(doc_count, PART_DOCUMENTS))
-        large = documents.select(*scopes).groupBy("_scope").agg(F.count("*").alias("n")).filter(F.col("n") > PART_DOCUMENTS)
-        split = large.select("_scope", F.ceil(F.col("n") / PART_DOCUMENTS).cast("int").alias("_parts"))
-
-        def placed(rows: DataFrame) -> DataFrame:
-            known = rows.join(split, "_scope", "left") if doc_count > PART_DOCUMENTS else rows.withColumn("_parts", F.lit(1))
-            return known.withColumns({"_parts": F.coalesce("_parts", F.lit(1)), "_bucket": F.pmod(F.xxhash64("_scope"), F.lit(buckets))})
-    else:
-        queries = queries.withColumn("_scope", F.lit(0))
-        fixed = {"_parts": F.lit(_parts(doc_count, PART_DOCUMENTS)), "_bucket": F.lit(0).cast("long")}
-
-        def placed(rows: DataFrame) -> DataFrame:
-            return rows.withColumns(fixed)
-
-    cell = ["_bucket", "_part"]
-    doc_type, query_type = docs.schema[key].dataType, queries.schema["query_id"].dataType
-    # Neither side leaves an id empty, so that large ids stay whole numbers on their way to Python.
-    held = placed(docs).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).select(
-        *cell, F.lit(False).alias("_asks"), "_scope", F.col(key).alias("_doc"), F.lit("0").cast(query_type).alias("query_id"), "vector",
-        F.lit("0").cast(doc_type).alias("exclude_id"), F.lit(False).alias("excludes"),
-    )
-    sent = placed(queries).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
-        *cell, F.lit(True).alias("_asks"), "_scope", F.lit("0").cast(doc_type).alias("_doc"), "query_id", F.col("query_vector").alias("vector"), "exclude_id", "excludes",
-    )
-    together = held.unionByName(sent).repartition(*cell).sortWithinPartitions(*cell, "_asks")
-
-    def meet(frames):
-        current, waiting, documents_here = None, [], None
-        for frame in frames:
-            edges = (frame[[*cell, "_asks"]] != frame[[*cell, "_asks"]].shift()).any(axis=1).cumsum()
-            for _, run in frame.groupby(edges, sort=False):
-                place = (run["_bucket"].iloc[0], run["_part"].iloc[0])
-                if place != current:
-                    current, waiting, documents_here = place, [], None
-                if not run["_asks"].iloc[0]:
-                    waiting.append((run["_doc"].to_numpy(), run["_scope"].to_numpy(), unit_rows(run["vector"])))
-                    continue
-                if documents_here is None:
-                    if not waiting:
-                        continue
-                    documents_here, waiting = tuple(np.concatenate(column) for column in zip(*waiting)), []
-                ids, doc_scopes, rows = documents_here
-                for first in range(0, len(run), PART_QUERIES):
-                    part = run.iloc[first : first + PART_QUERIES].rename(columns={"vector": "query_vector"})
-                    vectors, excluded = _query_rows(part, rows.shape[1])
-                    if scope:
-                        best = scan_scopes(part["_scope"].to_numpy(), vectors, excluded, doc_scopes, ids, rows, k)
-                    else:
-                        best = scan(vectors, excluded, [(ids, rows)], k)
-                    if len(best):
-                        yield hit_frame(part["query_id"], key, best)
-
-    return together.mapInPandas(meet, schema)
+        return _scope_scan(queries, documents.select(F.col(scope).alias("_scope")), docs, key, k, schema)
+    return cells.search(queries, docs, key, k, dimension, schema).hits
 
 
 def partial_top_k(queries: DataFrame, documents: DataFrame, key: str, k: int = 5, scope: str | None = None, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
@@ -302,7 +262,7 @@ def nearest_lists(queries: DataFrame, index: ListIndex, probes: int) -> DataFram
         for frame in frames:
             if not len(frame):
                 continue
-            rows, _ = _query_rows(frame.assign(excludes=False), centres.shape[1])
+            rows, _ = query_rows(frame.assign(excludes=False), centres.shape[1])
             nearest = _nearest(rows, centres, count)
             yield pd.DataFrame({"query_id": pd.Series(np.repeat(frame["query_id"].to_numpy(dtype=object), count), dtype=object), "list_id": nearest.ravel().astype("int32")})
 

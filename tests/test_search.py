@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profilum.functions.vectors import cosine
-from profilum.operators import search
+from profilum.functions.vectors import cosine, unit_rows
+from profilum.operators import cells, search
 
 K = 4
 
@@ -65,15 +65,15 @@ def test_small_query_set(corpus, asked):
 
 
 def test_split_query_set(monkeypatch, corpus, asked):
-    monkeypatch.setattr(search, "PART_DOCUMENTS", 70)
-    monkeypatch.setattr(search, "PART_QUERIES", 13)
+    monkeypatch.setattr(cells, "PART_DOCUMENTS", 70)
+    monkeypatch.setattr(cells, "SLICE_QUERIES", 13)
     assert listed(search.top_k(asked[2], corpus[2], "doc", K, broadcast_queries=20)) == brute(corpus, asked, False)
 
 
 @pytest.mark.parametrize("parts", [(20_000, 4096), (50, 7)])
 def test_scoped(monkeypatch, corpus, asked, parts):
     monkeypatch.setattr(search, "PART_DOCUMENTS", parts[0])
-    monkeypatch.setattr(search, "PART_QUERIES", parts[1])
+    monkeypatch.setattr(search, "SLICE_QUERIES", parts[1])
     expected = {name: docs for name, docs in brute(corpus, asked, True).items() if docs}
     assert listed(search.top_k(asked[2], corpus[2], "doc", K, scope="place")) == expected
 
@@ -123,3 +123,63 @@ def test_equally_common_sizes_are_settled_alike(spark, sizes):
     for limit in (search.BROADCAST_QUERIES, 0):
         found = search.top_k(asked, docs, "doc", K, broadcast_queries=limit).collect()
         assert {row.doc for row in found} == {min(sizes)}
+
+
+def clustered(spark, documents, groups, seed=5, spread=0.02, dimension=16):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(groups, dimension))
+    rows = middles[rng.integers(0, groups, documents)] + spread * rng.normal(size=(documents, dimension))
+    # A third are copies of one document, some have no direction.
+    rows[: documents // 3] = rows[0]
+    rows[-3] = 0.0
+    frame = [(i, [float(x) for x in row]) for i, row in enumerate(rows)]
+    frame[-2] = (documents - 2, [float("nan")] * dimension)
+    frame[-1] = (documents - 1, [float("inf"), *[1.0] * (dimension - 1)])
+    return rows, spark.createDataFrame(frame, "doc bigint, embedding array<double>").repartition(4)
+
+
+@pytest.fixture
+def small_cells(monkeypatch):
+    monkeypatch.setattr(cells, "PART_DOCUMENTS", 40)
+    monkeypatch.setattr(cells, "SLICE_QUERIES", 25)
+
+
+def test_bounds_skip_cells_and_keep_rows(spark, small_cells):
+    rows, docs = clustered(spark, 900, 12)
+    queries = docs.select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("doc").alias("exclude_id"))
+    plain = search.top_k(queries, docs, "doc", K)
+    split = search.top_k(queries, docs, "doc", K, broadcast_queries=0)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.select(split.columns).collect()))
+    prepared = search._prepared(queries, docs, "doc", None)
+    found = cells.search(prepared, docs.withColumnRenamed("embedding", "vector"), "doc", K, 16, "query_id bigint, doc bigint, similarity_score double")
+    assert 0 < found.pairs < found.all_pairs / 2
+    # The cell of the copies is asked by a third of all queries, which do not meet in one task.
+    assert found.slices >= 900 // 3 // 25
+
+
+def test_bound_holds_for_every_document(spark, small_cells):
+    rows, docs = clustered(spark, 300, 5, spread=0.5)
+    built = cells.build_cells(docs.withColumnRenamed("embedding", "vector"), "doc", 16)
+    assert built.counts.sum() == 300 and built.counts[-1] == 3
+    asked = unit_rows(list(np.random.default_rng(8).normal(size=(50, 16))))
+    bounds = built.bounds(asked)
+    for row in built.table.filter("cell >= 0").collect():
+        assert (asked @ unit_rows([row.vector])[0] <= bounds[:, row.cell] + cells.BOUND_SLACK).all()
+
+
+def test_documents_without_direction(spark, small_cells):
+    docs = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(7)], "doc bigint, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 0.0], None), (3, None, 1)], "query_id bigint, query_vector array<double>, exclude_id bigint")
+    expected = {1: [1, 2, 3, 4], 2: [0, 1, 2, 3], 3: [0, 2, 3, 4]}
+    for limit in (10, 0):
+        assert listed(search.top_k(asked, docs, "doc", K, broadcast_queries=limit)) == expected
+    unknown = asked.filter("query_id = 3")
+    assert listed(search.top_k(unknown, docs, "doc", K, broadcast_queries=0)) == {3: [0, 2, 3, 4]}
+    assert search.top_k(asked, docs.filter("doc > 99"), "doc", K, broadcast_queries=0).count() == 0
+
+
+def test_busy_scope_is_split(monkeypatch, corpus, asked):
+    monkeypatch.setattr(search, "PART_DOCUMENTS", 50)
+    monkeypatch.setattr(search, "SLICE_QUERIES", 9)
+    expected = {name: docs for name, docs in brute(corpus, asked, True).items() if docs}
+    assert listed(search.top_k(asked[2], corpus[2], "doc", K, scope="place")) == expected
