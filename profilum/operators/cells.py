@@ -14,7 +14,7 @@ So no task holds more than a part of a cell, and none meets all queries of one t
 
 Documents without a direction (zero length, components that are no finite numbers) score zero and have a cell with
 the bound zero. Queries without a direction score zero everywhere, so the smallest ids are their result.
-Centres are a bounded sample: results do not depend on it, only how much is skipped.
+While one cell holds all documents, the queries are split and nothing else is done. Centres are a bounded sample: results do not depend on it, only how much is skipped.
 """
 
 from __future__ import annotations
@@ -116,6 +116,15 @@ class Cells:
         return found
 
 
+def one_cell(queries: DataFrame, docs: DataFrame, key: str, k: int, documents: int, asking: int, schema: str) -> DataFrame:
+    """The search while all documents fit a cell, where no bound can spare a query anything: the documents go to
+    slices of the queries, so many that no more documents move than queries."""
+    slices = max(1, asking // max(documents, PART_QUERIES))
+    spread = docs.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("_scope", F.lit(0))
+    some = queries.withColumn("_slice", F.pmod(F.xxhash64("query_id", "query_vector"), F.lit(slices)).cast("int")).withColumn("_scope", F.lit(0))
+    return meet(documents_held(spread, ["_slice"], key, queries).unionByName(queries_sent(some, ["_slice"], docs, key)), ["_slice"], key, k, schema)
+
+
 def build_cells(docs: DataFrame, key: str, dimension: int) -> Cells:
     """Write ``key, vector`` under the nearest of up to ``MAX_CENTRES`` sampled documents; equally near: the first.
     A cell is to hold half a part."""
@@ -163,20 +172,13 @@ class Found:
     slices: int
 
 
-def search(queries: DataFrame, docs: DataFrame, key: str, k: int, dimension: int | None, schema: str) -> Found:
+def search(queries: DataFrame, docs: DataFrame, key: str, k: int, dimension: int, schema: str) -> Found:
     """``queries`` has ``query_id, query_vector, exclude_id, excludes``, ``docs`` has ``key, vector``, vectors of
-    ``dimension`` components; None if no query has a vector."""
+    ``dimension`` components."""
+    spark, cells = docs.sparkSession, build_cells(docs, key, dimension)
     # Of the smallest k + 1 ids one may be excluded.
-    least = [row[0] for row in docs.select(key).orderBy(key).limit(k + 1).collect()]
+    least = [row[0] for row in cells.table.select(key).orderBy(key).limit(k + 1).collect()]
     ids = F.array(*map(F.lit, least)).cast(docs.select(F.array(key)).schema[0].dataType)
-
-    def without_direction(rows: DataFrame) -> DataFrame:
-        named = rows.withColumn(key, F.explode(ids)).filter(~F.col("excludes") | (F.col(key) != F.col("exclude_id")))
-        return named.select("query_id", key, F.lit(0.0).alias("similarity_score"))
-
-    if dimension is None:
-        return Found(without_direction(queries), 0, 0, 0)
-    spark, cells = docs.sparkSession, build_cells(docs, key, dimension)
     shared = spark.sparkContext.broadcast((cells.centres, cells.counts, cells.radii))
     filled = int((cells.counts > 0).sum())
 
@@ -258,7 +260,9 @@ def search(queries: DataFrame, docs: DataFrame, key: str, k: int, dimension: int
 
     visits = counted(floored.mapInPandas(count_chosen, "cell int, n bigint"))
     second = visit(floored.mapInPandas(send, ", ".join([*fields, "cell int"])), visits)
-    hits = first.drop("rank").unionByName(second).unionByName(without_direction(asked.filter(F.col("own") < 0)))
+    still = asked.filter(F.col("own") < 0).withColumn(key, F.explode(ids)).filter(~F.col("excludes") | (F.col(key) != F.col("exclude_id")))
+    still = still.select("query_id", key, F.lit(0.0).alias("similarity_score"))
+    hits = first.drop("rank").unionByName(second).unionByName(still)
     pairs = int(first_visits.sum() + visits.sum())
     slices = int(-(-np.maximum(first_visits, visits).max(initial=0) // SLICE_QUERIES))
     return Found(hits, pairs, asked.filter(F.col("own") >= 0).count() * filled, slices)

@@ -22,6 +22,7 @@ from profilum.functions.vectors import norm, unit_rows
 from profilum.operators import cells
 from profilum.operators.metrics import top_per_group
 from profilum.session import fresh_path
+from profilum.sources.store import write_version
 
 # A query set is sent around when it is within both bounds; at 768 dimensions 4096 queries take 25 MB.
 BROADCAST_QUERIES = 4096
@@ -81,7 +82,7 @@ def _parts(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-def _scope_scan(queries: DataFrame, documents: DataFrame, docs: DataFrame, key: str, k: int, schema: str) -> DataFrame:
+def _scope_scan(queries: DataFrame, documents: DataFrame, docs: DataFrame, key: str, k: int, schema: str, asking: int) -> DataFrame:
     """Send the queries to cells of documents of their scope.
 
     The number of cells follows the number of documents, so a cell keeps its size as they grow. All ``documents`` are
@@ -98,7 +99,7 @@ def _scope_scan(queries: DataFrame, documents: DataFrame, docs: DataFrame, key:
     buckets = max(documents.sparkSession.sparkContext.defaultParallelism, 4 * _parts(doc_count, PART_DOCUMENTS))
     # Only large scopes are split; there can be no more of them than rows over the size.
     splits = []
-    for rows, count, size, name in ((documents, doc_count, PART_DOCUMENTS, "_parts"), (queries, queries.count(), SLICE_QUERIES, "_slices")):
+    for rows, count, size, name in ((documents, doc_count, PART_DOCUMENTS, "_parts"), (queries, asking, SLICE_QUERIES, "_slices")):
         large = rows.groupBy("_scope").agg(F.count("*").alias("n")).filter(F.col("n") > size)
         splits.append((large.select("_scope", F.ceil(F.col("n") / size).cast("int").alias(name)) if count > size else None, name))
 
@@ -118,13 +119,21 @@ def _scope_scan(queries: DataFrame, documents: DataFrame, docs: DataFrame, key:
 
 
 def _part_scan(queries: DataFrame, documents: DataFrame, key: str, k: int, scope: str | None, schema: str) -> DataFrame:
+    # Queries are often results themselves, and are read more than once.
+    queries = write_version(queries, "queries")
     # Documents of another dimension than most queries are not compared; the smallest of equally common ones, as in the other way.
     sizes = F.when(F.col("query_vector").isNotNull(), F.size("query_vector"))
-    dimension = queries.agg(F.mode(sizes, deterministic=True)).first()[0]
+    dimension, asking = queries.agg(F.mode(sizes, deterministic=True), F.count("*")).first()
     docs = documents.filter(F.col("embedding").isNotNull() & (F.size("embedding") == F.coalesce(F.lit(dimension).cast("int"), F.size("embedding"))))
     docs = docs.select(F.col(key), F.col("embedding").cast("array<double>").alias("vector"), *([F.col(scope).alias("_scope")] if scope else []))
     if scope:
-        return _scope_scan(queries, documents.select(F.col(scope).alias("_scope")), docs, key, k, schema)
+        return _scope_scan(queries, documents.select(F.col(scope).alias("_scope")), docs, key, k, schema, asking)
+    known = documents.count()
+    if 2 * known <= cells.PART_DOCUMENTS:
+        return cells.one_cell(queries, docs, key, k, known, asking, schema)
+    if dimension is None:
+        # Without a vector among the queries all documents score zero.
+        docs, dimension = docs.select(key, F.array(F.lit(0.0)).alias("vector")), 1
     return cells.search(queries, docs, key, k, dimension, schema).hits
 
 

@@ -167,7 +167,9 @@ def test_bound_holds_for_every_document(spark, small_cells):
         assert (asked @ unit_rows([row.vector])[0] <= bounds[:, row.cell] + cells.BOUND_SLACK).all()
 
 
-def test_documents_without_direction(spark, small_cells):
+@pytest.mark.parametrize("size", [2, 40])
+def test_documents_without_direction(spark, monkeypatch, size):
+    monkeypatch.setattr(cells, "PART_DOCUMENTS", size)
     docs = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(7)], "doc bigint, embedding array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 0.0], None), (3, None, 1)], "query_id bigint, query_vector array<double>, exclude_id bigint")
     expected = {1: [1, 2, 3, 4], 2: [0, 1, 2, 3], 3: [0, 2, 3, 4]}
@@ -176,6 +178,8 @@ def test_documents_without_direction(spark, small_cells):
     unknown = asked.filter("query_id = 3")
     assert listed(search.top_k(unknown, docs, "doc", K, broadcast_queries=0)) == {3: [0, 2, 3, 4]}
     assert search.top_k(asked, docs.filter("doc > 99"), "doc", K, broadcast_queries=0).count() == 0
+    cells_of_two = search.top_k(asked.unionByName(asked.withColumn("query_id", F.col("query_id") + 10)), docs, "doc", K, broadcast_queries=0)
+    assert listed(cells_of_two) == expected | {name + 10: found for name, found in expected.items()}
 
 
 def test_busy_scope_is_split(monkeypatch, corpus, asked):
