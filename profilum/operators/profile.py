@@ -38,24 +38,32 @@ def restrict(tables: Tables, emails: DataFrame, by_id: bool = False) -> Tables:
     )
 
 
-def customer_profile(tables: Tables, as_of: str, policy: str = "simple", only: DataFrame | None = None) -> DataFrame:
+def customer_profile(tables: Tables, as_of: str, policy: str = "simple", only: DataFrame | None = None, measured: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Profiles under one of the policies of :mod:`profilum.functions.policies`.
 
     ``simple`` matches orders by address; the other two match them by customer id, measure elapsed
     resolution hours, order pages by recency and add payment methods, tags and traffic sources.
+    ``measured`` has the metrics of orders, tickets and events under policy ``simple`` if they are known
+    already (:mod:`profilum.operators.kept`); the facts are not read then.
     """
     rich = policy != "simple"
+    if measured and rich:
+        raise ValueError("kept metrics are those of the policy simple")
     if only is not None:
         tables = restrict(tables, only, rich)
     base = tables.customers.filter(F.col("email").isNotNull())
     unique = tables.unique_ids
 
-    if rich:
+    if measured:
+        bought, helped, visits = measured
+        bought, helped, visits = bought.withColumnRenamed("customer_email", "email"), helped.withColumnRenamed("customer_email", "email"), visits.withColumnRenamed("user_id", "customer_id")
+    elif rich:
         bought = metrics.purchase_metrics(tables.orders, "customer_id", unique)
     else:
         bought = metrics.purchase_metrics(tables.orders, "customer_email", unique).withColumnRenamed("customer_email", "email")
-    helped = metrics.support_metrics(tables.tickets, hours="elapsed" if rich else "stored", unique_ids=unique).withColumnRenamed("customer_email", "email")
-    visits = metrics.web_metrics(tables.events, pages="recent" if rich else "name", unique_ids=unique).withColumnRenamed("user_id", "customer_id")
+    if not measured:
+        helped = metrics.support_metrics(tables.tickets, hours="elapsed" if rich else "stored", unique_ids=unique).withColumnRenamed("customer_email", "email")
+        visits = metrics.web_metrics(tables.events, pages="recent" if rich else "name", unique_ids=unique).withColumnRenamed("user_id", "customer_id")
 
     if rich:
         joined = base.join(helped, "email", "left").join(bought, "customer_id", "left").join(visits, "customer_id", "left")

@@ -309,6 +309,7 @@ _CHUNK_END = """CASE WHEN {s} + 1024 >= n THEN {s} + 1024 ELSE {s} + 1024 - (CAS
 
 BODIES: dict[str, str] = {
     "customer_360": "SELECT * FROM m_profile",
+    "customer_360_incremental": "SELECT * FROM m_profile",
     "customer_360_rfm": "SELECT * FROM m_profile_and",
     "customer_360_rfm_or": "SELECT * FROM m_profile_or",
     "purchase_metrics": "SELECT * FROM m_purchase",

@@ -45,7 +45,7 @@ class BucketTable:
         table = cls(frame.sparkSession, root, key, schema, -1)
         placed = write_version(frame.withColumn("_bucket", bucket_of(key)), "placed")
         folders = table._write(placed)
-        table._commit([(bucket, 0, folders) for bucket in range(BUCKETS)], placed, [])
+        table._commit([(bucket, 0, folders) for bucket in range(BUCKETS)], placed, None)
         return table
 
     def rows(self, buckets: list[int] | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -89,12 +89,29 @@ class BucketTable:
         fresh = asked.where("NOT _maybe").unionByName(doubtful.join(known, self.key, "left_anti"))
         return self._append(fresh.select(*self._names()), touched)
 
+    def fold(self, partial: DataFrame, sums: list[str], maxima: list[str]) -> BucketTable:
+        """The next version, with partial results, one row per key, added to the rows of their keys. Other columns follow from the key."""
+        arrived = write_version(partial.where(F.col(self.key).isNotNull()).select(*self._names()), "partials")
+        touched = self._touched(arrived)
+        known = self.rows(touched).join(arrived.select(self.key), self.key, "left_semi").select(*self._names())
+        merged = [F.sum(name).alias(name) for name in sums] + [F.max(name).alias(name) for name in maxima]
+        others = [F.any_value(F.col(name)).alias(name) for name in self._names() if name not in {self.key, *sums, *maxima}]
+        combined = known.unionByName(arrived).groupBy(self.key).agg(*merged, *others)
+        return self._append(combined.select(*[F.col(column.name).cast(column.dataType) for column in arrived.schema]), touched)
+
+    def added(self) -> DataFrame:
+        """The rows that this version wrote: all of version 0, the delta of a merge, none of a compaction."""
+        before = BucketTable(self.spark, self.root, self.key, self.schema, self.number - 1)._folders()
+        last = max((row.place for row in before), default=-1)
+        fresh = [row for row in self._folders() if row.place > last]
+        return self._read(fresh) if fresh else self.spark.createDataFrame([], self.schema)
+
     def compact(self) -> BucketTable:
         """The next version, with one folder per bucket."""
         placed = write_version(self.rows().withColumn("_bucket", bucket_of(self.key)), "placed")
         folders = self._write(placed)
         following = BucketTable(self.spark, self.root, self.key, self.schema, self.number)
-        following._commit([(bucket, 0, folders) for bucket in range(BUCKETS)], placed, [])
+        following._commit([(bucket, 0, folders) for bucket in range(BUCKETS)], placed, None)
         return following
 
     def _append(self, rows: DataFrame, touched: list[int]) -> BucketTable:
@@ -141,11 +158,12 @@ class BucketTable:
         words[found["bucket"].to_numpy().astype(np.int64) * (FILTER_BITS // 64) + found["word"].to_numpy()] = found["value"].to_numpy()
         return KeyFilter(words.tobytes())
 
-    def _commit(self, folders: list[tuple], placed: DataFrame, touched: list[int]) -> None:
-        """Filters first, then the list of folders under the next number, which only one writer can create."""
+    def _commit(self, folders: list[tuple], placed: DataFrame, touched: list[int] | None) -> None:
+        """Filters first, then the list of folders under the next number, which only one writer can create.
+        The filters of the version before go on, unless ``touched`` is None: then ``placed`` is the whole table."""
         number = self.number + 1
         bits = word_rows(placed.withColumnRenamed("_bucket", "bucket"), [F.col(self.key)], FILTER_BITS, ["bucket"])
-        if touched:
+        if touched is not None:
             bits = bits.unionByName(self._filter_rows(self.number)).groupBy("bucket", "word").agg(F.bit_or("value").alias("value"))
         path = f"{self.root}/filters/{number}"
         bits.write.mode("errorifexists").parquet(path)
