@@ -309,10 +309,10 @@ _CHUNK_END = """CASE WHEN {s} + 1024 >= n THEN {s} + 1024 ELSE {s} + 1024 - (CAS
 
 BODIES: dict[str, str] = {
     "customer_360": "SELECT * FROM m_profile",
-    "customer_360_incremental": "SELECT * FROM m_profile",
     "customer_360_rfm": "SELECT * FROM m_profile_and",
     "customer_360_rfm_or": "SELECT * FROM m_profile_or",
     "purchase_metrics": "SELECT * FROM m_purchase",
+    "purchase_metrics_incremental": "SELECT * FROM m_purchase",
     "support_metrics": "SELECT * FROM m_support",
     "web_metrics": "SELECT * FROM m_web JOIN m_pages USING (user_id)",
     "ticket_status_counts": "SELECT customer_email, count(*) AS total_tickets, sum(CASE WHEN status IN ('open', 'pending') THEN 1 ELSE 0 END)::BIGINT AS open_tickets, sum(CASE WHEN status = 'solved' THEN 1 ELSE 0 END)::BIGINT AS solved_tickets FROM m_tickets GROUP BY 1",

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from profilum.operators import kept, metrics
+from profilum.operators.profile import customer_profile
 from profilum.session import fresh_path
+from profilum.sources import model
 from profilum.sources.buckets import BucketTable
 
 
@@ -58,3 +60,24 @@ def test_an_empty_insert_keeps_the_filters(spark):
     known = spark.range(50).select(F.col("id").alias("key"), F.lit("known").alias("value"))
     table = BucketTable.create(known, fresh_path(spark, "facts"), "key").insert_missing(known.limit(0))
     assert {row.value for row in table.insert_missing(known.withColumn("value", F.lit("late"))).rows().collect()} == {"known"}
+
+
+def test_profile_of_kept_metrics(spark):
+    """All three fact tables, through two landings, give the profile of the whole tables."""
+    tables = model.tables(spark, "/root/testdata/sf0.001")
+
+    def landed(facts, key):
+        return BucketTable.create(facts.filter(F.col(key) % 2 == 0), fresh_path(spark, "facts"), key).insert_missing(facts)
+
+    def measured(table, partials):
+        return kept.refresh(table, fresh_path(spark, "partials"), partials)
+
+    events = landed(tables.events, "event_id")
+    known = (
+        kept.purchase_metrics(measured(landed(tables.orders, "order_id"), kept.purchases())),
+        kept.support_metrics(measured(landed(tables.tickets, "ticket_id"), kept.support())),
+        kept.web_metrics(measured(events, kept.visits()), measured(events, kept.pages())),
+    )
+    assert rows(customer_profile(tables, model.AS_OF, measured=known)) == rows(customer_profile(tables, model.AS_OF))
+    with pytest.raises(ValueError):
+        customer_profile(tables, model.AS_OF, "rfm_or", measured=known)
