@@ -52,13 +52,53 @@ def sentiment_trend(daily: DataFrame, as_of: str) -> DataFrame:
         F.count("*").alias("days"),
         F.sum("interactions").alias("interactions"),
     )
-    label = (
+    return shaped.withColumn("trend", _trend_label())
+
+
+def _trend_label() -> Column:
+    return (
         F.when(F.col("spread") > VOLATILE_SPREAD, "volatile")
         .when(F.col("slope") > TREND_SLOPE, "improving")
         .when(F.col("slope") < -TREND_SLOPE, "declining")
         .otherwise("stable")
     )
-    return shaped.withColumn("trend", label)
+
+
+def trend_sums(daily: DataFrame) -> DataFrame:
+    """What a trend needs of some days, per customer, in columns that add up: whole numbers and decimals with the
+    three digits of a daily mean, so that sums are the same in every order. ``newest`` is a maximum. Days without
+    a score count as days but take no part in the line."""
+    x = F.datediff(F.col("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    y = F.col("avg_sentiment").cast("decimal(4,3)")
+    scored = y.isNotNull()
+
+    def total(value: Column, kind: str, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(scored, value)), F.lit(0)).cast(kind).alias(name)
+
+    return daily.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+        F.count("*").alias("days"), F.coalesce(F.sum("interactions"), F.lit(0)).cast("bigint").alias("interactions"),
+        total(F.lit(1), "bigint", "n"), total(x, "bigint", "sum_x"), total(x * x, "bigint", "sum_xx"),
+        total(y, "decimal(24,3)", "sum_y"), total(x * y, "decimal(24,3)", "sum_xy"), total(y * y, "decimal(24,6)", "sum_yy"),
+        F.max(F.struct("date", y.alias("mean"))).alias("newest"),
+    )
+
+
+TREND_SUMS = ["days", "interactions", "n", "sum_x", "sum_xx", "sum_y", "sum_xy", "sum_yy"]
+
+
+def trend_of_sums(sums: DataFrame) -> DataFrame:
+    """The columns of :func:`sentiment_trend` out of :func:`trend_sums`, one row per customer."""
+    n = F.col("n")
+    across = n * F.col("sum_xx") - F.col("sum_x") * F.col("sum_x")
+    along = n * F.col("sum_xy") - F.col("sum_x") * F.col("sum_y")
+    spread = n * F.col("sum_yy") - F.col("sum_y") * F.col("sum_y")
+    shaped = sums.select(
+        "customer_id", F.col("newest.mean").cast("double").alias("latest_avg_sentiment"),
+        F.round(along.cast("double") / F.nullif(across, F.lit(0)).cast("double"), 6).alias("slope"),
+        F.round(F.sqrt(spread.cast("double")) / F.nullif(n, F.lit(0)), 6).alias("spread"),
+        "days", "interactions",
+    )
+    return shaped.withColumn("trend", _trend_label())
 
 
 def sentiment_prompts(daily: DataFrame) -> DataFrame:

@@ -293,6 +293,7 @@ SHARED: dict[str, str] = {
     "m_vectors": "SELECT vec_id AS query_id, vec_id AS exclude_id, embedding AS query_vector FROM embeddings",
     "m_slots": "SELECT ticket_id, ('0x' || left(md5(word), 8))::BIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(md5(word), 9, 2))::BIGINT < 128 THEN 1 ELSE -1 END) AS weight FROM (SELECT ticket_id, unnest(regexp_split_to_array(lower(full_text), '[ \\t\\r\\n]+')) AS word FROM m_tix) w WHERE word <> '' GROUP BY 1, 2",
     "m_hashed": "SELECT ticket_id, count(*) FILTER (WHERE weight <> 0)::INTEGER AS slots, round(sum(abs(weight)) / sqrt(sum(weight * weight)), 6) AS absolute_sum, round(sum(weight) / sqrt(sum(weight * weight)), 6) AS signed_sum FROM m_slots GROUP BY 1",
+    "m_spoiled": "SELECT order_id, CASE WHEN order_id % 11 <> 0 THEN customer_id END AS customer_id, CASE WHEN order_id % 7 = 0 THEN -1 - total_amount ELSE total_amount END AS total_amount, order_date FROM m_orders",
     "m_watermark": "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS passed FROM events",
     "m_centres": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS list_id, embedding::DOUBLE[] AS centre FROM (SELECT * FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) // 100 FROM embeddings)) = 0 ORDER BY vec_id LIMIT 100) c",
     "m_assigned": "SELECT ticket_id, list_id FROM (SELECT ticket_id, list_id, row_number() OVER (PARTITION BY ticket_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], centre), 12) DESC, list_id) AS n FROM m_tix JOIN m_centres ON TRUE WHERE embedding IS NOT NULL) r WHERE n = 1",
@@ -385,6 +386,7 @@ FROM (SELECT *, {_NAME} AS name, {HEALTH_MEAN} AS health, {CHURN_PROBABILITY} AS
 FROM (SELECT last_purchase_date, date_sub('second', last_purchase_date, TIMESTAMP '2001-08-02 12:00:00') // 86400 AS days, date_sub('second', last_purchase_date, TIMESTAMP '2001-08-02 12:00:00') % 86400 AS seconds FROM m_profile) a GROUP BY 1""",
     "ingest_orders_typed": "SELECT order_id::VARCHAR AS order_id, customer_id::VARCHAR AS customer_id, customer_email, order_date, status, total_amount::DOUBLE AS total_amount, coalesce(num_items, 0) AS num_items, NULL::VARCHAR AS shipping_address, payment_method FROM m_orders LEFT JOIN m_items USING (order_id)",
     "partition_pruned_tickets": "SELECT created_at::DATE AS created_date, status, count(*) AS tickets, count(embedding) AS embedded, sum(length(full_text))::BIGINT AS chars FROM m_tix WHERE created_at >= DATE '2001-02-01' AND created_at < DATE '2001-04-01' GROUP BY 1, 2",
+    "clustered_ticket_lookup": "SELECT ticket_id, customer_email, status, created_at::DATE AS created_date, length(full_text)::INTEGER AS chars FROM m_tix WHERE customer_email = (SELECT customer_email FROM m_tix WHERE customer_email IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
     "merge_insert_new_tickets": f"SELECT ticket_id, customer_email, CASE WHEN l.doc_id IS NULL THEN status ELSE 'archived' END AS status, CASE WHEN l.doc_id IS NULL THEN 'arrived' ELSE 'known' END AS origin, length(full_text)::INTEGER AS chars FROM m_tix LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = ticket_id",
     "merge_insert_new_products": "SELECT product_id, product_name, CASE WHEN embedding IS NULL THEN category ELSE 'kept' END AS category, price, full_text FROM m_prods",
     "merge_update_embeddings": "SELECT t.ticket_id, round(coalesce(u.embedding[1], t.embedding[1])::DOUBLE, 6) AS first_component, CASE WHEN u.vec_id IS NOT NULL THEN 'second' END AS embedding_model, CASE WHEN u.vec_id IS NOT NULL THEN TIMESTAMP '2001-08-02 00:00:00' END AS embedded_at FROM m_tix t LEFT JOIN embeddings u ON u.vec_id * 2 = t.ticket_id",
@@ -416,6 +418,11 @@ FROM m_answers a JOIN m_queries q USING (query_id) LEFT JOIN m_trend t ON t.cust
         + [f"SELECT count(*), 'similarity in 0..1', count(*) FILTER (WHERE score NOT BETWEEN 0 AND 1) FROM ({_hits_sql('m_queries', 'm_tix', 'ticket_id', 5)}) h"]
     ),
     "recent_interactions": f"SELECT * FROM m_interactions WHERE timestamp >= {EVENTS_AS_OF} - INTERVAL 30 DAY ORDER BY timestamp DESC, interaction_id LIMIT 100",
+    "checked_load": "SELECT order_id, customer_id, total_amount::DOUBLE AS total_amount, concat_ws(', ', CASE WHEN NOT coalesce(total_amount >= 0, FALSE) THEN 'amount >= 0' END, CASE WHEN customer_id IS NULL THEN 'customer known' END, CASE WHEN NOT coalesce(order_date < DATE '2001-06-01', FALSE) THEN 'dated' END) AS broken_rules FROM m_spoiled",
+    "checked_load_report": " UNION ALL ".join(
+        f"SELECT '{name}' AS rule, count(*) AS rows_checked, count(*) FILTER (WHERE NOT coalesce({test}, FALSE)) AS violations FROM m_spoiled"
+        for name, test in (("amount >= 0", "total_amount >= 0"), ("customer known", "customer_id IS NOT NULL"), ("dated", "order_date < DATE '2001-06-01'"))
+    ),
     "daily_sentiment": "SELECT * FROM m_daily",
     "sentiment_trend": "SELECT * FROM m_trend",
     "customer_docs": "SELECT interaction_id, customer_id, content FROM m_interaction_docs SEMI JOIN (SELECT asker_id AS customer_id FROM m_queries WHERE customer_email IS NOT NULL) a USING (customer_id)",
@@ -466,6 +473,10 @@ FROM m_pairs a JOIN m_profile_blocks l ON l.customer_id = a.left_id JOIN m_profi
     "stream_user_metrics": "SELECT c.*, visited_pages FROM (SELECT user_id, count(DISTINCT session_id) AS total_sessions, count(*) AS total_page_views, max(event_timestamp) AS last_visit FROM m_closed WHERE user_id IS NOT NULL GROUP BY 1) c LEFT JOIN (SELECT user_id, string_agg(page_path, ', ' ORDER BY page_path) AS visited_pages FROM (SELECT user_id, page_path, row_number() OVER (PARTITION BY user_id ORDER BY page_path) AS n FROM (SELECT DISTINCT user_id, page_path FROM m_closed) d) r WHERE n <= 10 GROUP BY 1) p USING (user_id)",
     "stream_web_metrics": "SELECT user_id, event_timestamp::DATE AS day, count(DISTINCT session_id) AS total_sessions, count(*) AS total_page_views, max(event_timestamp) AS last_visit FROM m_events WHERE event_timestamp::DATE + INTERVAL 1 DAY <= (SELECT passed FROM m_watermark) GROUP BY 1, 2",
     "stream_daily_sentiment": f"SELECT customer_id, timestamp::DATE AS date, {_DAILY_ROUND} AS avg_sentiment, count(*) AS interactions FROM m_interactions WHERE timestamp::DATE + INTERVAL 1 DAY <= (SELECT passed FROM m_watermark) GROUP BY 1, 2",
+    "stream_current_metrics": "SELECT * FROM m_web LEFT JOIN m_pages USING (user_id)",
+    "stream_sentiment_trend": f"""SELECT *, CASE WHEN spread > 0.5 THEN 'volatile' WHEN slope > 0.005 THEN 'improving' WHEN slope < -0.005 THEN 'declining' ELSE 'stable' END AS trend FROM (
+  SELECT customer_id, arg_max(avg_sentiment, date) AS latest_avg_sentiment, round(CASE WHEN count(*) > 1 THEN regr_slope(avg_sentiment, (date - DATE '2024-01-31')::DOUBLE) END, 6) AS slope, round(stddev_pop(avg_sentiment), 6) AS spread, count(*) AS days, sum(interactions)::BIGINT AS interactions FROM (
+    SELECT customer_id, timestamp::DATE AS date, {_DAILY_ROUND} AS avg_sentiment, count(*) AS interactions FROM m_interactions WHERE timestamp::DATE + INTERVAL 1 DAY <= (SELECT passed FROM m_watermark) AND customer_id IS NOT NULL GROUP BY 1, 2) d GROUP BY 1) s""",
     "stream_sessions": """SELECT * EXCLUDE (session_no) FROM (SELECT user_id, session_no, min(event_timestamp) AS session_start, max(event_timestamp) AS session_end, count(*) AS events FROM (
   SELECT user_id, event_timestamp, sum(starts) OVER (PARTITION BY user_id ORDER BY event_timestamp, event_id)::BIGINT AS session_no FROM (
     SELECT *, CASE WHEN event_timestamp - lag(event_timestamp) OVER (PARTITION BY user_id ORDER BY event_timestamp, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM m_events) a) b GROUP BY 1, 2) c WHERE session_end + INTERVAL 30 MINUTE <= (SELECT passed FROM m_watermark)""",

@@ -21,9 +21,9 @@ from profilum.operators import documents as corpus
 from profilum.operators import embedding, kept, metrics, retrieval, rollups, search, sentiment, sessions
 from profilum.operators.profile import customer_profile
 from profilum.session import fresh_path, steady_unions
-from profilum.sources import files, landing, model, store
+from profilum.sources import checked, files, landing, model, store
 from profilum.sources.buckets import BucketTable
-from profilum.streaming import upkeep
+from profilum.streaming import current, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -330,6 +330,17 @@ def partition_pruned_tickets(spark, folder):
     return stored.groupBy("created_date", "status").agg(F.count("*").alias("tickets"), F.count("embedding").alias("embedded"), F.sum(F.length("full_text")).alias("chars"))
 
 
+@query
+def clustered_ticket_lookup(spark, folder):
+    """Tickets of the address that has most of them, read from the clustered table."""
+    path = fresh_path(spark, "tickets")
+    store.write_clustered(model.tickets_embedded(spark, folder), path, "ticket_id")
+    stored = spark.read.parquet(path)
+    busiest = stored.filter(F.col("customer_email").isNotNull()).groupBy("customer_email").count().orderBy(F.desc("count"), "customer_email").first()
+    wanted = F.col("customer_email") == (busiest.customer_email if busiest else None)
+    return stored.filter(wanted).select("ticket_id", "customer_email", "status", "created_date", F.length("full_text").alias("chars"))
+
+
 @query
 def merge_insert_new_tickets(spark, folder):
     source = model.tickets_embedded(spark, folder).drop("embedding").withColumn("origin", F.lit("arrived"))
@@ -475,6 +486,33 @@ def constraint_violations(spark, folder):
     )
 
 
+LOAD_RULES = {"amount >= 0": "total_amount >= 0", "customer known": "customer_id IS NOT NULL", "dated": "order_date < DATE '2001-06-01'"}
+
+
+def _checked_orders(spark, folder) -> checked.Load:
+    """Orders of which some are spoiled: every seventh amount is negative, every eleventh customer is missing."""
+    amount, customer = F.col("total_amount"), F.col("customer_id")
+    spoiled = model.orders(spark, folder).withColumns({
+        "total_amount": F.when(F.col("order_id") % 7 == 0, -1 - amount).otherwise(amount), "customer_id": F.when(F.col("order_id") % 11 != 0, customer),
+    })
+    return checked.checked_load(spoiled, fresh_path(spark, "checked"), LOAD_RULES, bound=0.5)
+
+
+@query
+def checked_load(spark, folder):
+    """Accepted and refused rows of a load, the latter with the rules they break."""
+    load = _checked_orders(spark, folder)
+    columns = ["order_id", "customer_id", F.col("total_amount").cast("double").alias("total_amount")]
+    refused = load.refused(spark).select(*columns, F.array_join(checked.BROKEN, ", ").alias("broken_rules"))
+    return load.accepted(spark).select(*columns, F.lit("").alias("broken_rules")).unionByName(refused)
+
+
+@query
+def checked_load_report(spark, folder):
+    """Counts per rule, taken while the rows were written."""
+    return _checked_orders(spark, folder).report(spark)
+
+
 # Sentiment
 
 
@@ -772,6 +810,19 @@ def stream_user_metrics(spark, folder):
     return found.withColumns({"last_visit": F.col("last_visit").cast("timestamp_ntz"), "visited_pages": F.array_join("visited_pages", ", ")})
 
 
+@query
+def stream_current_metrics(spark, folder):
+    """All events landed so far, out of the state per user."""
+    target, progress = _streamed(spark, "current")
+    timed = _landed_events(spark, folder).select(
+        "event_id", "user_id", F.concat(F.col("user_id").cast("string"), F.lit("-"), F.to_date("ts").cast("string")).alias("session_id"),
+        F.concat(F.lit("/"), F.col("event_type")).alias("page_path"), F.col("ts").alias("event_timestamp"),
+    )
+    current.user_metrics(timed, target, progress)
+    found = current.current_user_metrics(spark, target)
+    return found.withColumns({"last_visit": F.col("last_visit").cast("timestamp_ntz"), "visited_pages": F.array_join("visited_pages", ", ")})
+
+
 @query
 def stream_daily_sentiment(spark, folder):
     """Days closed by the watermark."""
@@ -781,6 +832,15 @@ def stream_daily_sentiment(spark, folder):
     return upkeep.written(spark, target, upkeep.DAILY_SENTIMENT)
 
 
+@query
+def stream_sentiment_trend(spark, folder):
+    """Trends over all days closed by the watermark, out of kept sums."""
+    root, progress = _streamed(spark, "trends")
+    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 50.0) / 50.0))
+    rows = _landed_events(spark, folder).select(F.col("user_id").alias("customer_id"), F.col("ts").alias("timestamp"), score.alias("sentiment_score"))
+    return sentiment.trend_of_sums(upkeep.sentiment_trends(rows, root, progress).rows())
+
+
 @query
 def stream_sessions(spark, folder):
     """Sessions closed by the watermark."""

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.operators.metrics import top_per_group
+from profilum.operators.sentiment import TREND_SUMS, trend_sums
+from profilum.sources.buckets import BucketTable
 from profilum.sources.store import missing_rows
 
 
@@ -40,7 +42,8 @@ def written(spark: SparkSession, target: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _finish(writer, target: str | None, checkpoint: str) -> None:
+def finish(writer, target: str | None, checkpoint: str) -> None:
+    """Run a stream over what has landed, then end it."""
     writer = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     (writer.start(target) if target else writer.start()).awaitTermination()
 
@@ -64,7 +67,7 @@ def insert_new_rows(stream: DataFrame, target: str, checkpoint: str, key: str, l
             known = known.unionByName(session.read.parquet(loaded).select(key))
         missing_rows(known, placed, key).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch_id={number}")
 
-    _finish(stream.writeStream.foreachBatch(merge), None, checkpoint)
+    finish(stream.writeStream.foreachBatch(merge), None, checkpoint)
 
 
 def inserted_rows(spark: SparkSession, target: str, schema: str) -> DataFrame:
@@ -89,7 +92,7 @@ def web_activity(stream: DataFrame, target: str, checkpoint: str, delay: str = "
         .agg(F.count("*").alias("views"), F.max("event_time").alias("last_visit"))
         .select("user_id", "session_id", "page_path", F.to_date("window.start").alias("day"), "views", "last_visit")
     )
-    _finish(counted.writeStream.format("parquet").option("path", target).outputMode("append"), None, checkpoint)
+    finish(counted.writeStream.format("parquet").option("path", target).outputMode("append"), None, checkpoint)
 
 
 def daily_web_metrics(spark: SparkSession, target: str) -> DataFrame:
@@ -109,16 +112,46 @@ def user_web_metrics(spark: SparkSession, target: str, pages: int = 10) -> DataF
     return totals.join(visited.groupBy("user_id").agg(F.sort_array(F.collect_list("page_path")).alias("visited_pages")), "user_id", "left")
 
 
-def daily_sentiment(stream: DataFrame, target: str, checkpoint: str, delay: str = "1 day") -> None:
-    """Mean sentiment per customer and closed day; days within ``delay`` of the newest row are still open."""
+def _daily_means(stream: DataFrame, delay: str) -> DataFrame:
     timed = stream.withColumn("event_time", F.col("timestamp").cast("timestamp")).withWatermark("event_time", delay)
     total = F.sum(F.col("sentiment_score").cast("decimal(38,6)"))
-    means = (
+    return (
         timed.groupBy("customer_id", F.window("event_time", "1 day"))
         .agg(F.round(total.cast("double") / F.count("sentiment_score"), 3).alias("avg_sentiment"), F.count("*").alias("interactions"))
         .select("customer_id", F.to_date("window.start").alias("date"), "avg_sentiment", "interactions")
     )
-    _finish(means.writeStream.format("parquet").option("path", target).outputMode("append"), None, checkpoint)
+
+
+def daily_sentiment(stream: DataFrame, target: str, checkpoint: str, delay: str = "1 day") -> None:
+    """Mean sentiment per customer and closed day; days within ``delay`` of the newest row are still open."""
+    means = _daily_means(stream, delay)
+    finish(means.writeStream.format("parquet").option("path", target).outputMode("append"), None, checkpoint)
+
+
+def sentiment_trends(stream: DataFrame, root: str, checkpoint: str, delay: str = "1 day") -> BucketTable:
+    """The sums behind each customer's trend, kept in a table under ``root``: days that close are added to the
+    rows of their customers, and the days themselves are not needed again. The version of the table is the number
+    of the micro-batch, so a batch that is run again is not added twice; folder and checkpoint belong together."""
+
+    def fold(batch: DataFrame, number: int) -> None:
+        sums = trend_sums(batch)
+        kept = _trend_table(batch.sparkSession, root, sums)
+        if kept.number >= number:
+            # The batch is read all the same, as its state has to be written again.
+            sums.write.format("noop").mode("overwrite").save()
+            return
+        if kept.number < 0:
+            BucketTable.create(sums, root, "customer_id")
+        else:
+            kept.fold(sums, TREND_SUMS, ["newest"])
+
+    means = _daily_means(stream, delay)
+    finish(means.writeStream.foreachBatch(fold).outputMode("append"), None, checkpoint)
+    return _trend_table(stream.sparkSession, root, trend_sums(stream.sparkSession.createDataFrame([], DAILY_SENTIMENT)))
+
+
+def _trend_table(spark: SparkSession, root: str, sums: DataFrame) -> BucketTable:
+    return BucketTable(spark, root, "customer_id", ", ".join(f"`{column.name}` {column.dataType.simpleString()}" for column in sums.schema))
 
 
 def sessions(stream: DataFrame, target: str, checkpoint: str, gap: str = "30 minutes", delay: str = "1 day") -> None:
@@ -129,4 +162,4 @@ def sessions(stream: DataFrame, target: str, checkpoint: str, gap: str = "30 min
         .agg(F.count("*").alias("events"), F.min("event_time").alias("session_start"), F.max("event_time").alias("session_end"))
         .select("user_id", "session_start", "session_end", "events")
     )
-    _finish(closed.writeStream.format("parquet").option("path", target).outputMode("append"), None, checkpoint)
+    finish(closed.writeStream.format("parquet").option("path", target).outputMode("append"), None, checkpoint)

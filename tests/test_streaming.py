@@ -4,10 +4,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from profilum.operators.sentiment import daily_sentiment
+from profilum.operators.metrics import visited_pages, web_activity
+from profilum.operators.sentiment import daily_sentiment, sentiment_trend, trend_of_sums
 from profilum.plans.registry import QUERIES
 from profilum.session import fresh_path
-from profilum.streaming import upkeep
+from profilum.streaming import current, upkeep
 
 SCHEMA = "event_id bigint, user_id bigint, session_id string, event_timestamp timestamp_ntz"
 START = dt.datetime(2024, 1, 1)
@@ -73,7 +74,7 @@ def test_daily_sentiment_equals_batch_on_closed_days(spark):
 
 def test_table_of_several_files_and_empty_landing(spark):
     """All stream queries over a folder of three files, and over one without rows, equal those over one file."""
-    names = ["stream_incremental_load", "stream_web_metrics", "stream_user_metrics", "stream_daily_sentiment", "stream_sessions"]
+    names = ["stream_incremental_load", "stream_web_metrics", "stream_user_metrics", "stream_daily_sentiment", "stream_sessions", "stream_current_metrics"]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     whole, split, empty = (fresh_path(spark, name) for name in ("whole", "split", "empty"))
     events.coalesce(1).write.parquet(f"{whole}/events.parquet")
@@ -96,3 +97,43 @@ def test_a_batch_reads_its_own_buckets(spark):
     stored = spark.read.parquet(target)
     assert stored.filter("batch_id = 1").select("id", "v").collect() == [(1000, "b")]
     assert stored.count() == 501 and stored.select("bucket").distinct().count() == upkeep.BUCKETS
+
+
+def test_current_metrics_take_every_event_once(spark):
+    """Over landings with copies, old pages that come back, missing ids and a hot user: equal to the batch metrics."""
+    schema = f"{SCHEMA}, page_path string"
+    rows = [(i, None if i % 11 == 0 else (7 if i % 3 else i % 5), f"s{i % 13}", START + dt.timedelta(minutes=7 * i), f"/p{i * i % 29}") for i in range(600)]
+    rows += [(None, 7, "s1", START + dt.timedelta(minutes=4000), None), (9000, 7, None, START + dt.timedelta(minutes=4100), "/a")]
+    batch = spark.createDataFrame(rows, schema)
+    for by in ("name", "recent"):
+        folder, target, progress = (fresh_path(spark, name) for name in ("in", "out", "progress"))
+        for part in (rows[:300], rows[250:450], rows[400:]):
+            land(spark, folder, part, schema)
+            current.user_metrics(upkeep.landed_files(spark, folder, schema, per_trigger=1), target, progress, pages=5, by=by)
+        found = {row.user_id: row for row in current.current_user_metrics(spark, target, 5, by).collect()}
+        activity = {row.user_id: row for row in web_activity(batch).collect()}
+        pages = {row.user_id: row.visited_pages for row in visited_pages(batch, limit=5, by=by).collect()}
+        assert found.keys() == activity.keys()
+        for user, row in found.items():
+            expected = activity[user]
+            assert (row.total_sessions, row.total_page_views, row.visited_pages) == (expected.total_sessions, expected.total_page_views, pages[user])
+            assert row.last_visit.replace(tzinfo=None) == expected.last_visit
+
+
+def test_trends_of_kept_sums_equal_trends_of_days(spark):
+    """Over three landings, and again after a batch is run twice."""
+    folder, root, progress = (fresh_path(spark, name) for name in ("in", "sums", "progress"))
+    schema = "customer_id bigint, timestamp timestamp_ntz, sentiment_score double"
+    rows = [(i % 4, START + dt.timedelta(hours=5 * i), None if i % 4 == 3 else ((i * 37) % 200 - 100) / 100) for i in range(100)] + [(9, START, 0.5), (None, START, 0.1)]
+    for part in (rows[100:] + rows[:40], rows[40:70], rows[70:100]):
+        land(spark, folder, part, schema)
+        table = upkeep.sentiment_trends(upkeep.landed_files(spark, folder, schema, per_trigger=1), root, progress)
+    closed = START + dt.timedelta(hours=5 * 99 - 24)
+    days = daily_sentiment(spark.createDataFrame(rows, schema), "2024-01-31", newest=1000).filter((F.date_add("date", 1) <= F.lit(closed.date())) & F.col("customer_id").isNotNull())
+    batch = sentiment_trend(days, "2024-01-31")
+    found = trend_of_sums(table.rows()).select(*batch.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect()))
+    # A lost checkpoint replays batches whose versions are there.
+    before = table.number
+    again = upkeep.sentiment_trends(upkeep.landed_files(spark, folder, schema), root, fresh_path(spark, "again"))
+    assert again.number == before
