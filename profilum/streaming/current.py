@@ -25,6 +25,9 @@ SLICES = 16
 DAY = 86_400_000_000
 CHANGES = "user_id bigint, slice int, total_sessions bigint, total_page_views bigint, last_visit bigint, pages array<string>, seen array<bigint>"
 EARLIEST = -(1 << 63)
+STATE = ["total_sessions", "total_page_views", "last_visit", "pages", "seen"]
+# After so many batches the newest rows of all slices are written together, so that a read meets fewer changes than that many batches bring.
+FOLD_EVERY = 16
 
 
 class UserMetrics(StatefulProcessor):
@@ -84,7 +87,7 @@ class UserMetrics(StatefulProcessor):
 
 def user_metrics(stream: DataFrame, target: str, checkpoint: str, delay: str = "1 day", pages: int = 10, by: str = "name") -> None:
     """Keep the web metrics per user current under ``target``; the pages are the first ten ``by`` name, or the ten most
-    ``recent``. A batch owns one folder and replaces it when it is run again."""
+    ``recent``. A batch owns its folders and replaces them when it is run again."""
     if by not in ("name", "recent"):
         raise ValueError(f"pages by name or recent, not {by}")
     session = F.col("session_id").cast("string")
@@ -98,15 +101,32 @@ def user_metrics(stream: DataFrame, target: str, checkpoint: str, delay: str = "
     )
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={number}")
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{target}/changes/batch_id={number}")
+        if number % FOLD_EVERY == FOLD_EVERY - 1:
+            _latest(session, target, before=number).write.mode("overwrite").parquet(f"{target}/folded/upto={number}")
+            # Readers take a folded table only once it is whole.
+            session.range(1).coalesce(1).write.mode("overwrite").parquet(f"{target}/log/upto={number}")
 
     finish(counted.writeStream.foreachBatch(keep).outputMode("update"), None, checkpoint)
 
 
+def _latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The newest row of each slice, out of the table folded last (``before`` a batch) and the changes after it."""
+    logged = written(spark, f"{target}/log", "id bigint, upto bigint")
+    if before is not None:
+        logged = logged.filter(F.col("upto") < before)
+    folded = logged.agg(F.max("upto")).first()[0]
+    upto = -1 if folded is None else folded
+    changes = written(spark, f"{target}/changes", f"{CHANGES}, batch_id bigint").filter(F.col("batch_id") > upto)
+    base = written(spark, f"{target}/folded", f"{CHANGES}, upto bigint").filter(F.col("upto") == upto).withColumnRenamed("upto", "batch_id")
+    newest = F.max_by(F.struct(*STATE), "batch_id").alias("state")
+    return changes.unionByName(base).groupBy("user_id", "slice").agg(newest).select("user_id", "slice", "state.*")
+
+
 def current_user_metrics(spark: SparkSession, target: str, pages: int = 10, by: str = "name") -> DataFrame:
     """The columns of :func:`profilum.operators.metrics.web_metrics` as they are after the last batch."""
-    state = ["total_sessions", "total_page_views", "last_visit", "pages", "seen"]
-    latest = written(spark, target, f"{CHANGES}, batch_id bigint").groupBy("user_id", "slice").agg(F.max_by(F.struct(*state), "batch_id").alias("state")).select("user_id", "state.*")
+    latest = _latest(spark, target)
     totals = latest.groupBy("user_id").agg(
         F.sum("total_sessions").alias("total_sessions"), F.sum("total_page_views").alias("total_page_views"), F.timestamp_micros(F.max("last_visit")).alias("last_visit")
     )

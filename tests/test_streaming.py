@@ -99,8 +99,9 @@ def test_a_batch_reads_its_own_buckets(spark):
     assert stored.count() == 501 and stored.select("bucket").distinct().count() == upkeep.BUCKETS
 
 
-def test_current_metrics_take_every_event_once(spark):
+def test_current_metrics_take_every_event_once(spark, monkeypatch):
     """Over landings with copies, old pages that come back, missing ids and a hot user: equal to the batch metrics."""
+    monkeypatch.setattr(current, "FOLD_EVERY", 2)
     schema = f"{SCHEMA}, page_path string"
     rows = [(i, None if i % 11 == 0 else (7 if i % 3 else i % 5), f"s{i % 13}", START + dt.timedelta(minutes=7 * i), f"/p{i * i % 29}") for i in range(600)]
     rows += [(None, 7, "s1", START + dt.timedelta(minutes=4000), None), (9000, 7, None, START + dt.timedelta(minutes=4100), "/a")]
@@ -111,6 +112,7 @@ def test_current_metrics_take_every_event_once(spark):
             land(spark, folder, part, schema)
             current.user_metrics(upkeep.landed_files(spark, folder, schema, per_trigger=1), target, progress, pages=5, by=by)
         found = {row.user_id: row for row in current.current_user_metrics(spark, target, 5, by).collect()}
+        assert spark.read.parquet(f"{target}/log").count() >= 1
         activity = {row.user_id: row for row in web_activity(batch).collect()}
         pages = {row.user_id: row.visited_pages for row in visited_pages(batch, limit=5, by=by).collect()}
         assert found.keys() == activity.keys()
