@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from profilum.operators.metrics import visited_pages, web_activity
 from profilum.operators.sentiment import daily_sentiment, sentiment_trend, trend_of_sums
 from profilum.plans.registry import QUERIES
-from profilum.session import fresh_path
+from profilum.session import STATE_STORE, fresh_path
 from profilum.streaming import current, upkeep
 
 SCHEMA = "event_id bigint, user_id bigint, session_id string, event_timestamp timestamp_ntz"
@@ -122,6 +122,16 @@ def test_current_metrics_take_every_event_once(spark, monkeypatch):
             assert row.last_visit.replace(tzinfo=None) == expected.last_visit
 
 
+def test_current_metrics_in_a_session_of_the_default_state_store(spark):
+    """The stream brings its store along, and the session keeps its own."""
+    other = spark.newSession()
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    other.conf.set(STATE_STORE, default)
+    other.conf.set("spark.sql.session.timeZone", "UTC")
+    assert QUERIES["stream_current_metrics"](other, "/root/testdata/sf0.001").count() > 0
+    assert other.conf.get(STATE_STORE) == default
+
+
 def test_trends_of_kept_sums_equal_trends_of_days(spark):
     """Over three landings, and again after a batch is run twice."""
     folder, root, progress = (fresh_path(spark, name) for name in ("in", "sums", "progress"))
