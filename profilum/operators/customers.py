@@ -40,12 +40,17 @@ def similar_customers(requests: DataFrame, profile: DataFrame, limit: int = 5) -
     ``requests`` has ``query_id`` and ``email``. A part is looked up by the rarest of its substrings of three
     characters (of its own length if it is shorter, the empty one if it is empty), an equi-join with the
     substrings of the addresses; what meets is compared whole. Addresses are cut into substrings of the
-    sizes that occur and keep those that some part is looked up by.
+    sizes that occur and keep those that some part is looked up by. An address that many requests name is
+    looked up once.
+
+    Spark takes the size of a table from its files and that of exploded rows from the rows before, so it would send
+    the cut addresses around as if they were few: joins whose other side grows with the profile are told to shuffle.
     """
-    # A split at the first @ is the whole text when there is none.
-    wanted = requests.select(
+    # Written once: the parts are counted before they are looked up. A split at the first @ is the whole text when there is none.
+    wanted = write_version(requests.select(
         "query_id", F.lower("email").alias("search_email"), F.lower(F.element_at(F.split("email", "@"), 1)).alias("part")
-    ).filter(F.col("part").isNotNull())
+    ).filter(F.col("part").isNotNull()), "wanted")
+    asked = wanted.select("search_email", "part").distinct()
     size = F.least(F.length("part"), F.lit(GRAM))
     parts = wanted.select("part", size.alias("size")).distinct()
     of_parts = parts.select("part", F.explode(_grams(F.col("part"), F.col("size"))).alias("gram"))
@@ -53,23 +58,25 @@ def similar_customers(requests: DataFrame, profile: DataFrame, limit: int = 5) -
     address = F.lower("email")
     cuts = F.flatten(F.array(*[F.when(F.array_contains(sizes, F.lit(n)), _grams(address, F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(GRAM + 1)]))
     of_addresses = profile.filter(F.col("email").isNotNull()).select("customer_id", "email", F.explode(cuts).alias("gram"))
-    asked = of_addresses.join(of_parts.select("gram").distinct(), "gram", "left_semi")
-    common = asked.groupBy("gram").agg(F.count("*").alias("addresses"))
+    common = of_addresses.join(of_parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("addresses"))
     rarity = F.struct(F.coalesce("addresses", F.lit(0)), "gram")
-    rarest = of_parts.join(common, "gram", "left").groupBy("part").agg(F.min_by("gram", rarity).alias("gram"))
-    candidates = wanted.join(rarest, "part").join(of_addresses, "gram").filter(address.contains(F.col("part"))).select(
-        "query_id", "customer_id", "email", F.levenshtein(address, F.col("search_email")).alias("distance")
+    # A row per part.
+    rarest = write_version(of_parts.join(common.hint("merge"), "gram", "left").groupBy("part").agg(F.min_by("gram", rarity).alias("gram")), "rarest")
+    looked_up = of_addresses.join(rarest.select("gram").distinct(), "gram", "left_semi")
+    candidates = asked.join(rarest, "part").join(looked_up.hint("merge"), "gram").filter(address.contains(F.col("part"))).select(
+        "search_email", "customer_id", "email", F.levenshtein(address, F.col("search_email")).alias("distance")
     )
-    nearest = top_per_group(candidates, ["query_id"], [F.col("distance"), F.col("email")], limit).drop("email")
+    nearest = top_per_group(candidates, ["search_email"], [F.col("distance"), F.col("email")], limit).drop("email")
     # The rest of the profile is only needed for the few that are left.
-    return nearest.join(profile.select("customer_id", "email", "first_name", "last_name", "customer_segment"), "customer_id").select(
-        "query_id", "rank", "email", display_name(default=None).alias("name"), F.col("customer_segment").alias("segment"), "distance"
+    described = nearest.join(profile.select("customer_id", "email", "first_name", "last_name", "customer_segment").hint("merge"), "customer_id").select(
+        "search_email", "rank", "email", display_name(default=None).alias("name"), F.col("customer_segment").alias("segment"), "distance"
     )
+    return wanted.select("query_id", "search_email").join(described, "search_email").drop("search_email")
 
 
 def lookup_suggestions(requests: DataFrame, profile: DataFrame, limit: int = 3) -> DataFrame:
     """Similar customers for the requested addresses that are unknown."""
-    known = profile.select(F.lower("email").alias("email_norm")).distinct()
+    known = profile.select(F.lower("email").alias("email_norm")).distinct().hint("merge")
     missed = requests.withColumn("email_norm", F.lower("email")).join(known, "email_norm", "left_anti").drop("email_norm")
     return similar_customers(missed, profile, limit)
 
