@@ -187,3 +187,17 @@ def test_busy_scope_is_split(monkeypatch, corpus, asked):
     monkeypatch.setattr(search, "SLICE_QUERIES", 9)
     expected = {name: docs for name, docs in brute(corpus, asked, True).items() if docs}
     assert listed(search.top_k(asked[2], corpus[2], "doc", K, scope="place")) == expected
+
+
+def test_probes_do_not_move_queries_again(spark, monkeypatch):
+    """A query meets a group of lists once, however many of its lists it probes, and large lists are split."""
+    rows, docs = clustered(spark, 600, 6)
+    queries = docs.select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("doc").alias("exclude_id"))
+    index = search.build_index(docs.filter("doc < 597"), "doc", 12)
+    exact = search.top_k(queries, docs.filter("doc < 597"), "doc", K)
+    sent, sending = [], cells.queries_sent
+    monkeypatch.setattr(cells, "queries_sent", lambda rows, *rest: (sent.append(rows.count()), sending(rows, *rest))[1])
+    for part, most in ((160_000, 600), (150, 600 * 8)):
+        monkeypatch.setattr(cells, "PART_DOCUMENTS", part)
+        assert sorted(map(tuple, search.search_index(queries, index, K, probes=12).collect())) == sorted(map(tuple, exact.select("query_id", "doc", "similarity_score", "rank").collect()))
+        assert sent.pop() <= most
