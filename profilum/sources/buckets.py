@@ -43,9 +43,8 @@ class BucketTable:
         """Store a table with one row per key as version 0."""
         schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in frame.schema)
         table = cls(frame.sparkSession, root, key, schema, -1)
-        placed = write_version(frame.withColumn("_bucket", bucket_of(key)), "placed")
-        folders = table._write(placed)
-        table._commit([(bucket, 0, folders) for bucket in range(BUCKETS)], placed, None)
+        folder = table._write(frame)
+        table._commit([(bucket, 0, folder) for bucket in range(BUCKETS)], folder, None)
         return table
 
     def rows(self, buckets: list[int] | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -82,11 +81,11 @@ class BucketTable:
         single = write_version(single.withColumn("_bucket", bucket_of(self.key)), "arrived")
         touched = self._touched(single)
         maybe = self._filter(touched).holds(self.spark, F.col(self.key), part=F.col("_bucket"), bits=FILTER_BITS)
-        asked = write_version(single.withColumn("_maybe", maybe), "asked")
-        doubtful = asked.where("_maybe")
+        # The filter is asked again where its answer is needed, which reads a key; rows written with it would be written twice.
+        doubtful = single.where(maybe)
         # Only buckets with a doubtful row are read at all.
         known = self.rows(self._touched(doubtful), [self.key])
-        fresh = asked.where("NOT _maybe").unionByName(doubtful.join(known, self.key, "left_anti"))
+        fresh = single.where(~maybe).unionByName(doubtful.join(known, self.key, "left_anti"))
         return self._append(fresh.select(*self._names()), touched)
 
     def fold(self, partial: DataFrame, sums: list[str], maxima: list[str]) -> BucketTable:
@@ -108,19 +107,17 @@ class BucketTable:
 
     def compact(self) -> BucketTable:
         """The next version, with one folder per bucket."""
-        placed = write_version(self.rows().withColumn("_bucket", bucket_of(self.key)), "placed")
-        folders = self._write(placed)
+        folder = self._write(self.rows())
         following = BucketTable(self.spark, self.root, self.key, self.schema, self.number)
-        following._commit([(bucket, 0, folders) for bucket in range(BUCKETS)], placed, None)
+        following._commit([(bucket, 0, folder) for bucket in range(BUCKETS)], folder, None)
         return following
 
     def _append(self, rows: DataFrame, touched: list[int]) -> BucketTable:
-        placed = write_version(rows.withColumn("_bucket", bucket_of(self.key)), "placed")
-        folder = self._write(placed)
+        folder = self._write(rows)
         listed = [(row.bucket, row.place, row.path) for row in self._folders()]
         last = max((place for _, place, _ in listed), default=-1)
         following = BucketTable(self.spark, self.root, self.key, self.schema, self.number)
-        following._commit([*listed, *[(bucket, last + 1, folder) for bucket in touched]], placed, touched)
+        following._commit([*listed, *[(bucket, last + 1, folder) for bucket in touched]], folder, touched)
         return following
 
     def _names(self) -> list[str]:
@@ -130,9 +127,9 @@ class BucketTable:
         # At most one row per bucket.
         return sorted(row.bucket for row in rows.select(bucket_of(self.key).alias("bucket")).distinct().collect())
 
-    def _write(self, placed: DataFrame) -> str:
+    def _write(self, rows: DataFrame) -> str:
         path = f"{self.root}/rows/{uuid.uuid4().hex}"
-        placed.hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", self.key).write.partitionBy("_bucket").parquet(path)
+        rows.withColumn("_bucket", bucket_of(self.key)).hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", self.key).write.partitionBy("_bucket").parquet(path)
         return path
 
     def _read(self, listed: list) -> DataFrame:
@@ -158,10 +155,12 @@ class BucketTable:
         words[found["bucket"].to_numpy().astype(np.int64) * (FILTER_BITS // 64) + found["word"].to_numpy()] = found["value"].to_numpy()
         return KeyFilter(words.tobytes())
 
-    def _commit(self, folders: list[tuple], placed: DataFrame, touched: list[int] | None) -> None:
+    def _commit(self, folders: list[tuple], folder: str, touched: list[int] | None) -> None:
         """Filters first, then the list of folders under the next number, which only one writer can create.
-        The filters of the version before go on, unless ``touched`` is None: then ``placed`` is the whole table."""
+        The filters of the version before go on, unless ``touched`` is None: then ``folder`` holds the whole table. The keys are
+        read from what was written."""
         number = self.number + 1
+        placed = self.spark.read.schema(f"{self.schema}, _bucket int").parquet(folder).select(self.key, "_bucket")
         bits = word_rows(placed.withColumnRenamed("_bucket", "bucket"), [F.col(self.key)], FILTER_BITS, ["bucket"])
         if touched is not None:
             bits = bits.unionByName(self._filter_rows(self.number)).groupBy("bucket", "word").agg(F.bit_or("value").alias("value"))

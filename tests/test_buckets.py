@@ -93,3 +93,17 @@ def test_embedding_job_keeps_reasons(spark):
     store.commit(spark.createDataFrame([(1, "a good long text"), (2, "a bad text, and long")], "ticket_id long, full_text string").withColumn("embedding", F.lit(None).cast("array<double>")), root)
     embedding.embedding_job(spark, root, "ticket_id", failing, "m", "2024-01-01 00:00:00")
     assert values(embedding.quarantined(spark, root)) == [(2, "ValueError: no")]
+
+
+def test_rows_are_written_once(spark, monkeypatch):
+    """A table is stored without a copy beside it, and what arrives is set down once before it is added."""
+    names, write = [], buckets.write_version
+    monkeypatch.setattr(buckets, "write_version", lambda frame, name: (names.append(name), write(frame, name))[1])
+    rows = spark.range(100).select("id", F.lit("old").alias("v"))
+    table = BucketTable.create(rows.where("id < 40"), fresh_path(spark, "once"), "id")
+    assert names == []
+    table = table.insert_missing(rows.withColumn("v", F.lit("new")))
+    assert names == ["arrived"]
+    assert {row.v: row.n for row in table.rows().groupBy("v").agg(F.count("*").alias("n")).collect()} == {"old": 40, "new": 60}
+    table = table.insert_missing(rows)
+    assert table.rows().count() == 100 and table.compact().rows().count() == 100
