@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from profilum.schemas import REQUIRED_COLUMNS
 
 # Chunks leave a task in frames of about so many characters.
 OUTPUT_CHARACTERS = 4_000_000
+TEXTS = 128
 
 
 def chunk_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = 8000, overlap: int = 200) -> DataFrame:
@@ -23,22 +24,25 @@ def chunk_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
     source = documents.select(F.col(key), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     key_type = source.schema[key].dataType.simpleString()
 
-    def cut(frames):
-        rows, characters = [], 0
-        for frame in frames:
-            for doc, whole in zip(frame[key], frame["text"]):
-                for number, (start, end) in enumerate(chunk_bounds(whole, size, shared)):
-                    rows.append((doc, number, start, whole[start:end]))
-                    characters += end - start
-                    if characters >= OUTPUT_CHARACTERS:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows, characters = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=columns)
-
-    columns = [key, "chunk_no", "start", "chunk"]
-
-    return source.mapInPandas(cut, f"{key} {key_type}, chunk_no int, start bigint, chunk string")
+    def cut(batches):
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(0), ("chunk_no", pa.int32()), ("start", pa.int64()), ("chunk", pa.string())])
+            rows, characters = ([], [], [], []), 0
+            # A few texts of a batch at once, so that a task holds its texts once and few of them twice.
+            for first in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(first, TEXTS)
+                for doc, whole in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for number, (start, end) in enumerate(chunk_bounds(whole, size, shared)):
+                        for column, value in zip(rows, (doc, number, start, whole[start:end])):
+                            column.append(value)
+                        characters += end - start
+                        if characters >= OUTPUT_CHARACTERS:
+                            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(rows, schema)], schema=schema)
+                            rows, characters = ([], [], [], []), 0
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(rows, schema)], schema=schema)
+
+    return source.mapInArrow(cut, f"{key} {key_type}, chunk_no int, start bigint, chunk string")
 
 
 def sanitize_corpus(documents: DataFrame, text: str = "text") -> DataFrame:
