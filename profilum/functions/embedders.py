@@ -15,6 +15,8 @@ import numpy as np
 
 Embedder = Callable[[list[str]], list[np.ndarray]]
 HASHING_MODEL = "hashing-words"
+# Words whose place a task keeps; rarer ones are hashed again. A word takes about 200 bytes.
+REMEMBERED = 1 << 16
 
 
 def hashing_embedder(dimension: int = 64) -> Embedder:
@@ -27,7 +29,7 @@ def hashing_embedder(dimension: int = 64) -> Embedder:
         if found is None:
             digest = hashlib.md5(word.encode("utf-8")).digest()
             found = int.from_bytes(digest[:4], "big") % dimension, 1 if digest[4] < 128 else -1
-            if len(places) < 1_000_000:
+            if len(places) < REMEMBERED:
                 places[word] = found
         return found
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,13 +45,13 @@ def embed_texts(documents: DataFrame, key: str, embedder: Embedder, text: str =
 
     def single(whole: str):
         try:
-            return list(embedder([whole])[0]), None
+            return np.asarray(embedder([whole])[0], dtype=np.float64), None
         except Exception as failure:
             return None, f"{type(failure).__name__}: {failure}"
 
     def several(whole: list[str]):
         try:
-            return [(list(vector), None) for vector in embedder(whole)]
+            return [(np.asarray(vector, dtype=np.float64), None) for vector in embedder(whole)]
         except Exception:
             return [single(one) for one in whole]
 

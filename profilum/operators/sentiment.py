@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,8 @@ from profilum.sources.store import write_version
 
 # Ids that one automaton holds.
 AUTOMATON_IDS = 1 << 17
+# Texts that are searched at once, and rows that leave at once.
+TEXTS, HITS = 256, 4096
 VOLATILE_SPREAD = 0.5
 TREND_SLOPE = 0.005
 
@@ -129,6 +134,25 @@ def customer_docs(documents: DataFrame, customers: DataFrame) -> DataFrame:
     return documents.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
 
 
+def containing(batches, ids: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows whose ``content`` holds one of the ids, once per id. A text can hold most ids, so few texts are
+    searched at once and their rows leave in bounded batches."""
+    automaton = ahocorasick.Automaton()
+    for one in ids:
+        automaton.add_word(one, one)
+    if not len(automaton):
+        return
+    automaton.make_automaton()
+    for whole in batches:
+        for first in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(first, TEXTS)
+            texts = batch.column("content").to_pylist()
+            hits = ((row, one) for row, text in enumerate(texts) if text for one in sorted({one for _, one in automaton.iter(text)}))
+            while some := list(islice(hits, HITS)):
+                rows = batch.take(pa.array([row for row, _ in some], type=pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([one for _, one in some], type=pa.string())], names=[*rows.schema.names, "wanted_id"])
+
+
 def docs_containing(documents: DataFrame, customers: DataFrame, key: str = "customer_id") -> DataFrame:
     """Documents whose text contains a listed id anywhere, also inside a longer one: a row per document and id found,
     as ``wanted_id``. Texts pass once per ``AUTOMATON_IDS`` ids, through an automaton of these ids. Null and empty ids are none."""
@@ -143,17 +167,7 @@ def docs_containing(documents: DataFrame, customers: DataFrame, key: str = "cust
         sent = documents.sparkSession.sparkContext.broadcast(some)
 
         def run(batches, sent=sent):
-            automaton = ahocorasick.Automaton()
-            for one in sent.value:
-                automaton.add_word(one, one)
-            if not len(automaton):
-                return
-            automaton.make_automaton()
-            for batch in batches:
-                texts = batch.column("content").to_pylist()
-                hits = [(row, one) for row, text in enumerate(texts) if text for one in sorted({one for _, one in automaton.iter(text)})]
-                rows = batch.take(pa.array([row for row, _ in hits], type=pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([one for _, one in hits], type=pa.string())], names=[*rows.schema.names, "wanted_id"])
+            return containing(batches, sent.value)
 
         found.append(documents.mapInArrow(run, f"{fields}, wanted_id string"))
     result = found[0]

@@ -193,3 +193,26 @@ def test_small_chunks_move_forward(whole, tokens, overlap):
     bounds = list(chunk_bounds(whole, size, shared))
     assert bounds[0][0] == 0 and max(end for _, end in bounds) == len(whole)
     assert all(start < following <= end for (start, end), (following, _) in zip(bounds, bounds[1:]))
+
+
+def test_found_ids_leave_in_bounded_batches():
+    """A batch whose texts hold every id does not come back as one batch of all pairs."""
+    import pyarrow as pa
+
+    from profilum.operators import sentiment
+
+    ids = [str(number) for number in range(100)]
+    batch = pa.RecordBatch.from_pydict({"interaction_id": list(range(300)), "content": [" ".join(ids)] * 299 + [None]})
+    found = list(sentiment.containing([batch], ids))
+    assert sum(part.num_rows for part in found) == 299 * 100 and max(part.num_rows for part in found) <= sentiment.HITS
+    assert {(row["interaction_id"], row["wanted_id"]) for part in found for row in part.to_pylist()} == {(row, one) for row in range(299) for one in ids}
+
+
+def test_embedder_forgets_rare_words(monkeypatch):
+    """Places are kept for a bounded number of words, and the others get the same vector."""
+    from profilum.functions import embedders
+
+    monkeypatch.setattr(embedders, "REMEMBERED", 3)
+    embed, texts = embedders.hashing_embedder(8), ["a b c d e f", "f e d c b a"]
+    first, second = embed(texts)
+    assert (first == second).all() and len(embed.__closure__) and max(len(cell.cell_contents) for place in embed.__closure__ if callable(place.cell_contents) and getattr(place.cell_contents, "__closure__", None) for cell in place.cell_contents.__closure__ if isinstance(cell.cell_contents, dict)) == 3
