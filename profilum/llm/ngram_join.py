@@ -17,8 +17,9 @@ shingle; a text without words has an empty set and is linked with nothing. Shing
    outside the largest component of the shingle go with all members of other components, as far as sizes and the
    places of the shingle allow a link, and are verified.
 
-Verification first compares sketches: a class carries the parity of its shingles in each of ``SKETCH`` bins, and two
-sets differ in at least as many shingles as their sketches in bins. What passes is compared as whole sets in whole
+Verification first compares sketches: a class carries the parity of its shingles in each of ``SKETCH`` bins or more, and
+two sets differ in at least as many shingles as their sketches in bins. Bins grow with the set (``Rule.bins``): few bins are
+half odd whatever long sets hold, which is less than linked ones may differ. What passes is compared as whole sets in whole
 numbers. Components are exact, and links between documents of one
 component that earlier ones imply are not looked for.
 
@@ -62,6 +63,11 @@ class Rule:
         """How many of the first shingles of a set hold one of every set linked with it."""
         return size - (-(-size * self.percent // 100)) + 1 if size else 0
 
+    def bins(self, size: int) -> int:
+        """Bins of the sketch of a set, a power of two: four times as many as two linked sets of its size may differ in."""
+        most = 2 * size + 2 * (-self.percent * 2 * size // (100 + self.percent))
+        return max(SKETCH, 1 << max(0, 4 * most - 1).bit_length())
+
     def apart(self, sizes: Column) -> Column:
         """In how many shingles two linked sets of these sizes together may differ."""
         return sizes - 2 * F.ceil(self.percent * sizes / (100 + self.percent))
@@ -107,12 +113,25 @@ def _halves(names: list[bytes]) -> list[pa.Array]:
     return [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())]
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
+def sketch(values: np.ndarray, bins: int = SKETCH) -> np.ndarray:
     """The parity of the hashes per bin, as signed 64-bit words."""
-    odd = np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    odd = np.bincount((values & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(words: Column, count: Column) -> Column:
+    """A sketch with fewer bins: a hash's bin is its low bits, so words that far apart are added up."""
+    added = F.transform(F.sequence(F.lit(0), count - 1), lambda at: F.aggregate(F.sequence(at, F.size(words) - 1, count), F.lit(0).cast("long"), lambda total, place: total.bitwiseXOR(words[place])))
+    return F.when(F.size(words) > count, added).otherwise(words)
+
+
+def differing(one: Column, other: Column) -> Column:
+    """In how many bins two sketches differ, those of the smaller one."""
+    count = F.least(F.size(one), F.size(other))
+    apart = F.zip_with(_folded(one, count), _folded(other, count), lambda first, second: F.bit_count(first.bitwiseXOR(second)))
+    return F.aggregate(apart, F.lit(0), lambda total, odd: total + odd)
+
+
 def _count_cells(rule: Rule):
     """Texts to counts per cell, a row per segment of cells that a task has met."""
 
@@ -180,13 +199,14 @@ def _prefixes(rule: Rule, ranks):
                     groups.append(_name(np.append(prefix, len(values))))
                     sizes.append(len(values))
                     prefixes.append(prefix)
-                    sketches.append(sketch(values))
+                    sketches.append(sketch(values, rule.bins(len(values))))
                 bounds = np.append(0, np.cumsum(list(map(len, prefixes)))).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(prefixes)))
                 first, second = _halves(names)
                 group, _ = _halves(groups)
                 columns = [*[part.column(name) for name in ("id", *PLACE)], first, second, group, pa.array(sizes, type=pa.int32()), flat]
-                words = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate(sketches)))
+                ends = np.append(0, np.cumsum(list(map(len, sketches)))).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches)))
                 yield pa.RecordBatch.from_arrays([*columns, words], names=["id", *PLACE, *KEY, "group", "size", "prefix", "sketch"])
 
     return run
@@ -242,7 +262,7 @@ class Join:
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         for side in ("u", "v"):
             pairs = pairs.join(self.classes.select(F.col("class").alias(side), F.col("size").alias(f"{side}_size"), F.col("sketch").alias(f"{side}_sketch")), side)
-        bins = F.aggregate(F.zip_with("u_sketch", "v_sketch", lambda one, other: F.bit_count(one.bitwiseXOR(other))), F.lit(0), lambda total, odd: total + odd)
+        bins = differing(F.col("u_sketch"), F.col("v_sketch"))
         pairs = write_version(pairs.where(bins <= self.rule.apart(F.col("u_size") + F.col("v_size"))).select("u", "v"), "pairs")
         asked = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
         wanted = write_version(self.classes.join(asked, "class", "left_semi").select("class", *PLACE), "asked")
@@ -273,7 +293,8 @@ class Join:
 
     def pairs_left(self, found: DataFrame) -> DataFrame:
         """Pairs of classes in different components that may still be linked. ``found`` has ``class, root``."""
-        rooted = self.classes.join(found, "class", "left").select("class", "group", "size", F.coalesce("root", "class").alias("root"))
+        # Roots are only told apart here, by a hash of 64 bits.
+        rooted = self.classes.join(found, "class", "left").select("class", "group", "size", F.xxhash64(F.coalesce("root", "class")).alias("root"))
         rooted = write_version(rooted, "rooted")
         # Shared shingles and groups both bring members together; a group does so at place 0.
         by_token = self.entries.join(rooted.drop("size"), "group").select(F.lit(True).alias("by_token"), F.col("token").alias("meeting"), "at", "class", "size", "root")

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest_llm import documents
+from pyspark.sql import functions as F
 
 from profilum.llm import ngram_join
 from profilum.llm.ngram_join import Rule
@@ -102,3 +104,21 @@ def test_awkward_rows(awkward, empty, make):
     assert found(make(short, "doc_id long, text string")) == expected(short)
     names = make([("x", "one two three"), ("b", "one two three"), (None, "four")], "doc_id string, text string")
     assert sorted([tuple(row) for row in ngram_join.join(names).collect()], key=repr) == sorted([("x", 1, "b"), ("b", 1, "b"), (None, 1, None)], key=repr)
+
+
+@pytest.mark.parametrize("rule", [Rule(), Rule(5, 80)])
+def test_sketches_tell_long_sets_apart(spark, rule):
+    """Unlike sets of any size fill more bins than linked ones may; bins never overstate a difference, also folded."""
+    random_sets = np.random.default_rng(5)
+    rows = []
+    for size in (200, 1240, 4000, 30_000):
+        one, other = (np.unique(random_sets.integers(0, 1 << 63, size, dtype=np.uint64)) for _ in range(2))
+        near = np.union1d(one[: size - size // 20], other[: size // 50])
+        for second, alike in ((other, False), (np.union1d(other[: size // 2], one[size // 2 :]), False), (near, True), (one[: size - size // 12], True)):
+            sketches = [ngram_join.sketch(values, rule.bins(len(values))).tolist() for values in (one, second)]
+            rows.append((*sketches, len(one) + len(second), len(np.setxor1d(one, second)), alike))
+    frame = spark.createDataFrame(rows, "u array<long>, v array<long>, sizes long, apart long, alike boolean")
+    bins = ngram_join.differing(F.col("u"), F.col("v"))
+    for row in frame.select("sizes", "apart", "alike", bins.alias("bins"), rule.apart(F.col("sizes")).alias("most")).collect():
+        assert row.bins <= row.apart and (row.bins <= row.most) == row.alike
+    assert len({len(row[0]) for row in rows}) > 2 and any(len(row[0]) != len(row[1]) for row in rows)
