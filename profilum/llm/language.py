@@ -287,7 +287,8 @@ def predict(docs: DataFrame, models: list[Broadcast[Model]], text: str = "text")
                 names[row], scores[row] = name, share
         return pa.StructArray.from_arrays([pa.array(names), pa.array(scores, type=pa.float64())], names=["lang", "score"])
 
-    return predicted(F.col(f"`{text}`"))
+    # Said to vary, so that a filter on the result does not predict every text a second time in a second Python worker.
+    return predicted.asNondeterministic()(F.col(f"`{text}`"))
 
 
 def learnable(doc_id: str = "doc_id") -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from profilum.functions.membership import key_filter
 from profilum.llm import ngram_join, simhash
 from profilum.llm.components import components
 from profilum.llm.names import unused
@@ -41,6 +42,10 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     ends = linked.join(first.select(F.col("class").alias("u"), F.col("least").alias("u_root")), "u").join(first.select(F.col("class").alias("v"), F.col("least").alias("v_root")), "v")
     groups = components(same.unionByName(ends.select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))))
     final = rooted.join(groups.select(F.col("root").alias("group"), F.col("vertex").alias("root")), "root", "left").withColumn("group", F.coalesce("group", "root"))
-    stays = top_per_group(final.select("group", "id", "row"), ["group"], [F.col("id").asc_nulls_last(), F.col("row")], 1, "_rank")
-    kept = docs.withColumn(name, row).join(stays.select(F.col("row").alias(name)).distinct(), name, "left_semi")
-    return kept.dropDuplicates([name]).select(*[F.col(f"`{column}`") for column in docs.columns])
+    stays = write_version(top_per_group(final.select("group", "id", "row"), ["group"], [F.col("id").asc_nulls_last(), F.col("row")], 1, "_rank").select("row"), "stays")
+    # Most rows stay and are there once. Only what may be another moves with its text.
+    others = rooted.groupBy("row").count().join(stays.withColumn("stays", F.lit(True)), "row", "left").where("stays is null or count > 1")
+    columns = [F.col(f"`{column}`") for column in docs.columns]
+    moves = key_filter(write_version(others.select("row"), "others"), F.col("row")).holds(docs.sparkSession, row)
+    moved = docs.where(moves).withColumn(name, row).join(stays.select(F.col("row").alias(name)), name, "left_semi")
+    return docs.where(~moves).select(*columns).union(moved.dropDuplicates([name]).select(*columns))

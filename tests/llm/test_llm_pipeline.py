@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from profilum.llm import near_copies as near_copies_of
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -98,3 +99,22 @@ def test_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
+
+
+def test_languages_are_found_once(spark, awkward):
+    """The filter on the language does not send every text to a second Python worker."""
+    plan = corpus_pipeline.language_id(spark, awkward, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_texts_that_stay_do_not_move(spark, make, monkeypatch):
+    """Rows that stay and are there once are not among those looked up; repeated rows stay once."""
+    rows = near_copies()
+    rows += rows[-3:] + [(1000, None), (1000, None), (None, "of no number"), (None, "of no number")]
+    frame = make(rows, "doc_id long, text string")
+    looked, filtering = [], near_copies_of.key_filter
+    monkeypatch.setattr(near_copies_of, "key_filter", lambda some, *rest, **options: (looked.append(some.count()), filtering(some, *rest, **options))[1])
+    kept = corpus_pipeline.near_duplicates(spark, frame, FOLDER)
+    assert sorted([key for key, _ in rows_of(kept)], key=repr) == sorted([*least_ids(rows), None], key=repr)
+    several = {row for row in rows if rows.count(row) > 1}
+    assert looked == [len(set(rows) - {(row.doc_id, row.text) for row in kept.collect()} | several)]
