@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from profilum.fixed_values import STOP_WORDS, WORD_PUNCTUATION
 from profilum.functions import text as texts
 from profilum.functions.chunking import chunk_bounds, chunk_sizes
+from profilum.functions.membership import key_filter
 from profilum.operators.metrics import top_per_group
 from profilum.schemas import REQUIRED_COLUMNS
+from profilum.sources.store import write_version
 
 
 # Chunks leave a task in frames of about so many characters.
@@ -52,14 +54,51 @@ def sanitize_corpus(documents: DataFrame, text: str = "text") -> DataFrame:
 def document_keywords(documents: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 10) -> DataFrame:
     """The most frequent words of each document; earlier words win ties.
 
-    Words are counted per document before anything moves, so a shuffle carries one row per distinct
-    word of a document.
+    A key that has one row is counted within that row, and nothing of its text moves. Keys with several rows, found
+    by moving the keys alone, are counted per word and row before their words move.
     """
+    repeated = write_version(documents.groupBy(key).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(key), "repeated-keys")
+    several = repeated.count()
+    if not several:
+        return _row_keywords(documents, key, text, limit)
+    # Keys that the filter only takes for repeated are counted the longer way, with the same result.
+    shared = key_filter(repeated, F.col(key), count=several).holds(documents.sparkSession, F.col(key))
+    return _row_keywords(documents.filter(~shared), key, text, limit).unionByName(_key_keywords(documents.filter(shared), key, text, limit))
+
+
+def _is_keyword(word: Column) -> Column:
+    return (F.length(word) > 3) & ~word.isin(STOP_WORDS)
+
+
+def _row_keywords(documents: DataFrame, key: str, text: str, limit: int) -> DataFrame:
+    """The keywords of each row on its own: its words sorted, equal words are runs."""
+    raw = F.split(F.lower(F.col(text)), texts.WHITESPACE)
+    named = F.transform(raw, lambda word, place: F.struct(F.btrim(word, F.lit(WORD_PUNCTUATION)).alias("keyword"), place.alias("place")))
+    words = documents.select(key, F.sort_array(F.filter(named, lambda word: _is_keyword(word["keyword"]))).alias("_words"))
+
+    def opens(place: Column) -> Column:
+        return (place == 0) | (F.get("_words", place)["keyword"] != F.get("_words", place - 1)["keyword"])
+
+    places = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(F.array().cast("array<int>"))
+    runs = words.select(key, "_words", F.filter(places, opens).alias("_starts"))
+
+    def run(start: Column, number: Column) -> Column:
+        first, end = F.get("_words", start), F.coalesce(F.get("_starts", number + 1), F.size("_words"))
+        return F.struct((start - end).cast("bigint").alias("fewer"), first["place"].alias("place"), first["keyword"].alias("keyword"))
+
+    best = runs.select(key, F.slice(F.sort_array(F.transform("_starts", run)), 1, limit).alias("_best"))
+    # Outer, as the rows without keywords are otherwise looked for by counting all of them before.
+    ranked = best.select(key, F.posexplode_outer("_best").alias("_place", "_run")).filter(F.col("_run").isNotNull())
+    return ranked.select(key, F.col("_run.keyword").alias("keyword"), (-F.col("_run.fewer")).alias("occurrences"), (F.col("_place") + 1).alias("rank"))
+
+
+def _key_keywords(documents: DataFrame, key: str, text: str, limit: int) -> DataFrame:
+    """The keywords of all rows of a key together."""
     words = documents.select(key, F.posexplode(F.split(F.lower(F.col(text)), texts.WHITESPACE)).alias("position", "raw"))
     word = F.btrim(F.col("raw"), F.lit(WORD_PUNCTUATION))
     counted = (
         words.select(key, "position", word.alias("keyword"))
-        .filter((F.length("keyword") > 3) & ~F.col("keyword").isin(STOP_WORDS))
+        .filter(_is_keyword(F.col("keyword")))
         .groupBy(key, "keyword")
         .agg(F.count("*").alias("occurrences"), F.min("position").alias("first_position"))
     )

@@ -1,6 +1,7 @@
 """Text operators, intents, citations and prompts."""
 
 import datetime as dt
+import re
 from collections import Counter
 
 import pytest
@@ -62,6 +63,29 @@ def test_keywords_against_counting(spark):
         assert found.get(i, []) == [w for w, _ in counts.most_common(3)]
 
 
+def test_keywords_of_single_rows_do_not_move(spark):
+    """Rows whose key is there once are counted where they lie; rows of one key are counted together."""
+    rows = [(1, "Beta beta gamma. (gamma) delta"), (2, "zeta zeta the with tiny"), (3, None), (4, " \n "), (5, "Éclair éclair 🙂🙂🙂🙂 -word- word's word")]
+    more = [*rows, (2, "eta, theta theta zeta"), (None, "lone lone pair"), (None, "pair pair pair"), (6, "quiet")]
+
+    def counted(some):
+        found = {}
+        for key, whole in some:
+            for place, raw in enumerate(re.split(r"\s+", (whole or "").lower())):
+                word = raw.strip(WORD_PUNCTUATION)
+                if len(word) > 3 and word not in STOP_WORDS:
+                    count, first = found.setdefault(key, {}).get(word, (0, place))
+                    found[key][word] = (count + 1, min(first, place))
+        ranked = {key: sorted(words.items(), key=lambda item: (-item[1][0], item[1][1]))[:3] for key, words in found.items()}
+        return {(key, word, count, rank) for key, words in ranked.items() for rank, (word, (count, _)) in enumerate(words, 1)}
+
+    single = documents.document_keywords(spark.createDataFrame(rows, "doc_id bigint, text string"), limit=3)
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+    both = documents.document_keywords(spark.createDataFrame(more, "doc_id bigint, text string").repartition(3), limit=3)
+    assert set(map(tuple, single.collect())) == counted(rows) and single.dtypes == both.dtypes
+    assert set(map(tuple, both.collect())) == counted(more)
+
+
 def test_token_limits(spark):
     frame = spark.createDataFrame([("x" * 8,), ("x" * 9,)], "s string")
     rows = frame.select(text.token_estimate(F.col("s")), text.truncate_to_tokens(F.col("s"), 2)).collect()
