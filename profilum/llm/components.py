@@ -2,7 +2,8 @@
 
 Every round rewrites the links with one least neighbour per vertex, found by a map-side combined
 minimum and joined back, so that a vertex with a third of all links is split like any skewed join.
-Rounds are written to the shared folder, which cuts their lineage.
+Rounds are written to the shared folder, which cuts their lineage, and end as soon as all components
+are stars, which takes one count of ends per vertex and no further round.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("least"))
-    moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.unionByName(least.select("u", F.col("least").alias("v")))
+    # The link to the least neighbour stays, the others lead there.
+    return links.join(least, "u").select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v"))
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _unfinished(links: DataFrame) -> bool:
+    """Whether a vertex has a smaller neighbour and another one; if none has, each component is a star around its least vertex."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("ends")).where("least < u and ends > 1").count() > 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,10 +43,6 @@ def components(links: DataFrame) -> DataFrame:
     Links with a null end or two equal ends say nothing. No links: no rows.
     """
     current = write_version(_towards(links), "links")
-    state = _state(current)
-    while state[0]:
-        following = write_version(_towards(_small_star(_towards(_large_star(current)))), "links")
-        before, state, current = state, _state(following), following
-        if state == before:
-            break
+    while _unfinished(current):
+        current = write_version(_towards(_small_star(_large_star(current))), "links")
     return current.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())

@@ -57,6 +57,19 @@ def test_short_strings(make, length, gram, dense, block, monkeypatch):
     assert found(repeats.digests(repeats.remove(frame, length=length, gram=gram))) == expected(texts(), length)
 
 
+def test_few_windows_of_dense_anchors_are_counted(make, monkeypatch):
+    """A passage in many contexts: only windows near its ends meet one by one, the others as parts of equal pieces."""
+    random.seed(5)
+    passage = "".join(random.choice("abcdefgh ") for _ in range(300))
+    rows = [(place, "".join(random.choice("abcdefgh ") for _ in range(200)) + passage + "".join(random.choice("abcdefgh ") for _ in range(200))) for place in range(40)]
+    monkeypatch.setattr(repeats, "DENSE", 8)
+    written, write = {}, repeats.write_version
+    monkeypatch.setattr(repeats, "write_version", lambda frame, name: written.setdefault(name, write(frame, name)))
+    assert found(repeats.digests(repeats.remove(make(rows, "doc_id long, text string"), length=120, gram=20))) == expected(rows, 120)
+    windows = written["dense"].selectExpr("sum(length(content) - 119)").first()[0]
+    assert 0 < written["windows"].count() < windows / 3
+
+
 def test_suffix_arrays():
     random.seed(3)
     for _ in range(300):

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from conftest_llm import documents
 
+from profilum.llm import components as components_of
 from profilum.llm import golay, simhash
 from profilum.llm.components import components
 from profilum.llm.queries import QUERIES
@@ -53,6 +54,31 @@ def test_equals_brute_force(spark, dense, monkeypatch):
     assert sorted((tuple(row) for row in query.collect()), key=repr) == expected(rows)
 
 
+def test_components_end_as_stars(spark, monkeypatch):
+    """Stars need no round, whatever else links them is found in a few; null ends and loops say nothing."""
+    rounds, write = [], components_of.write_version
+    monkeypatch.setattr(components_of, "write_version", lambda frame, name: (rounds.append(name), write(frame, name))[1])
+
+    def roots(rows):
+        rounds.clear()
+        return sorted(tuple(row) for row in components(spark.createDataFrame(rows, "u long, v long")).collect())
+
+    star = [(1, 5), (1, 6), (7, 1), (7, 1), (2, 2), (None, 3), (4, None), (8, 9)]
+    assert roots(star) == [(1, 1), (5, 1), (6, 1), (7, 1), (8, 8), (9, 8)]
+    assert rounds == ["links"]
+    random.seed(6)
+    chain = [(place, place + 1) for place in range(100, 140)]
+    rows = chain + [(random.randint(200, 300), random.randint(200, 300)) for _ in range(60)] + [(400, place) for place in range(401, 430)] + [(399, 429)]
+    random.shuffle(rows)
+    above = {end: end for row in rows for end in row if row[0] != row[1]}
+    for _ in range(len(above)):
+        for u, v in rows:
+            if u != v:
+                above[u] = above[v] = min(above[u], above[v])
+    assert roots(rows) == sorted(above.items())
+    assert len(rounds) > 1
+
+
 @pytest.mark.parametrize("dense", [2, 256])
 def test_links_of_close_and_distant_values(spark, dense, monkeypatch):
     """Clouds of values around a few centres, some a chain apart."""
