@@ -89,7 +89,8 @@ def links(values: DataFrame) -> DataFrame:
     dense = homes.groupBy("anchor").count().where(F.col("count") > DENSE).select("anchor")
     visits = values.mapInArrow(_visits, "anchor int, visitor long")
     apart = F.bit_count(F.col("value").bitwiseXOR(F.col("visitor")))
-    compared = homes.join(dense, "anchor", "left_anti").join(visits, "anchor").where((F.col("value") != F.col("visitor")) & (apart <= THRESHOLD))
+    # Spark takes visits for as many rows as values, and would send around up to 69 times what it allows.
+    compared = homes.join(dense, "anchor", "left_anti").join(visits.hint("merge"), "anchor").where((F.col("value") != F.col("visitor")) & (apart <= THRESHOLD))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(np.int64(np.uint64(1 << bit)).item()) for bit in range(64)])
     around = homes.join(dense, "anchor", "left_semi").select("value", F.explode(flips).alias("flip")).select("value", F.col("value").bitwiseXOR(F.col("flip")).alias("centre"))
     groups = around.groupBy("centre").agg(F.collect_list("value").alias("members"))

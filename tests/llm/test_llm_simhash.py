@@ -7,11 +7,13 @@ import numpy as np
 import pytest
 import xxhash
 from conftest_llm import documents
+from pyspark.sql import functions as F
 
 from profilum.llm import components as components_of
 from profilum.llm import golay, simhash
 from profilum.llm.components import components
 from profilum.llm.queries import QUERIES
+from profilum.sources.store import write_version
 
 
 def fingerprint(text):
@@ -130,3 +132,15 @@ def test_one_of_each_group_stays(awkward):
     for (key, value, name), _ in zip(expected(rows), rows):
         groups.setdefault((name, value if name is None else None), []).append(key)
     assert sorted((row.doc_id for row in kept.collect()), key=repr) == sorted((name for name, _ in groups), key=repr)
+
+
+def test_visits_are_not_sent_around(spark):
+    """A value makes up to 69 visits, which Spark's estimate of their size leaves out."""
+    values = spark.range(1000).select(F.xxhash64("id").alias("value"))
+    plan = simhash.links(write_version(values, "values"))._jdf.queryExecution().executedPlan().toString()
+    above = []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        above = [*[(place, name) for place, name in above if place < depth], (depth, line)]
+        assert "_visits" not in line or not any("BroadcastExchange" in name for _, name in above)
+    assert "_visits" in plan and "SortMergeJoin [anchor" in plan
