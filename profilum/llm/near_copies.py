@@ -35,17 +35,18 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     documents, linked = ngram_join.links(docs, doc_id, text, rule)
     # Fingerprint groups that share a set of shingles, and those that linked sets lie in.
     shingled = documents.where("size > 0").select("class", *ngram_join.PLACE).distinct()
-    held = write_version(rooted.select(*ngram_join.PLACE, "root").distinct().join(shingled, ngram_join.PLACE).groupBy("class", "root").count(), "class-roots")
+    held = write_version(rooted.select(*ngram_join.PLACE, "root").distinct().join(shingled.hint("merge"), ngram_join.PLACE).groupBy("class", "root").count(), "class-roots")
     least = held.groupBy("class").agg(F.min("root").alias("least"), F.max("root").alias("greatest"))
     same = held.join(least.where("least <> greatest"), "class").select(F.col("root").alias("u"), F.col("least").alias("v"))
-    first = least.select("class", "least")
+    # Sets, rows and places grow with the documents; small in files, they would take several times as much in the driver.
+    first = least.select("class", "least").hint("merge")
     ends = linked.join(first.select(F.col("class").alias("u"), F.col("least").alias("u_root")), "u").join(first.select(F.col("class").alias("v"), F.col("least").alias("v_root")), "v")
     groups = components(same.unionByName(ends.select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))))
     final = rooted.join(groups.select(F.col("root").alias("group"), F.col("vertex").alias("root")), "root", "left").withColumn("group", F.coalesce("group", "root"))
     stays = write_version(top_per_group(final.select("group", "id", "row"), ["group"], [F.col("id").asc_nulls_last(), F.col("row")], 1, "_rank").select("row"), "stays")
     # Most rows stay and are there once. Only what may be another moves with its text.
-    others = rooted.groupBy("row").count().join(stays.withColumn("stays", F.lit(True)), "row", "left").where("stays is null or count > 1")
+    others = rooted.groupBy("row").count().join(stays.withColumn("stays", F.lit(True)).hint("merge"), "row", "left").where("stays is null or count > 1")
     columns = [F.col(f"`{column}`") for column in docs.columns]
     moves = key_filter(write_version(others.select("row"), "others"), F.col("row")).holds(docs.sparkSession, row)
-    moved = docs.where(moves).withColumn(name, row).join(stays.select(F.col("row").alias(name)), name, "left_semi")
+    moved = docs.where(moves).withColumn(name, row).join(stays.select(F.col("row").alias(name)).hint("merge"), name, "left_semi")
     return docs.where(~moves).select(*columns).union(moved.dropDuplicates([name]).select(*columns))

@@ -278,7 +278,8 @@ class Join:
         postings = self.documents.where("size > 0").select("group", "size", F.posexplode("prefix").alias("at", "token"))
         several = postings.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
         shared = write_version(several, "shared-shingles")
-        kept = postings.where(key_filter(shared, F.col("token")).holds(self.spark, F.col("token"))).join(shared, "token")
+        # A shingle takes ten times its size in a table that is sent around.
+        kept = postings.where(key_filter(shared, F.col("token")).holds(self.spark, F.col("token"))).join(shared.hint("merge"), "token")
         #: ``token, group, size, at`` of the prefix shingles that several groups have.
         self.entries = write_version(kept.distinct(), "entries")
         leaders = self.entries.groupBy("token").agg(F.min(F.struct("at", "size", "group")).alias("leader"))
@@ -302,7 +303,7 @@ class Join:
         meeting = ["by_token", "meeting"]
         members = write_version(by_token.unionByName(by_group), "members")
         mixed = members.groupBy(*meeting).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*meeting)
-        members = write_version(members.join(mixed, meeting), "mixed-members")
+        members = write_version(members.join(mixed.hint("merge"), meeting), "mixed-members")
         # The largest component of a meeting: most members, then greatest root.
         sizes = members.groupBy(*meeting, "root").agg(F.count("*").alias("members"))
         largest = sizes.groupBy(*meeting).agg(F.max_by("root", F.struct("members", "root")).alias("largest"))

@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 import __spark_entry__ as contract
 import corpus_pipeline
 from profilum.llm import near_copies as near_copies_of
+from profilum.llm import ngram_join
+from profilum.sources.store import write_version
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -118,3 +120,24 @@ def test_texts_that_stay_do_not_move(spark, make, monkeypatch):
     assert sorted([key for key, _ in rows_of(kept)], key=repr) == sorted([*least_ids(rows), None], key=repr)
     several = {row for row in rows if rows.count(row) > 1}
     assert looked == [len(set(rows) - {(row.doc_id, row.text) for row in kept.collect()} | several)]
+
+
+def test_tables_that_grow_with_the_documents_are_not_sent_around(spark, monkeypatch):
+    plans = {}
+
+    def recorded(frame, name):
+        plans.setdefault(name, frame._jdf.queryExecution().executedPlan().toString())
+        return write_version(frame, name)
+
+    for module in (near_copies_of, ngram_join):
+        monkeypatch.setattr(module, "write_version", recorded)
+    kept = near_copies_of.one_per_group(documents_of(spark))
+    plans["kept"] = kept._jdf.queryExecution().executedPlan().toString()
+    for name in ("entries", "mixed-members", "class-roots", "others", "kept"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name], name
+
+
+def documents_of(spark):
+    words = [f"w{place}" for place in range(40)]
+    rows = [(place, " ".join(words[place % 5 : 30 + place % 7])) for place in range(30)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
