@@ -132,6 +132,25 @@ def test_current_metrics_in_a_session_of_the_default_state_store(spark):
     assert other.conf.get(STATE_STORE) == default
 
 
+def test_current_metrics_open_few_stores_and_leave_out_late_events(spark, tmp_path):
+    """Stores follow the cores, not the session's partitions; what is older than the watermark adds nothing, nor does an event sent again."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "100")
+    folder, target, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
+    schema = f"{SCHEMA}, page_path string"
+    first = [(1, 1, "a", START, "/a"), (1, 1, "a", START, "/a"), (None, 1, "b", START, "/b"), (2, 2, None, START, None)]
+    later = [(3, 1, "c", START + dt.timedelta(days=9), "/c"), (4, 1, "c", START + dt.timedelta(days=9, hours=1), "/c")]
+    again = [(5, 1, "late", START, "/0"), (4, 1, "c", START + dt.timedelta(days=9, hours=1), "/c"), (6, 1, "a", START + dt.timedelta(days=10), None)]
+    for part in (first, later, again):
+        land(other, folder, part, schema)
+        current.user_metrics(upkeep.landed_files(other, folder, schema), target, progress)
+    found = {row.user_id: (row.total_sessions, row.total_page_views, row.last_visit.replace(tzinfo=None), row.visited_pages) for row in current.current_user_metrics(other, target).collect()}
+    assert found == {1: (3, 4, START + dt.timedelta(days=10), ["/a", "/b", "/c"]), 2: (0, 1, START, None)}
+    stores = [path for operator in (tmp_path / "progress/state").iterdir() for path in operator.iterdir() if path.name.isdigit()]
+    assert 0 < len(stores) <= 2 * current.STORES_PER_CORE * spark.sparkContext.defaultParallelism
+    assert other.conf.get("spark.sql.shuffle.partitions") == "100"
+
+
 def test_trends_of_kept_sums_equal_trends_of_days(spark):
     """Over three landings, and again after a batch is run twice."""
     folder, root, progress = (fresh_path(spark, name) for name in ("in", "sums", "progress"))
