@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from profilum.operators import metrics, rollups, search
+from profilum.operators import metrics, retrieval, rollups, search
 from profilum.operators.profile import customer_profile
 from profilum.sources import model
 
@@ -80,3 +80,13 @@ def test_metrics_are_combined_before_they_move(wide_session):
     assert text.count("Exchange hashpartitioning") == 1 and "partial_sum" in text
     loose = plan(metrics.purchase_metrics(model.orders(wide_session, FOLDER)))
     assert loose.count("Exchange hashpartitioning") == 2
+
+
+def test_lines_of_products_without_vectors_do_not_meet_their_orders(spark):
+    orders = spark.createDataFrame([(1, 10), (2, 20), (3, 10)], "order_id long, customer_id long")
+    lines = spark.createDataFrame([(1, 100), (1, 100), (1, 101), (2, 102), (3, 100), (3, None), (9, 100)], "order_id long, product_id long")
+    products = spark.createDataFrame([(100, [1.0, 0.0]), (101, [0.0, 1.0]), (102, None), (103, [1.0, 1.0])], "product_id long, embedding array<float>")
+    vectors = retrieval.purchase_vectors(orders, lines, products)
+    text = plan(vectors)
+    assert text.count("LeftSemi") == 1 and text.index("SortMergeJoin [order_id") < text.index("LeftSemi")
+    assert vectors.collect() == [(10, [0.5, 0.5])]

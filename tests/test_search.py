@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from profilum.functions import topk
 from profilum.functions.vectors import cosine, unit_rows
 from profilum.operators import cells, search
 
@@ -201,3 +202,21 @@ def test_probes_do_not_move_queries_again(spark, monkeypatch):
         monkeypatch.setattr(cells, "PART_DOCUMENTS", part)
         assert sorted(map(tuple, search.search_index(queries, index, K, probes=12).collect())) == sorted(map(tuple, exact.select("query_id", "doc", "similarity_score", "rank").collect()))
         assert sent.pop() <= most
+
+
+def test_hits_wait_until_they_are_worth_ordering(monkeypatch):
+    """Far fewer orderings than slices of documents, and the best rows of all, with ties, excluded and missing documents."""
+    random = np.random.default_rng(3)
+    rows, queries = (unit_rows(random.integers(-2, 3, (count, 6)).astype(float)) for count in (900, 40))
+    ids, excluded = np.arange(900)[::-1] * 7, np.array([7 * place if place % 3 else None for place in range(40)], dtype=object)
+    ordered, order = [], topk.best_rows
+    monkeypatch.setattr(topk, "SLICE", 10)
+    monkeypatch.setattr(topk, "best_rows", lambda *given: ordered.append(1) or order(*given))
+    for k in (3, 2000):
+        ordered.clear()
+        found = topk.scan(queries, excluded, [(ids[:400], rows[:400]), (ids[400:], rows[400:])], k)
+        assert len(ordered) < 45
+        for number, vector in enumerate(queries):
+            scores = sorted((-round(float(score), topk.DIGITS), doc) for doc, score in zip(ids.tolist(), rows @ vector) if doc != excluded[number])[:k]
+            mine = found[found["query"] == number]
+            assert list(zip((-mine["score"]).tolist(), mine["doc"].tolist())) == scores
